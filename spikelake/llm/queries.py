@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, mixing
+from . import bpe, exact, lines, mixing, near, quality
 from .common import read
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near.grouped(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = lines.clean(docs, counts=("n_lines", "n_removed"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixture(read(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -20,6 +31,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.decode(bpe.encode(docs).drop("text"))
@@ -28,12 +44,31 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_dedup": op2_near_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_line_dedup": r"""
+WITH parts AS (
+  SELECT doc_id, coalesce('s' || source, 'n') AS site, string_split(text, chr(10)) AS parts FROM documents
+), lines AS (
+  SELECT doc_id, site, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM parts
+), spread AS (
+  SELECT line, count(DISTINCT site) AS sites, arg_min(doc_id, struct_pack(d := doc_id, p := pos)) AS first_doc, arg_min(pos, struct_pack(d := doc_id, p := pos)) AS first_pos
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT site) >= 5
+), marked AS (
+  SELECT l.doc_id, l.pos, l.line, (s.line IS NOT NULL AND NOT (l.doc_id = s.first_doc AND l.pos = s.first_pos)) AS gone
+  FROM lines l LEFT JOIN spread s ON l.line = s.line
+)
+SELECT d.doc_id, coalesce(count(m.pos), 0)::BIGINT AS n_lines, coalesce(sum(CASE WHEN m.gone THEN 1 ELSE 0 END), 0)::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(m.line, chr(10) ORDER BY m.pos) FILTER (WHERE NOT m.gone), '')) AS text_sha256
+FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
+""",
     "op5_mixing": r"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
