@@ -11,7 +11,8 @@ MAD_SCALE = 0.6745
 def numbered(trace: DataFrame, by: str, i: str, n: int) -> DataFrame:
     """epoch of each sample, n samples each; the incomplete last one is dropped."""
     size = F.count(F.lit(1)).over(Window.partitionBy(by))
-    return trace.withColumn("epoch", F.floor(F.col(i) / n)).filter(F.col("epoch") < F.floor(size / n))
+    rows = trace.withColumns({"epoch": F.floor(F.col(i) / n), "__whole": F.floor(size / n)})
+    return rows.filter(F.col("epoch") < F.col("__whole")).drop("__whole")
 
 
 def robust_z(rows: DataFrame, by: list[str], value: str, reference: Column | None = None, name: str = "z") -> DataFrame:
