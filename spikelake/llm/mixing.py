@@ -52,7 +52,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     left = F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0))
     level = left / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     sources = sources.withColumn("level", level)
-    sources = sources.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(whole)["level"])
+    # The first level that holds is the highest that does, for what is assumed to be at its cap beyond lowers it.
+    sources = sources.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(whole))
     target = F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))
     return sources.select("k", "source_size", target.alias("target"), F.round(target).cast("long").alias("words"))
 

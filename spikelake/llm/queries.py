@@ -112,7 +112,7 @@ WITH sizes AS (
     / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY 3 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
   FROM sources
 ), found AS (
-  SELECT arg_min(level, cap / weight) AS level FROM ordered WHERE level * weight <= cap
+  SELECT max(level) AS level FROM ordered WHERE level * weight <= cap
 ), targets AS (
   SELECT source, source_size, least(cap::DOUBLE, found.level * weight) AS target FROM ordered, found
 ), laid AS (

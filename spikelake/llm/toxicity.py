@@ -122,7 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     kinds = dict(rows.dtypes)
     table = rows.filter("part >= 3").select("id", "y", "part", "text").mapInArrow(run, f"id {kinds['id']}, y int, part {kinds['part']}, x array<double>").toPandas().sort_values("id")
-    x, y = np.array(table.x.tolist(), float).reshape(len(table), -1), table.y.to_numpy(float)
+    if table.empty:
+        return None
+    x, y = np.array(table.x.tolist(), float), table.y.to_numpy(float)
     own_part = (table.part < 5).to_numpy()
     if len(set(y[own_part])) < 2 or not (~own_part).any():
         return None
