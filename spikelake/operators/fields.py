@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import correlation
+
 MAD_SCALE = 0.6745
 
 
@@ -104,7 +106,7 @@ def spectrum(trace: DataFrame, by: list[str], i: str, value: str, n: int, bins:
 
 def fit_line(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Ordinary least squares: slope, intercept, r and n."""
-    return rows.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), correlation(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 def fit_weighted(rows: DataFrame, keys: list[str], x: str, y: str, weight: str) -> DataFrame:
@@ -121,4 +123,4 @@ def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     for c in (x, y):
         first = F.rank().over(Window.partitionBy(*keys).orderBy(c))
         rows = rows.withColumn(f"__r_{c}", first + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2)
-    return rows.groupBy(*keys).agg(F.corr(f"__r_{x}", f"__r_{y}").alias("rho"))
+    return rows.groupBy(*keys).agg(correlation(f"__r_{x}", f"__r_{y}").alias("rho"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import correlation
+
 #: Weights of the 3 by 3 triangular filter.
 TRIANGLE = {(dx, dy): (2 - abs(dx)) * (2 - abs(dy)) for dx in (-1, 0, 1) for dy in (-1, 0, 1)}
 
@@ -98,13 +100,13 @@ def neighbour_mean(bins: DataFrame, keys: list[str], value: str, isolated: float
 
 def coherence(bins: DataFrame, keys: list[str], value: str = "rate") -> DataFrame:
     """Fisher z of the correlation of bins and their neighbours' means; null with fewer than 3 bins."""
-    r = F.greatest(F.lit(-0.9999), F.least(F.lit(0.9999), F.corr(value, "around")))
+    r = F.greatest(F.lit(-0.9999), F.least(F.lit(0.9999), correlation(value, "around")))
     return neighbour_mean(bins, keys, value).groupBy(*keys).agg(F.when(F.count(F.lit(1)) > 2, 0.5 * F.ln((1 + r) / (1 - r))).alias("coherence"))
 
 
 def coherence_all(bins: DataFrame, keys: list[str], value: str = "rate") -> DataFrame:
     """The plain correlation, bins without neighbours having a neighbours' mean of 0."""
-    return neighbour_mean(bins, keys, value, 0.0).groupBy(*keys).agg(F.corr(value, "around").alias("coherence"))
+    return neighbour_mean(bins, keys, value, 0.0).groupBy(*keys).agg(correlation(value, "around").alias("coherence"))
 
 
 def compared(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -116,8 +118,9 @@ def compared(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFra
         ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, c))
         rows = rows.withColumn(f"r{c}", first + (ties - 1) / 2)
     some = (F.col("x") != 0) | (F.col("y") != 0)
-    sure = lambda r: F.coalesce(F.when(~F.isnan(r), r), F.lit(-2.0))
-    return rows.groupBy(*keys).agg(sure(F.corr("x", "y")).alias("pearson"), sure(F.corr(F.when(some, F.col("x")), F.when(some, F.col("y")))).alias("pearson_some"), sure(F.corr("rx", "ry")).alias("spearman"))
+    r = lambda x, y: F.coalesce(correlation(x, y), F.lit(-2.0))
+    x, y = F.col("x"), F.col("y")
+    return rows.groupBy(*keys).agg(r(x, y).alias("pearson"), r(F.when(some, x), F.when(some, y)).alias("pearson_some"), r("rx", "ry").alias("spearman"))
 
 
 def visited(bins: DataFrame, track: DataFrame, by: str, x: str, y: str, distance: float) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import correlation
+
 
 def intervals(spikes: DataFrame, by: str, ts: str, amp: str | None = None) -> DataFrame:
     """isi: the time since the unit's spike before, null for its first; prior: that spike's amplitude."""
@@ -103,8 +105,8 @@ def template_correlation(waves: DataFrame, by: list[str], key: str, wave: str) -
     """The mean of each wave's correlation with its group's mean wave, undefined ones left out."""
     rows = samples(waves, [*by, key], wave)
     rows = rows.join(rows.groupBy(*by, "i").agg(F.avg("v").alias("__m")), [*by, "i"])
-    each = rows.groupBy(*by, key).agg(F.corr("v", "__m").alias("r"))
-    return each.groupBy(*by).agg(F.avg(F.when(~F.isnan("r"), F.col("r"))).alias("template_r"))
+    each = rows.groupBy(*by, key).agg(correlation("v", "__m").alias("r"))
+    return each.groupBy(*by).agg(F.avg("r").alias("template_r"))
 
 
 def snr_label(snr: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import correlation
 from ..operators import fields, joins
 from .proxies import HOUR, SPECTRA, TRACE, TRACK, query, read, rounded, spectra, trace, track
 
@@ -168,7 +169,7 @@ def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def low_quality_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = F.log10("power")
-    rows = spectra(spark, sf_dir).groupBy("file").agg((F.corr("freq", log) ** 2).alias("r_squared"), F.sqrt(F.avg(log**2) - F.avg(log) ** 2).alias("error"))
+    rows = spectra(spark, sf_dir).groupBy("file").agg((correlation(F.col("freq"), log) ** 2).alias("r_squared"), F.sqrt(F.avg(log**2) - F.avg(log) ** 2).alias("error"))
     return rounded(rows.filter("r_squared < 0.05 OR error > 0.4"), "r_squared", "error")
 
 

@@ -64,7 +64,7 @@ def coherence_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 RANKS = "m AS (SELECT a.rate AS x, b.rate AS y FROM grid a JOIN grid b ON a.bx = b.bx AND a.by_ = b.by_ AND a.half = 1 AND b.half = 2), k AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM m)"
 
 
-@query("a34_map_correlation", f"WITH {grid_sql('half')}, {RANKS} SELECT round(coalesce(corr(x, y), -2), 6) AS pearson, round(coalesce(corr(x, y) FILTER (WHERE x <> 0 OR y <> 0), -2), 6) AS pearson_some, round(coalesce(corr(rx, ry), -2), 6) AS spearman FROM k")
+@query("a34_map_correlation", f"WITH {grid_sql('half')}, {RANKS} SELECT round(coalesce(nullif(corr(x, y), 'NaN'::DOUBLE), -2), 6) AS pearson, round(coalesce(nullif(corr(x, y) FILTER (WHERE x <> 0 OR y <> 0), 'NaN'::DOUBLE), -2), 6) AS pearson_some, round(coalesce(nullif(corr(rx, ry), 'NaN'::DOUBLE), -2), 6) AS spearman FROM k")
 def map_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = grid(spark, sf_dir, ["half"])
     return rounded(maps.compared(both.filter("half = 1"), both.filter("half = 2"), [], "rate"), "pearson", "pearson_some", "spearman")
