@@ -8,9 +8,11 @@ import zlib
 import numpy as np
 import pytest
 from conftest_rows import as_rows, lower, words
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spikelake.llm import lm, toxicity
+from spikelake.llm import bpe, lm, toxicity
 from spikelake.llm.common import crc_mod
 from spikelake.llm.trees import Isotonic, boosted, forest
 
@@ -74,6 +76,14 @@ def test_lm_base_scores(awkward, frequent):
         assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-9) and a[5] < 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab1'.é\xa0\x85\u3000s"), min_size=1, max_size=8), max_size=12))
+def test_ids_of_words_are_those_of_each(words):
+    ids, lengths = lm.ids_of([w.encode() for w in words])
+    each = [bpe.encoding().encode_ordinary(" " + w) for w in words]
+    assert ids.tolist() == [i for x in each for i in x] and lengths.tolist() == [len(x) for x in each]
+
+
 def test_lm_edge_tables(empty, awkward):
     assert lm.scored(empty, F.lit(True), steps=2).count() == 0
     none = lm.scored(awkward, F.lit(False), steps=2).collect()
