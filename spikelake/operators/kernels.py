@@ -343,3 +343,94 @@ def least_squares(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, roun
             if damp > 1e10:
                 break
     return q
+
+
+def smoothed(rows: DataFrame, key: str, method: str, width: float) -> DataFrame:
+    """key and smooth: each trace's samples (array) smoothed in place, by a Gaussian, or by local polynomials."""
+    f = {
+        "in_place": lambda x: signal.smoothed_in_place(x, int(width)),
+        "gaussian": lambda x: signal.gaussian_smoothed(x, width),
+        "polynomial": lambda x: np.maximum(signal.savitzky_golay(x, int(width)), 0),
+    }[method]
+    return per_row(rows, lambda seed, x: {"smooth": f(x.astype(float)).tolist()}, [key], ["samples"], "smooth array<double>")
+
+
+def wave_features(files: DataFrame, key: str) -> DataFrame:
+    """key, energy and pc1 of each spike of a file (waves: an array of equally long arrays).
+
+    energy is the root mean square; pc1 the first principal component of the waves of unit length, with samples
+    standardised; its sign makes its largest weight positive.
+    """
+
+    def f(seed: int, waves: np.ndarray) -> dict:
+        if not len(waves):
+            return {"energy": [], "pc1": []}
+        w = np.stack(waves).astype(float)
+        energy = np.sqrt((w**2).mean(1))
+        unit = w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300)
+        z = unit - unit.mean(0)
+        z /= np.where(z.std(0) > 0, z.std(0), 1)
+        first = np.linalg.eigh(z.T @ z / len(z))[1][:, -1]
+        first *= np.sign(first[np.abs(first).argmax()]) or 1
+        return {"energy": energy.tolist(), "pc1": (z @ first).tolist()}
+
+    return per_row(files, f, [key], ["waves"], "energy array<double>, pc1 array<double>")
+
+
+def intrinsic_firing(rows: DataFrame, key: str, width: float, bands: tuple[tuple[float, float], ...] = ((4, 12), (2, 4))) -> DataFrame:
+    """theta_freq, theta_z, delta_freq, delta_z, mean_freq and mode_freq of autocorrelograms (counts, bins of `width` seconds).
+
+    Power is standardised over the spectrum above 0; the mean and the mode (in whole Hz) are of the instantaneous
+    frequency of the counts filtered to the theta band.
+    """
+
+    def f(seed: int, counts: np.ndarray) -> dict:
+        x = signal.detrended(counts.astype(float), False)
+        if len(x) < 16 or x.std() == 0:
+            return {}
+        power, freqs = np.abs(np.fft.rfft(x))[1:] ** 2, np.fft.rfftfreq(len(x), width)[1:]
+        z = (power - power.mean()) / (power.std() or 1)
+        out = {}
+        for name, (low, high) in zip(("theta", "delta"), bands):
+            on = np.flatnonzero((freqs >= low) & (freqs <= high))
+            if len(on):
+                k = on[z[on].argmax()]
+                out |= {f"{name}_freq": float(freqs[k]), f"{name}_z": float(z[k])}
+        if bands[0][1] < 0.5 / width:
+            f_inst = signal.instantaneous_frequency(signal.butterworth(x, *bands[0], 1 / width), 1 / width)
+            inside = f_inst[(f_inst >= bands[0][0]) & (f_inst <= bands[0][1])]
+            if len(inside):
+                out |= {"mean_freq": float(inside.mean()), "mode_freq": float(np.bincount(np.round(inside).astype(int)).argmax())}
+        return out
+
+    return per_row(rows, f, [key], ["counts"], "theta_freq double, theta_z double, delta_freq double, delta_z double, mean_freq double, mode_freq double")
+
+
+def iterative_fields(units: DataFrame, keys: list[str], nx: int, ny: int, fps: float, draws: int = 100, margin: float = 20.0, least: float = 1.0, limit: float = 0.5, most: int = 10, share: float = 0.2, smallest: float = 0.04) -> DataFrame:
+    """n_fields, sizes, peaks and the information left after each field has been lowered to the map's smallest rate.
+
+    The strongest field is taken and suppressed while the map's information is above the limit and above the 95th
+    percentile of its shuffles. units: as for shuffled_information.
+    """
+
+    def f(seed: int, bins: np.ndarray, occ: np.ndarray, spikes: np.ndarray) -> dict:
+        empty = {"n_fields": 0, "sizes": [], "peaks": [], "left": []}
+        low, high = int(margin * fps), len(bins) - int(margin * fps)
+        if not len(bins) or not len(spikes) or high < low:
+            return empty
+        bins, spikes, occ = bins.astype(np.int64), spikes.astype(np.int64), occ.astype(float)
+        rate, seconds = rate_map(bins, occ, spikes, (nx, ny), least)
+        null = [information(*rate_map(bins, occ, (spikes + k) % len(bins), (nx, ny), least)) for k in np.random.default_rng(seed).integers(low, high + 1, draws)]
+        bound, valid = max(limit, float(np.percentile(null, 95))), seconds > 0
+        base = rate[valid].min() if valid.any() else 0.0
+        while len(empty["sizes"]) < most and information(rate, seconds) > bound:
+            found = fields(rate, valid, share, smallest)
+            if not found:
+                break
+            empty["sizes"].append(int(found[0].sum()))
+            empty["peaks"].append(float(rate[found[0]].max()))
+            rate = np.where(found[0], base, rate)
+            empty["left"].append(information(rate, seconds))
+        return empty | {"n_fields": len(empty["sizes"])}
+
+    return per_row(units, f, keys, ["bins", "occ", "spikes"], "n_fields bigint, sizes array<bigint>, peaks array<double>, left array<double>")

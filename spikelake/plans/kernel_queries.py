@@ -81,3 +81,35 @@ def place_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def speed_modulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = kernels.speed_modulation(_units(spark, sf_dir), ["unit"], 4.0, draws=100, margin=0.5, width=10.0)
     return rounded(found, *[c for c in found.columns if c not in ("unit", "modulated")], digits=4)
+
+
+@query("w6_w8_smoothed_traces")
+def smoothed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _traces(spark, sf_dir)
+    out = [kernels.smoothed(rows, "channel", m, w).select("channel", F.lit(m).alias("method"), F.posexplode("smooth").alias("i", "v")) for m, w in (("in_place", 15), ("gaussian", 2.0), ("polynomial", 11))]
+    return rounded(out[0].unionByName(out[1]).unionByName(out[2]), "v")
+
+
+@query("n20_intrinsic_firing")
+def intrinsic_firing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Autocorrelograms of clicks within 48 hours in bins of an hour, an hour standing for 10 ms."""
+    pairs = joins.band_pairs(spikes(spark, sf_dir), "unit", "ts", 48 * HOUR, [])
+    bins = pairs.groupBy("unit", F.floor(F.col("lag") / HOUR).alias("bin")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    full = bins.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
+    counts = F.transform(F.sequence(F.lit(-48).cast("long"), F.lit(47).cast("long")), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0)))
+    found = kernels.intrinsic_firing(full.select("unit", counts.alias("counts")), "unit", 0.01)
+    return rounded(found, *found.columns[1:], digits=4)
+
+
+@query("n21_wave_features")
+def wave_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as waves, 500 to a file."""
+    rows = read(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 500).alias("file")).agg(F.array_sort(F.collect_list(F.struct("vec_id", F.slice("embedding", 1, 32).cast("array<double>").alias("w")))).alias("r"))
+    found = kernels.wave_features(rows.select("file", F.col("r.w").alias("waves")), "file")
+    return rounded(found.select("file", F.posexplode(F.arrays_zip("energy", "pc1")).alias("k", "f")).select("file", "k", "f.energy", "f.pc1"), "energy", "pc1", digits=4)
+
+
+@query("n25_iterative_fields")
+def iterative_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kernels.iterative_fields(_units(spark, sf_dir), ["unit"], 8, 6, 1.0, draws=50, margin=2.0, limit=0.1)
+    return found.select("unit", "n_fields", F.array_join(F.col("sizes").cast("array<string>"), "; ").alias("sizes"), F.round(F.try_element_at("left", F.lit(-1)), 6).alias("left"))

@@ -148,3 +148,30 @@ def test_parameterised_spectrum(spark):
     got = {r.file: r for r in kernels.parameterised(rows, ["file"], knee=False).collect()}
     assert got[1].exponent == pytest.approx(1.5, abs=0.05) and got[1].r_squared > 0.99 and got[2].exponent is None
     assert [round(p[0]) for p in got[1].peaks] == [8] and got[1].peaks[0][1] == pytest.approx(0.8, abs=0.1)
+
+
+def test_wave_features_and_intrinsic_firing(spark):
+    rng = np.random.default_rng(9)
+    shape = np.sin(np.arange(32) / 5)
+    waves = [(shape * a + rng.standard_normal(32) * 0.1).tolist() for a in rng.random(60) + 0.5]
+    r = kernels.wave_features(spark.createDataFrame([(1, waves)], "file int, waves array<array<double>>"), "file").first()
+    assert r.energy == pytest.approx([float(np.sqrt(np.mean(np.square(w)))) for w in waves]) and abs(np.mean(r.pc1)) < 1e-9
+    t = (np.arange(200) - 99.5) * 0.005
+    rows = spark.createDataFrame([(1, (10 + 5 * np.cos(2 * np.pi * 8 * t)).tolist()), (2, [1.0] * 200)], "unit int, counts array<double>")
+    got = {r.unit: r for r in kernels.intrinsic_firing(rows, "unit", 0.005).collect()}
+    assert got[1].theta_freq == 8 and got[1].theta_z > 5 and got[1].mean_freq == pytest.approx(8, abs=0.8) and got[1].mode_freq == 8 and got[2].theta_freq is None
+
+
+def test_iterative_fields_find_both_fields(spark):
+    rng = np.random.default_rng(10)
+    path = np.abs((np.arange(6000) // 15) % 62 - 31)
+    fires = np.flatnonzero(((np.abs(path - 8) < 2) & (rng.random(6000) < 0.8)) | ((np.abs(path - 24) < 2) & (rng.random(6000) < 0.5)))
+    units = spark.createDataFrame([(1, path.tolist(), [0.1] * 6000, fires.tolist()), (2, path.tolist(), [0.1] * 6000, rng.choice(6000, 300, replace=False).tolist())], "unit int, bins array<long>, occ array<double>, spikes array<long>")
+    got = {r.unit: r for r in kernels.iterative_fields(units, ["unit"], 32, 1, 10.0, draws=40).collect()}
+    assert got[1].n_fields == 2 and got[1].left[-1] < 0.5 and got[2].n_fields == 0
+
+
+def test_smoothed_traces(spark):
+    rows = spark.createDataFrame([(1, [1.0] * 40)], "c int, samples array<double>")
+    for method, width in (("in_place", 15), ("gaussian", 2.0), ("polynomial", 11)):
+        assert kernels.smoothed(rows, "c", method, width).first().smooth == pytest.approx([1.0] * 40)

@@ -71,3 +71,16 @@ def test_tracking_table(spark, tmp_path):
     (tmp_path / "t.csv").write_text("time,x,y,x_cm,y_cm\n1,2,3,0.2,0.3\n2,oops,3,0.4,0.5\n3,inf,1,nan,2\n")
     assert [tuple(r) for r in R.track(spark, str(tmp_path / "t.csv")).collect()] == [(1.0, 2.0, 3.0)]
     assert [tuple(r) for r in R.track(spark, str(tmp_path / "t.csv"), True).collect()] == [(1.0, 0.2, 0.3), (2.0, 0.4, 0.5)]
+
+
+def test_tables(spark, tmp_path):
+    from spikelake.sources import tables
+
+    rows = spark.createDataFrame([("full", 1, [1, 2], "a/b/TT1.ntt", True), ("first", 2, [], "a/c/TT2.ntt", False)], "segment string, unit int, ids array<int>, path string, chosen boolean")
+    tables.write_parts(rows, str(tmp_path / "p"), ["segment"])
+    assert spark.read.parquet(str(tmp_path / "p")).filter("segment = 'full'").count() == 1
+    tables.write_csv(rows, str(tmp_path / "c"))
+    assert sorted(r.ids for r in tables.read_text_csv(spark, str(tmp_path / "c")).collect()) == ["", "1; 2"]
+    tables.write_list(rows, "path", str(tmp_path / "l"))
+    assert spark.read.text(str(tmp_path / "l")).count() == 2
+    assert [tuple(r) for r in tables.manifest(rows, "chosen", "path", "out").collect()] == [("a/b/TT1.ntt", "out/b/TT1.ntt")]
