@@ -82,13 +82,15 @@ def detrended(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "n18_half_spectrum",
-    f"""WITH {TRACE}, k AS (SELECT unnest(range(9)) AS k), s AS (SELECT channel, k, sum(v * cos(2 * pi() * i * k / 16)) ^ 2 + sum(v * sin(2 * pi() * i * k / 16)) ^ 2 AS power FROM trace, k WHERE i < 16 GROUP BY ALL)
-    SELECT channel, round(avg(power), 5) AS mean, round(max(CASE WHEN k BETWEEN 2 AND 4 THEN power END), 5) AS band, max(CASE WHEN k BETWEEN 2 AND 4 THEN power END) > 2 * avg(power) AS modulated FROM s GROUP BY channel""",
+    f"""WITH {TRACE}, n AS (SELECT *, count(*) OVER (PARTITION BY channel) AS n FROM trace), e AS (SELECT channel, CAST(i // 16 AS BIGINT) AS epoch, i % 16 AS j, v FROM n WHERE i // 16 < n // 16),
+    k AS (SELECT unnest(range(9)) AS k), s AS (SELECT channel, epoch, k, sum(v * cos(2 * pi() * j * k / 16)) ^ 2 + sum(v * sin(2 * pi() * j * k / 16)) ^ 2 AS power FROM e, k GROUP BY ALL)
+    SELECT channel, epoch, round(avg(power), 5) AS mean, round(max(CASE WHEN k BETWEEN 2 AND 4 THEN power END), 5) AS band, max(CASE WHEN k BETWEEN 2 AND 4 THEN power END) > 2 * avg(power) AS modulated FROM s GROUP BY channel, epoch""",
 )
 def half_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fields.spectrum(trace(spark, sf_dir).filter("i < 16"), ["channel"], "i", "v", 16, 9)
+    rows = fields.numbered(trace(spark, sf_dir), "channel", "i", 16).withColumn("j", F.col("i") % 16)
+    rows = fields.spectrum(rows, ["channel", "epoch"], "j", "v", 16, 9)
     band = F.max(F.when(F.col("k").between(2, 4), F.col("power")))
-    return rounded(rows.groupBy("channel").agg(F.avg("power").alias("mean"), band.alias("band"), (band > 2 * F.avg("power")).alias("modulated")), "mean", "band", digits=5)
+    return rounded(rows.groupBy("channel", "epoch").agg(F.avg("power").alias("mean"), band.alias("band"), (band > 2 * F.avg("power")).alias("modulated")), "mean", "band", digits=5)
 
 
 @query("a24_mean_sem", f"WITH {SPECTRA} SELECT freq, round(avg(power), 6) AS mean, round(stddev_pop(power) / sqrt(count(power)), 6) AS sem FROM spectra GROUP BY freq")
