@@ -13,6 +13,7 @@ Only the named columns are read; `filtered` keeps all columns.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,9 @@ SYMBOLS = "#*$%&|<>"
 #: log of the ratio of neighbouring bins; the bin of zero; documents below which a group takes its language's sketch.
 STEP, ZERO, FEW = float(np.log(1.02)), -100_000, 50
 #: For each ratio: whether low values count too, and what lies between the fence and a rejection at least.
-RATIOS = {"word_length": (True, 1.0), "symbols": (False, 0.2), "dup_lines": (False, 0.3), "repeats": (False, 0.1), "capitals": (False, 0.2)}
+RATIOS = {"word_length": (True, 1.0), "symbols": (False, 0.2), "dup_lines": (False, 0.5), "repeats": (False, 0.3), "stutter": (False, 0.2), "capitals": (False, 0.2)}
 FENCE = 3.0
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutter", "n_capitals")
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -55,6 +56,7 @@ def counts(text: str) -> tuple[int, ...]:
         len(lines) - len(set(lines)),
         repeat,
         len(lines),
+        sum(map(eq, words, words[1:])),
         int(np.count_nonzero((raw >= 65) & (raw <= 90))),
     )
 
@@ -81,6 +83,7 @@ def _ratios(rows: DataFrame) -> DataFrame:
         "symbols": F.col("n_symbols") / words,
         "dup_lines": F.col("n_dup_lines") / lines,
         "repeats": F.col("n_repeat_words") / words,
+        "stutter": F.col("n_stutter") / words,
         "capitals": F.col("n_capitals") / F.greatest("word_chars", F.lit(1)),
     }
     return rows.withColumns(found)
