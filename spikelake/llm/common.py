@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +25,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder of the cluster."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this application."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+    return context.getCheckpointDir()
+
+
+def table(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a compressed table in the shared folder, for texts that are read more than once."""
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z alone; a text that is all ASCII can take the faster lower()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

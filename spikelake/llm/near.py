@@ -7,7 +7,8 @@ set and is linked with nothing. Two rows are linked if 100 * |intersection| >= `
 Equal sets are one node from the start, so copies are never paired. Nodes that share a band are candidates.
 Instead of all pairs of a bucket, each member is verified with one leader; components are formed, and only
 members that are still apart from their bucket's other members are compared further, so a large group of
-near copies costs a few comparisons for each member.
+near copies costs a few comparisons for each member. What remains is bounded exactly: two texts can't share more
+shingles than each shares with any text at all.
 
 Repeated rows are one node. A null id is never a component's id, unless all its ids are null. Ties between
 leaders go to the smallest hash. An empty table gives an empty table. Only the two named columns are read.
@@ -19,16 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hash_words, mix, slices, windows
+from .common import cut, hash_words, mix, slices, table, windows
 
 WIDTH, PERCENT = 5, 75
 #: With 40 bands of 5 rows a link at exactly 0.75 is missed once in 50,000, one at 0.8 once in 8 million.
 ROWS, BANDS = 5, 40
 #: Elements whose permutations are held at a time.
 ELEMENTS = 100_000
+#: Rows of a partition of small tables.
+PACKED = 200_000
 RANK = np.uint64(48)
 
 
@@ -146,16 +149,17 @@ def components(edges: DataFrame) -> DataFrame:
     Union-find in each partition, then large-star and small-star rounds until nothing changes.
     """
     edges = cut(forest(edges).distinct())
+    n = edges.count() // PACKED + 1  # partitions that the edges, which get fewer, are packed into
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(n)
+        large = both.filter("b > a").join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(n)
+        least = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(n)
         rest = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(rest.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.count_distinct("a")).first()
-        if now == before and now[0] == now[2]:
+        edges = cut(rest.coalesce(n).unionByName(least.select("a", F.col("m").alias("b"))).distinct().coalesce(n))
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if now == before:
             break
         before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
@@ -163,7 +167,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar; texts: node and text."""
-    rows = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    rows = pairs.select("a", "b").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     rows = rows.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +178,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: in
                 if a != last:
                     last, set_a = a, shingles(ta.as_py() or "", width)
                 set_b = shingles(tb or "", width)
-                common = len(set_a) + len(set_b) - len(np.union1d(set_a, set_b))
-                found.append(100 * common >= percent * (len(set_a) + len(set_b) - common))
+                either = len(np.union1d(set_a, set_b))
+                found.append(100 * (len(set_a) + len(set_b) - either) >= percent * either)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(found, pa.bool_()))
 
     return rows.mapInArrow(run, "a long, b long")
@@ -186,33 +190,56 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     marks = cut(signed(docs, doc_id, text, width, rows, n_bands))
     nodes = marks.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.min("n").alias("n"), F.min_by("bands", F.struct("doc_id", "th")).alias("bands"))
     members = nodes.select("node", "n", F.explode("bands").alias("key"))
-    leaders = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last")).filter("lead.node < last")
-    shared = cut(members.join(leaders.select("key", "lead"), "key").select("key", "node", "n", "lead"))
+    leaders = members.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").drop("last")
+    shared = cut(members.join(leaders, "key"))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    pairs = shared.filter((F.col("lead.node") < F.col("node")) & fits(F.col("n"), F.col("lead.n")))
-    pairs = cut(pairs.groupBy(F.col("lead.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("times")))
-    chosen = nodes.select("node", "of.doc_id", "of.th")
-    wanted = shared.select("node").distinct().join(chosen, "node")
+    pairs = shared.filter("lead < node").groupBy(F.col("lead").alias("a"), F.col("node").alias("b"), "n").agg(F.count(F.lit(1)).alias("times"))
+    pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("m")), "a").filter(fits(F.col("n"), F.col("m")))
+    pairs = cut(pairs.select("a", "b", "times"))
+    wanted = shared.select("node").distinct().join(nodes.select("node", "of.doc_id", "of.th"), "node")
     own = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    texts = own.join(wanted, own.d.eqNullSafe(wanted.doc_id) & (own.t == wanted.th)).select("node", "text")
+    texts = table(own.join(wanted, own.d.eqNullSafe(wanted.doc_id) & (own.t == wanted.th)).select("node", "text"))
 
     # First each member with the leader of most of its bands, then what is still apart with its other leaders.
     first = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
     edges = cut(verified(first, texts, width, percent))
     comps = cut(components(edges))
-    done = first
-    again = cut(_apart(pairs.select("a", "b"), comps).join(done, ["a", "b"], "left_anti"))
+    again = cut(_apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), comps))
     edges, comps = _extended(edges, comps, again, texts, width, percent)
-    # Then members of one bucket that are apart from each other and aren't its leader.
-    label = F.coalesce("comp", "node")
-    placed = shared.join(comps, "node", "left").select("key", "node", "n", F.col("lead.node").alias("lead"), label.alias("comp")).filter("node <> lead")
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-    placed = cut(placed.join(open_, "key", "left_semi"))
-    left, right = placed.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), placed.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    cross = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    cross = cut(cross.join(pairs, ["a", "b"], "left_anti"))
-    edges, comps = _extended(edges, comps, cross, texts, width, percent)
 
+    # Then members of one bucket that are apart from each other, if the shingles they have in common with any
+    # other such member can be enough: first with the bucket's member that has most of these.
+    placed = _open(shared.filter("node <> lead").select("key", "node", "n"), comps)
+    if not placed.isEmpty():
+        enough = lambda u, n, m: (100 + percent) * u >= percent * (n + m)
+        common = cut(_common(texts.join(placed.select("node").distinct(), "node", "left_semi"), width))
+        counts = cut(common.groupBy("node").agg(F.count(F.lit(1)).alias("u")).coalesce(8))
+        placed = placed.drop("comp").join(counts, "node").filter(100 * F.col("u") >= percent * F.col("n"))
+        placed = _led(_open(placed, comps), comps)
+        near = placed.filter(fits(F.col("n"), F.col("lead_n")) & enough(F.least("u", "lead_u"), F.col("n"), F.col("lead_n")))
+        near = cut(_apart(near.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), comps).join(pairs, ["a", "b"], "left_anti"))
+        edges, comps = _extended(edges, comps, near, texts, width, percent)
+        # Two members that are apart aren't both in their bucket's largest component; and they are similar only if they
+        # share one of the rarest shingles of each, for the others are one too few. What stands before and after a shared
+        # shingle in this order bounds what they share in all.
+        placed = _open(placed.select("key", "node", "n", "u"), comps)
+        main = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"))
+        low = placed.groupBy("key").agg(F.min("n").alias("low"))
+        least = F.greatest("low", F.ceil(F.col("n") * percent / 100))
+        need = F.ceil((F.col("n") + least) * percent / (100 + percent))
+        needs = placed.join(main, "key").join(low, "key").groupBy("node", "n", "u", "comp").agg(F.min(need).alias("need"), F.max(F.col("comp") != F.col("main.comp")).alias("outer"))
+        rank = F.row_number().over(Window.partitionBy("node").orderBy("c", "h"))
+        rare = cut(common.join(needs, "node").withColumn("rank", rank).filter(F.col("rank") <= F.col("u") - F.col("need") + 1))
+        x, y = (rare.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "u", "comp", "outer", "rank")]) for side in "xy")
+        bound = F.least("rank_x", "rank_y") + F.least(F.col("u_x") - F.col("rank_x"), F.col("u_y") - F.col("rank_y"))
+        once = F.col("outer_x") & (~F.col("outer_y") | (F.col("node_x") < F.col("node_y")))
+        cross = x.filter("outer_x").join(y, "h").filter(once & (F.col("comp_x") != F.col("comp_y")) & fits(F.col("n_x"), F.col("n_y")) & enough(bound, F.col("n_x"), F.col("n_y")))
+        cross = cross.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+        for seen in (pairs, near):
+            cross = cross.join(seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        edges, comps = _extended(edges, comps, cut(cross), texts, width, percent)
+
+    label = F.coalesce("comp", "node")
     found = marks.select("doc_id", "th", "n", "node").join(comps, "node", "left").withColumn("comp", label)
     ids = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
     found = found.join(ids, "comp", "left")
@@ -221,6 +248,34 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def _open(placed: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members with their components, of buckets whose members have more than one."""
+    placed = placed.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
+    return cut(placed.join(split, "key", "left_semi"))
+
+
+def _led(placed: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members (key, node, n, u, comp) with lead, lead_n, lead_u and lead_comp: of their bucket's member that has the
+    largest part of its shingles in common with others. The leader itself is left out."""
+    top = placed.groupBy("key").agg(F.max(F.struct((F.col("u") / F.col("n")).alias("share"), "node", "n", "u", "comp")).alias("top"))
+    rows = placed.join(top, "key").filter(F.col("node") != F.col("top.node"))
+    return rows.select("key", "node", "n", "u", "comp", *[F.col(f"top.{c}").alias(f"lead{e}") for c, e in (("node", ""), ("n", "_n"), ("u", "_u"), ("comp", "_comp"))])
+
+
+def _common(texts: DataFrame, width: int) -> DataFrame:
+    """node, h and c: those of its shingles that stand in c > 1 of the texts; no two texts share others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingles(x or "", width).view(np.int64) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    rows = texts.dropDuplicates(["node"]).mapInArrow(run, "node long, set array<long>").select("node", F.explode("set").alias("h"))
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    return rows.join(often, "h").select("node", "h", "c")
+
+
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     rows = pairs.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
     return rows.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
