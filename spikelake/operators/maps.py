@@ -81,10 +81,11 @@ def gaussian(sigma: float, truncate: float = 4.0) -> dict[tuple[int, int], float
 
 def information(bins: DataFrame, keys: list[str], rate: str = "smooth", occ: str = "occ") -> DataFrame:
     """peak_fr, mean_fr, sir (bits a spike, 0 without a rate) and sparsity over the valid bins."""
-    rows = bins.filter("valid")
-    share = rows.groupBy(*keys).agg(F.sum(occ).alias("__t"), F.max(rate).alias("peak_fr"), (F.sum(F.col(rate) * F.col(occ)) / F.sum(occ)).alias("mean_fr"), (F.sum(F.col(rate) * F.col(rate) * F.col(occ)) / F.sum(occ)).alias("__square"))
+    group = keys or ["__all"]
+    rows = bins.filter("valid") if keys else bins.filter("valid").withColumn("__all", F.lit(0))
+    share = rows.groupBy(*group).agg(F.sum(occ).alias("__t"), F.max(rate).alias("peak_fr"), (F.sum(F.col(rate) * F.col(occ)) / F.sum(occ)).alias("mean_fr"), (F.sum(F.col(rate) * F.col(rate) * F.col(occ)) / F.sum(occ)).alias("__square"))
     part = F.when(F.col(rate) > 0, F.col(occ) / F.col("__t") * (F.col(rate) / F.col("mean_fr")) * F.log2(F.col(rate) / F.col("mean_fr"))).otherwise(0.0)
-    joined = (rows.join(share, keys) if keys else rows.crossJoin(F.broadcast(share))).groupBy(*keys)  # without keys `share` is one row
+    joined = rows.join(share, group).groupBy(*group)
     out = joined.agg(F.first("peak_fr").alias("peak_fr"), F.first("mean_fr").alias("mean_fr"), F.sum(part).alias("sir"), F.first("__square").alias("__square"))
     return out.select(*keys, "peak_fr", "mean_fr", F.when(F.col("mean_fr") > 0, F.col("sir")).otherwise(0.0).alias("sir"), F.when(F.col("__square") > 0, F.col("mean_fr") ** 2 / F.col("__square")).alias("sparsity"))
 
