@@ -5,9 +5,8 @@ Tokens are words of the text with A-Z lower-cased, then one end. The base score
 most) are looked up where the text is, the rest by a join on 64-bit hashes.
 
 The model reads each word, after a space, as ids of a public byte-level BPE, and the end as one more. Ids are
-ranked by their counts in all training rows and written as three digits, each predicted given those before: the
-first, which nearly always is 0, by its frequency, the others with their corpus frequencies as biases. One
-attention layer and one feed-forward layer, trained in numpy by
+ranked by their counts in all training rows and written as three digits, each predicted from the context and the
+digits before it; the biases are the digits' corpus frequencies. One attention layer and one feed-forward layer, trained in numpy by
 Adam on WINDOWS windows (a bounded sample of the training rows), change these predictions. Windows of LENGTH
 ids overlap by LENGTH - STRIDE; each id is scored once, in the first window that holds it, and all windows of
 a batch go through one masked attention.
@@ -162,8 +161,8 @@ class Model:
         logs = lambda x: np.log((x + 1e-9) / (x + 1e-9).sum(-1, keepdims=True)).astype(np.float32)
         bias = [logs(n.sum((1, 2))), logs(n.sum(2)), logs(n).reshape(-1, BASE)]
         rng = np.random.default_rng(seed)
-        shapes = {"E": (EMBEDDED, WIDE), "P": (LENGTH, WIDE), "Q": (WIDE, WIDE), "K": (WIDE, WIDE), "V": (WIDE, WIDE), "O": (WIDE, WIDE), "W1": (WIDE, INNER), "c1": (INNER,), "W2": (INNER, WIDE), "A": (BASE, WIDE), "C": (BASE, WIDE), "U2": (WIDE, BASE), "U3": (WIDE, BASE)}
-        scale = {"E": 0.5, "P": 0.1, "U2": 0.01, "U3": 0.01, "c1": 0.0}
+        shapes = {"E": (EMBEDDED, WIDE), "P": (LENGTH, WIDE), "Q": (WIDE, WIDE), "K": (WIDE, WIDE), "V": (WIDE, WIDE), "O": (WIDE, WIDE), "W1": (WIDE, INNER), "c1": (INNER,), "W2": (INNER, WIDE), "A": (BASE, WIDE), "C": (BASE, WIDE), "U1": (WIDE, BASE), "U2": (WIDE, BASE), "U3": (WIDE, BASE)}
+        scale = {"E": 0.5, "P": 0.1, "U1": 0.01, "U2": 0.01, "U3": 0.01, "c1": 0.0}
         return cls(rank, bias, {k: (rng.standard_normal(s) * scale.get(k, 0.25)).astype(np.float32) for k, s in shapes.items()})
 
     def hidden(self, r: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -193,18 +192,23 @@ class Model:
         return x, q, k, v, a, o, h, f, np.clip(g, -BOUND, BOUND, out=g)
 
     def logits(self, g: np.ndarray, target: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """The first digit, and for the others their logits and their values."""
+        """The logits of the second, the third and the first digit; the first digit, and then the values in their order."""
         w, b = self.weights, self.bias
         d12, d3 = np.divmod(target, BASE)
         d1, d2 = np.divmod(d12, BASE)
-        y2, y3 = (g + w["A"][d1]) @ w["U2"], (g + w["C"][d12 % BASE]) @ w["U3"]
+        y1 = g @ w["U1"]
+        g2 = g + w["A"][d1]
+        y2 = g2 @ w["U2"]
+        g2 += w["C"][d2]
+        y3 = g2 @ w["U3"]
+        y1 += b[0]
         y2 += b[1][d1]
         y3 += b[2][d12]
-        return [y2, y3], [d1, d2, d3]
+        return [y2, y3, y1], [d1, d2, d3, d1]
 
     def log_probs(self, g: np.ndarray, target: np.ndarray) -> np.ndarray:
         logits, digits = self.logits(g, target)
-        out = self.bias[0][digits[0]]
+        out = np.zeros(len(target), g.dtype)
         rows = np.arange(len(target))
         for x, d in zip(logits, digits[1:]):
             out += x[rows, d]
@@ -245,9 +249,11 @@ class Model:
             y = _softmax(y)
             y[np.arange(len(t)), digit] -= 1
             d.append(y * weight)
-        out = {"U2": (flat(g) + w["A"][digits[0]]).T @ d[0], "U3": (flat(g) + w["C"][digits[1]]).T @ d[1]}
-        dg2, dg3 = d[0] @ w["U2"].T, d[1] @ w["U3"].T
-        dg = (dg2 + dg3).reshape(g.shape) * (np.abs(g) < BOUND)
+        g2 = flat(g) + w["A"][digits[0]]
+        out = {"U1": flat(g).T @ d[2], "U2": g2.T @ d[0], "U3": (g2 + w["C"][digits[1]]).T @ d[1]}
+        dg3 = d[1] @ w["U3"].T
+        dg2 = dg3 + d[0] @ w["U2"].T
+        dg = (dg2 + d[2] @ w["U1"].T).reshape(g.shape) * (np.abs(g) < BOUND)
         for name, digit, grad in (("A", digits[0], dg2), ("C", digits[1], dg3)):
             out[name] = np.zeros_like(w[name])
             np.add.at(out[name], digit, grad)
@@ -284,7 +290,7 @@ class Model:
                 s[k] += 0.01 * (grad * grad - s[k])
                 rate = RATE * min(1, step / 20, 2 * (1 - step / (steps + 1)))
                 self.weights[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-            for k in ("U2", "U3", "A", "C"):
+            for k in ("U1", "U2", "U3", "A", "C"):
                 np.clip(self.weights[k], -LIMIT, LIMIT, out=self.weights[k])
         return self
 

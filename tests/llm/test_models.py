@@ -146,3 +146,15 @@ def test_lm_learns_order():
     plain, trained = lm.Model.new(ids), lm.Model.new(ids).train(windows, 250)
     sequence = np.concatenate([cycle[3:60], [lm.END]])
     assert trained.score(sequence, np.array([58]))[0] > plain.score(sequence, np.array([58]))[0] + 10
+
+
+def test_lm_first_digit_depends_on_the_context():
+    """Ids of two blocks of ranks in turn: which block comes next is learnt, not only each block's frequency."""
+    ids = np.zeros(lm.IDS, np.int64)
+    ids[:3000] = np.arange(3000, 0, -1)
+    cycle = np.tile([5, 2500], 40)  # ranks of the first and of the second block
+    windows = np.stack([np.concatenate([[lm.END], cycle[i : i + lm.LENGTH]]) for i in range(40)])
+    model = lm.Model.new(ids).train(windows, 200)
+    g = model.hidden(model.rank[cycle[None, : lm.LENGTH]])[-1][0]
+    first = np.log(sum(np.exp(model.log_probs(g, np.full(lm.LENGTH, i)).astype(float)) for i in range(lm.BASE**2)))  # of digit 0
+    assert (first[1::2] > np.log(0.9)).all() and (first[2::2] < np.log(0.1)).all()  # what comes after 2500, and after 5
