@@ -6,9 +6,12 @@ most) are looked up where the text is, the rest by a join on 64-bit hashes.
 
 The model reads each word, after a space, as ids of a public byte-level BPE, and the end as one more. Ids are
 ranked by their counts in all training rows and written as three digits, each predicted from the context and the
-digits before it; the biases are the digits' corpus frequencies. One attention layer and one feed-forward layer, trained in numpy by
-Adam on WINDOWS windows (a bounded sample of the training rows), change these predictions. Windows of LENGTH
-ids overlap by LENGTH - STRIDE; each id is scored once, in the first window that holds it, and all windows of
+digits before it; the biases are the digits' corpus frequencies. One attention layer and one feed-forward layer
+change these predictions. They learn from every id of all training rows: these are cut into windows, dealt by hash
+into ROUNDS rounds of shards of SHARD windows or so. In a round each shard starts from the same weights and takes
+steps of Adam over all its windows; the changes are averaged, those of an embedding by how often its ids occur.
+They are summed as whole numbers, so that the order of tasks doesn't matter. For scoring, windows of LENGTH ids
+overlap by LENGTH - STRIDE; each id is scored once, in the first window that holds it, and all windows of
 a batch go through one masked attention.
 
 A null text counts as empty: its only token is the end. A null id counts as the empty text for the held-out
@@ -29,15 +32,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoding
-from .common import cut, hash_words, slices
+from .common import cut, hash_words, mix, slices, table
 
 LENGTH, STRIDE = 32, 24
 #: Digits and their base: BASE ** 3 covers the ids and the end.
 BASE, END = 37, 50_256
-IDS = 50_257
+IDS, NONE = 50_257, 65_535
 #: Ranks with an embedding of their own; rarer ones share the last.
 EMBEDDED, WIDE, INNER = 2048, 16, 32
-WINDOWS, SAMPLE_DOCS, BATCH, STEPS, RATE = 16_384, 4_096, 64, 256, 4e-3
+BATCH, STEPS, RATE = 64, 256, 4e-3
+#: Rounds of training, windows of a shard in a round, and the unit of a summed change of a weight.
+ROUNDS, SHARD, UNIT = 8, 2_048, 2.0**-32
 FREQUENT = 1 << 20
 #: Distinct words that a task counts before it hands them on; windows that go through the model at a time. LIMIT bounds the weights and BOUND the values before the last softmax, so that it can't overflow.
 HELD, CHUNK = 500_000, 256
@@ -144,6 +149,12 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(-1, keepdims=True)
 
 
+def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows for each of n places."""
+    wide = rows.shape[1]
+    return np.bincount((at[:, None] * wide + np.arange(wide)).ravel(), rows.ravel(), n * wide).reshape(n, wide).astype(rows.dtype)
+
+
 @dataclass
 class Model:
     rank: np.ndarray
@@ -255,8 +266,7 @@ class Model:
         dg2 = dg3 + d[0] @ w["U2"].T
         dg = (dg2 + d[2] @ w["U1"].T).reshape(g.shape) * (np.abs(g) < BOUND)
         for name, digit, grad in (("A", digits[0], dg2), ("C", digits[1], dg3)):
-            out[name] = np.zeros_like(w[name])
-            np.add.at(out[name], digit, grad)
+            out[name] = _summed(digit, grad, BASE)
         out["W2"] = flat(f).T @ flat(dg)
         df = (dg @ w["W2"].T) * (f > 0)
         out["W1"], out["c1"] = flat(h).T @ flat(df), flat(df).sum(0)
@@ -272,51 +282,117 @@ class Model:
             out[name] = flat(x).T @ flat(grad)
             dx += grad @ w[name].T
         out["P"] = dx.sum(0)
-        out["E"] = np.zeros_like(w["E"])
-        np.add.at(out["E"], np.minimum(r, EMBEDDED - 1).ravel(), flat(dx))
+        out["E"] = _summed(np.minimum(r, EMBEDDED - 1).ravel(), flat(dx), EMBEDDED)
         return out
 
-    def train(self, windows: np.ndarray, steps: int = STEPS, seed: int = 4) -> Model:
-        """Adam over windows of LENGTH + 1 ids, the end before the first, -1 after the last."""
+    def train(self, windows: np.ndarray, steps: int = STEPS, seed: int = 4, done: float = 0.0, upto: float = 1.0) -> Model:
+        """Adam over windows of LENGTH + 1 ids, the end before the first, -1 after the last.
+
+        All windows are read before any is read again, and each at least once, however few steps are asked for. done and
+        upto: the part of the whole training before and after these steps.
+        """
         if not len(windows):
             return self
         rng = np.random.default_rng(seed)
+        steps = max(steps, -(-len(windows) // BATCH))
+        order = np.concatenate([rng.permutation(len(windows)) for _ in range(-(-steps * BATCH // len(windows)))])
+        warm = 20 if done == 0 else 4
         m, s = ({k: np.zeros_like(v) for k, v in self.weights.items()} for _ in range(2))
         for step in range(1, steps + 1):
-            rows = windows[rng.integers(0, len(windows), BATCH)]
+            rows = windows[order[(step - 1) * BATCH : step * BATCH]]
             ranks = np.where(rows >= 0, self.rank[rows], 0)
+            rate = RATE * min(1, step / warm, 2 * (1 - done - (upto - done) * step / (steps + 1)))
             for k, grad in self.gradients(ranks[:, :-1], ranks[:, 1:], rows[:, 1:] >= 0).items():
                 m[k] += 0.1 * (grad - m[k])
                 s[k] += 0.01 * (grad * grad - s[k])
-                rate = RATE * min(1, step / 20, 2 * (1 - step / (steps + 1)))
                 self.weights[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
             for k in ("U1", "U2", "U3", "A", "C"):
                 np.clip(self.weights[k], -LIMIT, LIMIT, out=self.weights[k])
         return self
 
+    def change(self, windows: np.ndarray, steps: int, done: float, upto: float) -> np.ndarray:
+        """How training over the windows of a shard changes the weights, times the windows, in UNITs; and the times.
+
+        An embedding counts by how often it is read, everything else by the windows.
+        """
+        own = Model(self.rank, self.bias, {k: v.copy() for k, v in self.weights.items()}).train(windows, steps, done=done, upto=upto)
+        read = windows[:, :-1][windows[:, 1:] >= 0]
+        times = np.bincount(np.minimum(self.rank[read], EMBEDDED - 1), minlength=EMBEDDED)
+        parts = [np.rint((own.weights[k] - v).astype(float) * (times[:, None] if k == "E" else len(windows)) / UNIT).ravel() for k, v in self.weights.items()]
+        return np.concatenate([*parts, times, [len(windows)]]).astype(np.int64)
 
-def sampled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
-    """Windows of a bounded sample of the rows: those with the smallest hashes of id and text."""
-    place = F.xxhash64(doc_id, text)
-    own = docs.select(place.alias("place")).orderBy("place").limit(SAMPLE_DOCS).distinct()
-    rows = docs.select(place.alias("place"), F.col(text).alias("text")).join(F.broadcast(own), "place").dropDuplicates(["place"])  # SAMPLE_DOCS rows of 8 bytes
-    each = WINDOWS // SAMPLE_DOCS
+    def changed(self, total: np.ndarray) -> None:
+        """Add the mean of the changes, given their sum."""
+        times, at = np.maximum(1, total[-EMBEDDED - 1 :]), 0
+        for k, v in self.weights.items():
+            n = times[:-1, None] if k == "E" else times[-1]
+            v += (total[at : at + v.size].reshape(v.shape) * UNIT / n).astype(np.float32)
+            at += v.size
+
+
+def windowed(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """round, shard and windows (id bytes, in a fixed order): each id of each text is predicted in one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sequence, sizes = Distinct([x or "" for x in batch.column("text").to_pylist()]).sequences()
-            out, places, ends = [], [], np.cumsum(sizes)
-            for place, start, end in zip(batch.column("place").to_pylist(), ends - sizes, ends):
-                whole = np.concatenate([[END], sequence[start:end]])
-                for a in np.unique(np.linspace(0, max(0, len(whole) - LENGTH - 1), each).astype(int)):
-                    window = np.full(LENGTH + 1, -1, np.int64)
-                    window[: len(whole[a : a + LENGTH + 1])] = whole[a : a + LENGTH + 1]
-                    out.append(window.tolist())
-                    places.append(place)
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["place", "ids"])
+            number = -(-sizes // LENGTH)
+            owner = np.repeat(np.arange(len(sizes)), number)
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
+            ends = np.cumsum(sizes)
+            places = batch.column("place").to_numpy()[owner]
+            dealt = (mix(places.view(np.uint64) + nth.astype(np.uint64)) % np.uint64(ROUNDS * shards)).astype(np.int64)
+            begin = (ends - sizes)[owner] + nth * LENGTH
+            for i in range(0, len(owner), 8_192):  # windows of a very long text, too, go out in parts
+                at = begin[i : i + 8_192, None] + np.arange(-1, LENGTH)
+                out = sequence[np.clip(at, 0, len(sequence) - 1)]
+                out[at >= ends[owner[i : i + 8_192], None]] = -1
+                out[nth[i : i + 8_192] == 0, 0] = END
+                data = out.astype(np.uint16).view(f"V{2 * (LENGTH + 1)}").ravel().tolist()  # -1 becomes NONE
+                part = slice(i, i + 8_192)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((dealt[part] // shards).astype(np.int32)), pa.array(dealt[part] % shards), pa.array(places[part]), pa.array(nth[part]), pa.array(data, pa.binary())],
+                    names=["round", "shard", "place", "nth", "ids"],
+                )
+
+    rows = docs.select(F.xxhash64(doc_id, text).alias("place"), F.col(text).alias("text")).mapInArrow(run, "round int, shard long, place long, nth long, ids binary")
+    rows = rows.groupBy("round", "shard").agg(F.array_sort(F.collect_list(F.struct("place", "nth", "ids"))).alias("w"))
+    return rows.select("round", "shard", F.col("w.ids").alias("windows"))
+
+
+def unpacked(windows: list[bytes]) -> np.ndarray:
+    """The windows of a shard as rows of LENGTH + 1 ids, -1 after the last."""
+    rows = np.frombuffer(b"".join(windows), np.uint16).reshape(-1, LENGTH + 1).astype(np.int32)
+    return np.where(rows == NONE, -1, rows)
+
+
+def learnt(model: Model, docs: DataFrame, ids: np.ndarray, steps: int = STEPS, doc_id: str = "doc_id", text: str = "text") -> Model:
+    """Train the model on all windows of the rows, whose ids are counted in ids; a shard takes steps / ROUNDS steps at least."""
+    shards = int(ids.sum() // (LENGTH * SHARD * ROUNDS)) + 1
+    data, context = table(windowed(docs, shards, doc_id, text)), docs.sparkSession.sparkContext
+    each = -(-steps // ROUNDS)
+
+    def summed(batches: Iterator[pa.RecordBatch], f) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            for x in batch.column(0):
+                total = total + f(x)
+        if isinstance(total, np.ndarray):
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    for k in range(ROUNDS):
+        shared = context.broadcast(model)  # bounded: the weights and IDS ranks
+
+        def one(windows: pa.ListScalar, shared=shared, k=k) -> np.ndarray:
+            return shared.value.change(unpacked(windows.as_py()), each, k / ROUNDS, (k + 1) / ROUNDS)
 
-    found = rows.mapInArrow(run, "place long, ids array<long>").toPandas().sort_values("place", kind="stable")
-    return np.array(found.ids.tolist(), np.int64).reshape(-1, LENGTH + 1)
+        sums = data.filter(F.col("round") == k).select("windows").mapInArrow(lambda b, one=one: summed(b, one), "total binary")
+        sums = sums.repartition(16).mapInArrow(lambda b: summed(b, lambda x: np.frombuffer(x.as_py(), np.int64)), "total binary")
+        found = [np.frombuffer(r.total, np.int64) for r in sums.collect()]  # 16 rows of the weights' size at most
+        if found:
+            model.changed(np.sum(found, 0))
+        shared.unpersist()
+    return model
 
 
 def scored(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, steps: int = STEPS) -> DataFrame:
@@ -329,8 +405,7 @@ def scored(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str
     often = F.col("c") >= F.lit(n / frequent)
     top = counts.filter(often).toPandas().sort_values("hash")  # the counts sum to n: `frequent` rows of 16 bytes at most
     hashes, logs = top["hash"].to_numpy(np.int64), np.log10(top["c"].to_numpy(float) + 1)
-    model = Model.new(ids)
-    model.train(sampled(learn), steps)
+    model = learnt(Model.new(ids), learn, ids, steps)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
     shared = docs.sparkSession.sparkContext.broadcast((hashes, logs, model))  # bounded: `frequent` words and the model
 

@@ -158,3 +158,18 @@ def test_lm_first_digit_depends_on_the_context():
     g = model.hidden(model.rank[cycle[None, : lm.LENGTH]])[-1][0]
     first = np.log(sum(np.exp(model.log_probs(g, np.full(lm.LENGTH, i)).astype(float)) for i in range(lm.BASE**2)))  # of digit 0
     assert (first[1::2] > np.log(0.9)).all() and (first[2::2] < np.log(0.1)).all()  # what comes after 2500, and after 5
+
+
+def test_lm_learns_from_every_id_of_all_rows(spark, monkeypatch):
+    """Windows grow with the rows, and hold each id once as the one to predict; partitions don't change the weights."""
+    rows = [(i if i % 9 else None, f"alpha{i} beta{i * i} " * (1 + i % 40)) for i in range(300)] + [(1, "of one"), (1, "of one"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [x for r in lm.windowed(docs, 3).collect() for x in lm.unpacked(r.windows)]
+    want, sizes = lm.Distinct([t or "" for _, t in rows]).sequences()
+    got = np.stack(found)[:, 1:]
+    assert collections.Counter(got[got >= 0].tolist()) == collections.Counter(want.tolist())
+    assert len(found) == sum(-(-n // lm.LENGTH) for n in sizes) and sum(x[0] == lm.END for x in found) >= len(rows)
+    monkeypatch.setattr(lm, "SHARD", 20)
+    ids = np.bincount(want, minlength=lm.IDS)
+    a, b = (lm.learnt(lm.Model.new(ids), docs.repartition(n), ids, 8).weights for n in (1, 5))
+    assert all((a[k] == b[k]).all() for k in a) and (a["E"] != lm.Model.new(ids).weights["E"]).any()
