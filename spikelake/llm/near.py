@@ -187,6 +187,16 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: in
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, rows: int = ROWS, n_bands: int = BANDS) -> DataFrame:
     """doc_id, th, n_shingles, component_id and kept (doc_id = component_id) of each row."""
+    found = _labelled(docs, doc_id, text, width, percent, rows, n_bands)
+    ids = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    found = found.join(ids, "comp", "left")
+    component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    found = found.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def _labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, rows: int = ROWS, n_bands: int = BANDS) -> DataFrame:
+    """doc_id, th, n and comp of each row: comp names its component, null for an empty set."""
     marks = cut(signed(docs, doc_id, text, width, rows, n_bands))
     nodes = marks.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.min("n").alias("n"), F.min_by("bands", F.struct("doc_id", "th")).alias("bands"))
     members = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -240,12 +250,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
         edges, comps = _extended(edges, comps, cut(cross), texts, width, percent)
 
     label = F.coalesce("comp", "node")
-    found = marks.select("doc_id", "th", "n", "node").join(comps, "node", "left").withColumn("comp", label)
-    ids = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    found = found.join(ids, "comp", "left")
-    component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    found = found.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return marks.select("doc_id", "th", "n", "node").join(comps, "node", "left").select("doc_id", "th", "n", label.alias("comp"))
 
 
 def _open(placed: DataFrame, comps: DataFrame) -> DataFrame:
@@ -293,7 +298,17 @@ def _extended(edges: DataFrame, comps: DataFrame, pairs: DataFrame, texts: DataF
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs that are kept: of each group those of the smallest id (rows that repeat it stay together)."""
-    gone = grouped(docs, doc_id, text, **options).filter("NOT kept").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"))
+    """One row of each group, and the rows without words, which are in none.
+
+    Of a group stays the smallest id, null after all others; of one id the smallest hash of the text; of rows that repeat
+    both the smallest in all columns.
+    """
+    found = cut(_labelled(docs, doc_id, text, **options).filter("comp IS NOT NULL").groupBy("doc_id", "th", "comp").agg(F.count(F.lit(1)).alias("copies")))
+    best = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th"))
+    marked = cut(found.join(best, "comp").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), (stays & (F.col("copies") > 1)).alias("again"), (stays & (F.col("copies") == 1)).alias("alone")))
     rows = docs.withColumns({"__d": F.col(doc_id), "__t": F.xxhash64(text)})
-    return rows.join(gone, rows["__d"].eqNullSafe(gone["__d"]) & (rows["__t"] == gone["__t"]), "left_anti").select(*docs.columns)
+    same = lambda x: rows["__d"].eqNullSafe(x["__d"]) & (rows["__t"] == x["__t"])
+    gone, again = marked.filter("NOT alone"), marked.filter("again")
+    repeated = rows.join(again, same(again), "left_semi").groupBy("__d", "__t").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rows.join(gone, same(gone), "left_anti").select(*docs.columns).unionByName(repeated.select("row.*"))

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 from conftest_rows import as_rows, lower, words
+from pyspark.sql import functions as F
 
 from spikelake.llm import lines, near
 
@@ -107,3 +108,13 @@ def test_lines(awkward, clashing, least):
 
 def test_lines_empty(empty):
     assert lines.clean(empty).count() == 0
+
+
+def test_near_one_row_of_each_group_stays(spark):
+    rng = random.Random(4)
+    text = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(4)]
+    rows = [(None, text[0], "lone null"), (None, text[1], "b"), (None, text[1].upper(), "c"), (4, text[2], "y"), (4, text[2], "x"), (None, text[2], "a"), (5, text[2] + " end", "a"), (7, text[3], "z"), (None, "", "p"), (None, None, "q"), (8, " ", "r"), (8, " ", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    th = dict(docs.select("text", F.xxhash64("text")).collect())
+    got = near.deduplicated(docs).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter([rows[0], min(rows[1:3], key=lambda r: th[r[1]]), rows[4], rows[7], *rows[8:]])
