@@ -406,11 +406,51 @@ def intrinsic_firing(rows: DataFrame, key: str, width: float, bands: tuple[tuple
     return per_row(rows, f, [key], ["counts"], "theta_freq double, theta_z double, delta_freq double, delta_z double, mean_freq double, mode_freq double")
 
 
-def iterative_fields(units: DataFrame, keys: list[str], nx: int, ny: int, fps: float, draws: int = 100, margin: float = 20.0, least: float = 1.0, limit: float = 0.5, most: int = 10, share: float = 0.2, smallest: float = 0.04) -> DataFrame:
+def shifted_information(bins: np.ndarray, seconds: np.ndarray, spikes: np.ndarray, shifts: np.ndarray, least: float, taken: np.ndarray, base: float) -> np.ndarray:
+    """The information of the map after each shift of the spikes, with the bins that are taken clamped to the base rate."""
+    shape, valid, out = seconds.shape, seconds >= least, []
+    p = np.where(valid, seconds, 0) / max(seconds[valid].sum(), 1e-300)
+    weights = [(i, j, (2 - abs(i)) * (2 - abs(j))) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    around = lambda a: sum(w * a[..., 1 + i : a.shape[-2] - 1 + i, 1 + j : a.shape[-1] - 1 + j] for i, j, w in weights)
+    low = around(np.pad(valid.astype(float), 1))
+    few = max(1, 2_000_000 // max(len(spikes), seconds.size))
+    for part in np.array_split(shifts, range(few, len(shifts), few)):
+        at = bins[(spikes + part[:, None]) % len(bins)] + np.arange(len(part))[:, None] * seconds.size
+        counts = np.bincount(at.ravel(), minlength=len(part) * seconds.size).reshape(-1, *shape)
+        r = np.where(valid, counts / np.where(valid, seconds, 1), 0)
+        r = np.where(valid, around(np.pad(r, ((0, 0), (1, 1), (1, 1)))) / np.where(low > 0, low, 1), 0)
+        r = np.where(taken, base, r)
+        mean = (p * r).sum((1, 2))
+        ratio = r / np.where(mean > 0, mean, 1)[:, None, None]
+        out.append((p * ratio * np.log2(np.where(ratio > 0, ratio, 1))).sum((1, 2)))
+    return np.concatenate(out)
+
+
+def first_field(rate: np.ndarray, free: np.ndarray, share: float, least: float) -> np.ndarray | None:
+    """The 8-connected field around the highest free bin whose field has `least` bins; none if no bin's has."""
+    for k in np.argsort(-np.where(free, rate, -np.inf), axis=None, kind="stable"):
+        seed = np.unravel_index(k, rate.shape)
+        if not free[seed] or rate[seed] <= 0:
+            return None
+        allowed, mask = free & (rate >= share * rate[seed]), np.zeros_like(free)
+        mask[seed] = True
+        while True:
+            q = np.pad(mask, 1)
+            grown = allowed & np.any([q[i : i + mask.shape[0], j : j + mask.shape[1]] for i in range(3) for j in range(3)], 0)
+            if (grown == mask).all():
+                break
+            mask = grown
+        if mask.sum() >= least:
+            return mask
+    return None
+
+
+def iterative_fields(units: DataFrame, keys: list[str], nx: int, ny: int, fps: float, draws: int = 1000, margin: float = 20.0, least: float = 1.0, limit: float = 0.5, share: float = 0.2, smallest: float = 0.04, more: int = 50, peaks: tuple[float, float] = (1.0, 15.0), sparse: float = 0.9) -> DataFrame:
     """n_fields, sizes, peaks and the information left after each field has been lowered to the map's smallest rate.
 
-    The strongest field is taken and suppressed while the map's information is above the limit and above the 95th
-    percentile of its shuffles. units: as for shuffled_information.
+    The strongest field is taken and suppressed while the unit is a place cell: more than `more` spikes, a peak rate within
+    peaks, information above the limit and above the 95th percentile of shuffles, sparsity below `sparse`. After each
+    field the shuffles are drawn again, with all fields suppressed in them too. units: as for shuffled_information.
     """
 
     def f(seed: int, bins: np.ndarray, occ: np.ndarray, spikes: np.ndarray) -> dict:
@@ -420,16 +460,24 @@ def iterative_fields(units: DataFrame, keys: list[str], nx: int, ny: int, fps: f
             return empty
         bins, spikes, occ = bins.astype(np.int64), spikes.astype(np.int64), occ.astype(float)
         rate, seconds = rate_map(bins, occ, spikes, (nx, ny), least)
-        null = [information(*rate_map(bins, occ, (spikes + k) % len(bins), (nx, ny), least)) for k in np.random.default_rng(seed).integers(low, high + 1, draws)]
-        bound, valid = max(limit, float(np.percentile(null, 95))), seconds > 0
-        base = rate[valid].min() if valid.any() else 0.0
-        while len(empty["sizes"]) < most and information(rate, seconds) > bound:
-            found = fields(rate, valid, share, smallest)
-            if not found:
+        valid, every, rng = seconds > 0, np.bincount(bins, occ, nx * ny).reshape(nx, ny), np.random.default_rng(seed)
+        base, taken = rate[valid].min() if valid.any() else 0.0, np.zeros((nx, ny), bool)
+
+        def place_cell() -> bool:
+            mean, square = (seconds * rate).sum(), (seconds * rate**2).sum() * seconds.sum()
+            if not (len(spikes) > more and peaks[0] < rate.max() < peaks[1] and mean**2 < sparse * square and information(rate, seconds) > limit):
+                return False
+            null = shifted_information(bins, every, spikes, rng.integers(low, high + 1, draws), least, taken, base)
+            return information(rate, seconds) > np.percentile(null, 95)
+
+        while place_cell():
+            found = first_field(rate, valid & ~taken, share, smallest * valid.sum())
+            if found is None:
                 break
-            empty["sizes"].append(int(found[0].sum()))
-            empty["peaks"].append(float(rate[found[0]].max()))
-            rate = np.where(found[0], base, rate)
+            empty["sizes"].append(int(found.sum()))
+            empty["peaks"].append(float(rate[found].max()))
+            taken |= found
+            rate = np.where(taken, base, rate)
             empty["left"].append(information(rate, seconds))
         return empty | {"n_fields": len(empty["sizes"])}
 

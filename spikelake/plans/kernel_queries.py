@@ -111,5 +111,6 @@ def wave_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("n25_iterative_fields")
 def iterative_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = kernels.iterative_fields(_units(spark, sf_dir), ["unit"], 8, 6, 1.0, draws=50, margin=2.0, limit=0.1)
+    """The reference's draws and rule, but for sessions of some 15 frames: 5 spikes, and a lower limit and margin."""
+    found = kernels.iterative_fields(_units(spark, sf_dir), ["unit"], 8, 6, 1.0, margin=2.0, limit=0.1, more=5)
     return found.select("unit", "n_fields", F.array_join(F.col("sizes").cast("array<string>"), "; ").alias("sizes"), F.round(F.try_element_at("left", F.lit(-1)), 6).alias("left"))

@@ -171,6 +171,29 @@ def test_iterative_fields_find_both_fields(spark):
     assert got[1].n_fields == 2 and got[1].left[-1] < 0.5 and got[2].n_fields == 0
 
 
+def test_shuffles_of_a_suppressed_map():
+    """The null with bins clamped is that of the plain map with the same bins clamped."""
+    rng = np.random.default_rng(11)
+    bins, occ, spikes, taken = rng.integers(0, 48, 900), np.full(900, 0.1), rng.integers(0, 900, 200), rng.random((8, 6)) < 0.2
+    seconds, shifts = np.bincount(bins, occ, 48).reshape(8, 6), np.arange(20, 880, 40)
+    for mask in (taken, np.zeros_like(taken)):
+        want = []
+        for k in shifts:
+            rate, s = kernels.rate_map(bins, occ, (spikes + k) % 900, (8, 6), 1.0)
+            want.append(kernels.information(np.where(mask, 0.7, rate), s))
+        assert kernels.shifted_information(bins, seconds, spikes, shifts, 1.0, mask, 0.7) == pytest.approx(want)
+
+
+def test_iterative_fields_have_no_cap_and_need_a_place_cell(spark):
+    """Twelve narrow fields are all found; a unit of few spikes or too high a rate has none."""
+    path = np.abs((np.arange(48_000) // 20) % 238 - 119)
+    on = np.isin(path, np.arange(4, 120, 10)) & (np.arange(48_000) % 20 < 16)
+    few = np.flatnonzero(on)[::100][:50]
+    units = spark.createDataFrame([(i, path.tolist(), [0.1] * 48_000, np.flatnonzero(on).tolist() if i < 2 else few.tolist()) for i in (1, 2)], "unit int, bins array<long>, occ array<double>, spikes array<long>")
+    run = lambda **o: {r.unit: r.n_fields for r in kernels.iterative_fields(units, ["unit"], 120, 1, 10.0, draws=60, smallest=0.01, limit=0.0, **o).collect()}
+    assert run() == {1: 12, 2: 0} and run(peaks=(1.0, 3.0)) == {1: 0, 2: 0}
+
+
 def test_smoothed_traces(spark):
     rows = spark.createDataFrame([(1, [1.0] * 40)], "c int, samples array<double>")
     for method, width in (("in_place", 15), ("gaussian", 2.0), ("polynomial", 11)):
