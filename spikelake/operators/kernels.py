@@ -159,14 +159,49 @@ def fields(rate: np.ndarray, valid: np.ndarray, share: float = 0.2, smallest: fl
     return out
 
 
-def place_fields(maps: DataFrame, keys: list[str], nx: int, ny: int, **options) -> DataFrame:
-    """keys, field, n_bins, peak and the centre of mass of each field. maps: keys, bx, by_, rate, valid as arrays."""
+def largest_field(rate: np.ndarray, valid: np.ndarray, part: float = 2.5, smallest: int = 9) -> list[np.ndarray]:
+    """The mask of the largest group of 4-connected bins above the highest rate / part, of `smallest` bins or more, that
+    holds the first bin of a full block of 3 x 3 bins above it; none or one.
+
+    As in the reference, a bin needs a neighbour with a rate, the block may take bins of other groups, and it doesn't
+    reach the last row or column. Of groups of one size the first by columns is taken.
+    """
+    rate = np.where(valid, rate, 0)
+    if not rate.size or rate.max() <= 0:
+        return []
+    p = np.pad(rate, 1) > 0
+    on = (rate > rate.max() / part) & (p[2:, 1:-1] | p[:-2, 1:-1] | p[1:-1, 2:] | p[1:-1, :-2])
+    q = np.pad(on, ((0, 2), (0, 2)))
+    block = np.all([q[i : i + on.shape[0], j : j + on.shape[1]] for i in range(3) for j in range(3)], 0)
+    block[-3:], block[:, -3:] = False, False
+    groups, free = [], on.copy()
+    for y, x in zip(*np.nonzero(on.T)):
+        if not free[x, y]:
+            continue
+        mask = np.zeros_like(on)
+        mask[x, y] = True
+        while True:
+            m = np.pad(mask, 1)
+            grown = on & (mask | m[2:, 1:-1] | m[:-2, 1:-1] | m[1:-1, 2:] | m[1:-1, :-2])
+            if (grown == mask).all():
+                break
+            mask = grown
+        free &= ~mask
+        groups.append(mask)
+    return [g for g in sorted(groups, key=lambda g: -g.sum()) if g.sum() >= smallest and (g & block).any()][:1]
+
+
+def place_fields(maps: DataFrame, keys: list[str], nx: int, ny: int, rule: Callable[..., list[np.ndarray]] = fields, **options) -> DataFrame:
+    """keys, field, n_bins, peak and the centre of mass of each field that the rule (fields or largest_field) finds.
+
+    maps: keys, bx, by_, rate, valid as arrays.
+    """
 
     def f(seed: int, bx: np.ndarray, by: np.ndarray, rate: np.ndarray, valid: np.ndarray) -> dict:
         r, v = np.zeros((nx, ny)), np.zeros((nx, ny), bool)
         r[bx.astype(int), by.astype(int)], v[bx.astype(int), by.astype(int)] = rate.astype(float), valid.astype(bool)
         out = []
-        for k, m in enumerate(fields(r, v, **options)):
+        for k, m in enumerate(rule(r, v, **options)):
             x, y = np.nonzero(m)
             w = r[m]
             out.append({"field": k, "n_bins": int(m.sum()), "peak": float(w.max()), "cx": float((x * w).sum() / w.sum()), "cy": float((y * w).sum() / w.sum())})

@@ -69,12 +69,22 @@ def cluster_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, "l_ratio", "iso", "null_l", "null_iso", "p_l", "p_iso", digits=4)
 
 
-@query("n24_n26_place_fields")
-def place_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = maps.smoothed(grid(spark, sf_dir, ["half"]), ["half"])
     packed = bins.groupBy("half").agg(F.array_sort(F.collect_list(F.struct("bx", "by_", "smooth", "valid"))).alias("b"))
-    rows = packed.select("half", F.col("b.bx").alias("bx"), F.col("b.by_").alias("by_"), F.col("b.smooth").alias("rate"), F.col("b.valid").alias("valid"))
-    return rounded(kernels.place_fields(rows, ["half"], 26, 11, share=0.95, smallest=0.02), "peak", "cx", "cy", digits=4)
+    return packed.select("half", F.col("b.bx").alias("bx"), F.col("b.by_").alias("by_"), F.col("b.smooth").alias("rate"), F.col("b.valid").alias("valid"))
+
+
+@query("n24_n26_place_fields")
+def place_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields by N24 with a share to match these maps, by N24 as in the reference, and the one field of N26."""
+    rows, two = _maps(spark, sf_dir), ["half"]
+    found = [
+        kernels.place_fields(rows, two, 26, 11, share=0.95, smallest=0.02).withColumn("rule", F.lit("n24_steep")),
+        kernels.place_fields(rows, two, 26, 11, share=0.2, smallest=0.04).withColumn("rule", F.lit("n24")),
+        kernels.place_fields(rows, two, 26, 11, rule=kernels.largest_field).withColumn("rule", F.lit("n26")),
+    ]
+    return rounded(found[0].unionByName(found[1]).unionByName(found[2]), "peak", "cx", "cy", digits=4)
 
 
 @query("n28_n29_speed_modulation")

@@ -194,6 +194,23 @@ def test_iterative_fields_have_no_cap_and_need_a_place_cell(spark):
     assert run() == {1: 12, 2: 0} and run(peaks=(1.0, 3.0)) == {1: 0, 2: 0}
 
 
+def test_largest_field(spark):
+    rate = np.full((16, 12), 0.1)
+    rate[1:13, 1] = 5  # the largest group, without a full block
+    rate[1:5, 4:7] = 4
+    rate[7:10, 4:7] = 10
+    rate[5, 7] = 4  # by a corner only
+    valid = np.ones_like(rate, bool)
+    found = kernels.largest_field(rate, valid)
+    want = np.zeros_like(valid)
+    want[7:10, 4:7] = True
+    assert len(found) == 1 and found[0].sum() == 9 and (found[0] == want).all()  # 4 isn't above 10 / 2.5
+    rate[1:5, 4:7] = rate[5, 7] = 4.1
+    assert [int(m.sum()) for m in kernels.largest_field(rate, valid)] == [12]
+    rate[1:10, 4:7] = 0.1
+    assert kernels.largest_field(rate, valid) == [] and kernels.largest_field(rate * 0, valid) == []
+
+
 def test_smoothed_traces(spark):
     rows = spark.createDataFrame([(1, [1.0] * 40)], "c int, samples array<double>")
     for method, width in (("in_place", 15), ("gaussian", 2.0), ("polynomial", 11)):
