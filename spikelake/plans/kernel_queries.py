@@ -57,7 +57,7 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("n22_shuffled_information")
 def shuffled_information(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = kernels.shuffled_information(_units(spark, sf_dir), ["unit"], 8, 6, 1.0, draws=200, margin=2.0)
+    found = kernels.shuffled_information(_units(spark, sf_dir), ["unit"], 8, 6, 1.0, margin=2.0)
     return rounded(found, "sir", "null_mean", "null_p95")
 
 
@@ -65,7 +65,7 @@ def shuffled_information(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first eight features of all vectors, 500 to a file."""
     rows = read(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 500).alias("file")).agg(F.array_sort(F.collect_list(F.struct("vec_id", F.col("label").cast("long").alias("label"), F.slice("embedding", 1, 8).cast("array<double>").alias("x")))).alias("r"))
-    found = kernels.cluster_null(rows.select("file", F.col("r.label").alias("labels"), F.col("r.x").alias("points")), "file", 8, draws=100)
+    found = kernels.cluster_null(rows.select("file", F.col("r.label").alias("labels"), F.col("r.x").alias("points")), "file", 8)
     return rounded(found, "l_ratio", "iso", "null_l", "null_iso", "p_l", "p_iso", digits=4)
 
 
@@ -89,8 +89,11 @@ def place_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("n28_n29_speed_modulation")
 def speed_modulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = kernels.speed_modulation(_units(spark, sf_dir), ["unit"], 4.0, draws=100, margin=0.5, width=10.0)
-    return rounded(found, *[c for c in found.columns if c not in ("unit", "modulated")], digits=4)
+    """With nulls of rolled rates (N28), and of rolled counts that are smoothed anew (N29)."""
+    units = _units(spark, sf_dir)
+    rates, counts = (kernels.speed_modulation(units, ["unit"], 4.0, margin=0.5, width=10.0, counts=c).withColumn("null", F.lit(n)) for n, c in (("rates", False), ("counts", True)))
+    found = rates.unionByName(counts)
+    return rounded(found, *[c for c in found.columns if c not in ("unit", "modulated", "null")], digits=4)
 
 
 @query("w6_w8_smoothed_traces")

@@ -49,3 +49,15 @@ def test_gives_rows(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_shuffles_have_the_operators_draws(spark, monkeypatch):
+    from spikelake.operators import kernels
+
+    asked = []
+    for name in ("shuffled_information", "cluster_null", "speed_modulation"):
+        real = getattr(kernels, name)
+        monkeypatch.setattr(kernels, name, lambda *a, real=real, name=name, **k: asked.append((name, "draws" in k, k.get("counts", False))) or real(*a, **k))
+    for name in ("n22_shuffled_information", "n23_cluster_null", "n28_n29_speed_modulation"):
+        QUERIES[name](spark, FOLDER)
+    assert asked == [("shuffled_information", False, False), ("cluster_null", False, False), ("speed_modulation", False, False), ("speed_modulation", False, True)]
