@@ -69,6 +69,17 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def apart(spans: list[tuple], length: int) -> list[tuple]:
+    """Of spans that end in start and end, in order of preference, those that overlap none before them."""
+    taken, out = bytearray(length), []
+    for s in spans:
+        a, b = s[-2:]
+        if taken.find(1, a, b) < 0:
+            taken[a:b] = b"\1" * (b - a)
+            out.append(s)
+    return out
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
     """64-bit SipHash of each word."""
     if not words:
