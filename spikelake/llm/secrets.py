@@ -6,8 +6,9 @@ common words cover, whether it looks like a path, and the words around it. It is
 findings made up from a fixed seed. The base pattern of a key that names itself is a feature like others.
 
 A null or empty text has no candidates. Offsets count code points, the end is exclusive; spans of a text
-don't overlap. Repeated rows are read each. An empty table gives an empty table. Only the two named columns
-are read.
+don't overlap: the longest stays, of equally long ones the first. Candidates have any length and are judged as a whole;
+very long texts are read whole, in time that grows with their length. Repeated rows are read each. An empty table gives
+an empty table. Only the two named columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -23,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import apart, slices
 from .trees import Trees, forest
 
 LIMIT = 0.5
 #: A token of this length or longer can be a key; after a name that tells of a secret, a shorter value too.
 SHORTEST, ASSIGNED = 16, 8
 TOKEN = re.compile(rf"[A-Za-z0-9_+/=.~-]{{{SHORTEST},}}")
-VALUE = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|credentials?|contraseña|passwort|mot de passe)[\"']?\s{0,3}[:=]{1,2}>?\s{0,3}[\"']?([^\s\"'`,;]{8,512})", re.I)
+VALUE = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|credentials?|contraseña|passwort|mot de passe)[\"']?\s{0,3}[:=]{1,2}>?\s{0,3}[\"']?([^\s\"'`,;]{8,})", re.I)
 HINT = re.compile(r"pass|pwd|secret|token|key|auth|credential|contraseña|mot de", re.I)
 BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
 KNOWN = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}\Z|gh[pousr]_[A-Za-z0-9]{20,}|glpat-|xox[abprs]-|sk[-_][A-Za-z0-9_-]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.|npm_[A-Za-z0-9]{20,}")
@@ -54,33 +55,29 @@ def candidates(text: str) -> list[tuple[int, int]]:
             a, b = m.span()
             cut = token.rfind("=", 0, len(token.rstrip("=")))  # name=value
             spans.append((a + cut + 1, b) if 0 <= cut and b - a - cut - 1 >= ASSIGNED else (a, b))
-    out: list[tuple[int, int]] = []
-    end = 0
-    for a, b in sorted(set(spans), key=lambda s: (s[0] - s[1], s[0])):
-        if all(b <= x or y <= a for x, y in out):
-            out.append((a, b))
-    return sorted(out)
+    return sorted(apart(sorted(set(spans), key=lambda s: (s[0] - s[1], s[0])), len(text))) if spans else []
 
 
-def _kind(c: str) -> int:
-    return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
+#: Digit, lower case, upper case or other, of each ASCII character; others are other.
+CLASS = np.array([0 if chr(c).isdigit() else 1 if chr(c).islower() else 2 if chr(c).isupper() else 3 for c in range(128)], np.int8)
 
 
 def features(text: str, start: int, end: int) -> list[float]:
-    span = text[start : min(end, start + 512)]
+    """Of the whole candidate and what stands around it."""
+    span = text[start:end]
     n = len(span)
-    kinds = [_kind(c) for c in span]
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    share = [kinds.count(k) / n for k in range(4)]
+    kinds = CLASS[np.minimum(np.frombuffer(span.encode("utf-32-le", "surrogatepass"), np.uint32), 127)]
+    changes = int(np.count_nonzero(kinds[1:] != kinds[:-1]))
+    share = (np.bincount(kinds, minlength=4) / n).tolist()
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(span).values())
     low = span.lower()
-    covered = bytearray(n)
+    covered = bytearray(len(low))  # lower case may be longer
     for w in COMMON:
         at = low.find(w)
         while at >= 0:
             covered[at : at + len(w)] = b"\1" * len(w)
             at = low.find(w, at + 1)
-    vowels = sum(c in "aeiou" for c in low)
+    vowels = sum(map(low.count, "aeiou"))
     runs = max((len(x) for x in re.findall(r"[a-z]+|[A-Z]+|[0-9]+", span)), default=0)
     before = text[max(0, start - 48) : start].lower()
     words = re.findall(r"[^\W\d_]+[0-9]*", before)[-4:]
@@ -120,7 +117,7 @@ def _made_up(rng: np.random.Generator) -> tuple[str, str, str, bool]:
         if shape == 6:
             return filler, "-----BEGIN RSA PRIVATE KEY-----\n" + draw(low + up + dig + "+/", 200) + "\n-----END RSA PRIVATE KEY-----", "\n", True
         return filler + one(["AIza key ", "key: "]), "AIza" + draw(low + up + dig + "-_", 35), " ok", True
-    shape = int(rng.integers(9))
+    shape = int(rng.integers(10))
     if shape == 0:
         return filler + one(["commit ", "sha1: ", "checksum ", "md5 = ", "revision ", "sha256:", "etag "]), draw(hexes, one([32, 40, 64])), " and", False
     if shape == 1:
@@ -137,6 +134,9 @@ def _made_up(rng: np.random.Generator) -> tuple[str, str, str, bool]:
         return filler, draw(low, int(rng.integers(3, 9))) + "." + draw(dig, 2) + one(["@", "."]) + ".".join(words(2)) + one([".com", ".org"]), " mail", False
     if shape == 7:
         return filler, "".join(w.title() for w in real(3)) + one(["", "2", "Test1"]), " class", False
+    if shape == 8:
+        word = "".join(real(int(rng.integers(3, 6))))
+        return filler, (word.upper() if rng.random() < 0.5 else word) + one([".", "...", "-", "~"]), " so", False
     return filler, one(["=", "-", "_", "."]) * int(rng.integers(16, 40)) + "1", " end", False
 
 
@@ -159,12 +159,11 @@ def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = model()
         for batch in slices(batches):
-            counts, out = [], []
-            for text in batch.column("text").to_pylist():
-                spans = candidates(text or "")
-                scores = trees.raw(np.array([features(text, *s) for s in spans])) if spans else ()
-                counts.append(len(spans))
-                out.append([{"start": a, "end": b, "score": float(p)} for (a, b), p in zip(spans, scores) if p >= limit])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(out, span)], names=["doc_id", "n_candidates", "secrets"])
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            spans = [candidates(x) for x in texts]
+            x = np.array([features(t, *s) for t, own in zip(texts, spans) for s in own])
+            scores = iter(trees.raw(x).tolist() if len(x) else ())
+            out = [[{"start": a, "end": b, "score": p} for (a, b), p in zip(own, scores) if p >= limit] for own in spans]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, spans)), pa.int64()), pa.array(out, span)], names=["doc_id", "n_candidates", "secrets"])
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_candidates long, secrets array<struct<start:bigint,end:bigint,score:double>>")

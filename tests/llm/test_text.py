@@ -1,6 +1,5 @@
 """Byte-level BPE, quality rules, personal data, secrets."""
 
-import hashlib
 import random
 import re
 import time
@@ -97,20 +96,40 @@ def test_pii_finds_more_and_leaves_clean(spark, awkward, empty):
     assert len(rows) == awkward.count() and pii.found(empty).count() == 0
 
 
+def test_pii_long_octets():
+    for zeros in (2, 38, 41, 5000):
+        text = "0" * zeros + ".1.2.3"
+        assert pii.base_spans(text) == [(1, 0, len(text))]
+    assert pii.base_spans("0" * 50 + "256.1.2.3") == [] and pii.base_spans("9" * 5000 + ".1.2.3") == []
+
+
+CARRIERS = ["the river and the stone are by the lamp", "un río verde camina por el papel", "der Winter war lang und kalt für alle"]
+
+
 def test_pii_held_out_accuracy():
-    import numpy as np
+    judge = pii.judge(CARRIERS)
+    x, y, kinds, _ = pii.examples([c.upper().lower() + " and other words" for c in CARRIERS], 2000, 99)
+    taken = judge.likely(x, kinds) >= 0
+    assert y[taken].mean() > 0.9 and taken[y == 1].mean() > 0.75 and len(set(kinds.tolist())) == len(pii.JUDGED)
+
+
+def test_pii_adds_what_base_patterns_lose():
+    judge = pii.judge(CARRIERS)
+    texts = ["call me at +1 (826) 555-4081 190.137.223.204 then", "pay 7536784127813050 4845168114407329 soon", "only 7536784127813051 4845168114407329 now", "version 12.5.2 of 2024-01-02"]
+    found = [[(pii.KINDS[k], t[a:b]) for k, a, b in added] for t, (_, added) in zip(texts, pii.all_spans(texts, judge))]
+    assert found[0] == [("phone", "+1 (826) 555-4081")] and found[1] == [("card", "7536784127813050")] and found[2:] == [[], []]
 
-    judge, rng = pii.judge(), np.random.default_rng(99)
-    right = total = 0
-    for _ in range(600):
-        context, span, kind, true = pii._made_up(rng)
-        text = f"in the {context} {span} and more"
-        start = text.index(span, 7 + len(context))
-        k = pii.KINDS.index(kind)
-        raw = judge.trees.raw(np.array([pii.features(text, k, start, start + len(span))]))
-        right += (judge.calibration[k](raw)[0] >= judge.limits[k]) == true
-        total += 1
-    assert right / total > 0.85
+
+def test_pii_proposals_match_every_start():
+    """Each form, tried at each place by itself, gives the same candidates."""
+    rng = random.Random(8)
+    for _ in range(60):
+        text = "".join(rng.choice(["12", "555", "4567", " ", "-", "(", ")", ".", "+1", "a", "DE", "ab:", "0f-", " [at] b.co "]) for _ in range(rng.randrange(40)))
+        want = set()
+        for kind, pattern, _ in pii.PROPOSED:
+            want |= {(kind, *m.span(1)) for i in range(len(text)) if (m := pattern.match(text, i))}
+        got = [s for s in pii.proposed(text) if pii.KINDS[s[0]] != "hidden_email"]
+        assert got == sorted(want)
 
 
 def test_secrets(spark, awkward, empty):
@@ -131,11 +150,43 @@ def test_secrets_held_out_accuracy():
     assert ((forest.raw(x) >= 0.5) == np.array([r[3] for r in rows])).mean() > 0.93
 
 
+def plain_candidates(text):
+    """Every candidate against all accepted ones."""
+    spans = {m.span() for m in secrets.BLOCK.finditer(text)} | {m.span(1) for m in secrets.VALUE.finditer(text)}
+    for m in re.finditer(r"[A-Za-z0-9_+/=.~-]{16,}", text):
+        token, (a, b) = m.group(), m.span()
+        if token.isalpha() or not re.search(r"[A-Za-z0-9]", token):
+            continue
+        body = token.rstrip("=")
+        at = body.rfind("=") + 1
+        spans.add((a + at, b) if at and b - a - at >= 8 else (a, b))
+    out = []
+    for a, b in sorted(spans, key=lambda s: (s[0] - s[1], s[0])):
+        if all(b <= x or y <= a for x, y in out):
+            out.append((a, b))
+    return sorted(out)
+
+
+def test_secret_candidates_against_all_pairs():
+    rng = random.Random(12)
+    pieces = ["password=", "token: ", "Ab1", "9f", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", " ", "\n", "=", "/", ".", "!", "'", "é", "word"]
+    for _ in range(400):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(50)))
+        assert secrets.candidates(text) == plain_candidates(text), text
+
+
+def test_long_secrets_are_found_whole():
+    value = "Ab1!" * 200
+    assert secrets.candidates(f"password={value}x end") == [(9, 9 + len(value) + 1)]
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "Ab1+/" * 2000 + "\n-----END RSA PRIVATE KEY-----"
+    assert secrets.candidates(f"a {key} b") == [(2, 2 + len(key))]
+    assert secrets.features(key, 0, len(key))[0] == len(key)
+
+
 def test_long_texts_take_linear_time():
-    judge = pii.judge()
-    for piece in ("a", "1", "1.", "a@", "+1", "password=", "-----BEGIN ", "0 1 ", "ab1_", "[at "):
-        text = piece * (100_000 // len(piece))
+    judge = pii.judge(CARRIERS)
+    for piece in ("a", "1", "1.", "a@", "+1", "password=", "-----BEGIN ", "0 1 ", "ab1_", "[at ", "ab1cdefghijklmnop0 ", "password=ab12!cd9 "):
+        text = piece * (400_000 // len(piece))
         began = time.time()
-        pii.all_spans(text, judge), secrets.candidates(text), quality.counts(text), lower(text)
-        assert time.time() - began < 20, piece
-    assert hashlib.sha256(b"").hexdigest()
+        pii.all_spans([text], judge), secrets.candidates(text), quality.counts(text), lower(text)
+        assert time.time() - began < 40, piece
