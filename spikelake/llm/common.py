@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -17,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text bytes that a Python worker turns into arrays at a time.
 SLICE_BYTES = 4_000_000
+#: Keys of more than this part of all rows count as hot.
+HOT = 1_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,24 +30,78 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of the cluster."""
+    """Cut the lineage with a reliable checkpoint in the shared folder of the cluster.
+
+    spark.cleaner.referenceTracking.cleanCheckpoints lets Spark remove it once it is out of use.
+    """
     _folder(df.sparkSession)
     return df.checkpoint()
 
 
 def _folder(spark: SparkSession) -> str:
-    """The checkpoint folder of this application."""
+    """The checkpoint folder of this application; one of its own only where all tasks run on this machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
-def table(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a compressed table in the shared folder, for texts that are read more than once."""
-    path = f"{_folder(df.sparkSession)}/{uuid.uuid4()}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that writes a table to the shared folder and reads it again; what it wrote goes when the block ends.
+
+    For texts that are read more than once, and in loops: the planner takes the sizes of files as they are, while it
+    multiplies those of joins, over checkpoints too.
+    """
+    folder, paths = _folder(spark), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        paths.append(f"{folder}/{uuid.uuid4()}")
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def joined(rows: DataFrame, values: DataFrame, on: list[str], count: str) -> DataFrame:
+    """rows with the columns of `values`, null where it has none; no key, however hot, lands in one task.
+
+    values has one row a key; its column `count`, which is left out, tells how many of the rows have the key. Keys of
+    more than a HOT-th of all rows, which are fewer than HOT, are broadcast, and their rows dealt out over all tasks;
+    so are rows with a null key, which find nothing.
+    """
+    total = values.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT > F.lit(total)
+    names = [c for c in values.columns if c not in on and c != count]
+    often = values.filter(hot).select(*on, *[F.col(c).alias(f"_hot_{c}") for c in names], F.lit(True).alias("_hot"))
+    rest = values.filter(~hot).select(*on, *names, F.lit(0).cast("long").alias("_part"))
+    lone = F.col("_hot").isNull()
+    for c in on:
+        lone = lone & F.col(c).isNotNull()
+    part = F.when(lone, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*[c for c in rows.columns if c not in on]), F.lit(4093)) + 1)
+    found = rows.join(F.broadcast(often), on, "left").withColumn("_part", part).join(rest, [*on, "_part"], "left")
+    return found.select(*rows.columns, *[F.coalesce(f"_hot_{c}", c).alias(c) for c in names])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that df has a column of, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def lower_ascii(text: Column) -> Column:
