@@ -6,8 +6,9 @@ whose estimate is near the threshold get an exact count of distinct sites. A lin
 more stays where it is first (smallest id, a null id first; then smallest line number) and goes elsewhere.
 
 A null text stays null; a null site is a site of its own. Repeated rows (same id and text) are cleaned alike,
-so a first occurrence stays in each of them. An empty table gives an empty table; columns besides the named
-ones are kept as they are.
+so a first occurrence stays in each of them. Of places that tie, all stay. Very long texts take time that grows with
+their length. An empty table gives an empty table; columns besides the named ones are kept as they are, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -15,12 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh, joined
 
 MIN_SITES = 5
 #: log2 of the registers of a sketch; estimates within MARGIN of the threshold (6 standard errors), or 1, are counted exactly.
 LG_K, MARGIN = 12, 0.1
-NEW = "__dropped_lines"
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
@@ -35,7 +35,7 @@ def _lines(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
 
 
 def spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """h, g and first (its first place) of each line on min_sites sites or more."""
+    """h, g, first (its first place) and rows of each line on min_sites sites or more."""
     found = lines.groupBy("h", "g").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"),
         F.count(F.lit(1)).alias("rows"),
@@ -47,23 +47,28 @@ def spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     near = found.filter(F.abs(F.col("sites") - min_sites) <= margin)
     exact = lines.join(near.select("h", "g"), ["h", "g"], "left_semi").groupBy("h", "g", "site").agg(F.lit(1).alias("one")).groupBy("h", "g").agg(F.count("one").alias("exact"))
     near = near.join(exact.filter(F.col("exact") >= min_sites), ["h", "g"], "left_semi")
-    return sure.unionByName(near).select("h", "g", "first")
+    return sure.unionByName(near).select("h", "g", "first", "rows")
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, chars: str | None = None, counts: tuple[str, str] | None = None) -> DataFrame:
     """docs without the spread lines; `chars` names a column to hold the new length, `counts` two new columns
     for the numbers of lines before and of lines removed."""
     lines = cut(_lines(docs, doc_id, text, site))
-    gone = lines.join(spread(lines, min_sites), ["h", "g"]).filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
-    gone = gone.groupBy("k").agg(F.collect_set("pos").alias(NEW))
-    rows = docs.withColumn("__k", F.xxhash64(doc_id, text)).join(gone.withColumnRenamed("k", "__k"), "__k", "left")
-    old = F.split(text, "\n", -1)
-    kept = F.array_join(F.filter(old, lambda line, i: ~F.array_contains(F.col(NEW), i)), "\n")
-    new = F.when(F.col(NEW).isNull(), F.col(text)).otherwise(kept)
+    first = F.struct("doc_id", "pos").eqNullSafe(F.col("first"))
+    gone = joined(lines.drop("site"), cut(spread(lines, min_sites)), ["h", "g"], "rows").filter(F.col("first").isNotNull() & ~first)
+    key, at, old = fresh(docs, "_key", "_gone", "_lines")
+    gone = gone.groupBy(F.col("k").alias(key)).agg(F.collect_set("pos").alias(at))
+    rows = docs.withColumn(key, F.xxhash64(doc_id, text)).join(gone, key, "left")
+    # explode gives the lines once a row, so that they aren't split again for each place.
+    split = F.split(text, "\n", -1)
+    rows = rows.withColumn(old, F.explode(F.array(F.when(F.col(at).isNotNull(), split))))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(old) - 1), F.col(at))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(F.col(old), i)), "\n")
+    new = F.when(F.col(at).isNull(), F.col(text)).otherwise(kept)
     out = {text: new}
     if chars:
-        out[chars] = F.when(F.col(NEW).isNull(), F.col(chars)).otherwise(F.char_length(new).cast(dict(docs.dtypes)[chars]))
+        out[chars] = F.when(F.col(at).isNull(), F.col(chars)).otherwise(F.char_length(new).cast(dict(docs.dtypes)[chars]))
     if counts:
-        out[counts[0]] = F.coalesce(F.size(old), F.lit(0)).cast("long")
-        out[counts[1]] = F.coalesce(F.size(F.when(F.col(NEW).isNotNull(), F.col(NEW))), F.lit(0)).cast("long")
+        out[counts[0]] = F.coalesce(F.size(split), F.lit(0)).cast("long")
+        out[counts[1]] = F.coalesce(F.size(at), F.lit(0)).cast("long")
     return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in dict.fromkeys([*docs.columns, *(counts or ())])])
