@@ -1,27 +1,31 @@
 """Mix sources to target weights on a low-discrepancy schedule, with DataFrame operations alone.
 
 The words of a source form a stream: its rows in the order of md5(doc_id), cut into blocks of equal size of
-which the last may be shorter. Slot i of the schedule takes the golden-ratio point frac(i * phi), which the
-cumulative target weights map to a source; the r-th slot of a source takes block r modulo its number of
-blocks. A source whose slots reach its target stops there, inside a block if need be; one that the schedule
-leaves a few slots short gets them at the end. So each source gives its target, rounded to words.
+which the last may be shorter. The mix is a schedule of slots, a block each. Slot i takes the golden-ratio point
+i * GOLDEN modulo 2 ** 32, which the cumulative shares of the sources in all slots map to a source; the r-th slot of
+a source takes block r modulo its number of blocks. A source gives what its slots take, which is within a few blocks of
+its target, for any run of golden-ratio points falls evenly; no block is taken more than `most` times. A block has
+MAX_BLOCK words, or the LEAST_SLOTS-th part of all words if that is less, so that a few blocks are little of a mix of
+any size. All arithmetic of the schedule is in whole numbers, or in doubles whose order of operations is fixed.
 
 A null text has no words. Sources are ordered by code point, null last. Rows without words take nothing.
-Repeated rows are mixed each by itself, in an order that their columns alone fix. An empty table gives an
-empty table. Only the named columns are read by `mixture`; `mixed` keeps all columns.
+Repeated rows are mixed each by itself, in an order that their columns alone fix; so are ids that tie in their md5. A
+very long text lies in many blocks. An empty table gives an empty table. Only the named columns are read by `mixture`;
+`mixed` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, fresh
 
-BLOCK, WEIGHTS, MOST = 1024, (1, 2, 3), 3
+MAX_BLOCK, LEAST_SLOTS, WEIGHTS, MOST = 1024, 1 << 16, (1, 2, 3), 3
 #: Parts of a source's order, of the unit interval and of the schedule, so that no window or join has a hot key.
 PARTS, CELLS, CHUNK = 4096, 4096, 8192
-PHI = 0.6180339887498949
+#: The odd number next to 2 ** 32 divided by the golden ratio.
+GOLDEN, UNIT = 2_654_435_769, 1 << 32
 
 
 def _sizes(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
@@ -38,7 +42,7 @@ def _sizes(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """k, source_size, target and words (the rounded target) of each source.
+    """k, source_size and target of each source.
 
     The targets are min(most * size, level * weight) for the level at which they sum to all sizes: sources in
     the order of cap / weight are at their cap until the level that the rest would have lies below.
@@ -55,7 +59,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     # The first level that holds is the highest that does, for what is assumed to be at its cap beyond lowers it.
     sources = sources.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(whole))
     target = F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))
-    return sources.select("k", "source_size", target.alias("target"), F.round(target).cast("long").alias("words"))
+    return sources.select("k", "source_size", target.alias("target"))
 
 
 def _layout(sizes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -71,69 +75,82 @@ def _layout(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.select("doc_id", "k", "size", "th", "copy", "source_size", "target", (F.col("offset") + F.col("inside")).alias("start"))
 
 
-def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
-    """slot, k, block and stop: the stream place before which the slot ends. Slots above the points' are last."""
-    sources = sources.filter("words > 0").withColumns(
-        {
-            "blocks": F.expr(f"(source_size + {block - 1}) div {block}"),
-            "cycles": F.expr("words div source_size"),
-            "rest": F.expr("words % source_size"),
-        }
-    )
-    sources = sources.withColumn("need", F.expr(f"cycles * blocks + (rest + {block - 1}) div {block}"))
-    below = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum("words").over(below) / F.sum("words").over(Window.partitionBy())
-    cells = sources.withColumn("hi", upto).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("k")), F.lit(0.0)))
-    cells = cells.select("k", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
-    total = sources.agg(F.sum("words")).first()[0] or 0
-    points = sources.sparkSession.range((total + block - 1) // block).withColumn("u", (F.col("id") * PHI) % 1.0)
-    points = points.withColumn("cell", F.floor(F.col("u") * CELLS)).join(cells, "cell").filter("u >= lo AND u < hi")
-    points = points.select("id", "k", F.expr(f"id div {CHUNK}").alias("chunk"))
+def _point(slot: Column) -> Column:
+    """slot * GOLDEN modulo UNIT, in two halves that don't overflow."""
+    half = 1 << 16
+    high = (F.floor(slot / half) % half * GOLDEN) % UNIT
+    return (high * half + slot % half * GOLDEN) % UNIT
+
+
+def schedule(sources: DataFrame, block: int, most: int = MOST) -> DataFrame:
+    """slot, k, r (the source's how manieth slot it is) and block: all slots of the mix that a source may take.
+
+    sources: k, source_size and target. need: the slots that take a source's target, in blocks; places: of all.
+    """
+    sources = sources.filter("source_size > 0").withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
+    sources = sources.withColumn("need", F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5)).filter("need > 0")
+    places = F.sum("need").over(Window.partitionBy())
+    upto = F.sum("need").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) / places
+    cells = sources.withColumn("hi", upto * F.lit(float(UNIT))).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("k")), F.lit(0.0)))
+    each = UNIT // CELLS
+    cells = cells.select("k", "blocks", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / each), F.least(F.floor(F.col("hi") / each), F.lit(CELLS - 1)))).alias("cell"))
+    points = sources.sparkSession.range(sources.agg(F.sum("need")).first()[0] or 0).withColumn("u", _point(F.col("id")))
+    points = points.withColumn("cell", F.floor(F.col("u") / each)).join(F.broadcast(cells), "cell").filter("u >= lo AND u < hi")  # a row for each cell, and a few for each source
+    points = points.select("id", "k", "blocks", F.expr(f"id div {CHUNK}").alias("chunk"))
     counts = points.groupBy("k", "chunk").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    counts = counts.select("k", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     rank = F.row_number().over(Window.partitionBy("k", "chunk").orderBy("id")) - 1
-    ranked = points.withColumn("rank", rank).join(counts.select("k", "chunk", "offset"), ["k", "chunk"])
-    ranked = ranked.select("k", F.col("id").alias("slot"), (F.col("rank") + F.col("offset")).alias("r"))
-    given = counts.groupBy("k").agg(F.sum("n").alias("given"))
-    short = sources.join(given, "k", "left").withColumn("given", F.coalesce("given", F.lit(0))).filter("given < need")
-    short = short.select("k", F.lit(None).cast("long").alias("slot"), F.explode(F.sequence("given", F.col("need") - 1)).alias("r"))
-    slots = ranked.unionByName(short).join(sources.select("k", "blocks", "cycles", "rest", "need", "source_size"), "k").filter("r < need")
-    stop = F.when(F.expr("r div blocks < cycles"), F.col("source_size")).otherwise(F.col("rest"))
-    return slots.select("slot", "k", F.expr("r % blocks").alias("block"), stop.alias("stop"))
-
-
-def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """Each row's doc_id, k, size, th, copy, source_size, target and taken (words that the mix takes)."""
+    ranked = points.withColumn("rank", rank).join(counts, ["k", "chunk"]).withColumn("r", F.col("rank") + F.col("offset"))
+    return ranked.filter(F.col("r") < most * F.col("blocks")).select(F.col("id").alias("slot"), "k", "r", (F.col("r") % F.col("blocks")).alias("block"))
+
+
+def block_words(sources: DataFrame) -> int:
+    """The words of a block: MAX_BLOCK, or the LEAST_SLOTS-th part of all if that is less."""
+    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    return max(1, min(MAX_BLOCK, total // LEAST_SLOTS))
+
+
+def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int | None = None, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """Each row's doc_id, k, size, th, copy, source_size, target, taken (words that the mix takes) and slots: those that
+    take its first word, in order; empty if none does."""
     sizes = cut(_sizes(docs, doc_id, text, source))
     sources = cut(targets(sizes, weights, most))
-    layout = _layout(sizes, sources)
+    block = block or block_words(sources)
+    layout = cut(_layout(sizes, sources))
     pieces = layout.filter("size > 0").select("k", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
-    pieces = pieces.withColumn("from", F.greatest("start", F.col("block") * block)).withColumn("to", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block))
-    played = pieces.join(schedule(sources, block), ["k", "block"]).withColumn("n", F.least("to", "stop") - F.col("from")).filter("n > 0")
-    taken = played.groupBy("k", "start").agg(F.sum("n").alias("taken")).withColumn("has", F.lit(True))
+    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
+    pieces = pieces.withColumns({"n": words, "first": F.col("start") >= F.col("block") * block})
+    played = pieces.join(schedule(sources, block, most), ["k", "block"])
+    slots = F.array_sort(F.collect_list(F.when(F.col("first"), F.col("slot"))))  # at most `most`
+    taken = played.groupBy("k", "start").agg(F.sum("n").alias("taken"), slots.alias("slots")).withColumn("has", F.lit(True))
     rows = layout.withColumn("has", F.col("size") > 0).join(taken, ["k", "start", "has"], "left")
-    return rows.select("doc_id", "k", "size", "th", "copy", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    slots = F.coalesce("slots", F.array().cast("array<bigint>"))
+    return rows.select("doc_id", "k", "size", "th", "copy", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), slots.alias("slots"))
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", chars: str | None = None, **options) -> DataFrame:
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", chars: str | None = None, slot: str | None = None, **options) -> DataFrame:
     """The mix itself, with the columns of docs: each text as often as it is taken whole, and the first words
-    of a text that is taken in part; `chars` names a column to hold the length of the text."""
-    key = ["__doc", "__k", "__size", "__th", "__copy"]
+    of a text that is taken in part; `chars` names a column to hold the length of the text, `slot` a new column for the
+    place in the schedule at which the text begins: sorted by it, the table is the mix in its order."""
+    helpers = fresh(docs, "_id", "_k", "_size", "_th", "_copy", "_taken", "_slots", "_out")
+    key, (taken, slots, out) = helpers[:5], helpers[5:]
     plan = mixture(docs, doc_id, text, source, **options).filter("taken > 0")
-    plan = plan.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) if c == "doc_id" else F.col(c).alias(k) for c, k in zip(("doc_id", "k", "size", "th", "copy"), key)], F.col("taken").alias("__taken"))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    plan = plan.select(own.alias(key[0]), *[F.col(c).alias(k) for c, k in zip(("k", "size", "th", "copy", "taken", "slots"), (*key[1:], taken, slots))])
     rows = docs.withColumns(
         {
-            "__doc": F.coalesce(F.col(doc_id).cast("string"), F.lit("")),
-            "__k": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")),
-            "__size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"),
-            "__th": F.xxhash64(text),
+            key[0]: F.coalesce(F.col(doc_id).cast("string"), F.lit("")),
+            key[1]: F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")),
+            key[2]: F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"),
+            key[3]: F.xxhash64(text),
         }
     )
-    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy(*key[:4]).orderBy(F.lit(0)))).join(plan, key)
-    whole, rest = F.expr("__taken div __size").cast("int"), (F.col("__taken") % F.col("__size")).cast("int")
+    rows = rows.withColumn(key[4], F.row_number().over(Window.partitionBy(*key[:4]).orderBy(F.lit(0)))).join(plan, key)
+    whole, rest = F.expr(f"`{taken}` div `{key[2]}`").cast("int"), (F.col(taken) % F.col(key[2])).cast("int")
     head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, rest), " ")
-    rows = rows.withColumn("__out", F.explode(F.concat(F.array_repeat(F.col(text), whole), F.when(rest > 0, F.array(head)).otherwise(F.array().cast("array<string>")))))
+    texts = F.concat(F.array_repeat(F.col(text), whole), F.when(rest > 0, F.array(head)).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn(out, F.explode(F.arrays_zip(texts.alias("text"), F.slice(slots, 1, whole + F.when(rest > 0, 1).otherwise(0)).alias("slot"))))
     kinds = dict(docs.dtypes)
-    new = {text: F.col("__out")} | ({chars: F.char_length("__out").cast(kinds[chars])} if chars else {})
-    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    new = {text: F.col(f"{out}.text")} | ({chars: F.char_length(F.col(f"{out}.text")).cast(kinds[chars])} if chars else {}) | ({slot: F.col(f"{out}.slot")} if slot else {})
+    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in dict.fromkeys([*docs.columns, *([slot] if slot else [])])])

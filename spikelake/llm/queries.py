@@ -40,7 +40,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixture(read(spark, sf_dir, "documents"))
-    return mix.select("doc_id", "size", "source_size", "target", "taken")
+    return mix.select("doc_id", "size", "source_size", "target", "taken", F.get("slots", F.lit(0)).alias("first_slot"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,14 +115,36 @@ WITH sizes AS (
   SELECT max(level) AS level FROM ordered WHERE level * weight <= cap
 ), targets AS (
   SELECT source, source_size, least(cap::DOUBLE, found.level * weight) AS target FROM ordered, found
+), block AS (
+  SELECT greatest(1, least(1024, sum(source_size)::BIGINT // 65536))::BIGINT AS words FROM sources
+), needs AS (
+  SELECT source, source_size, target, (source_size + words - 1) // words AS blocks,
+    floor(target * ((source_size + words - 1) // words) / source_size + 0.5)::BIGINT AS need
+  FROM targets, block WHERE source_size > 0
+), cells AS (
+  SELECT source, blocks, hi, coalesce(lag(hi) OVER (ORDER BY source NULLS LAST), 0) AS lo FROM (
+    SELECT *, (sum(need) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING))::DOUBLE / (sum(need) OVER ())::DOUBLE * 4294967296::DOUBLE AS hi FROM needs WHERE need > 0)
+), points AS (
+  SELECT slot, (((slot // 65536) % 65536 * 2654435769) % 4294967296 * 65536 + slot % 65536 * 2654435769) % 4294967296 AS u
+  FROM (SELECT unnest(range((SELECT sum(need)::BIGINT FROM needs))) AS slot)
+), slots AS (
+  SELECT source, slot, r, r % blocks AS block FROM (
+    SELECT c.source, c.blocks, p.slot, row_number() OVER (PARTITION BY c.source ORDER BY p.slot) - 1 AS r
+    FROM points p JOIN cells c ON p.u >= c.lo AND p.u < c.hi)
+  WHERE r < 3 * blocks
 ), laid AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, round(t.target)::BIGINT AS words,
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
     coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(s.doc_id::VARCHAR), s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), pieces AS (
+  SELECT doc_id, source, start, size, words, unnest(range(start // words, (start + size - 1) // words + 1)) AS block FROM laid, block WHERE size > 0
+), played AS (
+  SELECT p.doc_id, sum(least(p.start + p.size, (p.block + 1) * p.words) - greatest(p.start, p.block * p.words))::BIGINT AS taken,
+    min(CASE WHEN p.start >= p.block * p.words THEN s.slot END) AS first_slot
+  FROM pieces p JOIN slots s ON p.source IS NOT DISTINCT FROM s.source AND p.block = s.block GROUP BY p.doc_id
 )
-SELECT doc_id, size, source_size, target,
-  (CASE WHEN source_size = 0 THEN 0 ELSE words // source_size * size + greatest(0, least(size, words % source_size - start)) END)::BIGINT AS taken
-FROM laid
+SELECT l.doc_id, l.size, l.source_size, l.target, coalesce(p.taken, 0)::BIGINT AS taken, p.first_slot
+FROM laid l LEFT JOIN played p ON l.doc_id = p.doc_id
 """,
     "op6_exact_dedup": """
 WITH rows AS (
