@@ -2,12 +2,13 @@
 
 Counts of each text are made in Arrow batches. Their ratios go into quantile sketches: counts of
 logarithmic bins with a relative error of 1 %, which merge by addition and don't depend on the order of the
-rows. A ratio far outside the quartiles of its language and source rejects a document; where a source has
-few documents of a language, the sketches of all its sources are merged.
+rows. A ratio far outside the quartiles of its language and source rejects a document. The limits of a source's n
+documents of a language weigh n against PRIOR for those of all sources' merged sketches of that language.
 
 A null text has no words and fails the base rules, as an empty one does. Null languages and sources are
-groups of their own. Repeated rows count each and get equal verdicts. An empty table gives an empty table.
-Only the named columns are read; `filtered` keeps all columns.
+groups of their own. Values that tie fall into one bin, and a value at a limit is kept. Very long texts are read whole,
+in time that grows with their length. Repeated rows count each and get equal verdicts. An empty table gives an empty
+table. Only the named columns are read; `filtered` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hash_words, slices, windows
+from .common import cut, fresh, hash_words, slices, windows
 
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT = 20, 8, 30
 SYMBOLS = "#*$%&|<>"
-#: log of the ratio of neighbouring bins; the bin of zero; documents below which a group takes its language's sketch.
-STEP, ZERO, FEW = float(np.log(1.02)), -100_000, 50
+#: log of the ratio of neighbouring bins; the bin of zero; documents that the limits of a language weigh.
+STEP, ZERO, PRIOR = float(np.log(1.02)), -100_000, 50
 #: For each ratio: whether low values count too, and what lies between the fence and a rejection at least.
 RATIOS = {"word_length": (True, 1.0), "symbols": (False, 0.2), "dup_lines": (False, 0.5), "repeats": (False, 0.3), "stutter": (False, 0.2), "capitals": (False, 0.2)}
 FENCE = 3.0
@@ -113,7 +114,7 @@ def thresholds(rows: DataFrame) -> DataFrame:
     names = [f"{x}_{r}" for r in RATIOS for x in ("low", "high")]
     lang = wide_rows.filter("NOT own").select(F.col("lang").alias("l"), *[F.col(c).alias(f"l_{c}") for c in names])
     joined = own.join(lang, own.lang.eqNullSafe(lang.l))
-    pick = [F.when(F.col("all") < FEW, F.col(f"l_{c}")).otherwise(F.col(c)).alias(c) for c in names]
+    pick = [((F.col("all") * F.col(c) + PRIOR * F.col(f"l_{c}")) / (F.col("all") + PRIOR)).alias(c) for c in names]
     return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *pick)
 
 
@@ -132,5 +133,6 @@ def judged(docs: DataFrame, **columns: str) -> DataFrame:
 def filtered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of docs that are kept."""
     gone = judged(docs, doc_id=doc_id, text=text, lang=lang, source=source).filter("NOT kept").select("k")
-    rows = docs.withColumn("__k", F.xxhash64(doc_id, lang, source, text))
-    return rows.join(gone.withColumnRenamed("k", "__k"), "__k", "left_anti").select(*docs.columns)
+    (key,) = fresh(docs, "_key")
+    rows = docs.withColumn(key, F.xxhash64(doc_id, lang, source, text))
+    return rows.join(gone.withColumnRenamed("k", key), key, "left_anti").select(*docs.columns)
