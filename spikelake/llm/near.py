@@ -10,8 +10,8 @@ members that are still apart from their bucket's other members are compared furt
 near copies costs a few comparisons for each member. What remains is bounded exactly: two texts can't share more
 shingles than each shares with any text at all.
 
-Repeated rows are one node. A null id is never a component's id, unless all its ids are null. Ties between
-leaders go to the smallest hash. An empty table gives an empty table. Only the two named columns are read.
+Very long texts are hashed in parts of ELEMENTS and verified whole. Repeated rows are one node. A null id is never a component's id, unless all its ids are null. Ties between
+leaders go to the smallest hash. An empty table gives an empty table. Only the two named columns are read; `deduplicated` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hash_words, mix, slices, table, windows
+from .common import cut, fresh, hash_words, joined, mix, slices, tables, windows
 
 WIDTH, PERCENT = 5, 75
 #: With 40 bands of 5 rows a link at exactly 0.75 is missed once in 50,000, one at 0.8 once in 8 million.
@@ -148,21 +148,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Union-find in each partition, then large-star and small-star rounds until nothing changes.
     """
-    edges = cut(forest(edges).distinct())
-    n = edges.count() // PACKED + 1  # partitions that the edges, which get fewer, are packed into
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(n)
-        large = both.filter("b > a").join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(n)
-        least = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(n)
-        rest = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(rest.coalesce(n).unionByName(least.select("a", F.col("m").alias("b"))).distinct().coalesce(n))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+    with tables(edges.sparkSession) as keep:
+        edges = keep(forest(edges).distinct())
+        n = edges.count() // PACKED + 1  # partitions that the edges, which get fewer, are packed into
+        before = None
+        while True:
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = keep(both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("c")).select("a", F.least("a", "m").alias("m"), "c").coalesce(n))
+            large = joined(both.filter("b > a"), least, ["a"], "c").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(n)
+            large = keep(large.distinct().coalesce(n))
+            least = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(n)
+            rest = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            edges = keep(rest.coalesce(n).unionByName(least.select("a", F.col("m").alias("b"))).distinct().coalesce(n))
+            now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+            if now == before:
+                break
+            before = now
+        return cut(edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -187,9 +189,9 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: in
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, rows: int = ROWS, n_bands: int = BANDS) -> DataFrame:
     """doc_id, th, n_shingles, component_id and kept (doc_id = component_id) of each row."""
-    found = _labelled(docs, doc_id, text, width, percent, rows, n_bands)
-    ids = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    found = found.join(ids, "comp", "left")
+    found = cut(_labelled(docs, doc_id, text, width, percent, rows, n_bands))
+    ids = cut(found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")))
+    found = joined(found, ids, ["comp"], "c")
     component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     found = found.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
@@ -200,57 +202,59 @@ def _labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     marks = cut(signed(docs, doc_id, text, width, rows, n_bands))
     nodes = marks.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.min("n").alias("n"), F.min_by("bands", F.struct("doc_id", "th")).alias("bands"))
     members = nodes.select("node", "n", F.explode("bands").alias("key"))
-    leaders = members.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").drop("last")
-    shared = cut(members.join(leaders, "key"))
+    leaders = cut(members.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count(F.lit(1)).alias("c")).filter("lead < last").drop("last"))
+    shared = cut(joined(members, leaders, ["key"], "c").filter("lead IS NOT NULL"))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     pairs = shared.filter("lead < node").groupBy(F.col("lead").alias("a"), F.col("node").alias("b"), "n").agg(F.count(F.lit(1)).alias("times"))
     pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("m")), "a").filter(fits(F.col("n"), F.col("m")))
     pairs = cut(pairs.select("a", "b", "times"))
     wanted = shared.select("node").distinct().join(nodes.select("node", "of.doc_id", "of.th"), "node")
     own = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    texts = table(own.join(wanted, own.d.eqNullSafe(wanted.doc_id) & (own.t == wanted.th)).select("node", "text"))
-
-    # First each member with the leader of most of its bands, then what is still apart with its other leaders.
-    first = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
-    edges = cut(verified(first, texts, width, percent))
-    comps = cut(components(edges))
-    again = cut(_apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), comps))
-    edges, comps = _extended(edges, comps, again, texts, width, percent)
-
-    # Then members of one bucket that are apart from each other, if the shingles they have in common with any
-    # other such member can be enough: first with the bucket's member that has most of these.
-    placed = _open(shared.filter("node <> lead").select("key", "node", "n"), comps)
-    if not placed.isEmpty():
-        enough = lambda u, n, m: (100 + percent) * u >= percent * (n + m)
-        common = cut(_common(texts.join(placed.select("node").distinct(), "node", "left_semi"), width))
-        counts = cut(common.groupBy("node").agg(F.count(F.lit(1)).alias("u")).coalesce(8))
-        placed = placed.drop("comp").join(counts, "node").filter(100 * F.col("u") >= percent * F.col("n"))
-        placed = _led(_open(placed, comps), comps)
-        near = placed.filter(fits(F.col("n"), F.col("lead_n")) & enough(F.least("u", "lead_u"), F.col("n"), F.col("lead_n")))
-        near = cut(_apart(near.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), comps).join(pairs, ["a", "b"], "left_anti"))
-        edges, comps = _extended(edges, comps, near, texts, width, percent)
-        # Two members that are apart aren't both in their bucket's largest component; and they are similar only if they
-        # share one of the rarest shingles of each, for the others are one too few. What stands before and after a shared
-        # shingle in this order bounds what they share in all.
-        placed = _open(placed.select("key", "node", "n", "u"), comps)
-        main = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"))
-        low = placed.groupBy("key").agg(F.min("n").alias("low"))
-        least = F.greatest("low", F.ceil(F.col("n") * percent / 100))
-        need = F.ceil((F.col("n") + least) * percent / (100 + percent))
-        needs = placed.join(main, "key").join(low, "key").groupBy("node", "n", "u", "comp").agg(F.min(need).alias("need"), F.max(F.col("comp") != F.col("main.comp")).alias("outer"))
-        rank = F.row_number().over(Window.partitionBy("node").orderBy("c", "h"))
-        rare = cut(common.join(needs, "node").withColumn("rank", rank).filter(F.col("rank") <= F.col("u") - F.col("need") + 1))
-        x, y = (rare.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "u", "comp", "outer", "rank")]) for side in "xy")
-        bound = F.least("rank_x", "rank_y") + F.least(F.col("u_x") - F.col("rank_x"), F.col("u_y") - F.col("rank_y"))
-        once = F.col("outer_x") & (~F.col("outer_y") | (F.col("node_x") < F.col("node_y")))
-        cross = x.filter("outer_x").join(y, "h").filter(once & (F.col("comp_x") != F.col("comp_y")) & fits(F.col("n_x"), F.col("n_y")) & enough(bound, F.col("n_x"), F.col("n_y")))
-        cross = cross.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-        for seen in (pairs, near):
-            cross = cross.join(seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        edges, comps = _extended(edges, comps, cut(cross), texts, width, percent)
-
-    label = F.coalesce("comp", "node")
-    return marks.select("doc_id", "th", "n", "node").join(comps, "node", "left").select("doc_id", "th", "n", label.alias("comp"))
+    with tables(docs.sparkSession) as keep:
+        texts = keep(own.join(wanted, own.d.eqNullSafe(wanted.doc_id) & (own.t == wanted.th)).select("node", "text"))
+
+        # First each member with the leader of most of its bands, then what is still apart with its other leaders.
+        first = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
+        edges = cut(verified(first, texts, width, percent))
+        comps = components(edges)
+        again = cut(_apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), comps))
+        edges, comps = _extended(edges, comps, again, texts, width, percent)
+
+        # Then members of one bucket that are apart from each other, if the shingles they have in common with any
+        # other such member can be enough: first with the bucket's member that has most of these.
+        placed = _open(shared.filter("node <> lead").select("key", "node", "n"), comps)
+        if not placed.isEmpty():
+            enough = lambda u, n, m: (100 + percent) * u >= percent * (n + m)
+            common = cut(_common(texts.join(placed.select("node").distinct(), "node", "left_semi"), width))
+            counts = cut(common.groupBy("node").agg(F.count(F.lit(1)).alias("u")).coalesce(8))
+            placed = placed.drop("comp").join(counts, "node").filter(100 * F.col("u") >= percent * F.col("n"))
+            placed = _led(_open(placed, comps), comps)
+            near = placed.filter(fits(F.col("n"), F.col("lead_n")) & enough(F.least("u", "lead_u"), F.col("n"), F.col("lead_n")))
+            near = cut(_apart(near.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), comps).join(pairs, ["a", "b"], "left_anti"))
+            edges, comps = _extended(edges, comps, near, texts, width, percent)
+            # Two members that are apart aren't both in their bucket's largest component; and they are similar only if they
+            # share one of the rarest shingles of each, for the others are one too few. What stands before and after a shared
+            # shingle in this order bounds what they share in all.
+            placed = _open(placed.select("key", "node", "n", "u"), comps)
+            main = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"))
+            low = placed.groupBy("key").agg(F.min("n").alias("low"))
+            least = F.greatest("low", F.ceil(F.col("n") * percent / 100))
+            need = F.ceil((F.col("n") + least) * percent / (100 + percent))
+            needs = placed.join(main, "key").join(low, "key").groupBy("node", "n", "u", "comp").agg(F.min(need).alias("need"), F.max(F.col("comp") != F.col("main.comp")).alias("outer"))
+            rank = F.row_number().over(Window.partitionBy("node").orderBy("c", "h"))
+            rare = cut(common.join(needs, "node").withColumn("rank", rank).filter(F.col("rank") <= F.col("u") - F.col("need") + 1))
+            x, y = (rare.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "u", "comp", "outer", "rank")]) for side in "xy")
+            bound = F.least("rank_x", "rank_y") + F.least(F.col("u_x") - F.col("rank_x"), F.col("u_y") - F.col("rank_y"))
+            once = F.col("outer_x") & (~F.col("outer_y") | (F.col("node_x") < F.col("node_y")))
+            cross = x.filter("outer_x").join(y, "h").filter(once & (F.col("comp_x") != F.col("comp_y")) & fits(F.col("n_x"), F.col("n_y")) & enough(bound, F.col("n_x"), F.col("n_y")))
+            cross = cross.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+            for seen in (pairs, near):
+                cross = cross.join(seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+            edges, comps = _extended(edges, comps, cut(cross), texts, width, percent)
+
+    copies = marks.filter("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+    labels = cut(copies.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "c"))
+    return joined(marks.select("doc_id", "th", "n", "node"), labels, ["node"], "c").select("doc_id", "th", "n", "comp")
 
 
 def _open(placed: DataFrame, comps: DataFrame) -> DataFrame:
@@ -294,7 +298,7 @@ def _extended(edges: DataFrame, comps: DataFrame, pairs: DataFrame, texts: DataF
     if more.isEmpty():
         return edges, comps
     edges = edges.unionByName(more)
-    return edges, cut(components(edges))
+    return edges, components(edges)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -304,11 +308,12 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     both the smallest in all columns.
     """
     found = cut(_labelled(docs, doc_id, text, **options).filter("comp IS NOT NULL").groupBy("doc_id", "th", "comp").agg(F.count(F.lit(1)).alias("copies")))
-    best = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best"))
+    best = cut(found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best"), F.count(F.lit(1)).alias("c")))
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th"))
-    marked = cut(found.join(best, "comp").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), (stays & (F.col("copies") > 1)).alias("again"), (stays & (F.col("copies") == 1)).alias("alone")))
-    rows = docs.withColumns({"__d": F.col(doc_id), "__t": F.xxhash64(text)})
-    same = lambda x: rows["__d"].eqNullSafe(x["__d"]) & (rows["__t"] == x["__t"])
+    d, t, row = fresh(docs, "_doc", "_text", "_row")
+    marked = cut(joined(found, best, ["comp"], "c").select(F.col("doc_id").alias(d), F.col("th").alias(t), (stays & (F.col("copies") > 1)).alias("again"), (stays & (F.col("copies") == 1)).alias("alone")))
+    rows = docs.withColumns({d: F.col(doc_id), t: F.xxhash64(text)})
+    same = lambda x: rows[d].eqNullSafe(x[d]) & (rows[t] == x[t])
     gone, again = marked.filter("NOT alone"), marked.filter("again")
-    repeated = rows.join(again, same(again), "left_semi").groupBy("__d", "__t").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return rows.join(gone, same(gone), "left_anti").select(*docs.columns).unionByName(repeated.select("row.*"))
+    repeated = rows.join(again, same(again), "left_semi").groupBy(d, t).agg(F.min(F.struct(*docs.columns)).alias(row))
+    return rows.join(gone, same(gone), "left_anti").select(*docs.columns).unionByName(repeated.select(f"{row}.*"))
