@@ -5,9 +5,10 @@ obfuscation. One lexicon is fixed; another is learned from labelled texts: words
 toxic texts hold far more often. The labelled sample is bounded (SAMPLE rows, those of the smallest hash)
 and split by hash: one part for the lexicon, one for the trees, one for the calibration.
 
-A null or empty text gets the score of a text without words. Labels that are null are left out; of several
-labels of an id the largest counts. With no labels of both kinds each score is 0. Repeated rows are scored
-each. An empty table gives an empty table. Only the named columns are read.
+A null or empty text gets the score of a text without words. Very long texts are read whole, in time that grows with
+their length. Labels that are null are left out; of several labels of an id the largest counts. Documents whose
+features tie get equal scores. With no labels of both kinds each score is 0. Repeated rows are scored each. An empty
+table gives an empty table. Only the named columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import slices
 from .trees import Isotonic, Trees, boosted
 
-#: Labelled rows that are used at most, and terms of the learned lexicon at most.
-SAMPLE, TERMS = 12_000, 4_000
+#: Labelled rows that are used at most.
+SAMPLE = 12_000
 #: A term is learned if so many toxic texts hold it, and if it is e**ODDS times as frequent in them.
 LEAST, ODDS = 5, 3.0
 BEGIN = (4, 5)
@@ -112,8 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     sizes = {r.y: r.n for r in own.filter("pmod(place, 6) < 3").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     counted = _counted(rows.filter("part < 3").select("text", "y"))
     odds = F.log((F.col("toxic") + 0.5) / (sizes.get(1, 0) + 1)) - F.log((F.col("clean") + 0.5) / (sizes.get(0, 0) + 1))
-    learned = counted.filter(F.col("toxic") >= LEAST).withColumn("odds", odds).filter(F.col("odds") >= ODDS).orderBy(F.desc("odds"), "term").limit(TERMS)
-    lexicon = {r.term: r.odds for r in learned.select("term", "odds").collect()}
+    learned = counted.filter(F.col("toxic") >= LEAST).withColumn("odds", odds).filter(F.col("odds") >= ODDS)
+    lexicon = {r.term: r.odds for r in learned.select("term", "odds").orderBy("term").collect()}  # of `sample` rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
