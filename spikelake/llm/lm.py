@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoding
-from .common import cut, hash_words, mix, slices, table
+from .common import cut, hash_words, mix, slices, tables
 
 LENGTH, STRIDE = 32, 24
 #: Digits and their base: BASE ** 3 covers the ids and the end.
@@ -144,11 +144,6 @@ def _count_rows(kind: int, hashes: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), kind, np.int32)), pa.array(hashes.view(np.int64)), pa.array(c, pa.int64())], names=["kind", "hash", "c"])
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(-1, keepdims=True))
-    return x / x.sum(-1, keepdims=True)
-
-
 def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """The sum of the rows for each of n places."""
     wide = rows.shape[1]
@@ -254,35 +249,46 @@ class Model:
         x, q, k, v, a, o, h, f, g = self.hidden(r)
         t = target.ravel()
         logits, digits = self.logits(flat(g), t)
-        weight = (real.ravel() / real.sum()).astype(np.float32)[:, None]
+        weight = (real.ravel() / real.sum()).astype(np.float32)
+        rows = np.arange(len(t))
         d = []
         for y, digit in zip(logits, digits[1:]):
-            y = _softmax(y)
-            y[np.arange(len(t)), digit] -= 1
-            d.append(y * weight)
-        g2 = flat(g) + w["A"][digits[0]]
-        out = {"U1": flat(g).T @ d[2], "U2": g2.T @ d[0], "U3": (g2 + w["C"][digits[1]]).T @ d[1]}
-        dg3 = d[1] @ w["U3"].T
-        dg2 = dg3 + d[0] @ w["U2"].T
-        dg = (dg2 + d[2] @ w["U1"].T).reshape(g.shape) * (np.abs(g) < BOUND)
-        for name, digit, grad in (("A", digits[0], dg2), ("C", digits[1], dg3)):
-            out[name] = _summed(digit, grad, BASE)
-        out["W2"] = flat(f).T @ flat(dg)
-        df = (dg @ w["W2"].T) * (f > 0)
-        out["W1"], out["c1"] = flat(h).T @ flat(df), flat(df).sum(0)
-        dh = dg + df @ w["W1"].T
-        out["O"] = flat(o).T @ flat(dh)
-        do = dh @ w["O"].T
-        a = a / a.sum(-1, keepdims=True)
-        da, dv = do @ v[..., :WIDE].transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        dq, dk = ds @ k * np.float32(WIDE**-0.5), ds.transpose(0, 2, 1) @ q
-        dx = dh.copy()
-        for name, grad in (("Q", dq), ("K", dk), ("V", dv)):
-            out[name] = flat(x).T @ flat(grad)
-            dx += grad @ w[name].T
-        out["P"] = dx.sum(0)
-        out["E"] = _summed(np.minimum(r, EMBEDDED - 1).ravel(), flat(dx), EMBEDDED)
+            np.exp(y, out=y)  # bounded by LIMIT and BOUND
+            y *= (weight / (y @ np.ones(BASE, y.dtype)))[:, None]
+            y[rows, digit] -= weight
+            d.append(y)
+        g2 = w["A"][digits[0]]
+        g2 += flat(g)
+        g3 = w["C"][digits[1]]
+        g3 += g2
+        out = {"U1": flat(g).T @ d[2], "U2": g2.T @ d[0], "U3": g3.T @ d[1]}
+        dg = d[1] @ w["U3"].T
+        out["C"] = _summed(digits[1], dg, BASE)
+        dg += d[0] @ w["U2"].T
+        out["A"] = _summed(digits[0], dg, BASE)
+        dg += d[2] @ w["U1"].T
+        dg *= np.abs(flat(g)) < BOUND
+        out["W2"] = flat(f).T @ dg
+        df = dg @ w["W2"].T
+        df *= flat(f) > 0
+        out["W1"], out["c1"] = flat(h).T @ df, np.ones(len(df), df.dtype) @ df
+        dg += df @ w["W1"].T
+        out["O"] = flat(o).T @ dg
+        do = (dg @ w["O"].T).reshape(o.shape)
+        a /= (a @ np.ones(LENGTH, a.dtype))[..., None]
+        ds = do @ v[..., :WIDE].transpose(0, 2, 1)
+        ds -= np.einsum("bid,bid->bi", do, o)[..., None]
+        ds *= a
+        three = np.empty((len(t), 3 * WIDE), dg.dtype)
+        each = three.reshape(*o.shape[:2], 3 * WIDE)
+        np.matmul(ds, k, out=each[..., :WIDE])
+        each[..., :WIDE] *= np.float32(WIDE**-0.5)
+        np.matmul(ds.transpose(0, 2, 1), q, out=each[..., WIDE : 2 * WIDE])
+        np.matmul(a.transpose(0, 2, 1), do, out=each[..., 2 * WIDE :])
+        out["Q"], out["K"], out["V"] = np.split(flat(x).T @ three, 3, axis=1)
+        dg += three @ np.concatenate([w["Q"], w["K"], w["V"]], 1).T
+        out["P"] = dg.reshape(x.shape).sum(0)
+        out["E"] = _summed(np.minimum(r, EMBEDDED - 1).ravel(), dg, EMBEDDED)
         return out
 
     def train(self, windows: np.ndarray, steps: int = STEPS, seed: int = 4, done: float = 0.0, upto: float = 1.0) -> Model:
@@ -369,7 +375,7 @@ def unpacked(windows: list[bytes]) -> np.ndarray:
 def learnt(model: Model, docs: DataFrame, ids: np.ndarray, steps: int = STEPS, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Train the model on all windows of the rows, whose ids are counted in ids; a shard takes steps / ROUNDS steps at least."""
     shards = int(ids.sum() // (LENGTH * SHARD * ROUNDS)) + 1
-    data, context = table(windowed(docs, shards, doc_id, text)), docs.sparkSession.sparkContext
+    context = docs.sparkSession.sparkContext
     each = -(-steps // ROUNDS)
 
     def summed(batches: Iterator[pa.RecordBatch], f) -> Iterator[pa.RecordBatch]:
@@ -380,18 +386,20 @@ def learnt(model: Model, docs: DataFrame, ids: np.ndarray, steps: int = STEPS, d
         if isinstance(total, np.ndarray):
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
-    for k in range(ROUNDS):
-        shared = context.broadcast(model)  # bounded: the weights and IDS ranks
+    with tables(docs.sparkSession) as keep:
+        data = keep(windowed(docs, shards, doc_id, text))
+        for k in range(ROUNDS):
+            shared = context.broadcast(model)  # bounded: the weights and IDS ranks
 
-        def one(windows: pa.ListScalar, shared=shared, k=k) -> np.ndarray:
-            return shared.value.change(unpacked(windows.as_py()), each, k / ROUNDS, (k + 1) / ROUNDS)
+            def one(windows: pa.ListScalar, shared=shared, k=k) -> np.ndarray:
+                return shared.value.change(unpacked(windows.as_py()), each, k / ROUNDS, (k + 1) / ROUNDS)
 
-        sums = data.filter(F.col("round") == k).select("windows").mapInArrow(lambda b, one=one: summed(b, one), "total binary")
-        sums = sums.repartition(16).mapInArrow(lambda b: summed(b, lambda x: np.frombuffer(x.as_py(), np.int64)), "total binary")
-        found = [np.frombuffer(r.total, np.int64) for r in sums.collect()]  # 16 rows of the weights' size at most
-        if found:
-            model.changed(np.sum(found, 0))
-        shared.unpersist()
+            sums = data.filter(F.col("round") == k).select("windows").mapInArrow(lambda b, one=one: summed(b, one), "total binary")
+            sums = sums.repartition(16).mapInArrow(lambda b: summed(b, lambda x: np.frombuffer(x.as_py(), np.int64)), "total binary")
+            found = [np.frombuffer(r.total, np.int64) for r in sums.collect()]  # 16 rows of the weights' size at most
+            if found:
+                model.changed(np.sum(found, 0))
+            shared.unpersist()
     return model
 
 
