@@ -6,7 +6,7 @@ import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns with the names that the operators use for their own.
-CLASHING = ["size", "words", "ids", "data", "node", "k", "part", "name", "n", "score", "copy", "taken", "pos", "line", "__copy"]
+CLASHING = ["size", "words", "ids", "data", "node", "k", "part", "name", "n", "score", "copy", "taken", "pos", "line", "h", "g", "first", "rows", "c", "comp", "best", "again", "_key", "_K", "_gone", "_lines", "_doc", "_text", "_row", "_id", "_size", "_th", "_copy", "_taken", "_slots", "_out", "_hot", "_part"]
 
 
 def prose(rng, n, words=None):

@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import math
 
 import pytest
 from conftest_rows import as_rows, lower, words
+from pyspark.sql import functions as F
 
 from spikelake.llm import exact, mixing
 
@@ -28,6 +30,14 @@ def test_exact_duplicates(awkward, block):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_exact_when_hashes_clash(awkward):
+    """Blocks of one hash get names of their own by content."""
+    docs = awkward.filter("doc_id IS NULL OR doc_id <> 14")
+    few = lambda part: F.pmod(F.xxhash64(part), F.lit(3))
+    same = lambda **x: sorted(map(str, exact.duplicates(docs, block=50, **x).collect()))
+    assert same(hashed=few) == same()
+
+
 def test_exact_empty_and_clashing(empty, clashing, awkward):
     assert exact.duplicates(empty).count() == 0
     assert sorted(map(str, exact.duplicates(clashing).collect())) == sorted(map(str, exact.duplicates(awkward).collect()))
@@ -52,21 +62,57 @@ def mixture(rows, weights=(1, 2, 3), most=3):
     return sizes, target | {s: level * weight[s] for s in free}
 
 
-@pytest.mark.parametrize("block", [16, 1024])
+def played(docs, sizes, target, block):
+    """Slot after slot: each takes the next block of the source in whose share of the unit interval its point lies."""
+    order = sorted((s for s in sizes if sizes[s]), key=lambda s: (s is not None, s or ""))  # "n" is before "s..."
+    blocks = {s: -(-sizes[s] // block) for s in order}
+    need = {s: math.floor(target[s] * blocks[s] / sizes[s] + 0.5) for s in order}
+    total, upto, edges = sum(need.values()), 0, []
+    for s in order:
+        low = upto / total * 2.0**32 if upto else 0.0
+        upto += need[s]
+        edges.append((s, low, upto / total * 2.0**32))
+    streams = {s: sorted((d for d in docs if d[1] == s), key=lambda d: (hashlib.md5(str("" if d[0] is None else d[0]).encode()).hexdigest(), d[0] or -1, d[2])) for s in order}
+    count, taken, slots = collections.Counter(), collections.Counter(), collections.defaultdict(list)
+    for i in range(total):
+        u = i * 2_654_435_769 % 2**32
+        s = next(s for s, low, high in edges if low <= u < high)
+        if count[s] >= 3 * blocks[s]:
+            continue
+        b, at = count[s] % blocks[s], 0
+        count[s] += 1
+        for d in streams[s]:
+            taken[s, d[0], d[2]] += max(0, min(at + d[2], (b + 1) * block) - max(at, b * block))
+            if d[2] and b * block <= at < (b + 1) * block:
+                slots[s, d[0], d[2]].append(i)
+            at += d[2]
+    return taken, slots
+
+
+@pytest.mark.parametrize("block", [None, 16, 300])
 def test_mixture(awkward, block):
-    rows = as_rows(awkward, "source", "text")
-    sizes, target = mixture([(s, len(words(t))) for s, t in rows])
-    got = mixing.mixture(awkward, block=block).collect()
+    rows = [(d, s, len(words(t))) for d, s, t in as_rows(awkward.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), "doc_id", "source", "text")]
+    docs = awkward.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    sizes, target = mixture([(s, n) for _, s, n in rows])
+    got = mixing.mixture(docs, block=block).collect()
     assert len(got) == len(rows)
-    taken = collections.Counter()
+    size = block or max(1, min(1024, sum(sizes.values()) // 65536))
+    taken, slots = played(rows, sizes, target, size)
+    total = collections.Counter()
     for r in got:
         source = None if r.k == "n" else r.k[1:]
         assert r.source_size == sizes[source] and r.target == pytest.approx(target[source])
-        assert 0 <= r.taken <= 3 * r.size
-        taken[source] += r.taken
+        assert r.taken == taken[source, r.doc_id, r.size] <= 3 * r.size and r.slots == slots[source, r.doc_id, r.size]
+        total[source] += r.taken
     for s in sizes:
-        assert abs(taken[s] - target[s]) <= 0.5, s
-    assert sorted(map(str, got)) == sorted(map(str, mixing.mixture(awkward.repartition(7), block=block).collect()))
+        assert abs(total[s] - target[s]) <= 3 * size, s
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mixture(docs.repartition(7), block=block).collect()))
+
+
+def test_mixture_of_awkward_rows(awkward):
+    got = mixing.mixture(awkward).collect()
+    assert len(got) == awkward.count() and all(0 <= r.taken <= 3 * r.size and len(r.slots) <= 3 for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mixture(awkward.repartition(7)).collect()))
 
 
 def test_targets_with_ties_and_caps(spark):
@@ -78,13 +124,20 @@ def test_targets_with_ties_and_caps(spark):
 
 
 def test_schedule_keeps_every_prefix_near_the_weights(spark):
-    sources = spark.createDataFrame([("a", 6000, 6000.0, 6000), ("b", 3000, 3000.0, 3000), ("c", 1000, 1000.0, 1000)], "k string, source_size long, target double, words long")
-    slots = sorted((r.slot, r.k) for r in mixing.schedule(sources, 10).collect() if r.slot is not None)
+    sources = spark.createDataFrame([("a", 6000, 6000.0), ("b", 3000, 3000.0), ("c", 1000, 1000.0)], "k string, source_size long, target double")
+    slots = sorted((r.slot, r.k) for r in mixing.schedule(sources, 10).collect())
+    assert len(slots) == 1000
     for n in range(50, len(slots), 50):
         share = collections.Counter(k for _, k in slots[:n])
         assert abs(share["a"] - 0.6 * n) < 5 and abs(share["b"] - 0.3 * n) < 5
 
 
+def test_points_don_t_overflow(spark):
+    ids = [0, 1, 65_535, 65_536, 2**32 - 1, 2**32, 10**12, 2**45 + 7]
+    got = spark.createDataFrame([(i,) for i in ids], "id long").select("id", mixing._point(F.col("id")).alias("u")).collect()
+    assert all(r.u == r.id * mixing.GOLDEN % mixing.UNIT for r in got)
+
+
 def test_mixed_texts(awkward, clashing, empty):
     plan = {(r.doc_id, r.k, r.size): 0 for r in mixing.mixture(awkward).collect()}
     for r in mixing.mixture(awkward).collect():
@@ -97,4 +150,7 @@ def test_mixed_texts(awkward, clashing, empty):
     for (d, k, _), n in plan.items():
         want[d, None if k == "n" else k[1:]] += n
     assert out == +want
+    own = [c for c in clashing.columns if c not in awkward.columns]
+    for row in mixing.mixed(clashing, slot="slot").select(*own, "slot").collect():
+        assert row.slot >= 0 and all(row[c] == f"own {c}" for c in own)
     assert mixing.mixed(clashing).columns == clashing.columns and mixing.mixed(empty).count() == 0 and mixing.mixture(empty).count() == 0

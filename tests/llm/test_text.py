@@ -1,5 +1,6 @@
 """Byte-level BPE, quality rules, personal data, secrets."""
 
+import math
 import random
 import re
 import time
@@ -59,7 +60,47 @@ def test_quality_rules(spark, awkward, clashing, empty):
     for r in rows:
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.kept and r.base_failed)
     assert len(rows) == awkward.count() and quality.judged(empty).count() == 0 and quality.filtered(empty).count() == 0
-    assert quality.filtered(clashing).columns == clashing.columns
+    own = [c for c in clashing.columns if c not in awkward.columns]
+    out = quality.filtered(clashing)
+    assert out.columns == clashing.columns and all(r[c] == f"own {c}" for r in out.select(*own).collect() for c in own)
+
+
+def plain_verdicts(rows):
+    """kept of each (doc_id, text, lang, source): quartiles of log bins, a source's limits weighed against its language's."""
+    found = {}
+    for d, text, lang, source in rows:
+        c = dict(zip(quality.COUNTS, quality.counts(text or "")))
+        n, lines = max(1, c["n_words"]), max(1, c["n_lines"])
+        found[d] = (lang, source, c, {"word_length": c["word_chars"] / n, "symbols": c["n_symbols"] / n, "dup_lines": c["n_dup_lines"] / lines, "repeats": c["n_repeat_words"] / n, "stutter": c["n_stutter"] / n, "capitals": c["n_capitals"] / max(1, c["word_chars"])})
+
+    def limits(values, ratio):
+        bins = sorted(math.ceil(math.log(x) / quality.STEP) if x > 0 else quality.ZERO for x in values)
+        value = lambda b: 0.0 if b == quality.ZERO else math.exp(b * quality.STEP) * 2 / (1 + math.exp(quality.STEP))
+        a, b = (value(bins[max(0, math.ceil(q * len(bins)) - 1)]) for q in (0.25, 0.75))
+        wide = quality.FENCE * (b - a) + quality.RATIOS[ratio][1]
+        return a - wide, b + wide
+
+    out = {}
+    for d, (lang, source, c, ratios) in found.items():
+        good = not (c["n_words"] < 20 or 100 * c["n_repeat_words"] > 30 * c["n_words"])
+        for r, (two, _) in quality.RATIOS.items():
+            own = [x[r] for la, so, cc, x in found.values() if (la, so) == (lang, source) and cc["n_words"]]
+            every = [x[r] for la, _, cc, x in found.values() if la == lang and cc["n_words"]]
+            if own and c["n_words"]:
+                low, high = ((len(own) * o + quality.PRIOR * e) / (len(own) + quality.PRIOR) for o, e in zip(limits(own, r), limits(every, r)))
+                good = good and ratios[r] <= high and (not two or ratios[r] >= low)
+        out[d] = good
+    return out
+
+
+def test_quality_verdicts_against_plain_version(spark, awkward):
+    rng = random.Random(21)
+    word = lambda: rng.choice(["Alpha", "beta", "GAMMA", "delta#", "eps", "zeta,", "and", "longerwordhere"])
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(15, 90))) + rng.choice(["", "", " ###", " spam spam spam spam", " LOUD" * 12, "\nx y\nx y"]), rng.choice(["en", "de", None]), rng.choice(["s1", "s2", None])) for i in range(250)]
+    rows += [(1000, None, "en", "s1"), (1001, "", None, None), (1002, "x " * 400 + "#" * 900, "de", "s2"), (1003, "Word " * 25 + "###### " * 25, "en", "s9")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], awkward.schema).repartition(3)
+    want = plain_verdicts(rows)
+    assert {r.doc_id: r.kept for r in quality.judged(docs).collect()} == want and 0 < sum(want.values()) < len(want)
 
 
 def test_quantile_sketch_is_near_exact(spark):
