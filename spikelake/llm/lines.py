@@ -45,7 +45,8 @@ def spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     margin = max(1, MARGIN * min_sites)
     sure = found.filter(F.col("sites") > min_sites + margin)
     near = found.filter(F.abs(F.col("sites") - min_sites) <= margin)
-    exact = lines.join(near.select("h", "g"), ["h", "g"], "left_semi").groupBy("h", "g", "site").agg(F.lit(1).alias("one")).groupBy("h", "g").agg(F.count("one").alias("exact"))
+    some = joined(lines.select("h", "g", "site"), near.select("h", "g", "rows", F.lit(True).alias("near")), ["h", "g"], "rows").filter("near")
+    exact = some.groupBy("h", "g", "site").agg(F.lit(1).alias("one")).groupBy("h", "g").agg(F.count("one").alias("exact"))
     near = near.join(exact.filter(F.col("exact") >= min_sites), ["h", "g"], "left_semi")
     return sure.unionByName(near).select("h", "g", "first", "rows")
 
