@@ -85,7 +85,8 @@ def joined(rows: DataFrame, values: DataFrame, on: list[str], count: str) -> Dat
     hot = F.col(count) * HOT > F.lit(total)
     names = [c for c in values.columns if c not in on and c != count]
     often = values.filter(hot).select(*on, *[F.col(c).alias(f"_hot_{c}") for c in names], F.lit(True).alias("_hot"))
-    rest = values.filter(~hot).select(*on, *names, F.lit(0).cast("long").alias("_part"))
+    zero = F.pmod(F.xxhash64(count), F.lit(1))  # a literal would be folded, and leave the join its other keys alone
+    rest = values.filter(~hot).select(*on, *names, zero.alias("_part"))
     lone = F.col("_hot").isNull()
     for c in on:
         lone = lone & F.col(c).isNotNull()
