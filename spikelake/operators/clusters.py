@@ -6,22 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def moments(points: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    """Means, sample covariances and count of two features for each cluster."""
-    return points.groupBy(by).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_samp(x).alias("xx"), F.covar_samp(x, y).alias("xy"), F.var_samp(y).alias("yy"), F.count(F.lit(1)).alias("nc"))
-
-
-def distances(points: DataFrame, by: str, key: str, x: str, y: str, ridge: float = 1e-10) -> DataFrame:
-    """cluster, key, own, nc and d2 of every point from every cluster of its file, with the closed inverse in two dimensions.
-
-    There are few clusters; each point meets them all, since each cluster's noise is all other points.
+def moments(points: DataFrame, by: list[str], features: list[str], ridge: float = 1e-10) -> DataFrame:
+    """nc, the means m_i and the sample covariances a_i_j (i >= j) of the features of each cluster, with a ridge on the
+    diagonal; d_i and l_i_j: the covariance matrix as L D L'."""
+    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1)]
+    sums = [F.avg(c).alias(f"m_{i}") for i, c in enumerate(features)]
+    sums += [(F.covar_samp(features[i], features[j]) + (ridge if i == j else 0.0)).alias(f"a_{i}_{j}") for i, j in pairs]
+    rows = points.groupBy(*by).agg(F.count(F.lit(1)).alias("nc"), *sums)
+    for j in range(len(features)):
+        rest = lambda i: sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") * F.col(f"d_{k}") for k in range(j)), F.lit(0.0))
+        rows = rows.withColumn(f"d_{j}", F.col(f"a_{j}_{j}") - sum((F.col(f"l_{j}_{k}") ** 2 * F.col(f"d_{k}") for k in range(j)), F.lit(0.0)))
+        rows = rows.withColumns({f"l_{i}_{j}": F.try_divide(F.col(f"a_{i}_{j}") - rest(i), F.col(f"d_{j}")) for i in range(j + 1, len(features))})
+    return rows
+
+
+def distances(points: DataFrame, file: str, by: str, key: str, features: list[str], ridge: float = 1e-10) -> DataFrame:
+    """file, cluster, key, own, nc, n (points of the file) and d2: the squared Mahalanobis distance of every point from
+    every cluster of its file, by any number of features.
+
+    A file's points meet each of its clusters, whose noise is all other points; the covariance is solved once a cluster.
     """
-    m = moments(points, by, x, y).withColumnRenamed(by, "cluster")
-    xx, yy, xy = F.col("xx") + ridge, F.col("yy") + ridge, F.col("xy")
-    dx, dy = F.col(x) - F.col("mx"), F.col(y) - F.col("my")
-    d2 = (yy * dx * dx - 2 * xy * dx * dy + xx * dy * dy) / (xx * yy - xy * xy)
-    rows = points.withColumn("__file", F.lit(0)).join(m.withColumn("__file", F.lit(0)), "__file")
-    return rows.select("cluster", key, (F.col(by) == F.col("cluster")).alias("own"), "nc", d2.alias("d2"))
+    m = moments(points, [file, by], features, ridge).withColumnRenamed(by, "cluster")
+    m = m.withColumn("n", F.sum("nc").over(Window.partitionBy(file)))
+    rows = points.select(file, F.col(by).alias("__own"), key, *[F.col(c).alias(f"f_{i}") for i, c in enumerate(features)]).join(m, file)
+    for i in range(len(features)):
+        rows = rows.withColumn(f"z_{i}", F.col(f"f_{i}") - F.col(f"m_{i}") - sum((F.col(f"l_{i}_{j}") * F.col(f"z_{j}") for j in range(i)), F.lit(0.0)))
+    d2 = sum((F.try_divide(F.col(f"z_{i}") ** 2, F.col(f"d_{i}")) for i in range(len(features))), F.lit(0.0))
+    return rows.select(file, "cluster", key, (F.col("__own") == F.col("cluster")).alias("own"), "nc", "n", d2.alias("d2"))
 
 
 def chi2_tail(d2: Column, df: int) -> Column:
@@ -34,22 +45,22 @@ def chi2_tail(d2: Column, df: int) -> Column:
     return F.exp(-half) * total
 
 
-def l_ratio(rows: DataFrame, df: int) -> DataFrame:
+def l_ratio(rows: DataFrame, df: int, file: str = "file") -> DataFrame:
     """l_ratio: the summed chance of the other points to lie as far out as they do, for each point of the cluster."""
-    return rows.groupBy("cluster").agg((F.sum(F.when(~F.col("own"), chi2_tail(F.col("d2"), df)).otherwise(0.0)) / F.first("nc")).alias("l_ratio"))
+    return rows.groupBy(file, "cluster").agg((F.sum(F.when(~F.col("own"), chi2_tail(F.col("d2"), df)).otherwise(0.0)) / F.first("nc")).alias("l_ratio"))
 
 
-def isolation(rows: DataFrame, key: str) -> DataFrame:
-    """iso: the distance of the n-th nearest other point, n being the cluster's size; null if there are fewer."""
-    w = Window.partitionBy("cluster").orderBy("d2", key)
-    noise = rows.filter("NOT own").withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= F.col("nc"))
-    nth = noise.filter(F.col("__r") == F.col("nc")).select("cluster", F.col("d2").alias("iso"))
-    return rows.select("cluster").distinct().join(nth, "cluster", "left")
+def isolation(rows: DataFrame, key: str, file: str = "file") -> DataFrame:
+    """iso: the distance of the nc-th nearest other point; null if the cluster holds more than half of its file's points."""
+    w = Window.partitionBy(file, "cluster").orderBy("d2", key)
+    noise = rows.filter(~F.col("own") & (2 * F.col("nc") <= F.col("n"))).withColumn("__r", F.row_number().over(w))
+    nth = noise.filter(F.col("__r") == F.col("nc")).select(file, "cluster", F.col("d2").alias("iso"))
+    return rows.select(file, "cluster").distinct().join(nth, [file, "cluster"], "left")
 
 
-def pool(rows: DataFrame, key: str, times: int = 3) -> DataFrame:
-    """The `times` * n nearest other points of each cluster."""
-    w = Window.partitionBy("cluster").orderBy("d2", key)
+def pool(rows: DataFrame, key: str, times: int = 3, file: str = "file") -> DataFrame:
+    """The `times` * nc nearest other points of each cluster."""
+    w = Window.partitionBy(file, "cluster").orderBy("d2", key)
     return rows.filter("NOT own").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= times * F.col("nc"))
 
 

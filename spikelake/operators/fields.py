@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import correlation
+from ..functions.columns import correlation, student_p
 
 MAD_SCALE = 0.6745
 
@@ -105,17 +105,70 @@ def spectrum(trace: DataFrame, by: list[str], i: str, value: str, n: int, bins:
 
 
 def fit_line(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Ordinary least squares: slope, intercept, r and n."""
-    return rows.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), correlation(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+    """Ordinary least squares: slope, intercept, r, n and p, of a slope that isn't 0 (two-sided)."""
+    fit = rows.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), correlation(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+    return fit.withColumn("p", _correlation_p(F.col("r"), F.col("n")))
+
+
+def _correlation_p(r: Column, n: Column) -> Column:
+    rest = 1 - r * r
+    return F.when(n >= 3, F.when(rest <= 0, 0.0).otherwise(student_p(r * F.sqrt(F.try_divide(n - 2, rest)), n - 2)))
 
 
 def fit_weighted(rows: DataFrame, keys: list[str], x: str, y: str, weight: str) -> DataFrame:
-    """Weighted least squares: slope, intercept and weighted correlation."""
+    """Weighted least squares: slope, intercept, weighted correlation, and p of Wald's two-sided test of the slope."""
     w, a, b = F.col(weight), F.col(x), F.col(y)
-    sums = rows.groupBy(*keys).agg(F.sum(w).alias("w"), F.sum(w * a).alias("x"), F.sum(w * b).alias("y"), F.sum(w * a * a).alias("xx"), F.sum(w * a * b).alias("xy"), F.sum(w * b * b).alias("yy"))
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * a).alias("x"), F.sum(w * b).alias("y"), F.sum(w * a * a).alias("xx"), F.sum(w * a * b).alias("xy"), F.sum(w * b * b).alias("yy"))
     xx, xy, yy = F.col("w") * F.col("xx") - F.col("x") ** 2, F.col("w") * F.col("xy") - F.col("x") * F.col("y"), F.col("w") * F.col("yy") - F.col("y") ** 2
-    slope = xy / xx
-    return sums.select(*keys, slope.alias("slope"), ((F.col("y") - slope * F.col("x")) / F.col("w")).alias("intercept"), (xy / F.sqrt(xx * yy)).alias("r"))
+    slope, r = F.try_divide(xy, xx), F.try_divide(xy, F.sqrt(F.greatest(F.lit(0.0), xx * yy)))
+    # slope / sqrt(weighted residuals / (n - 2) / sxx) is r sqrt((n - 2) / (1 - r ** 2)).
+    return sums.select(*keys, slope.alias("slope"), ((F.col("y") - slope * F.col("x")) / F.col("w")).alias("intercept"), r.alias("r"), _correlation_p(r, F.col("n")).alias("p"))
+
+
+def low_quality(fits: DataFrame, r_squared: str = "r_squared", error: str = "error", least: float = 0.98, most: float = 0.4) -> DataFrame:
+    """Fits with too small an r squared or too large an error."""
+    return fits.filter((F.col(r_squared) < least) | (F.col(error) > most))
+
+
+def strongest_peaks(peaks: DataFrame, keys: list[str], bands: dict[str, tuple[float, float]]) -> DataFrame:
+    """For each key and band cf, pw and bw of the strongest fitted peak (cf, pw, bw) with its centre in the band, the lower of
+    a tie, and low and high: cf less and plus half of bw, its full width. Bands without a peak give no row."""
+    spans = F.array(*[F.struct(F.lit(k).alias("band"), F.lit(float(a)).alias("from"), F.lit(float(b)).alias("to")) for k, (a, b) in bands.items()])
+    rows = peaks.select("*", F.explode(spans).alias("s")).filter(F.col("cf").between(F.col("s.from"), F.col("s.to")))
+    best = rows.groupBy(*keys, F.col("s.band").alias("band")).agg(F.max_by(F.struct("cf", "pw", "bw"), F.struct("pw", -F.col("cf"))).alias("p"))
+    return best.select(*keys, "band", "p.*", (F.col("p.cf") - F.col("p.bw") / 2).alias("low"), (F.col("p.cf") + F.col("p.bw") / 2).alias("high"))
+
+
+def calmest(epochs: DataFrame, by: str, epoch: str, p2p: str, low: str, gap: int = 5) -> DataFrame:
+    """The two calmest epochs of a key, at least `gap` apart, or else simply the two calmest: those with the least p2p and
+    power of low frequencies, each over its median. rank is 1 or 2; ties go to the earlier epoch."""
+    group = Window.partitionBy(by)
+    over = lambda c: F.col(c) / F.percentile(c, F.lit(0.5)).over(group)
+    rows = epochs.withColumn("noise", over(p2p) + over(low))
+    rows = rows.withColumn("__first", F.min_by(epoch, F.struct("noise", epoch)).over(group))
+    far = (F.abs(F.col(epoch) - F.col("__first")) >= gap).cast("int")
+    order = Window.partitionBy(by).orderBy((F.col(epoch) != F.col("__first")).cast("int"), F.desc(far), "noise", epoch)
+    return rows.withColumn("rank", F.row_number().over(order)).filter("rank <= 2").select(by, epoch, "noise", "rank")
+
+
+def best_windows(epochs: DataFrame, by: str, epoch: str, p2p: str, limit: float, parts: int = 10) -> DataFrame:
+    """For each part of a key's epochs the one with the least p2p, clean ones (p2p at most the limit) first."""
+    seg = F.floor(F.lit(float(parts)) * F.col(epoch) / (F.max(epoch).over(Window.partitionBy(by)) + 1))
+    return epochs.withColumn("seg", seg).groupBy(by, "seg").agg(F.min_by(epoch, F.struct(F.col(p2p) > limit, p2p, epoch)).alias(epoch))
+
+
+def interpolated(spectra: DataFrame, keys: list[str], freq: str, power: str, at: float, half: float, log_freq: bool = False) -> DataFrame:
+    """Spectra with the powers within `half` of a frequency, ends included, on the line between the nearest frequencies
+    outside: of the log of power over frequency, or over its log. Beyond the last frequency the nearest power holds."""
+    group, inside = Window.partitionBy(*keys), F.abs(F.col(freq) - at) <= half
+    f, p = F.col(freq), F.ln(F.greatest(F.col(power), F.lit(1e-30)))
+    x = F.ln(f) if log_freq else f
+    low = F.max_by(F.struct(x.alias("x"), p.alias("p")), F.when(~inside & (f < at), f)).over(group)
+    high = F.min_by(F.struct(x.alias("x"), p.alias("p")), F.when(~inside & (f > at), f)).over(group)
+    rows = spectra.withColumns({"__low": low, "__high": high})
+    line = F.col("__low.p") + (F.col("__high.p") - F.col("__low.p")) * F.try_divide(x - F.col("__low.x"), F.col("__high.x") - F.col("__low.x"))
+    new = F.exp(F.coalesce(line, F.col("__low.p"), F.col("__high.p")))
+    return rows.withColumn(power, F.when(inside, F.coalesce(new, F.col(power))).otherwise(F.col(power))).drop("__low", "__high")
 
 
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -124,3 +177,19 @@ def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
         first = F.rank().over(Window.partitionBy(*keys).orderBy(c))
         rows = rows.withColumn(f"__r_{c}", first + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2)
     return rows.groupBy(*keys).agg(correlation(f"__r_{x}", f"__r_{y}").alias("rho"))
+
+
+def phases(peaks: DataFrame, by: str, ts: str, reference: object, width: float) -> DataFrame:
+    """The peaks of all other keys with `phase`, how far each lies between two peaks of the reference, in radians.
+
+    The spans between reference peaks are put into every bucket of `width` that they meet, and peaks look in their own: no
+    task takes all peaks of a recording. Peaks before the first or after the last reference peak have no phase.
+    """
+    spans = peaks.filter(F.col(by) == F.lit(reference)).select(F.col(ts).alias("__from"))
+    spans = spans.withColumn("__to", F.lead("__from").over(Window.orderBy("__from"))).dropna()  # one channel's peaks
+    bucket = lambda c: F.floor(F.col(c) / width)
+    spans = spans.withColumn("__bucket", F.explode(F.sequence(bucket("__from"), bucket("__to"))))
+    rows = peaks.filter(F.col(by) != F.lit(reference)).withColumn("__bucket", bucket(ts)).join(spans, "__bucket")
+    rows = rows.filter((F.col(ts) >= F.col("__from")) & (F.col(ts) < F.col("__to")))
+    phase = 2 * F.pi() * (F.col(ts) - F.col("__from")) / (F.col("__to") - F.col("__from"))
+    return rows.withColumn("phase", phase).drop("__from", "__to", "__bucket")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import correlation
+from . import joins
 
 
 def intervals(spikes: DataFrame, by: str, ts: str, amp: str | None = None) -> DataFrame:
@@ -38,13 +39,24 @@ def burst_power(rows: DataFrame, by: str, width: float) -> DataFrame:
     return rows.filter("isi IS NOT NULL").groupBy(by).agg((100 * F.avg(F.when(F.col("isi") <= width, 1.0).otherwise(0.0))).alias("burst"))
 
 
-def half_width(histogram: DataFrame, by: str) -> DataFrame:
-    """Per key the histogram's peak and the outer bins around it that hold at least half of it, in one run each way."""
-    top = histogram.groupBy(by).agg(F.max("n").alias("peak"), F.max_by("bin", F.struct("n", -F.col("bin"))).alias("at"))
-    rows = histogram.join(top, by)
-    low = F.coalesce(F.max(F.when((F.col("bin") < F.col("at")) & (F.col("n") < F.col("peak") / 2), F.col("bin"))) + 1, F.min("bin"))
-    high = F.coalesce(F.min(F.when((F.col("bin") > F.col("at")) & (F.col("n") < F.col("peak") / 2), F.col("bin"))) - 1, F.max("bin"))
-    return rows.groupBy(by).agg(F.first("peak").alias("peak"), F.first("at").alias("at"), low.alias("low"), high.alias("high"))
+def half_width(histogram: DataFrame, by: str, width: float, low: float, high: float) -> DataFrame:
+    """peak (the largest count), at (its bin's middle), and low and high: where the counts cross half of it on each side.
+
+    The histogram (bin, n) counts bins of `width` from `low`; bins up to `high` that it lacks count as 0. A crossing lies on
+    the line from the first bin of at most half the peak to its neighbour; without such a bin it is the range's end.
+    """
+    bins = round((high - low) / width)
+    grid = histogram.select(by).distinct().select(by, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
+    rows = grid.join(histogram.select(by, "bin", "n"), [by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    order, group = Window.partitionBy(by).orderBy("bin"), Window.partitionBy(by)
+    rows = rows.withColumns({"__a": F.lag("n").over(order), "__b": F.lead("n").over(order), "peak": F.max("n").over(group), "__at": F.max_by("bin", F.struct("n", -F.col("bin"))).over(group)})
+    x, half, few = (F.col("bin") + 0.5) * width + low, F.col("peak") / 2, F.col("n") <= F.col("peak") / 2
+    left = F.max_by(x + F.try_divide(half - F.col("n"), F.col("__b") - F.col("n")) * width, F.when((F.col("bin") < F.col("__at")) & few, F.col("bin")))
+    right = F.min_by(x - width + F.try_divide(half - F.col("__a"), F.col("n") - F.col("__a")) * width, F.when((F.col("bin") > F.col("__at")) & few, F.col("bin")))
+    return rows.groupBy(by).agg(
+        F.first("peak").alias("peak"), ((F.first("__at") + 0.5) * width + low).alias("at"),
+        F.greatest(F.lit(low), F.coalesce(left, F.lit(low))).alias("low"), F.least(F.lit(high), F.coalesce(right, F.lit(high))).alias("high"),
+    )
 
 
 def autocorrelogram(pairs: DataFrame, by: str, width: float) -> DataFrame:
@@ -52,6 +64,17 @@ def autocorrelogram(pairs: DataFrame, by: str, width: float) -> DataFrame:
     return pairs.groupBy(by, (F.col("lag") / width).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def cross_histogram(spikes: DataFrame, by: str, ts: str, unit: float, reach: int, width: int) -> DataFrame:
+    """lag and n: the cross-correlation of a train's counts in bins of one unit with itself, up to `reach` units, without
+    the centre, summed in runs of `width` lags from -reach on; a run is named by where it begins, those after the centre
+    one run later. Runs without a pair are left out."""
+    counts = spikes.groupBy(by, F.floor(F.col(ts) / unit).alias("t")).agg(F.count(F.lit(1)).alias("c"))
+    pairs = joins.band_pairs(counts, by, "t", reach, ["c"])
+    place = F.floor((F.when(F.col("lag") < 0, F.col("lag") + reach).otherwise(F.col("lag") + reach - 1)) / width)
+    lag = -reach + width * F.when(place < reach // width, place).otherwise(place + 1)
+    return pairs.groupBy(by, lag.cast("long").alias("lag")).agg(F.sum(F.col("c_a") * F.col("c_b")).alias("n"))
+
+
 def samples(waves: DataFrame, keys: list[str], wave: str) -> DataFrame:
     """A row for each sample: i and v."""
     return waves.select(*keys, F.posexplode(wave).alias("i", "v"))
@@ -89,6 +112,27 @@ def noise_ratio(waves: DataFrame, by: list[str], wave: str, baseline: int = 4) -
     return rows.select(*by, (F.col("p2p") / (2 * F.col("__noise"))).alias("snr"), (F.col("__sd") / F.col("p2p")).alias("cv"))
 
 
+def duration(waves: DataFrame, wave: str, baseline: int = 5, times: float = 2.0) -> DataFrame:
+    """peak and trough (places of the extremes), onset (the last sample in the baseline's band up to the first of them) and
+    offset (the first one from the last of them on); without such a sample the wave's first and last.
+
+    The band is the mean of the first samples, give or take `times` their deviation: the median one over 0.6745, else the
+    standard one, else the smallest number.
+    """
+    middle = lambda xs: (F.get(F.array_sort(xs), F.lit((baseline - 1) // 2)) + F.get(F.array_sort(xs), F.lit(baseline // 2))) / 2
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / baseline
+    rows = waves.withColumns({"__base": F.slice(wave, 1, baseline), "peak": F.array_position(wave, F.array_max(wave)).cast("int") - 1, "trough": F.array_position(wave, F.array_min(wave)).cast("int") - 1})
+    rows = rows.withColumns({"__mean": mean(F.col("__base")), "__mid": middle(F.col("__base"))})
+    rows = rows.withColumns({"__mad": middle(F.transform("__base", lambda x: F.abs(x - F.col("__mid")))), "__sd": F.sqrt(mean(F.transform("__base", lambda x: (x - F.col("__mean")) ** 2)))})
+    sigma = F.when(F.col("__mad") > 0, F.col("__mad") / 0.6745).when(F.col("__sd") > 0, F.col("__sd")).otherwise(2.220446049250313e-16)
+    quiet = F.filter(F.transform(wave, lambda v, i: F.when(F.abs(v - F.col("__mean")) < times * sigma, i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("__quiet", quiet)
+    onset = F.array_max(F.filter("__quiet", lambda i: i <= F.least("peak", "trough")))
+    offset = F.array_min(F.filter("__quiet", lambda i: i >= F.greatest("peak", "trough")))
+    rows = rows.withColumns({"onset": F.coalesce(onset, F.lit(0)), "offset": F.coalesce(offset, F.size(wave) - 1)})
+    return rows.drop("__base", "__mean", "__mid", "__mad", "__sd", "__quiet")
+
+
 def robust_noise(waves: DataFrame, by: list[str], wave: str, baseline: int = 5) -> DataFrame:
     """sigma: the median absolute deviation of the first samples over 0.6745."""
     rows = samples(waves.withColumn(wave, F.slice(wave, 1, baseline)), by, wave)

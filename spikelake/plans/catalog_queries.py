@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import catalog
+from ..operators.ordering import placed
 from .proxies import HOUR, query, read, rounded
 
 
@@ -14,7 +15,8 @@ def depth_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = spark.createDataFrame([(1, s) for s in range(40, 51)] + [(2, s) for s in range(10, 21)], "range_no int, p_size int")
     rows = read(spark, sf_dir, "part").select("p_partkey", "p_size").join(ranges, "p_size")
     depth = F.when(F.col("range_no") == 1, -F.col("p_size")).otherwise(F.col("p_size"))
-    return rows.select("p_partkey", "range_no", F.row_number().over(Window.orderBy("range_no", depth, "p_partkey")).cast("long").alias("place"))
+    rows = rows.select("p_partkey", "range_no", depth.alias("depth"))
+    return placed(rows, ["range_no", "depth", "p_partkey"], "place").drop("depth")
 
 
 @query("p22_path_metadata", "SELECT doc_id, 'CSC' || doc_id || 'ch' || (doc_id % 9) || '.ncs' AS file, CAST(regexp_extract('CSC' || doc_id || 'ch' || (doc_id % 9), 'CSC(\\d+)(?:ch(\\d+))?', 1) AS INT) AS tetrode, CAST(regexp_extract('CSC' || doc_id || 'ch' || (doc_id % 9), 'CSC(\\d+)(?:ch(\\d+))?', 2) AS INT) AS channel, split_part('a/' || source || '/x', '/', 2) AS parent FROM documents")

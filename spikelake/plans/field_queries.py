@@ -111,12 +111,12 @@ def relative_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fields.relative(spectra(spark, sf_dir), ["file"], "freq", "power", 1, 10, 0.5), "relative", digits=9).select("file", "freq", "relative")
 
 
-@query("n10_mains_interpolated", f"WITH {SPECTRA}, g AS (SELECT file, exp(avg(ln(power)) FILTER (WHERE freq = 5)) AS a, exp(avg(ln(power)) FILTER (WHERE freq = 8)) AS b FROM spectra GROUP BY file) SELECT file, freq, round(CASE WHEN freq IN (6, 7) THEN exp(ln(a) + (ln(b) - ln(a)) * (freq - 5) / 3.0) ELSE power END, 6) AS power FROM spectra JOIN g USING (file)")
+@query(
+    "n10_mains_interpolated",
+    f"WITH {SPECTRA}, g AS (SELECT file, max(ln(freq)) FILTER (WHERE freq < 6) AS f1, arg_max(ln(power), freq) FILTER (WHERE freq < 6) AS p1, min(ln(freq)) FILTER (WHERE freq > 8) AS f2, arg_min(ln(power), freq) FILTER (WHERE freq > 8) AS p2 FROM spectra GROUP BY file) SELECT file, freq, round(CASE WHEN abs(freq - 7) <= 1 THEN exp(coalesce(p1 + (p2 - p1) * (ln(freq) - f1) / (f2 - f1), p1, p2)) ELSE power END, 6) AS power FROM spectra JOIN g USING (file)",
+)
 def mains_interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spectra(spark, sf_dir)
-    edge = lambda f: F.max(F.when(F.col("freq") == f, F.ln("power"))).over(Window.partitionBy("file"))
-    line = F.exp(edge(5) + (edge(8) - edge(5)) * (F.col("freq") - 5) / 3.0)
-    return rounded(rows.withColumn("power", F.when(F.col("freq").isin(6, 7), line).otherwise(F.col("power"))), "power")
+    return rounded(fields.interpolated(spectra(spark, sf_dir), ["file"], "freq", "power", 7.0, 1.0, log_freq=True), "power")
 
 
 @query("a37_amplitude_gain", f"WITH {TRACE} SELECT channel, round(quantile_cont(abs(v), 0.99), 6) AS gain FROM trace GROUP BY channel")
@@ -130,6 +130,15 @@ def circular_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(fields.circular(rows, ["unit"], "a"), "r"), "direction", digits=5)
 
 
+def _p_sql(r: str, n: str) -> str:
+    """Student's two-sided p of a correlation: sin is |r| and cos squared 1 - r^2; the series' factors are gamma functions."""
+    series = lambda top, bottom, count: f"coalesce(list_sum([exp({top} - {bottom}) * (1 - {r} ^ 2) ^ j for j in range({count})]), 0)"
+    odd = series("lgamma(j + 1.0::DOUBLE) + lgamma(1.5::DOUBLE)", "lgamma(j + 1.5::DOUBLE)", f"({n} - 3) // 2")
+    even = series("lgamma(j + 0.5::DOUBLE)", "lgamma(0.5::DOUBLE) - lgamma(j + 1.0::DOUBLE)", f"({n} - 2) // 2")
+    inside = f"CASE WHEN {n} % 2 = 1 THEN 2 / pi() * (asin(least(1, abs({r}))) + abs({r}) * sqrt(greatest(0, 1 - {r} ^ 2)) * {odd}) ELSE abs({r}) * {even} END"
+    return f"CASE WHEN {n} >= 3 AND {r} IS NOT NULL THEN CASE WHEN 1 - {r} ^ 2 <= 0 THEN 0 ELSE greatest(0, 1 - {inside}) END END"
+
+
 SPEED_BINS = f"{TRACK}, s AS (SELECT unit, floor(x / 5) AS b, avg(y) AS rate, CAST(count(*) AS DOUBLE) AS w FROM track WHERE x > 1 AND x < 79 GROUP BY ALL)"
 
 
@@ -137,19 +146,19 @@ def _speed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track(spark, sf_dir).filter("x > 1 AND x < 79").groupBy("unit", F.floor(F.col("x") / 5).alias("b")).agg(F.avg("y").alias("rate"), F.count(F.lit(1)).cast("double").alias("w"))
 
 
-@query("p11_a21_n27_speed_fit", f"WITH {SPEED_BINS} SELECT unit, round(regr_slope(rate, b), 6) AS slope, round(regr_intercept(rate, b), 6) AS intercept, round(corr(b, rate), 6) AS r, count(*) AS n FROM s GROUP BY unit HAVING count(*) >= 3")
+@query("p11_a21_n27_speed_fit", f"WITH {SPEED_BINS}, q AS (SELECT unit, regr_slope(rate, b) AS slope, regr_intercept(rate, b) AS intercept, corr(b, rate) AS r, count(*) AS n FROM s GROUP BY unit HAVING count(*) >= 3) SELECT unit, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r, 6) AS r, n, round(({_p_sql('r', 'n')})::DOUBLE, 6) AS p FROM q")
 def speed_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(fields.fit_line(_speed_bins(spark, sf_dir), ["unit"], "b", "rate").filter("n >= 3"), "slope", "intercept", "r")
+    return rounded(fields.fit_line(_speed_bins(spark, sf_dir), ["unit"], "b", "rate").filter("n >= 3"), "slope", "intercept", "r", "p")
 
 
 @query(
     "a22_n28_weighted_fit",
-    f"WITH {SPEED_BINS}, q AS (SELECT unit, sum(w) AS w, sum(w * b) AS x, sum(w * rate) AS y, sum(w * b * b) AS xx, sum(w * b * rate) AS xy, sum(w * rate * rate) AS yy FROM s GROUP BY unit HAVING count(*) >= 3) SELECT unit, round((w * xy - x * y) / (w * xx - x * x), 6) AS slope, round((y - (w * xy - x * y) / (w * xx - x * x) * x) / w, 6) AS intercept, round((w * xy - x * y) / sqrt((w * xx - x * x) * (w * yy - y * y)), 6) AS r FROM q",
+    f"WITH {SPEED_BINS}, q AS (SELECT unit, count(*) AS n, sum(w) AS w, sum(w * b) AS x, sum(w * rate) AS y, sum(w * b * b) AS xx, sum(w * b * rate) AS xy, sum(w * rate * rate) AS yy FROM s GROUP BY unit HAVING count(*) >= 3), z AS (SELECT unit, n, (w * xy - x * y) / (w * xx - x * x) AS slope, (y - (w * xy - x * y) / (w * xx - x * x) * x) / w AS intercept, (w * xy - x * y) / sqrt((w * xx - x * x) * (w * yy - y * y)) AS r FROM q) SELECT unit, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r, 6) AS r, round(({_p_sql('r', 'n')})::DOUBLE, 6) AS p FROM z",
 )
 def weighted_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _speed_bins(spark, sf_dir)
     rows = rows.join(rows.groupBy("unit").count().filter("count >= 3").select("unit"), "unit", "left_semi")
-    return rounded(fields.fit_weighted(rows, ["unit"], "b", "rate", "w"), "slope", "intercept", "r")
+    return rounded(fields.fit_weighted(rows, ["unit"], "b", "rate", "w"), "slope", "intercept", "r", "p")
 
 
 @query("a23_spearman", f"WITH {SPEED_BINS}, k AS (SELECT unit, rank() OVER (PARTITION BY unit ORDER BY b) AS rx, rank() OVER (PARTITION BY unit ORDER BY rate) + (count(*) OVER (PARTITION BY unit, rate) - 1) / 2.0 AS ry FROM s) SELECT unit, round(corr(rx, ry), 6) AS rho FROM k GROUP BY unit HAVING count(*) >= 3")
@@ -167,34 +176,54 @@ def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "p19_low_quality_fits",
-    f"WITH {SPECTRA}, f AS (SELECT file, corr(freq, log10(power)) ^ 2 AS r2, regr_sxx(log10(power), freq) AS x, sqrt(avg((log10(power)) ^ 2) - avg(log10(power)) ^ 2) AS error FROM spectra GROUP BY file) SELECT file, round(r2, 6) AS r_squared, round(error, 6) AS error FROM f WHERE r2 < 0.05 OR error > 0.4",
+    f"WITH {SPECTRA}, f AS (SELECT file, corr(freq, log10(power)) ^ 2 AS r2, sqrt(avg((log10(power)) ^ 2) - avg(log10(power)) ^ 2) AS error FROM spectra GROUP BY file) SELECT file, round(r2, 6) AS r_squared, round(error, 6) AS error FROM f WHERE r2 < 0.98 OR error > 0.4",
 )
 def low_quality_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = F.log10("power")
     rows = spectra(spark, sf_dir).groupBy("file").agg((correlation(F.col("freq"), log) ** 2).alias("r_squared"), F.sqrt(F.avg(log**2) - F.avg(log) ** 2).alias("error"))
-    return rounded(rows.filter("r_squared < 0.05 OR error > 0.4"), "r_squared", "error")
+    return rounded(fields.low_quality(rows), "r_squared", "error")
 
 
 @query(
-    "n12_o9_strongest_peak",
-    f"WITH {SPECTRA}, p AS (SELECT *, lag(power) OVER w AS a, lead(power) OVER w AS b FROM spectra WINDOW w AS (PARTITION BY file ORDER BY freq)) SELECT file, arg_max(freq, struct_pack(p := power, f := -freq)) AS cf, round(max(power), 6) AS pw, arg_max(freq, struct_pack(p := power, f := -freq)) - 0.5::DOUBLE AS low, arg_max(freq, struct_pack(p := power, f := -freq)) + 0.5::DOUBLE AS high FROM p WHERE freq BETWEEN 3 AND 7 AND power > a AND power > b GROUP BY file",
+    "n12_strongest_peaks",
+    f"""WITH {SPECTRA}, p AS (SELECT *, lag(power) OVER w AS a, lead(power) OVER w AS b FROM spectra WINDOW w AS (PARTITION BY file ORDER BY freq)),
+    peaks AS (SELECT file, freq + (b - a) / (a + b + power) AS cf, log10(power) AS pw, 1 + abs(2 * power - a - b) / power AS bw FROM p WHERE power > a AND power > b),
+    q AS (SELECT file, band, cf, pw, bw, row_number() OVER (PARTITION BY file, band ORDER BY pw DESC, cf) AS r FROM peaks JOIN (VALUES ('theta', 3, 7), ('alpha', 8, 12), ('all', 1, 12)) t(band, low, high) ON cf BETWEEN low AND high)
+    SELECT file, band, round(cf, 6) AS cf, round(pw, 6) AS pw, round(bw, 6) AS bw, round(cf - bw / 2, 6) AS low, round(cf + bw / 2, 6) AS high FROM q WHERE r = 1""",
 )
-def strongest_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+def strongest_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("file").orderBy("freq")
-    rows = spectra(spark, sf_dir).withColumns({"a": F.lag("power").over(w), "b": F.lead("power").over(w)}).filter("freq BETWEEN 3 AND 7 AND power > a AND power > b")
-    cf = F.max_by("freq", F.struct("power", -F.col("freq")))
-    return rounded(rows.groupBy("file").agg(cf.alias("cf"), F.max("power").alias("pw"), (cf - F.lit(0.5)).alias("low"), (cf + F.lit(0.5)).alias("high")), "pw")
+    rows = spectra(spark, sf_dir).withColumns({"a": F.lag("power").over(w), "b": F.lead("power").over(w)}).filter("power > a AND power > b")
+    peaks = rows.select("file", F.expr("freq + (b - a) / (a + b + power)").alias("cf"), F.log10("power").alias("pw"), F.expr("1 + abs(2 * power - a - b) / power").alias("bw"))
+    return rounded(fields.strongest_peaks(peaks, ["file"], {"theta": (3, 7), "alpha": (8, 12), "all": (1, 12)}), "cf", "pw", "bw", "low", "high")
+
+
+@query(
+    "o6_calmest_epochs",
+    f"""WITH {EPOCHS}, l AS (SELECT channel, epoch, p2p, abs(delta) + 1 AS low FROM p), m AS (SELECT *, p2p / median(p2p) OVER c + low / median(low) OVER c AS noise FROM l WINDOW c AS (PARTITION BY channel)),
+    f AS (SELECT *, first_value(epoch) OVER (PARTITION BY channel ORDER BY noise, epoch) AS first FROM m),
+    r AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY epoch <> first, abs(epoch - first) < 5, noise, epoch) AS rank FROM f)
+    SELECT channel, epoch, round(noise, 6) AS noise, CAST(rank AS INT) AS rank FROM r WHERE rank <= 2""",
+)
+def calmest_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _epochs(spark, sf_dir).withColumn("low", F.abs("delta") + 1)
+    return rounded(fields.calmest(rows, "channel", "epoch", "p2p", "low"), "noise")
 
 
 @query(
-    "o6_o7_best_windows",
+    "o7_best_windows",
     f"WITH {EPOCHS}, g AS (SELECT *, CAST(floor(10.0 * epoch / (max(epoch) OVER (PARTITION BY channel) + 1)) AS BIGINT) AS seg, p2p > 60 AS bad FROM p) SELECT channel, seg, arg_min(epoch, struct_pack(b := bad, p := p2p, e := epoch)) AS epoch FROM g GROUP BY ALL",
 )
 def best_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _epochs(spark, sf_dir)
-    seg = F.floor(F.lit(10.0) * F.col("epoch") / (F.max("epoch").over(Window.partitionBy("channel")) + 1))
-    rows = rows.withColumn("seg", seg)
-    return rows.groupBy("channel", "seg").agg(F.min_by("epoch", F.struct(F.col("p2p") > 60, "p2p", "epoch")).alias("epoch"))
+    return fields.best_windows(_epochs(spark, sf_dir), "channel", "epoch", "p2p", 60.0)
+
+
+@query(
+    "n10_notch_interpolated",
+    f"WITH {SPECTRA}, g AS (SELECT file, max(freq) FILTER (WHERE freq < 5) AS f1, arg_max(ln(power), freq) FILTER (WHERE freq < 5) AS p1, min(freq) FILTER (WHERE freq > 8) AS f2, arg_min(ln(power), freq) FILTER (WHERE freq > 8) AS p2 FROM spectra GROUP BY file) SELECT file, freq, round(CASE WHEN abs(freq - 6.5) <= 1.5 THEN exp(coalesce(p1 + (p2 - p1) * (freq - f1) / (f2 - f1), p1, p2)) ELSE power END, 6) AS power FROM spectra JOIN g USING (file)",
+)
+def notch_interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fields.interpolated(spectra(spark, sf_dir), ["file"], "freq", "power", 6.5, 1.5), "power")
 
 
 @query(
@@ -205,10 +234,8 @@ def best_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def phase_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("channel").orderBy("i")
-    peaks = trace(spark, sf_dir).withColumns({"a": F.lag("v").over(w), "b": F.lead("v").over(w)}).filter("v > a AND v > b AND v > 20").select("channel", "ts").withColumn("one", F.lit(1))
-    ref = peaks.filter("channel = 1").select("one", "ts").withColumn("u", F.lead("ts").over(Window.partitionBy("one").orderBy("ts"))).withColumn("o", F.col("ts"))
-    rows = joins.backward(peaks.filter("channel <> 1"), ref, "one", "ts", "o").filter("hit.u IS NOT NULL")
-    rows = rows.withColumn("phase", 2 * F.pi() * (F.col("ts") - F.col("hit.ts")) / (F.col("hit.u") - F.col("hit.ts")))
+    peaks = trace(spark, sf_dir).withColumns({"a": F.lag("v").over(w), "b": F.lead("v").over(w)}).filter("v > a AND v > b AND v > 20").select("channel", "ts")
+    rows = fields.phases(peaks, "channel", "ts", 1, 24.0 * HOUR)
     return rounded(fields.circular(rows, ["channel"], "phase").drop("direction"), "r")
 
 

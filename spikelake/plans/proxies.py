@@ -92,12 +92,16 @@ def grid_sql(keys: str = "", least: float = 20.0) -> str:
 SMOOTH = "smooth AS (SELECT g.bx, g.by_, g.occ, g.rate, sum(o.rate * (2 - abs(g.bx - o.bx)) * (2 - abs(g.by_ - o.by_))) / sum((2 - abs(g.bx - o.bx)) * (2 - abs(g.by_ - o.by_))) AS s FROM grid g JOIN grid o ON abs(g.bx - o.bx) <= 1 AND abs(g.by_ - o.by_) <= 1 AND o.valid WHERE g.valid GROUP BY ALL)"
 
 
+FEATURES = [f"f{i}" for i in range(8)]
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """label, vec_id, x, y: two features of each vector."""
-    return read(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("label"), "vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    """file (of three), label, vec_id, f0 to f7: eight features of each vector."""
+    file = F.when(F.col("label") < 4, "a").when(F.col("label") < 8, "b").otherwise("c").alias("file")
+    return read(spark, sf_dir, "embeddings").select(file, F.col("label").cast("long").alias("label"), "vec_id", *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(FEATURES)])
 
 
-POINTS = "points AS (SELECT CAST(label AS BIGINT) AS label, vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
+POINTS = f"points AS (SELECT CASE WHEN label < 4 THEN 'a' WHEN label < 8 THEN 'b' ELSE 'c' END AS file, CAST(label AS BIGINT) AS label, vec_id, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS {f}' for i, f in enumerate(FEATURES))} FROM embeddings)"
 
 
 def waves(spark: SparkSession, sf_dir: str) -> DataFrame:

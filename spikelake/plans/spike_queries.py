@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clusters, joins, spikes as ops
-from .proxies import HOUR, POINTS, SPIKES, WAVES, points, query, rounded, spikes, waves
+from .proxies import FEATURES, HOUR, POINTS, SPIKES, WAVES, points, query, rounded, spikes, waves
 
 ISI = f"{SPIKES}, isi AS (SELECT *, ts - lag(ts) OVER w AS isi, lag(amp) OVER w AS prior FROM spikes WINDOW w AS (PARTITION BY unit ORDER BY ts))"
 
@@ -40,18 +40,32 @@ def burst_power(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "w14_half_maximum",
-    f"""WITH {ISI}, {HISTOGRAM}, top AS (SELECT unit, max(n) AS peak, arg_max(bin, struct_pack(n := n, b := -bin)) AS spot FROM hist GROUP BY unit)
-    SELECT unit, any_value(peak) AS peak, any_value(spot) AS "at", coalesce(max(CASE WHEN bin < spot AND n < peak / 2 THEN bin END) + 1, min(bin)) AS low, coalesce(min(CASE WHEN bin > spot AND n < peak / 2 THEN bin END) - 1, max(bin)) AS high FROM hist JOIN top USING (unit) GROUP BY unit""",
+    f"""WITH {ISI}, {HISTOGRAM}, g AS (SELECT unit, unnest(range(20)) AS bin FROM (SELECT DISTINCT unit FROM hist)), f AS (SELECT g.unit, g.bin, coalesce(n, 0) AS n FROM g LEFT JOIN hist USING (unit, bin)),
+    top AS (SELECT unit, max(n) AS peak, arg_max(bin, struct_pack(n := n, b := -bin)) AS spot FROM f GROUP BY unit),
+    c AS (SELECT f.*, peak, spot, (bin + 0.5) * 10 AS x, lag(n) OVER w AS a, lead(n) OVER w AS b FROM f JOIN top USING (unit) WINDOW w AS (PARTITION BY unit ORDER BY bin))
+    SELECT unit, any_value(peak) AS peak, any_value((spot + 0.5) * 10)::DOUBLE AS "at", round(greatest(0, coalesce(arg_max(x + (peak / 2 - n) / (b - n) * 10, bin) FILTER (WHERE bin < spot AND n <= peak / 2), 0))::DOUBLE, 6) AS low,
+      round(least(200, coalesce(arg_min(x - 10 + (peak / 2 - a) / (n - a) * 10, bin) FILTER (WHERE bin > spot AND n <= peak / 2), 200))::DOUBLE, 6) AS high FROM c GROUP BY unit""",
 )
 def half_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.half_width(isi_histogram(spark, sf_dir), "unit")
+    return rounded(ops.half_width(isi_histogram(spark, sf_dir), "unit", 10.0, 0.0, 200.0), "at", "low", "high")
 
 
-@query("n17_n19_autocorrelogram", f"WITH {SPIKES} SELECT a.unit, CAST(trunc((b.ts - a.ts) / {4.0 * HOUR}) AS BIGINT) AS bin, count(*) AS n FROM spikes a JOIN spikes b ON a.unit = b.unit AND abs(b.ts - a.ts) <= {48 * HOUR} AND a.ts <> b.ts GROUP BY ALL")
+@query("n17_autocorrelogram", f"WITH {SPIKES} SELECT a.unit, CAST(trunc((b.ts - a.ts) / {4.0 * HOUR}) AS BIGINT) AS bin, count(*) AS n FROM spikes a JOIN spikes b ON a.unit = b.unit AND abs(b.ts - a.ts) <= {48 * HOUR} AND a.ts <> b.ts GROUP BY ALL")
 def autocorrelogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.autocorrelogram(joins.band_pairs(spikes(spark, sf_dir), "unit", "ts", 48 * HOUR, []), "unit", 4.0 * HOUR)
 
 
+@query(
+    "n19_cross_histogram",
+    f"""WITH {SPIKES}, h AS (SELECT unit, CAST(floor(ts / {4.0 * HOUR}) AS BIGINT) AS t, count(*) AS c FROM spikes GROUP BY ALL),
+    x AS (SELECT a.unit, b.t - a.t AS lag, sum(a.c * b.c) AS n FROM h a JOIN h b ON a.unit = b.unit AND b.t - a.t BETWEEN -50 AND 50 AND a.t <> b.t GROUP BY ALL),
+    k AS (SELECT unit, (CASE WHEN lag < 0 THEN lag + 50 ELSE lag + 49 END) // 20 AS k, n FROM x)
+    SELECT unit, CAST(-50 + 20 * (CASE WHEN k < 2 THEN k ELSE k + 1 END) AS BIGINT) AS lag, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY ALL""",
+)
+def cross_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.cross_histogram(spikes(spark, sf_dir), "unit", "ts", 4.0 * HOUR, 50, 20)
+
+
 MEANS = f"{WAVES}, means AS (SELECT label, i, avg(v) AS mean, stddev_samp(v) AS sd FROM samples GROUP BY ALL)"
 
 
@@ -102,15 +116,13 @@ def template_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "w15_onset_offset",
-    f"""WITH {WAVES}, e AS (SELECT label, vec_id, arg_max(i, struct_pack(v := abs(v), i := -i)) AS spot FROM samples GROUP BY ALL)
-    SELECT s.vec_id, CAST(any_value(spot) AS INT) AS "at", CAST(max(CASE WHEN i < spot AND abs(v) <= 0.05 THEN i END) AS INT) AS onset, CAST(min(CASE WHEN i > spot AND abs(v) <= 0.05 THEN i END) AS INT) AS offset_ FROM samples s JOIN e ON s.vec_id = e.vec_id GROUP BY s.vec_id""",
+    f"""WITH {WAVES}, b AS (SELECT *, wave[1:5] AS base, list_position(wave, list_max(wave)) - 1 AS peak, list_position(wave, list_min(wave)) - 1 AS trough FROM waves),
+    t AS (SELECT *, list_avg(base) AS middle, 2 * CASE WHEN list_mad(base) > 0 THEN list_mad(base) / 0.6745::DOUBLE WHEN list_stddev_pop(base) > 0 THEN list_stddev_pop(base) ELSE 2.220446049250313e-16 END AS near FROM b)
+    SELECT vec_id, CAST(peak AS INT) AS peak, CAST(trough AS INT) AS trough, CAST(coalesce(list_max([i - 1 for i in range(1, 33) if i - 1 <= least(peak, trough) AND abs(wave[i] - middle) < near]), 0) AS INT) AS onset,
+      CAST(coalesce(list_min([i - 1 for i in range(1, 33) if i - 1 >= greatest(peak, trough) AND abs(wave[i] - middle) < near]), 31) AS INT) AS offset_ FROM t""",
 )
 def onset_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = waves(spark, sf_dir).withColumn("size", F.transform("wave", F.abs))
-    rows = rows.withColumn("at", (F.array_position("size", F.array_max("size")) - 1).cast("int"))
-    quiet = F.filter(F.transform("size", lambda v, i: F.when(v <= 0.05, i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("quiet", quiet)
-    return rows.select("vec_id", "at", F.array_max(F.filter("quiet", lambda i: i < F.col("at"))).alias("onset"), F.array_min(F.filter("quiet", lambda i: i > F.col("at"))).alias("offset_"))
+    return ops.duration(waves(spark, sf_dir), "wave").select("vec_id", "peak", "trough", "onset", F.col("offset").alias("offset_"))
 
 
 QUALITY = f"{ISI}, n AS (SELECT unit, count(*) AS n, 100.0 * sum(CASE WHEN isi < {2 * HOUR} THEN 1.0 ELSE 0.0 END) / count(*) AS rpv, avg(amp) / stddev_pop(amp) * 3 AS snr, stddev_pop(amp) / avg(amp) / 2 AS cv, 100.0 * avg(CASE WHEN isi IS NOT NULL THEN CASE WHEN isi BETWEEN {3 * HOUR} AND {20 * HOUR} AND amp < prior THEN 1.0 ELSE 0.0 END END) AS csi FROM isi GROUP BY unit)"
@@ -141,12 +153,29 @@ def place_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("unit", ops.place_cell(F.col("n"), F.col("peak"), F.col("sir"), sparsity, F.col("unit") % 2 == 0).alias("place_cell"))
 
 
-D2 = f"""{POINTS}, m AS (SELECT label AS cluster, avg(x) AS mx, avg(y) AS my, var_samp(x) + 1e-10 AS xx, covar_samp(x, y) AS xy, var_samp(y) + 1e-10 AS yy, count(*) AS nc FROM points GROUP BY label),
-    d AS (SELECT cluster, vec_id, label = cluster AS own, nc, (yy * (x - mx) * (x - mx) - 2 * xy * (x - mx) * (y - my) + xx * (y - my) * (y - my)) / (xx * yy - xy * xy) AS d2 FROM points, m)"""
+def _d2_sql() -> str:
+    """Squared distances by the LDL' form of each cluster's covariance."""
+    k = range(len(FEATURES))
+    means = ", ".join(f"avg({FEATURES[i]}) AS m_{i}" for i in k)
+    cov = ", ".join(f"covar_samp({FEATURES[i]}, {FEATURES[j]}){' + 1e-10' if i == j else ''} AS a_{i}_{j}" for i in k for j in range(i + 1))
+    steps = []
+    for j in k:
+        steps.append(f"a_{j}_{j}" + "".join(f" - l_{j}_{x} ^ 2 * d_{x}" for x in range(j)) + f" AS d_{j}")
+        steps += [f"(a_{i}_{j}" + "".join(f" - l_{i}_{x} * l_{j}_{x} * d_{x}" for x in range(j)) + f") / d_{j} AS l_{i}_{j}" for i in range(j + 1, len(k))]
+    z = ", ".join(f"{FEATURES[i]} - m_{i}" + "".join(f" - l_{i}_{j} * z_{j}" for j in range(i)) + f" AS z_{i}" for i in k)
+    d2 = " + ".join(f"z_{i} ^ 2 / d_{i}" for i in k)
+    return (
+        f"{POINTS}, m AS (SELECT file, label AS cluster, count(*) AS nc, {means}, {cov} FROM points GROUP BY file, label), "
+        f"l AS (SELECT *, sum(nc) OVER (PARTITION BY file) AS n, {', '.join(steps)} FROM m), "
+        f"d AS (SELECT file, cluster, vec_id, label = cluster AS own, nc, n, {z}, {d2} AS d2 FROM points JOIN l USING (file))"
+    )
+
+
+D2 = _d2_sql()
 
 
 def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.distances(points(spark, sf_dir), "label", "vec_id", "x", "y")
+    return clusters.distances(points(spark, sf_dir), "file", "label", "vec_id", FEATURES)
 
 
 @query("a26_mahalanobis", f"WITH {D2} SELECT cluster, vec_id, own, round(d2, 6) AS d2 FROM d")
@@ -154,17 +183,18 @@ def mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_distances(spark, sf_dir), "d2").select("cluster", "vec_id", "own", "d2")
 
 
-RATIO = f"{D2}, l AS (SELECT cluster, sum(CASE WHEN NOT own THEN exp(-d2 / 2) ELSE 0 END) / any_value(nc) AS l_ratio FROM d GROUP BY cluster), r AS (SELECT cluster, d2, nc, row_number() OVER (PARTITION BY cluster ORDER BY d2, vec_id) AS r FROM d WHERE NOT own), i AS (SELECT cluster, d2 AS iso FROM r WHERE r = nc)"
+TAIL = "exp(-d2 / 2) * (1 + d2 / 2 + (d2 / 2) ^ 2 / 2 + (d2 / 2) ^ 3 / 6)"
+RATIO = f"{D2}, q AS (SELECT cluster, sum(CASE WHEN NOT own THEN {TAIL} ELSE 0 END) / any_value(nc) AS l_ratio FROM d GROUP BY cluster), r AS (SELECT cluster, d2, nc, n, row_number() OVER (PARTITION BY cluster ORDER BY d2, vec_id) AS r FROM d WHERE NOT own), i AS (SELECT cluster, d2 AS iso FROM r WHERE r = nc AND 2 * nc <= n)"
 
 
-@query("a27_l_ratio", f"WITH {RATIO} SELECT cluster, round(l_ratio, 6) AS l_ratio FROM l")
+@query("a27_l_ratio", f"WITH {RATIO} SELECT cluster, round(l_ratio, 6) AS l_ratio FROM q")
 def l_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(clusters.l_ratio(_distances(spark, sf_dir), 2), "l_ratio")
+    return rounded(clusters.l_ratio(_distances(spark, sf_dir), len(FEATURES)), "l_ratio").drop("file")
 
 
-@query("a28_o2_isolation_distance", f"WITH {RATIO} SELECT l.cluster, round(i.iso, 6) AS iso FROM l LEFT JOIN i USING (cluster)")
+@query("a28_o2_isolation_distance", f"WITH {RATIO} SELECT q.cluster, round(i.iso, 6) AS iso FROM q LEFT JOIN i USING (cluster)")
 def isolation_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(clusters.isolation(_distances(spark, sf_dir), "vec_id"), "iso")
+    return rounded(clusters.isolation(_distances(spark, sf_dir), "vec_id"), "iso").drop("file")
 
 
 @query("o3_nearest_pool", f"WITH {RATIO} SELECT cluster, count(*) AS n, round(max(d2), 6) AS furthest FROM r WHERE r <= 3 * nc GROUP BY cluster")
@@ -172,10 +202,10 @@ def nearest_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(clusters.pool(_distances(spark, sf_dir), "vec_id").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("furthest")), "furthest")
 
 
-@query("p16_cluster_labels", f"WITH {RATIO} SELECT l.cluster, CASE WHEN l_ratio < 0.2 AND iso > 10 THEN 'Good' ELSE 'Poor' END AS quality, CASE WHEN l_ratio / 100 < 0.05 THEN 'Yes' ELSE 'No' END AS shuffled FROM l LEFT JOIN i USING (cluster)")
+@query("p16_cluster_labels", f"WITH {RATIO} SELECT q.cluster, CASE WHEN l_ratio < 0.2 AND iso > 10 THEN 'Good' ELSE 'Poor' END AS quality, CASE WHEN l_ratio / 100 < 0.05 THEN 'Yes' ELSE 'No' END AS shuffled FROM q LEFT JOIN i USING (cluster)")
 def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _distances(spark, sf_dir)
-    rows = clusters.l_ratio(d, 2).join(clusters.isolation(d, "vec_id"), "cluster", "left")
+    rows = clusters.l_ratio(d, len(FEATURES)).join(clusters.isolation(d, "vec_id"), ["file", "cluster"], "left")
     return rows.select("cluster", clusters.label(F.col("l_ratio"), F.col("iso")).alias("quality"), clusters.shuffle_label(F.col("l_ratio") / 100).alias("shuffled"))
 
 

@@ -233,13 +233,16 @@ def scan(spark: SparkSession, path: str, kind: str | None = None, fields: list[s
 
 
 def concatenated(files: DataFrame, order: str = "path") -> DataFrame:
-    """Records of several cluster files as one: cell_number counts the files from 1, records are renumbered in time."""
+    """Records of several cluster files as one: cell_number counts the files from 1, records are renumbered in time, by
+    ranges of it rather than in one task."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
+    from ..operators.ordering import placed
+
     numbers = files.select(order).distinct().withColumn("cell", F.row_number().over(Window.orderBy(order)))  # a row for each file
     rows = files.join(F.broadcast(numbers), order).withColumn("cell_number", F.col("cell").cast("bigint")).drop("cell")
-    return rows.withColumn("record", F.row_number().over(Window.orderBy("ts", order, "record")).cast("bigint"))
+    return placed(rows.withColumnRenamed("record", "__old"), ["ts", order, "__old"], "record").select(*files.columns)
 
 
 def spike_counts(spark: SparkSession, folder: str, kind: str = "ntt") -> DataFrame:
@@ -261,6 +264,15 @@ def track(spark: SparkSession, path: str, centimetres: bool = False) -> DataFram
     return rows.filter(finite("ts") & finite("x") & finite("y"))
 
 
+def coordinates(spark: SparkSession, path: str) -> DataFrame:
+    """ts, x, y of a sheet without header: its first three columns, by place; cells that aren't numbers drop their row."""
+    from pyspark.sql import functions as F
+
+    rows = spark.read.option("header", "false").csv(path)
+    rows = rows.select(*[F.col(f"`{c}`").try_cast("double").alias(k) for c, k in zip(rows.columns, ("ts", "x", "y"))])
+    return rows.dropna()
+
+
 def trace(blocks: DataFrame, scale: float = 1.0, honour_valid: bool = False) -> DataFrame:
     """path, i (from 0, gapless), v: the samples of continuous records, all of them or the valid ones."""
     from pyspark.sql import Window

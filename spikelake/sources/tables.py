@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote, urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,26 @@ def read_text_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Da
     return spark.read.option("header", "true").option("inferSchema", "false").option("nullValue", "\0").option("emptyValue", "").option("encoding", encoding).csv(path)
 
 
+def latin1_files(spark: SparkSession, folder: str) -> tuple[list[str], list[str]]:
+    """The CSV files below a folder that are UTF-8, and those that aren't."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(folder)
+    found = files.select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("good")).orderBy("path").collect()  # a row for each file
+    return [r.path for r in found if r.good], [r.path for r in found if not r.good]
+
+
+def converted(spark: SparkSession, folder: str, out: str, mode: str = "error") -> list[tuple[str, str]]:
+    """Each CSV file below a folder as a Parquet table of the same name below `out`: all cells are the text that stands
+    there, in UTF-8 or else Latin-1. Gives the pairs of source and target; there is a job for each file."""
+    good, other = latin1_files(spark, folder)
+    root, done = unquote(urlparse(folder).path).rstrip("/"), []
+    for path, encoding in sorted([(p, "UTF-8") for p in good] + [(p, "ISO-8859-1") for p in other]):
+        below = unquote(urlparse(path).path).removeprefix(root).lstrip("/")
+        target = f"{out}/{below.removesuffix('.csv')}.parquet"
+        read_text_csv(spark, path, encoding).write.mode(mode).parquet(target)
+        done.append((path, target))
+    return done
+
+
 def manifest(units: DataFrame, chosen: str, path: str, root: str) -> DataFrame:
     """source and target of the files of chosen units, the target below the root by the last two folders."""
     parts = F.split(F.col(path), "/")

@@ -1,9 +1,10 @@
 """Operators on hand-made rows with known answers, and metamorphic checks."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spikelake.operators import clusters, joins, maps, ordering, spikes, windows
+from spikelake.operators import clusters, fields, joins, maps, ordering, spikes, windows
 from spikelake.streaming import epochs
 
 
@@ -55,12 +56,25 @@ def test_outliers_gaps_and_p_values(spark):
 
 
 def test_chi_squared_and_l_ratio(spark):
-    d = spark.createDataFrame([(1, 1, True, 1, 0.5), (1, 2, False, 1, 4.0)], "cluster int, k int, own boolean, nc long, d2 double")
+    d = spark.createDataFrame([("f", 1, 1, True, 1, 2, 0.5), ("f", 1, 2, False, 1, 2, 4.0)], "file string, cluster int, k int, own boolean, nc long, n long, d2 double")
     assert clusters.l_ratio(d, 2).first().l_ratio == pytest.approx(2.718281828**-2)
     assert clusters.isolation(d, "k").first().iso == 4.0
     assert clusters.isolation(d.withColumn("nc", F.lit(2)), "k").first().iso is None
 
 
+def test_mahalanobis_in_eight_dimensions(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((120, 8)) @ rng.standard_normal((8, 8))
+    names = [f"f{i}" for i in range(8)]
+    rows = [("ab"[i % 2], i // 2 % 3, i, *map(float, v)) for i, v in enumerate(x)]
+    points = spark.createDataFrame(rows, "file string, label int, k int, " + ", ".join(f"{n} double" for n in names))
+    for r in clusters.distances(points, "file", "label", "k", names).collect():
+        own = np.array([v[3:] for v in rows if v[0] == r.file and v[1] == r.cluster])
+        d = x[r.k] - own.mean(0)
+        assert r.d2 == pytest.approx(d @ np.linalg.inv(np.cov(own.T) + np.eye(8) * 1e-10) @ d, rel=1e-8)
+        assert r.nc == len(own) and r.n == 60 and r.own == (rows[r.k][1] == r.cluster)
+
+
 def test_information_ignores_the_scale_and_rolls_come_round(spark):
     bins = spark.createDataFrame([(i, 0, float(i % 3 + 1), True, float(i)) for i in range(9)], "bx int, by_ int, occ double, valid boolean, smooth double")
     a, b = maps.information(bins, []).first(), maps.information(bins.withColumn("smooth", F.col("smooth") * 7), []).first()
@@ -84,3 +98,33 @@ def test_streaming_epochs_match_batch(spark, tmp_path):
         want = sorted(map(tuple, f(spark.read.parquet(str(tmp_path / "in"))).collect()))
         got = sorted(map(tuple, spark.table(name).collect()))
         assert got == want if name == "t" else set(got) <= set(want)
+
+
+def test_student_p_is_the_incomplete_beta(spark):
+    from spikelake.functions.columns import student_p
+    from spikelake.functions.stats import correlation_p
+
+    rows = [(float(r), n) for n in (3, 4, 5, 8, 13, 40, 101) for r in (0.0, 0.1, -0.5, 0.93)]
+    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") ** 2))
+    got = spark.createDataFrame(rows, "r double, n long").select("r", "n", student_p(t, F.col("n") - 2).alias("p")).collect()
+    for r in got:
+        assert r.p == pytest.approx(correlation_p(r.r, r.n), abs=1e-9), r
+
+
+def test_fits_with_p(spark):
+    rows = [(1, float(x), 2.0 * x + (x % 3), 1.0 + x % 2) for x in range(9)] + [(2, float(x), 3.0 * x, 1.0) for x in range(4)]
+    docs = spark.createDataFrame(rows, "k int, x double, y double, w double")
+    line, even = ({r.k: r for r in f.collect()} for f in (fields.fit_line(docs, ["k"], "x", "y"), fields.fit_weighted(docs.withColumn("w", F.lit(2.0)), ["k"], "x", "y", "w")))
+    assert line[1].p == pytest.approx(even[1].p) and 0 < line[1].p < 1e-4 and line[2].p < 1e-12 and even[1].slope == pytest.approx(line[1].slope)
+
+
+def test_calmest_epochs_keep_apart(spark):
+    rows = [(1, e, 1.0 + abs(e - 7) / 10, 1.0) for e in range(20)] + [(2, e, float(e), 1.0) for e in range(1, 4)]
+    got = fields.calmest(spark.createDataFrame(rows, "c int, e int, p double, l double"), "c", "e", "p", "l").collect()
+    assert sorted((r.c, r.rank, r.e) for r in got) == [(1, 1, 7), (1, 2, 2), (2, 1, 1), (2, 2, 2)]
+
+
+def test_phases_between_reference_peaks(spark):
+    peaks = spark.createDataFrame([(0, float(t)) for t in (0, 10, 20, 100)] + [(1, float(t)) for t in (-1, 5, 12, 60, 100)], "c int, t double")
+    got = {r.t: r.phase for r in fields.phases(peaks, "c", "t", 0, 15.0).collect()}
+    assert got == pytest.approx({5.0: np.pi, 12.0: 0.4 * np.pi, 60.0: np.pi})

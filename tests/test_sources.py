@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from spikelake.sources import records as R
+from spikelake.sources import tables as T
 
 TEXT = b"######## test\r\n-ADBitVolts 3.05e-8 3.05e-8\r\n-SamplingFrequency 32000\r\n".ljust(R.HEADER, b"\0")
 
@@ -84,3 +85,14 @@ def test_tables(spark, tmp_path):
     tables.write_list(rows, "path", str(tmp_path / "l"))
     assert spark.read.text(str(tmp_path / "l")).count() == 2
     assert [tuple(r) for r in tables.manifest(rows, "chosen", "path", "out").collect()] == [("a/b/TT1.ntt", "out/b/TT1.ntt")]
+
+
+def test_coordinates_and_conversion(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "c.csv").write_text("1,2.5,3,9\n2,x,4,9\n3,4,5,9\n")
+    (tmp_path / "in" / "deep" / "ä.csv").write_bytes("name,n\nm\u00fcller,007\n,\n".encode("latin-1"))
+    assert [tuple(r) for r in R.coordinates(spark, str(tmp_path / "in" / "c.csv")).orderBy("ts").collect()] == [(1.0, 2.5, 3.0), (3.0, 4.0, 5.0)]
+    done = T.converted(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert len(done) == 2
+    rows = spark.read.parquet(str(tmp_path / "out" / "deep" / "ä.parquet")).collect()
+    assert [tuple(r) for r in rows] == [("m\u00fcller", "007"), ("", "")]
