@@ -242,7 +242,10 @@ def _labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
             need = F.ceil((F.col("n") + least) * percent / (100 + percent))
             needs = placed.join(main, "key").join(low, "key").groupBy("node", "n", "u", "comp").agg(F.min(need).alias("need"), F.max(F.col("comp") != F.col("main.comp")).alias("outer"))
             rank = F.row_number().over(Window.partitionBy("node").orderBy("c", "h"))
-            rare = cut(common.join(needs, "node").withColumn("rank", rank).filter(F.col("rank") <= F.col("u") - F.col("need") + 1))
+            # Of shingles that stand in the same texts, as those around an edit do, the first stands for all.
+            first_of = F.min("h").over(Window.partitionBy("node", "c", "g")) == F.col("h")
+            rare = common.join(needs, "node").withColumns({"rank": rank, "first_of": first_of})
+            rare = cut(rare.filter(F.col("first_of") & (F.col("rank") <= F.col("u") - F.col("need") + 1)))
             x, y = (rare.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "u", "comp", "outer", "rank")]) for side in "xy")
             bound = F.least("rank_x", "rank_y") + F.least(F.col("u_x") - F.col("rank_x"), F.col("u_y") - F.col("rank_y"))
             once = F.col("outer_x") & (~F.col("outer_y") | (F.col("node_x") < F.col("node_y")))
@@ -273,7 +276,8 @@ def _led(placed: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _common(texts: DataFrame, width: int) -> DataFrame:
-    """node, h and c: those of its shingles that stand in c > 1 of the texts; no two texts share others."""
+    """node, h, c and g: those of its shingles that stand in c > 1 of the texts, g being equal for those that stand in the
+    same texts; no two texts share others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -281,8 +285,8 @@ def _common(texts: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     rows = texts.dropDuplicates(["node"]).mapInArrow(run, "node long, set array<long>").select("node", F.explode("set").alias("h"))
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    return rows.join(often, "h").select("node", "h", "c")
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("g")).filter("c > 1")
+    return rows.join(often, "h").select("node", "h", "c", "g")
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
