@@ -26,7 +26,7 @@ def write_list(rows: DataFrame, column: str, path: str, mode: str = "error") ->
 
 def read_text_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """All cells as the text that stands there; empty ones stay empty."""
-    return spark.read.option("header", "true").option("inferSchema", "false").option("nullValue", "\0").option("emptyValue", "").option("encoding", encoding).csv(path)
+    return spark.read.option("header", "true").option("inferSchema", "false").option("nullValue", "\0").option("emptyValue", "").option("encoding", encoding).csv(path).na.fill("")
 
 
 def latin1_files(spark: SparkSession, folder: str) -> tuple[list[str], list[str]]:
