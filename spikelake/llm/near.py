@@ -233,8 +233,8 @@ def _labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
             near = cut(_apart(near.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), comps).join(pairs, ["a", "b"], "left_anti"))
             edges, comps = _extended(edges, comps, near, texts, width, percent)
             # Two members that are apart aren't both in their bucket's largest component; and they are similar only if they
-            # share one of the rarest shingles of each, for the others are one too few. What stands before and after a shared
-            # shingle in this order bounds what they share in all.
+            # share one of the rarest shingles of each, for the others are one too few. What stands after the first that they
+            # share in this order bounds what they share in all.
             placed = _open(placed.select("key", "node", "n", "u"), comps)
             main = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"))
             low = placed.groupBy("key").agg(F.min("n").alias("low"))
@@ -247,7 +247,7 @@ def _labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
             rare = common.join(needs, "node").withColumns({"rank": rank, "first_of": first_of})
             rare = cut(rare.filter(F.col("first_of") & (F.col("rank") <= F.col("u") - F.col("need") + 1)))
             x, y = (rare.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "u", "comp", "outer", "rank")]) for side in "xy")
-            bound = F.least("rank_x", "rank_y") + F.least(F.col("u_x") - F.col("rank_x"), F.col("u_y") - F.col("rank_y"))
+            bound = 1 + F.least(F.col("u_x") - F.col("rank_x"), F.col("u_y") - F.col("rank_y"))  # where it is their first in common
             once = F.col("outer_x") & (~F.col("outer_y") | (F.col("node_x") < F.col("node_y")))
             cross = x.filter("outer_x").join(y, "h").filter(once & (F.col("comp_x") != F.col("comp_y")) & fits(F.col("n_x"), F.col("n_y")) & enough(bound, F.col("n_x"), F.col("n_y")))
             cross = cross.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
