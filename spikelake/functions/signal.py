@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: The frequency of a notch over its width.
+NOTCH_Q = 30.0
+
 
 def bandpass_taps(low: float, high: float, fs: float) -> np.ndarray:
     """A Hamming-windowed sinc band-pass with unit gain at its centre, 4 fs over the transition width long, 101 at least."""
@@ -51,7 +54,7 @@ def butterworth(x: np.ndarray, low: float, high: float, fs: float, order: int =
     return _zero_phase(x, gain, fs)
 
 
-def notch(x: np.ndarray, at: float, fs: float, q: float = 30.0) -> np.ndarray:
+def notch(x: np.ndarray, at: float, fs: float, q: float = NOTCH_Q) -> np.ndarray:
     """A zero-phase second-order notch of width at / q."""
     w0, beta = 2 * np.pi * at / fs, np.tan(np.pi * at / fs / q)
 

@@ -26,7 +26,7 @@ def per_row(rows: DataFrame, f: Callable[..., dict], keys: list[str], inputs: li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {n: [] for n in names}
-            columns = [[np.asarray(v.as_py()) if isinstance(v.as_py(), list) else v.as_py() for v in batch.column(c)] for c in inputs]
+            columns = [[v.values.to_numpy(zero_copy_only=False) if isinstance(v, pa.ListScalar) and v.is_valid else v.as_py() for v in batch.column(c)] for c in inputs]
             for row, key in enumerate(zip(*(batch.column(k).to_pylist() for k in keys))):
                 found = f(zlib.crc32(repr(key).encode()), *(c[row] for c in columns))
                 for n in names:
@@ -34,7 +34,7 @@ def per_row(rows: DataFrame, f: Callable[..., dict], keys: list[str], inputs: li
                     out[n].append(None if isinstance(value, float) and not np.isfinite(value) else value)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(out[n]) for n in names)], names=[*keys, *names]) if batch.num_rows else batch.select([])
 
-    return rows.select(*keys, *inputs).mapInArrow(run, full)
+    return rows.select(*dict.fromkeys([*keys, *inputs])).mapInArrow(run, full)
 
 
 def traces(samples: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -43,19 +43,42 @@ def traces(samples: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return samples.groupBy(key).agg(F.transform(pairs, lambda p: p[value]).alias("samples"))
 
 
-def bandpassed(rows: DataFrame, key: str, low: float, high: float, fs: float) -> DataFrame:
+def blocks(samples: DataFrame, key: str, order: str, value: str, length: int, halo: int) -> DataFrame:
+    """key, block, start and samples: each trace cut into blocks of `length` samples, with up to `halo` of those around.
+
+    `order` numbers a key's samples from 0 without gaps; start is the number of the first sample given. A group holds
+    length + 2 * halo samples, however long the trace.
+    """
+    of = lambda i: F.floor(i / length).cast("long")
+    wide = F.sequence(F.greatest(F.lit(0).cast("long"), of(F.col(order) - halo)), of(F.col(order) + halo))
+    rows = samples.select(key, order, value, F.explode(wide).alias("block")).groupBy(key, "block")
+    rows = rows.agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("pairs"), F.max(order).alias("last"))
+    rows = rows.filter(F.col("last") >= F.col("block") * length)  # else there's nothing but halo
+    return rows.select(key, "block", F.col("pairs")[0][order].cast("long").alias("start"), F.transform("pairs", lambda p: p[value]).alias("samples"))
+
+
+def bandpassed(samples: DataFrame, key: str, order: str, value: str, low: float, high: float, fs: float, length: int | None = None) -> DataFrame:
+    """key, i and v: the samples under a finite band-pass, filtered in blocks (64 times the filter's length, or `length`);
+    the halo is half the filter, so the values are those of the whole trace."""
     taps = signal.bandpass_taps(low, high, fs)
-    return per_row(rows, lambda seed, x: {"filtered": signal.convolved(x.astype(float), taps).tolist()}, [key], ["samples"], "filtered array<double>")
+    length = length or 64 * len(taps)
+
+    def f(seed: int, block: int, start: int, x: np.ndarray) -> dict:
+        own = block * length - start
+        return {"filtered": signal.convolved(x.astype(float), taps)[own : own + length].tolist()}
+
+    rows = per_row(blocks(samples, key, order, value, length, len(taps) // 2), f, [key, "block"], ["block", "start", "samples"], "filtered array<double>")
+    return rows.select(key, "block", F.posexplode("filtered").alias("i", "v")).select(key, (F.col("block") * length + F.col("i")).alias("i"), "v")
 
 
-def ripples(rows: DataFrame, key: str, fs: float, low: float = 100, high: float = 250, onset: float = 2, peak: float = 5, gap: float = 0.03, shortest: float = 0.02, longest: float = 0.1) -> DataFrame:
+def ripples(samples: DataFrame, key: str, order: str, value: str, fs: float, low: float = 100, high: float = 250, onset: float = 2, peak: float = 5, gap: float = 0.03, shortest: float = 0.02, longest: float = 0.1, length: int | None = None) -> DataFrame:
     """key, start_time, end_time, peak_time (of the trough), peak_normed_power and duration_ms of the ripples of each trace.
 
-    Only the filter is a kernel; squaring, smoothing, thresholds and merging are window operators.
+    samples: as for `blocks`. Only the filter is a kernel; squaring, smoothing, thresholds and merging are window operators.
     """
     from . import fields, joins, windows
 
-    long = bandpassed(rows, key, low, high, fs).select(key, F.posexplode("filtered").alias("i", "v")).withColumn("i", F.col("i").cast("long"))
+    long = bandpassed(samples, key, order, value, low, high, fs, length)
     long = windows.moving_average(long.withColumn("square", F.col("v") * F.col("v")), key, "i", "square", 5, "power")
     long = fields.unity(long, [key], "power").select(key, "i", "v", "nss")
     spans = windows.merged(windows.islands(long, key, "i", F.col("nss") > onset), key, round(gap * fs))
@@ -66,25 +89,37 @@ def ripples(rows: DataFrame, key: str, fs: float, low: float = 100, high: float
     return found.select(key, (F.col("start") / fs).alias("start_time"), (F.col("stop") / fs).alias("end_time"), (F.col("at") / fs).alias("peak_time"), F.col("power").alias("peak_normed_power"), ((F.col("stop") - F.col("start")) / fs * 1000).alias("duration_ms"))
 
 
-def spectra(rows: DataFrame, key: str, fs: float, seconds: float, hand_rolled: bool = False, notches: tuple[float, ...] = (), down: int = 1) -> DataFrame:
-    """key, epoch, freqs and power: the density of each whole epoch, after resampling and notches.
+def spectra(samples: DataFrame, key: str, order: str, value: str, fs: float, seconds: float, hand_rolled: bool = False, notches: tuple[float, ...] = (), down: int = 1, band: tuple[float, float] | None = None, epochs: int = 64) -> DataFrame:
+    """key, epoch, freqs and power: the density of each whole epoch, after resampling, a Butterworth band and notches.
 
-    hand_rolled: a symmetric window and linear detrending instead of a periodic one and the mean.
+    samples: as for `blocks`; a block has `epochs` epochs. hand_rolled: a symmetric window and linear detrending instead
+    of a periodic one and the mean. The halo holds the resampling filter and the warm-up of the zero-phase filters, in
+    which the slowest of their responses falls by 28 powers of e; a trace within one block is filtered as a whole. Only
+    near a trace's own ends, which are padded by two seconds, can values depend on the blocks in the fourth digit.
     """
+    rate = fs / down
+    n = int(seconds * rate)
+    slowest = [np.pi * at / signal.NOTCH_Q for at in notches] + ([0.38 * np.pi * min(band[0], band[1] - band[0])] if band else [])
+    warm = sum(int(np.ceil(28 * rate / s)) for s in slowest)
+    length, halo = epochs * n * down, (warm + (20 if down > 1 else 0)) * down
 
-    def f(seed: int, x: np.ndarray) -> dict:
+    def f(seed: int, block: int, start: int, x: np.ndarray) -> dict:
         x = x.astype(float)
         x = signal.resampled(x, down) if down > 1 else x
+        if band:
+            x = signal.butterworth(x, *band, rate)
         for at in notches:
-            x = signal.notch(x, at, fs / down)
-        n = int(seconds * fs / down)
+            x = signal.notch(x, at, rate)
+        own = (block * length - start) // down
+        x = x[own : own + epochs * n]
         if len(x) < n:
             return {"freqs": [], "powers": []}
-        freqs, power = signal.density(x[: len(x) // n * n].reshape(-1, n), fs / down, not hand_rolled, hand_rolled)
+        freqs, power = signal.density(x[: len(x) // n * n].reshape(-1, n), rate, not hand_rolled, hand_rolled)
         return {"freqs": freqs.tolist(), "powers": power.tolist()}
 
-    out = per_row(rows, f, [key], ["samples"], "freqs array<double>, powers array<array<double>>")
-    return out.select(key, "freqs", F.posexplode("powers").alias("epoch", "power"))
+    out = per_row(blocks(samples, key, order, value, length, halo), f, [key, "block"], ["block", "start", "samples"], "freqs array<double>, powers array<array<double>>")
+    out = out.select(key, "block", "freqs", F.posexplode("powers").alias("k", "power"))
+    return out.select(key, "freqs", (F.col("block") * epochs + F.col("k")).alias("epoch"), "power")
 
 
 def rate_map(bins: np.ndarray, occ: np.ndarray, spikes: np.ndarray, shape: tuple[int, int], least: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -123,11 +158,12 @@ def shuffled_information(units: DataFrame, keys: list[str], nx: int, ny: int, fp
         if not len(bins):
             return {}
         bins, spikes, occ = bins.astype(np.int64), spikes.astype(np.int64), occ.astype(float)
-        one = lambda s: information(*rate_map(bins, occ, s, (nx, ny), least))
-        real, low, high = one(spikes), int(margin * fps), len(bins) - int(margin * fps)
+        seconds, none = np.bincount(bins, occ, nx * ny).reshape(nx, ny), np.zeros((nx, ny), bool)
+        one = lambda shifts: shifted_information(bins, seconds, spikes, shifts, least, none, 0.0)
+        real, low, high = float(one(np.array([0]))[0]), int(margin * fps), len(bins) - int(margin * fps)
         if high < low or not len(spikes):
             return {"sir": real}
-        null = np.array([one((spikes + k) % len(bins)) for k in np.random.default_rng(seed).integers(low, high + 1, draws)])
+        null = one(np.random.default_rng(seed).integers(low, high + 1, draws))
         p95 = float(np.percentile(null, 95))
         return {"sir": real, "null_mean": float(null.mean()), "null_p95": p95, "significant": bool(real > p95)}
 

@@ -16,19 +16,19 @@ def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("n1_ripples")
 def ripples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of each user as a trace at 40 Hz, with bounds to match."""
-    found = kernels.ripples(_traces(spark, sf_dir), "channel", 40.0, 4.0, 12.0, 0.5, 1.0, 0.1, 0.05, 2.0)
+    found = kernels.ripples(trace(spark, sf_dir), "channel", "i", "v", 40.0, 4.0, 12.0, 0.5, 1.0, 0.1, 0.05, 2.0)
     return rounded(found, "start_time", "end_time", "peak_time", "peak_normed_power", "duration_ms")
 
 
 @query("n2_n3_n5_spectra")
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = kernels.spectra(_traces(spark, sf_dir), "channel", 32.0, 1.0, notches=(8.0,), down=2)
+    rows = kernels.spectra(trace(spark, sf_dir), "channel", "i", "v", 32.0, 1.0, notches=(5.0,), down=2, band=(1.0, 7.0))
     return rounded(rows.select("channel", "epoch", F.posexplode("power").alias("k", "power")), "power")
 
 
 @query("n7_hand_rolled_spectra")
 def hand_rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = kernels.spectra(_traces(spark, sf_dir), "channel", 16.0, 1.0, hand_rolled=True)
+    rows = kernels.spectra(trace(spark, sf_dir), "channel", "i", "v", 16.0, 1.0, hand_rolled=True)
     return rounded(rows.select("channel", "epoch", F.posexplode("power").alias("k", "power")), "power")
 
 

@@ -80,8 +80,11 @@ def test_ripples_of_a_made_up_trace(spark):
         t = np.arange(-40, 41)
         x[at - 40 : at + 41] += np.exp(-(t**2) / 300) * np.sin(2 * np.pi * 160 * t / fs) * 3
     rows = spark.createDataFrame([(1, x.tolist()), (2, (rng.standard_normal(n) * 0 + 1).tolist())], "channel int, samples array<double>")
-    got = sorted(kernels.ripples(rows, "channel", fs).collect(), key=lambda r: r.start_time)
+    long = rows.select("channel", F.posexplode("samples").alias("i", "v"))
+    got = sorted(kernels.ripples(long, "channel", "i", "v", fs).collect(), key=lambda r: r.start_time)
     assert len(got) == 2 and [round(r.peak_time, 1) for r in got] == [1.0, 2.5]
+    short = sorted(kernels.ripples(long, "channel", "i", "v", fs, length=300).collect(), key=lambda r: r.start_time)
+    assert np.allclose(np.array(short, float), np.array(got, float))
     for r in got:
         assert r.duration_ms == pytest.approx((r.end_time - r.start_time) * 1000) and 20 <= r.duration_ms <= 100 and r.peak_normed_power > 5
 
@@ -215,3 +218,23 @@ def test_smoothed_traces(spark):
     rows = spark.createDataFrame([(1, [1.0] * 40)], "c int, samples array<double>")
     for method, width in (("in_place", 15), ("gaussian", 2.0), ("polynomial", 11)):
         assert kernels.smoothed(rows, "c", method, width).first().smooth == pytest.approx([1.0] * 40)
+
+
+def test_blocks_give_the_values_of_the_whole_trace(spark):
+    rng = np.random.default_rng(12)
+    xs = {1: rng.standard_normal(20_011).cumsum() / 50 + rng.standard_normal(20_011), 2: rng.standard_normal(7)}
+    long = spark.createDataFrame([(k, i, float(v)) for k, x in xs.items() for i, v in enumerate(x)], "c int, i long, v double").repartition(4)
+    taps = signal.bandpass_taps(100, 250, 1000)
+    got = {(r.c, r.i): r.v for r in kernels.bandpassed(long, "c", "i", "v", 100, 250, 1000, 1500).collect()}
+    assert len(got) == sum(map(len, xs.values()))
+    for k, x in xs.items():
+        assert np.allclose([got[k, i] for i in range(len(x))], signal.convolved(x, taps), atol=1e-10)
+    x = signal.notch(signal.butterworth(signal.resampled(xs[1], 2), 2, 40, 100), 30, 100)
+    freqs, power = signal.density(x[: len(x) // 100 * 100].reshape(-1, 100), 100)
+    for epochs in (7, 1000):
+        found = {r.epoch: r for r in kernels.spectra(long, "c", "i", "v", 200.0, 1.0, notches=(30.0,), down=2, band=(2.0, 40.0), epochs=epochs).collect()}
+        assert sorted(found) == list(range(100)) and found[3].c == 1 and found[0].freqs == pytest.approx(freqs.tolist())
+        got = np.array([found[e].power for e in range(100)])
+        assert np.allclose(got[10:90], power[10:90], rtol=1e-6, atol=1e-12) and np.allclose(got, power, rtol=0, atol=1e-4)
+    cut = {(r.c, r.block): (r.start, len(r.samples)) for r in kernels.blocks(long, "c", "i", "v", 10_000, 20).collect()}
+    assert cut == {(1, 0): (0, 10_020), (1, 1): (9980, 10_031), (1, 2): (19_980, 31), (2, 0): (0, 7)}
