@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, lines, lm, mixing, near, pii, quality, secrets, toxicity
+from . import bpe, chat, codes, exact, lines, lm, mixing, near, pii, quality, secrets, spelling, toxicity
 from .common import crc_mod, read
 
 
@@ -70,6 +70,38 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = codes.compressed(read(spark, sf_dir, "embeddings"))
+    return rows.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    found = chat.formatted(turns.unionByName(own).withColumn("parts", chat.text_part(F.col("text"))))
+    found = found.select("conv_id", chat.text(F.col("segments")).alias("whole"), chat.learned_text(F.col("segments")).alias("learned"), F.size("attachments").cast("long").alias("n_attachments"))
+    back = F.transform(chat.read_back(F.col("whole")), lambda t: F.concat(t.role, F.lit("\n"), F.array_join(t.texts, ""), F.lit("\n")))
+    found = found.select("conv_id", back.alias("turns"), "learned", F.char_length("whole").cast("long").alias("formatted_chars"), "n_attachments")
+    return found.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join("turns", ""), 256).alias("turns_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        "formatted_chars",
+        "n_attachments",
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.runs(read(spark, sf_dir, "documents"))
+    h = F.crc32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "word").cast("binary"))
+    words = words.withColumn("h", h)
+    cut = F.when(F.col("h") % 31 == 0, spelling.without(F.col("word"), F.col("h") % F.char_length("word"))).otherwise(F.col("word"))
+    return spelling.grouped(spelling.vocabulary(words.select(cut.alias("word"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
@@ -81,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_secret_scan": op9_secret_scan,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_chat_format": op12_chat_format,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -156,5 +191,97 @@ WITH rows AS (
 )
 SELECT n.doc_id, g.keep_id, g.group_size, (n.doc_id IS NOT DISTINCT FROM g.keep_id AND n.copy = 1) AS kept, sha256(n.norm) AS text_sha256
 FROM numbered n JOIN groups g ON n.norm = g.norm
+""",
+    "op12_chat_format": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, text AS raw, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]', '</s>[INST] ok [/INST]'
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, raw NULLS FIRST) AS r,
+    len(text) + len(regexp_extract_all(text, '<\\*(\||/?s>|/?SYS>>|start_of_turn>|end_of_turn>)')) + len(regexp_extract_all(text, '\[\\*/?INST\]'))
+    + len(role) + len(regexp_extract_all(role, '<\\*(\||/?s>|/?SYS>>|start_of_turn>|end_of_turn>)')) + len(regexp_extract_all(role, '\[\\*/?INST\]'))
+    + len('<|turn|><|body|><|end|>') AS chars
+  FROM turns
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY r)) AS turns_sha256,
+  coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY r) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments
+FROM ordered GROUP BY conv_id
+""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE steps(i, k, x) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM steps WHERE k < 8
+), crc AS (
+  SELECT list(x ORDER BY i) AS t FROM steps WHERE k = 8
+), runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS d, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), counted AS (
+  SELECT run, hex(encode(d || ':' || run)) AS code, count(*) AS c FROM runs GROUP BY run, d
+), hashed AS (
+  SELECT run, c, xor(list_reduce(list_transform(range(0, len(code), 2), lambda i: ('0x' || code[i + 1 : i + 2])::BIGINT), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM counted, crc
+), cut AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % len(run))::INT) || substr(run, (h % len(run))::INT + 2) ELSE run END AS word, c FROM hashed
+), words AS (
+  SELECT word, sum(c)::BIGINT AS n, len(word) AS m FROM cut WHERE len(word) >= 7 GROUP BY word HAVING sum(c) >= 2
+), gone AS (
+  SELECT word, n, m, p, substr(word, 1, p) || substr(word, p + 2) AS rest FROM (SELECT word, n, m, unnest(range(m)) AS p FROM words)
+), links AS (
+  SELECT a.word, b.word AS near, b.n FROM gone a JOIN gone b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM gone g JOIN words w ON g.rest = w.word
+  UNION SELECT w.word, g.word, g.n FROM gone g JOIN words w ON g.rest = w.word
+), best AS (
+  SELECT word, count(*)::BIGINT AS n_near, max(n) AS most, arg_min(near, struct_pack(a := -n, b := near)) AS near FROM links GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.most >= 10 * w.n THEN b.near END AS form, CASE WHEN b.most >= 10 * w.n THEN b.most END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word
+), chain(word, root) AS (
+  SELECT word, word FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON c.root = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN chain c ON f.word = c.word JOIN formed e ON c.root = e.word WHERE e.form IS NULL
 """,
 }
+
+
+def _codes_sql(rounds: int = codes.ROUNDS, parts: int = codes.PARTS, entries: int = codes.ENTRIES) -> str:
+    """Assign and move as one pair of tables a round; every part against every entry."""
+    sql = [
+        f"""WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT coalesce(list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))), false)
+), points AS MATERIALIZED (
+  SELECT r, (i - 1) * {parts} // len(embedding) AS part, (i - 1) % (len(embedding) // {parts}) AS pos, floor(256 * embedding[i]::DOUBLE)::BIGINT AS x
+  FROM (SELECT r, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM kept)
+), book0 AS MATERIALIZED (SELECT part, r AS entry, pos, x FROM points WHERE r < {entries}
+)"""
+    ]
+    for k in range(rounds + 1):
+        sql.append(
+            f""", code{k} AS MATERIALIZED (
+  SELECT r, part, arg_min(entry, struct_pack(d := d, e := entry)) AS entry, min(d) AS d FROM (
+    SELECT p.r, p.part, b.entry, sum((p.x - b.x) * (p.x - b.x))::BIGINT AS d FROM points p JOIN book{k} b ON p.part = b.part AND p.pos = b.pos GROUP BY p.r, p.part, b.entry)
+  GROUP BY r, part
+)"""
+        )
+        if k < rounds:
+            sql.append(
+                f""", mean{k} AS (
+  SELECT p.part, c.entry, p.pos, (sum(p.x) - ((sum(p.x) % count(*)) + count(*)) % count(*)) // count(*) AS x
+  FROM points p JOIN code{k} c ON p.r = c.r AND p.part = c.part GROUP BY p.part, c.entry, p.pos
+), book{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.pos, coalesce(m.x, b.x)::BIGINT AS x FROM book{k} b LEFT JOIN mean{k} m ON b.part = m.part AND b.entry = m.entry AND b.pos = m.pos
+)"""
+            )
+    return "".join(sql) + (
+        f""", whole AS (
+  SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM code{rounds} GROUP BY r
+)
+SELECT k.vec_id, w.code, w.error, (sum(w.error) OVER (PARTITION BY k.label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) FROM book{rounds}) AS codebooks_sha256
+FROM kept k JOIN whole w ON k.r = w.r
+"""
+    )
+
+
+ORACLES["op11_vector_codes"] = _codes_sql()
