@@ -208,10 +208,12 @@ def _labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     pairs = shared.filter("lead < node").groupBy(F.col("lead").alias("a"), F.col("node").alias("b"), "n").agg(F.count(F.lit(1)).alias("times"))
     pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("m")), "a").filter(fits(F.col("n"), F.col("m")))
     pairs = cut(pairs.select("a", "b", "times"))
-    wanted = shared.select("node").distinct().join(nodes.select("node", "of.doc_id", "of.th"), "node")
-    own = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    # One text for each node: repeated rows go before the join, so that pairs of nodes are never pairs of rows.
+    key = lambda c: [F.coalesce(F.col(c).cast("string"), F.lit("")).alias("d"), F.col(c).isNull().alias("none")]
+    wanted = shared.select("node").distinct().join(nodes.select("node", *key("of.doc_id"), F.col("of.th").alias("t")), "node")
+    own = docs.select(*key(doc_id), F.xxhash64(text).alias("t"), F.col(text).alias("text")).dropDuplicates(["d", "none", "t"])
     with tables(docs.sparkSession) as keep:
-        texts = keep(own.join(wanted, own.d.eqNullSafe(wanted.doc_id) & (own.t == wanted.th)).select("node", "text"))
+        texts = keep(own.join(wanted, ["d", "none", "t"]).select("node", "text"))
 
         # First each member with the leader of most of its bands, then what is still apart with its other leaders.
         first = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
@@ -226,7 +228,7 @@ def _labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
         if not placed.isEmpty():
             enough = lambda u, n, m: (100 + percent) * u >= percent * (n + m)
             common = cut(_common(texts.join(placed.select("node").distinct(), "node", "left_semi"), width))
-            counts = cut(common.groupBy("node").agg(F.count(F.lit(1)).alias("u")).coalesce(8))
+            counts = cut(common.groupBy("node").agg(F.count(F.lit(1)).alias("u")).coalesce(placed.count() // PACKED + 1))
             placed = placed.drop("comp").join(counts, "node").filter(100 * F.col("u") >= percent * F.col("n"))
             placed = _led(_open(placed, comps), comps)
             near = placed.filter(fits(F.col("n"), F.col("lead_n")) & enough(F.least("u", "lead_u"), F.col("n"), F.col("lead_n")))
@@ -284,9 +286,9 @@ def _common(texts: DataFrame, width: int) -> DataFrame:
             sets = [shingles(x or "", width).view(np.int64) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
-    rows = texts.dropDuplicates(["node"]).mapInArrow(run, "node long, set array<long>").select("node", F.explode("set").alias("h"))
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("g")).filter("c > 1")
-    return rows.join(often, "h").select("node", "h", "c", "g")
+    rows = texts.mapInArrow(run, "node long, set array<long>").select("node", F.explode("set").alias("h"))
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("g")).filter("n > 1")
+    return joined(rows, cut(often.withColumn("c", F.col("n"))), ["h"], "n").filter("c IS NOT NULL").select("node", "h", "c", "g")
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -309,7 +311,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     """One row of each group, and the rows without words, which are in none.
 
     Of a group stays the smallest id, null after all others; of one id the smallest hash of the text; of rows that repeat
-    both the smallest in all columns.
+    both the smallest in all columns, those with maps in them compared as JSON.
     """
     found = cut(_labelled(docs, doc_id, text, **options).filter("comp IS NOT NULL").groupBy("doc_id", "th", "comp").agg(F.count(F.lit(1)).alias("copies")))
     best = cut(found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best"), F.count(F.lit(1)).alias("c")))
@@ -319,5 +321,6 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     rows = docs.withColumns({d: F.col(doc_id), t: F.xxhash64(text)})
     same = lambda x: rows[d].eqNullSafe(x[d]) & (rows[t] == x[t])
     gone, again = marked.filter("NOT alone"), marked.filter("again")
-    repeated = rows.join(again, same(again), "left_semi").groupBy(d, t).agg(F.min(F.struct(*docs.columns)).alias(row))
+    order = [F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else F.col(c) for c, kind in docs.dtypes if c != text]
+    repeated = rows.join(again, same(again), "left_semi").groupBy(d, t).agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias(row))
     return rows.join(gone, same(gone), "left_anti").select(*docs.columns).unionByName(repeated.select(f"{row}.*"))

@@ -120,3 +120,26 @@ def test_near_one_row_of_each_group_stays(spark):
     th = dict(docs.select("text", F.xxhash64("text")).collect())
     got = near.deduplicated(docs).collect()
     assert collections.Counter(map(tuple, got)) == collections.Counter([rows[0], min(rows[1:3], key=lambda r: th[r[1]]), rows[4], rows[7], *rows[8:]])
+
+
+def test_near_repeated_rows_are_verified_once(spark, monkeypatch):
+    """Pairs of nodes are compared, not pairs of rows."""
+    rng = random.Random(6)
+    a = " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    rows = [(1, a), (2, a + " end"), (None, a + " null")] * 300 + [(3, "something else entirely, in words that no other row has")]
+    seen, verified = [], near.verified
+
+    def counted(pairs, texts, *rest):
+        seen.append((pairs.count(), texts.join(pairs.select(F.col("b").alias("node")), "node").count()))
+        return verified(pairs, texts, *rest)
+
+    monkeypatch.setattr(near, "verified", counted)
+    got = collections.Counter(as_rows(near.grouped(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), "doc_id", "component_id"))
+    assert got == {(1, 1): 300, (2, 1): 300, (None, 1): 300, (3, 3): 1}
+    assert seen and max(max(s) for s in seen) <= 3
+
+
+def test_near_keeps_columns_of_maps(spark):
+    rows = [(1, "one two three", {"a": 2}), (1, "one two three", {"a": 1}), (2, "ONE two three", None), (3, "", {"b": 1})]
+    got = near.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, meta map<string,int>")).collect()
+    assert sorted((r["doc_id"], r["meta"]) for r in got) == [(1, {"a": 1}), (3, {"b": 1})]
