@@ -146,7 +146,9 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
             key[3]: F.xxhash64(text),
         }
     )
-    rows = rows.withColumn(key[4], F.row_number().over(Window.partitionBy(*key[:4]).orderBy(F.lit(0)))).join(plan, key)
+    # Rows that agree in id, source, size and text are told apart by all their columns; what still ties is the same row.
+    whole_row = F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else F.col(c) for c, kind in docs.dtypes])
+    rows = rows.withColumn(key[4], F.row_number().over(Window.partitionBy(*key[:4]).orderBy(whole_row))).join(plan, key)
     whole, rest = F.expr(f"`{taken}` div `{key[2]}`").cast("int"), (F.col(taken) % F.col(key[2])).cast("int")
     head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, rest), " ")
     texts = F.concat(F.array_repeat(F.col(text), whole), F.when(rest > 0, F.array(head)).otherwise(F.array().cast("array<string>")))

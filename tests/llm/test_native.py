@@ -154,3 +154,11 @@ def test_mixed_texts(awkward, clashing, empty):
     for row in mixing.mixed(clashing, slot="slot").select(*own, "slot").collect():
         assert row.slot >= 0 and all(row[c] == f"own {c}" for c in own)
     assert mixing.mixed(clashing).columns == clashing.columns and mixing.mixed(empty).count() == 0 and mixing.mixture(empty).count() == 0
+
+
+def test_mixed_is_the_same_for_any_order_of_the_input(spark):
+    """Rows that agree in id, source, size and text, and differ in other columns."""
+    rows = [(1, "a b c d", "s", k, {"k": k}) for k in range(6)] + [(2, "e f g", "t", 1, None), (None, None, "t", 2, None), (None, None, "t", 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, meta map<string,int>")
+    tables = [sorted(map(str, mixing.mixed(docs.orderBy(*order).repartition(n)).collect())) for order, n in ((["n_chars"], 1), ([F.desc("n_chars")], 1), (["doc_id"], 4))]
+    assert tables[0] == tables[1] == tables[2] and len(tables[0]) > 3
