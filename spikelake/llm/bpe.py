@@ -1,8 +1,8 @@
 """Byte-level BPE with tiktoken: encode texts to ids, decode ids to raw bytes.
 
 A null text counts as empty and has no ids; repeated rows are encoded each by itself; ids keep the order of
-the text; an empty table gives an empty table; columns besides those named are kept unless they clash with
-the new one, which replaces them.
+the text; an empty table gives an empty table; columns besides those named are kept unless they clash, in whatever case,
+with the new one, which replaces them. Very long texts are encoded in parts, in time that grows with their length.
 """
 
 from __future__ import annotations
@@ -59,8 +59,8 @@ def encode_text(text: str, tokenizer: tiktoken.Encoding) -> np.ndarray:
 
 
 def _replaced(df: DataFrame, name: str, kind: T.DataType, using: str) -> tuple[DataFrame, T.StructType]:
-    df = df.select(*[c for c in df.columns if c != name or c == using])
-    return df, T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
+    df = df.select(*[c for c in df.columns if c.lower() != name.lower() or c == using])
+    return df, T.StructType([f for f in df.schema.fields if f.name.lower() != name.lower()] + [T.StructField(name, kind)])
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
