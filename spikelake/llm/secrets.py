@@ -33,7 +33,8 @@ SHORTEST, ASSIGNED = 16, 8
 TOKEN = re.compile(rf"[A-Za-z0-9_+/=.~-]{{{SHORTEST},}}")
 VALUE = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|credentials?|contraseña|passwort|mot de passe)[\"']?\s{0,3}[:=]{1,2}>?\s{0,3}[\"']?([^\s\"'`,;]{8,})", re.I)
 HINT = re.compile(r"pass|pwd|secret|token|key|auth|credential|contraseña|mot de", re.I)
-BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
+#: A key block goes to its END line, whatever headers it has, but not past another BEGIN; without one, to the next hyphen.
+BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]{0,40}PRIVATE KEY-----|[^-]*)")
 KNOWN = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}\Z|gh[pousr]_[A-Za-z0-9]{20,}|glpat-|xox[abprs]-|sk[-_][A-Za-z0-9_-]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.|npm_[A-Za-z0-9]{20,}")
 FOR = frozenset("password passwd pwd secret token key apikey api auth bearer credential credentials access private login passwort contraseña aws".split())
 AGAINST = frozenset("commit sha sha1 sha256 md5 checksum hash digest uuid guid id ref url href src path file image version revision blob tree etag build".split())
@@ -155,9 +156,10 @@ def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: fl
     """doc_id, n_candidates and secrets: an array of (start, end, score)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+    shared = docs.sparkSession.sparkContext.broadcast(model())  # bounded: the trees of a fixed number of findings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = model()
+        trees = shared.value
         for batch in slices(batches):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             spans = [candidates(x) for x in texts]
