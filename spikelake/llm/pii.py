@@ -45,8 +45,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]+")
 AT = re.compile(r" ?[\[({<] ?(?:at|@) ?[\])}>] ?", re.I)
-NAME = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
-HOST = re.compile(r"[A-Za-z0-9-]{2,63}(?:(?:\.| ?[\[({<] ?(?:dot|\.) ?[\])}>] ?)[A-Za-z0-9-]{2,63}){1,4}", re.I)
+HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[({<] ?(?:dot|\.) ?[\])}>] ?)[A-Za-z0-9-]{1,63}){1,4}", re.I)
 #: Forms of each kind. They hold no unbounded repeat, and are tried at every place of a text.
 FORMS = {
     "card": [r"(?<![0-9])(?=((?:[0-9]{4}[ -]?){3}[0-9]{4})(?![0-9]))", r"(?<![0-9])(?=([0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9]))"],
@@ -107,10 +106,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def proposed(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of every candidate of the whole text."""
     found = set()
+    done = 0
     for m in AT.finditer(text):
-        name, host = NAME.search(text, max(0, m.start() - 64), m.start()), HOST.match(text, m.end())
-        if name and host:
-            found.add((KINDS.index("hidden_email"), name.start(), host.end()))
+        name = m.start()
+        while name > done and text[name - 1] in LOCAL:
+            name -= 1
+        done = m.end()
+        if name < m.start() and (host := HOST.match(text, m.end())):
+            found.add((KINDS.index("hidden_email"), name, host.end()))
     digits, colons = DIGIT.search(text) is not None, ":" in text or "-" in text
     for kind, pattern, hexed in PROPOSED:
         if colons if hexed else digits:

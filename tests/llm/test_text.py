@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import string
 import time
 
+import numpy as np
 import pytest
 from conftest_rows import as_rows, lower, words
 from hypothesis import given, settings
@@ -231,3 +233,33 @@ def test_long_texts_take_linear_time():
         began = time.time()
         pii.all_spans([text], judge), secrets.candidates(text), quality.counts(text), lower(text)
         assert time.time() - began < 40, piece
+
+
+def test_bpe_replaces_names_of_any_case(spark):
+    docs = spark.createDataFrame([(1, "one two", 5)], "doc_id long, text string, IDS int")
+    coded = bpe.decode(bpe.encode(docs))
+    assert coded.columns == ["doc_id", "text", "ids", "data"] and bytes(coded.select("data").first()[0]) == b"one two"
+
+
+def test_pii_long_names_and_short_labels():
+    kind = pii.KINDS.index("hidden_email")
+    for text in ("x" * 500 + "(at)mail.org", "jane(at)x.org", "jane [at] m [dot] x [dot] org"):
+        assert (kind, 3, 3 + len(text)) in pii.proposed("to " + text)
+    assert pii.proposed("(at)x.org") == []
+
+
+@pytest.mark.parametrize("headers", ["", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0F1E2D3C4B5A69788796A5B4C3D2E1F0\n\n"])
+@pytest.mark.parametrize("kind", ["RSA ", "", "EC ", "ENCRYPTED "])
+def test_secrets_take_key_blocks_whole(headers, kind):
+    """Written without the module's patterns: from the first hyphen of BEGIN to the last of END."""
+    rng = random.Random(8)
+    line = lambda: "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(64))
+    block = f"-----BEGIN {kind}PRIVATE KEY-----\n{headers}" + "\n".join(line() for _ in range(8)) + f"\n-----END {kind}PRIVATE KEY-----"
+    text = f"before {block} after\n{block}\nend"
+    spans = secrets.candidates(text)
+    at = text.index(block), text.rindex(block)
+    assert [s for s in spans if s[1] - s[0] >= 100] == [(a, a + len(block)) for a in at]
+    scores = secrets.model().raw(np.array([secrets.features(text, *s) for s in spans]))
+    assert (scores >= secrets.LIMIT).all() and len(spans) == 2
+    cut = text.replace("-----END", "-----", 1)  # the first has no END: it doesn't reach into the second
+    assert (cut.rindex(block), cut.rindex(block) + len(block)) in secrets.candidates(cut)
