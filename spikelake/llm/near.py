@@ -228,7 +228,7 @@ def _labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
         if not placed.isEmpty():
             enough = lambda u, n, m: (100 + percent) * u >= percent * (n + m)
             common = cut(_common(texts.join(placed.select("node").distinct(), "node", "left_semi"), width))
-            counts = cut(common.groupBy("node").agg(F.count(F.lit(1)).alias("u")).coalesce(placed.count() // PACKED + 1))
+            counts = cut(common.groupBy("node").agg(F.count(F.lit(1)).alias("u")).coalesce(common.count() // PACKED + 1))
             placed = placed.drop("comp").join(counts, "node").filter(100 * F.col("u") >= percent * F.col("n"))
             placed = _led(_open(placed, comps), comps)
             near = placed.filter(fits(F.col("n"), F.col("lead_n")) & enough(F.least("u", "lead_u"), F.col("n"), F.col("lead_n")))
