@@ -147,21 +147,97 @@ def instantaneous_frequency(x: np.ndarray, fs: float) -> np.ndarray:
     return np.diff(np.unwrap(np.angle(analytic(x)))) * fs / (2 * np.pi)
 
 
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each run of equal values."""
+    edge = np.flatnonzero(np.diff(x) != 0)
+    return np.concatenate([[0], edge + 1]), np.concatenate([edge, [len(x) - 1]])
+
+
+def maxima(x: np.ndarray) -> np.ndarray:
+    """Local maxima: the middle of each run that is higher than what stands beside it; runs at the ends are none."""
+    if len(x) < 3:
+        return np.empty(0, np.int64)
+    first, last = runs(x)
+    v = x[first]
+    k = 1 + np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:]))
+    return (first[k] + last[k]) // 2
+
+
+KEPT, REMOVED, UNKNOWN = 1, 0, -1
+
+
+def spaced(at: np.ndarray, height: np.ndarray, distance: int, low: float = -np.inf, high: float = np.inf) -> np.ndarray:
+    """KEPT or REMOVED of each maximum: from the highest on (of equal ones the last) those less than `distance` away go.
+
+    The places are linked in both directions, and what is removed leaves the links: each is passed once. Beyond low and
+    high nothing is known: what that could change is UNKNOWN.
+    """
+    n = len(at)
+    state, doubt = np.full(n, KEPT, np.int8), np.zeros(n, bool)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    place = at.tolist()
+    for j in np.lexsort((at, height))[::-1].tolist():
+        if state[j] == REMOVED:
+            continue
+        unsure = doubt[j] or place[j] - low < distance or high - place[j] < distance
+        if unsure:
+            state[j] = UNKNOWN
+        for link, back, way in ((before, after, -1), (after, before, 1)):
+            k = link[j]
+            while 0 <= k < n and abs(place[k] - place[j]) < distance:
+                if unsure:
+                    doubt[k] = True
+                elif state[k] == KEPT:
+                    state[k] = REMOVED
+                    if 0 <= before[k]:
+                        after[before[k]] = after[k]
+                    if after[k] < n:
+                        before[after[k]] = before[k]
+                k = link[k]
+    return state
+
+
+def bases(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each maximum the lowest value between it and the nearest higher one to its left, and whether there is one.
+
+    A stack of falling heights, with the lowest value before each: over the maxima alone, for between two of them the
+    values fall and rise once. Without a higher value the lowest of all to the left is given.
+    """
+    low, closed = np.empty(len(at)), np.zeros(len(at), bool)
+    if not len(at):
+        return low, closed
+    valleys = np.minimum.reduceat(x[: at[-1] + 1], np.concatenate([[0], at[:-1]]))
+    heights, lows = [float(x[0])], [np.inf]  # the first value counts as a height, for it may be higher than a maximum
+    for k, (h, v) in enumerate(zip(x[at].tolist(), valleys.tolist())):
+        while heights and heights[-1] <= h:
+            v = min(v, lows.pop())
+            heights.pop()
+        low[k], closed[k] = v, bool(heights)
+        heights.append(h)
+        lows.append(v)
+    return low, closed
+
+
 def peaks(x: np.ndarray, distance: int = 1, prominence: float = 0.0) -> np.ndarray:
-    """Local maxima (the middle of a plateau) at least `distance` apart, higher ones first, that rise far enough."""
+    """Local maxima at least `distance` apart, higher ones first, that rise far enough above their higher base."""
     x = np.asarray(x, float)
-    edge = np.flatnonzero(np.diff(x) != 0)
-    runs = np.concatenate([[0], edge + 1]), np.concatenate([edge, [len(x) - 1]])
-    top = [(a + b) // 2 for k, (a, b) in enumerate(zip(*runs)) if 0 < k < len(runs[0]) - 1 and x[a - 1] < x[a] > x[b + 1]]
-    kept: list[int] = []
-    for i in sorted(top, key=lambda i: (-x[i], i)):
-        if all(abs(i - j) >= distance for j in kept):
-            kept.append(i)
-    out = []
-    for i in sorted(kept):
-        left = np.flatnonzero(x[:i] > x[i])
-        right = np.flatnonzero(x[i + 1 :] > x[i])
-        low = max(x[left[-1] + 1 if len(left) else 0 : i + 1].min(), x[i : i + 1 + right[0] if len(right) else len(x)].min())
-        if x[i] - low >= prominence:
-            out.append(i)
-    return np.array(out, np.int64)
+    at = maxima(x)
+    left, right = bases(x, at)[0], bases(x[::-1], len(x) - 1 - at[::-1])[0][::-1]
+    kept = spaced(at, x[at], distance) == KEPT
+    return at[kept & (x[at] - np.maximum(left, right) >= prominence)]
+
+
+def phase_shifted(x: np.ndarray, shift: float, halo: tuple[int, int]) -> np.ndarray:
+    """x later by a part of a sample, by turning the phases of its spectrum; the halos are faded out before."""
+    y = np.asarray(x, float).copy()
+    a, b = halo
+    fade = lambda n: 0.5 - 0.5 * np.cos(np.pi * (np.arange(n) + 0.5) / n)
+    mean = y.mean()
+    y -= mean
+    if a:
+        y[:a] *= fade(a)
+    if b:
+        y[-b:] *= fade(b)[::-1]
+    n = 1 << (2 * len(y) - 1).bit_length()
+    f = np.fft.rfftfreq(n)
+    return np.fft.irfft(np.fft.rfft(y, n) * np.exp(-2j * np.pi * f * shift), n)[: len(y)] + mean

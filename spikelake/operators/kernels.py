@@ -43,16 +43,17 @@ def traces(samples: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return samples.groupBy(key).agg(F.transform(pairs, lambda p: p[value]).alias("samples"))
 
 
-def blocks(samples: DataFrame, key: str, order: str, value: str, length: int, halo: int) -> DataFrame:
+def blocks(samples: DataFrame, key: str, order: str, value: str, length: int, halo: int, only: DataFrame | None = None) -> DataFrame:
     """key, block, start and samples: each trace cut into blocks of `length` samples, with up to `halo` of those around.
 
     `order` numbers a key's samples from 0 without gaps; start is the number of the first sample given. A group holds
-    length + 2 * halo samples, however long the trace.
+    length + 2 * halo samples, however long the trace. only: the blocks (key, block) that are wanted, if not all.
     """
     of = lambda i: F.floor(i / length).cast("long")
     wide = F.sequence(F.greatest(F.lit(0).cast("long"), of(F.col(order) - halo)), of(F.col(order) + halo))
-    rows = samples.select(key, order, value, F.explode(wide).alias("block")).groupBy(key, "block")
-    rows = rows.agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("pairs"), F.max(order).alias("last"))
+    rows = samples.select(key, order, value, F.explode(wide).alias("block"))
+    rows = rows.join(only, [key, "block"], "left_semi") if only is not None else rows
+    rows = rows.groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("pairs"), F.max(order).alias("last"))
     rows = rows.filter(F.col("last") >= F.col("block") * length)  # else there's nothing but halo
     return rows.select(key, "block", F.col("pairs")[0][order].cast("long").alias("start"), F.transform("pairs", lambda p: p[value]).alias("samples"))
 
@@ -71,24 +72,6 @@ def bandpassed(samples: DataFrame, key: str, order: str, value: str, low: float,
     return rows.select(key, "block", F.posexplode("filtered").alias("i", "v")).select(key, (F.col("block") * length + F.col("i")).alias("i"), "v")
 
 
-def ripples(samples: DataFrame, key: str, order: str, value: str, fs: float, low: float = 100, high: float = 250, onset: float = 2, peak: float = 5, gap: float = 0.03, shortest: float = 0.02, longest: float = 0.1, length: int | None = None) -> DataFrame:
-    """key, start_time, end_time, peak_time (of the trough), peak_normed_power and duration_ms of the ripples of each trace.
-
-    samples: as for `blocks`. Only the filter is a kernel; squaring, smoothing, thresholds and merging are window operators.
-    """
-    from . import fields, joins, windows
-
-    long = bandpassed(samples, key, order, value, low, high, fs, length)
-    long = windows.moving_average(long.withColumn("square", F.col("v") * F.col("v")), key, "i", "square", 5, "power")
-    long = fields.unity(long, [key], "power").select(key, "i", "v", "nss")
-    spans = windows.merged(windows.islands(long, key, "i", F.col("nss") > onset), key, round(gap * fs))
-    width = (spans.stop - spans.start) / fs
-    spans = spans.filter((width >= shortest) & (width <= longest))
-    found = joins.inside(long, spans, key, "i", "start", "stop", max(16, int(fs)), "inner").groupBy(key, "start", "stop").agg(F.max("nss").alias("power"), F.min_by("i", F.struct("v", "i")).alias("at"))
-    found = found.filter(F.col("power") > peak)
-    return found.select(key, (F.col("start") / fs).alias("start_time"), (F.col("stop") / fs).alias("end_time"), (F.col("at") / fs).alias("peak_time"), F.col("power").alias("peak_normed_power"), ((F.col("stop") - F.col("start")) / fs * 1000).alias("duration_ms"))
-
-
 def spectra(samples: DataFrame, key: str, order: str, value: str, fs: float, seconds: float, hand_rolled: bool = False, notches: tuple[float, ...] = (), down: int = 1, band: tuple[float, float] | None = None, epochs: int = 64) -> DataFrame:
     """key, epoch, freqs and power: the density of each whole epoch, after resampling, a Butterworth band and notches.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import correlation
-from ..operators import fields, joins
+from ..operators import extrema, fields
 from .proxies import HOUR, SPECTRA, TRACE, TRACK, query, read, rounded, spectra, trace, track
 
 EPOCHS = f"{TRACE}, n AS (SELECT *, count(*) OVER (PARTITION BY channel) AS n FROM trace), e AS (SELECT channel, CAST(i // 8 AS BIGINT) AS epoch, i, v FROM n WHERE i // 8 < n // 8), p AS (SELECT channel, epoch, max(v) - min(v) AS p2p, avg(v) AS delta, median(v) + 4 AS theta, max(v) AS speed FROM e GROUP BY ALL)"
@@ -226,17 +226,38 @@ def notch_interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fields.interpolated(spectra(spark, sf_dir), ["file"], "freq", "power", 6.5, 1.5), "power")
 
 
+def _peaks_sql(trace: str, distance: int) -> str:
+    """Tables of the peaks of a table (k, i, v): runs of equal values, maxima, those that stay by height, prominences."""
+    return f"""runs_new AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY k ORDER BY i) THEN 0 ELSE 1 END AS new FROM {trace}),
+    runs_of AS (SELECT k, v, i, sum(new) OVER (PARTITION BY k ORDER BY i) AS g FROM runs_new), runs AS (SELECT k, g, min(i) AS a, max(i) AS b, min(v) AS v FROM runs_of GROUP BY k, g),
+    tops AS (SELECT k, CAST((a + b) // 2 AS BIGINT) AS i, v FROM (SELECT *, lag(v) OVER w AS x, lead(v) OVER w AS y FROM runs WINDOW w AS (PARTITION BY k ORDER BY g)) WHERE v > x AND v > y),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY v DESC, i DESC) AS r FROM tops),
+    picked(k, r, kept) AS (SELECT DISTINCT k, 0::BIGINT, []::BIGINT[] FROM tops UNION ALL SELECT s.k, p.r, CASE WHEN list_min(list_transform(s.kept, lambda x: abs(x - p.i))) < {distance} THEN s.kept ELSE list_append(s.kept, p.i) END FROM picked s JOIN ranked p ON p.k = s.k AND p.r = s.r + 1),
+    far AS (SELECT t.* FROM tops t JOIN (SELECT k, unnest(arg_max(kept, r)) AS i FROM picked GROUP BY k) f ON t.k = f.k AND t.i = f.i),
+    higher AS (SELECT f.k, f.i, f.v, coalesce(max(y.i) FILTER (y.i < f.i AND y.v > f.v), -1) AS a, min(y.i) FILTER (y.i > f.i AND y.v > f.v) AS b FROM far f JOIN {trace} y ON f.k = y.k GROUP BY f.k, f.i, f.v),
+    prominent AS (SELECT h.k, h.i, h.v, h.v - greatest(min(y.v) FILTER (y.i > a AND y.i <= h.i), min(y.v) FILTER (y.i >= h.i AND (b IS NULL OR y.i < b))) AS prominence FROM higher h JOIN {trace} y ON h.k = y.k GROUP BY h.k, h.i, h.v)"""
+
+
+@query("w20_peaks", f"WITH RECURSIVE {TRACE}, keyed AS (SELECT channel AS k, i, v FROM trace), {_peaks_sql('keyed', 4)} SELECT k AS channel, i, round(prominence, 6) AS prominence FROM prominent WHERE prominence >= 25")
+def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(extrema.peaks(trace(spark, sf_dir), "channel", "i", "v", 4, 25.0).select("channel", "i", "prominence"), "prominence")
+
+
 @query(
     "n34_phase_profile",
-    f"""WITH {TRACE}, pk AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM trace WINDOW w AS (PARTITION BY channel ORDER BY i)), peaks AS (SELECT channel, ts FROM pk WHERE v > a AND v > b AND v > 20),
-    ref AS (SELECT ts AS t, lead(ts) OVER (ORDER BY ts) AS u FROM peaks WHERE channel = 1), ph AS (SELECT p.channel, 2 * pi() * (p.ts - r.t) / (r.u - r.t) AS phase FROM peaks p JOIN ref r ON p.ts >= r.t AND p.ts < r.u WHERE p.channel <> 1)
-    SELECT channel, round(sqrt(sum(cos(phase)) ^ 2 + sum(sin(phase)) ^ 2) / count(*), 6) AS r, count(*) AS n FROM ph GROUP BY channel""",
+    f"""WITH RECURSIVE {TRACE}, keyed AS (SELECT struct_pack(s := i // 16, c := channel % 4) AS k, i % 16 AS i, sum(v) AS v FROM trace GROUP BY ALL), {_peaks_sql('keyed', 3)},
+    limits AS (SELECT k, greatest(0.5::DOUBLE * stddev_pop(v), 1e-9) AS least FROM keyed GROUP BY k), pk AS (SELECT p.k.s AS s, p.k.c AS c, p.i / 10.0::DOUBLE AS t FROM prominent p JOIN limits l ON p.k = l.k WHERE p.prominence >= l.least),
+    ref AS (SELECT s, min(t) AS start, median(t - u) AS period FROM (SELECT s, t, lag(t) OVER (PARTITION BY s ORDER BY t) AS u FROM pk WHERE c = 1 AND t >= 0.2) GROUP BY s HAVING count(*) >= 2),
+    lags AS (SELECT pk.s, pk.c, min(t - start) AS lag, any_value(period) AS period FROM pk JOIN ref ON pk.s = ref.s WHERE t >= start GROUP BY pk.s, pk.c),
+    sums AS (SELECT c, sum(cos(2 * pi() * fmod(lag, period) / period)) AS x, sum(sin(2 * pi() * fmod(lag, period) / period)) AS y, count(*) AS n FROM lags GROUP BY c)
+    SELECT c AS channel, round(x / n, 5) AS x, round(y / n, 5) AS y, round(sqrt(x * x + y * y) / n, 5) AS r, n, round((SELECT avg(period) FROM ref), 6) AS period FROM sums""",
 )
 def phase_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("channel").orderBy("i")
-    peaks = trace(spark, sf_dir).withColumns({"a": F.lag("v").over(w), "b": F.lead("v").over(w)}).filter("v > a AND v > b AND v > 20").select("channel", "ts")
-    rows = fields.phases(peaks, "channel", "ts", 1, 24.0 * HOUR)
-    return rounded(fields.circular(rows, ["channel"], "phase").drop("direction"), "r")
+    """Users modulo 4 as channels, 16 samples as a snippet at 10 Hz; the mean vector, for an angle jumps at half a turn."""
+    rows = trace(spark, sf_dir).groupBy(F.expr("i div 16").alias("s"), (F.col("channel") % 4).alias("c"), (F.col("i") % 16).alias("i")).agg(F.sum("v").alias("v"))
+    found = extrema.phase_profile(rows, "s", "c", "i", "v", 10.0, 1, distance=0.3, guard=0.2)
+    found = rounded(found.withColumns({"x": F.col("r") * F.cos("phase"), "y": F.col("r") * F.sin("phase")}), "x", "y", "r", digits=5)
+    return rounded(found, "period").select(F.col("c").alias("channel"), "x", "y", "r", "n", "period")
 
 
 @query("tumbling_epochs", f"SELECT CAST(epoch_us(ts) // {24 * HOUR} AS BIGINT) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

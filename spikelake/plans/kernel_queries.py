@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import joins, kernels, maps
+from ..operators.ripples import ripples as find_ripples
 from .proxies import HOUR, grid, query, read, rounded, spikes, trace, track
 
 
@@ -16,7 +17,7 @@ def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("n1_ripples")
 def ripples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of each user as a trace at 40 Hz, with bounds to match."""
-    found = kernels.ripples(trace(spark, sf_dir), "channel", "i", "v", 40.0, 4.0, 12.0, 0.5, 1.0, 0.1, 0.05, 2.0)
+    found = find_ripples(trace(spark, sf_dir), "channel", "i", "v", 40.0, 4.0, 12.0, 0.5, 1.0, 0.1, 0.05, 2.0)
     return rounded(found, "start_time", "end_time", "peak_time", "peak_normed_power", "duration_ms")
 
 

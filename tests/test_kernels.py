@@ -72,23 +72,6 @@ def test_distributions():
     assert stats.normal_quantile(0.975) == pytest.approx(1.959964, abs=1e-5)
 
 
-def test_ripples_of_a_made_up_trace(spark):
-    fs, n = 1000.0, 4000
-    rng = np.random.default_rng(4)
-    x = rng.standard_normal(n) * 0.05
-    for at in (1000, 2500):
-        t = np.arange(-40, 41)
-        x[at - 40 : at + 41] += np.exp(-(t**2) / 300) * np.sin(2 * np.pi * 160 * t / fs) * 3
-    rows = spark.createDataFrame([(1, x.tolist()), (2, (rng.standard_normal(n) * 0 + 1).tolist())], "channel int, samples array<double>")
-    long = rows.select("channel", F.posexplode("samples").alias("i", "v"))
-    got = sorted(kernels.ripples(long, "channel", "i", "v", fs).collect(), key=lambda r: r.start_time)
-    assert len(got) == 2 and [round(r.peak_time, 1) for r in got] == [1.0, 2.5]
-    short = sorted(kernels.ripples(long, "channel", "i", "v", fs, length=300).collect(), key=lambda r: r.start_time)
-    assert np.allclose(np.array(short, float), np.array(got, float))
-    for r in got:
-        assert r.duration_ms == pytest.approx((r.end_time - r.start_time) * 1000) and 20 <= r.duration_ms <= 100 and r.peak_normed_power > 5
-
-
 def test_rate_map_kernel_is_the_dataframe_one(spark):
     rng = np.random.default_rng(5)
     bins, occ, fired = rng.integers(0, 48, 600), rng.random(600), rng.integers(0, 600, 90)
