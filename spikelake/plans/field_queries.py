@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import correlation
-from ..operators import extrema, fields
+from ..operators import extrema, fields, recordings
 from .proxies import HOUR, SPECTRA, TRACE, TRACK, query, read, rounded, spectra, trace, track
 
 EPOCHS = f"{TRACE}, n AS (SELECT *, count(*) OVER (PARTITION BY channel) AS n FROM trace), e AS (SELECT channel, CAST(i // 8 AS BIGINT) AS epoch, i, v FROM n WHERE i // 8 < n // 8), p AS (SELECT channel, epoch, max(v) - min(v) AS p2p, avg(v) AS delta, median(v) + 4 AS theta, max(v) AS speed FROM e GROUP BY ALL)"
@@ -52,13 +52,33 @@ def noisy_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.noisy(_epochs(spark, sf_dir), ["channel"], "p2p", 1.0).select("channel", "epoch", "noisy")
 
 
-@query(
-    "n33_bin_scan",
-    f"WITH {EPOCHS}, s AS (SELECT channel, epoch, stddev_pop(v) AS sd FROM e GROUP BY ALL) SELECT epoch, round(median(sd), 6) AS sd, count(*) AS channels FROM s GROUP BY epoch",
-)
+#: Each whole bin of 8 samples at 8 Hz: deviation, and the area under its density from 1 to 3 Hz.
+SCAN = f"""{TRACE}, n AS (SELECT *, count(*) OVER (PARTITION BY channel) AS n FROM trace), e AS (SELECT channel, CAST(i // 8 AS BIGINT) AS bin, i % 8 AS j, v FROM n WHERE i // 8 < n // 8),
+    c AS (SELECT *, v - avg(v) OVER (PARTITION BY channel, bin) AS d, 0.5 - 0.5 * cos(2 * pi() * j / 8) AS w FROM e),
+    f AS (SELECT channel, bin, k, 2 * (sum(w * d * cos(2 * pi() * j * k / 8)) ^ 2 + sum(w * d * sin(2 * pi() * j * k / 8)) ^ 2) / (8 * sum(w * w)) AS p FROM c, (SELECT unnest([1, 2, 3]) AS k) GROUP BY channel, bin, k),
+    scan AS (SELECT s.channel, s.bin, s.sd, a.power FROM (SELECT channel, bin, stddev_pop(v) AS sd FROM e GROUP BY ALL) s JOIN (SELECT channel, bin, sum(CASE WHEN k = 2 THEN p ELSE p / 2 END) AS power FROM f GROUP BY ALL) a ON s.channel = a.channel AND s.bin = a.bin),
+    metric AS (SELECT bin, median(sd) AS metric, count(*) AS channels FROM scan GROUP BY bin), mid AS (SELECT *, median(metric) OVER () AS m FROM metric),
+    noise AS (SELECT bin, metric, channels, metric > m + 1.0::DOUBLE * 1.4826::DOUBLE * median(abs(metric - m)) OVER () OR metric <= 0 AS noisy FROM mid)"""
+
+
+def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recordings.scanned(trace(spark, sf_dir), "channel", "i", "v", 8.0, 1.0, (1.0, 3.0), 4)
+
+
+@query("n33_bin_scan", f"WITH {SCAN} SELECT channel, bin, round(sd, 6) AS sd, round(power, 5) AS power FROM scan")
 def bin_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fields.numbered(trace(spark, sf_dir), "channel", "i", 8).groupBy("channel", "epoch").agg(F.stddev_pop("v").alias("sd"))
-    return rounded(rows.groupBy("epoch").agg(F.percentile("sd", F.lit(0.5)).alias("sd"), F.count(F.lit(1)).alias("channels")), "sd")
+    return rounded(rounded(_scan(spark, sf_dir), "sd"), "power", digits=5)
+
+
+@query("n33_noisy_bins", f"WITH {SCAN} SELECT bin, round(metric, 6) AS metric, channels, noisy FROM noise")
+def scan_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(recordings.bin_noise(_scan(spark, sf_dir), 1.0), "metric")
+
+
+@query("n33_depth_power", f"WITH {SCAN} SELECT channel, round(10 * log10(avg(power) + 1e-12), 6) AS db FROM scan WHERE bin IN (SELECT bin FROM noise WHERE NOT noisy) GROUP BY channel")
+def depth_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scan = _scan(spark, sf_dir)
+    return rounded(recordings.depth_power(scan, recordings.bin_noise(scan, 1.0), "channel"), "db")
 
 
 @query("n36_unity", f"WITH {TRACE} SELECT channel, i, round((v - avg(CASE WHEN i < 20 THEN v END) OVER c) / CASE WHEN stddev_pop(CASE WHEN i < 20 THEN v END) OVER c = 0 THEN 1 ELSE stddev_pop(CASE WHEN i < 20 THEN v END) OVER c END, 6) AS nss FROM trace WINDOW c AS (PARTITION BY channel)")
@@ -68,9 +88,25 @@ def unity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("n31_median_reference", f"WITH {TRACE} SELECT channel, i, round(v - median(v) OVER (PARTITION BY i), 6) AS v FROM trace")
 def median_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = trace(spark, sf_dir)
-    middle = rows.groupBy("i").agg(F.percentile("v", F.lit(0.5)).alias("m"))
-    return rounded(rows.join(middle, "i").select("channel", "i", (F.col("v") - F.col("m")).alias("v")), "v")
+    return rounded(recordings.referenced(trace(spark, sf_dir), "channel", "i", "v"), "v")
+
+
+@query(
+    "n31_bad_channels",
+    f"""WITH {TRACE}, x AS (SELECT channel % 8 AS c, i // 16 AS b, i % 16 AS j, sum(v) AS v FROM trace WHERE i < 32 GROUP BY ALL), d AS (SELECT *, v - avg(v) OVER (PARTITION BY c, b) AS d FROM x),
+    near AS (SELECT a.c, a.b, a.j, a.d, median(o.d) AS m FROM d a JOIN d o ON a.b = o.b AND a.j = o.j AND a.c <> o.c AND abs(a.c - o.c) <= 2 GROUP BY ALL), alike AS (SELECT c, b, coalesce(corr(d, m), 0) AS r FROM near GROUP BY c, b),
+    f AS (SELECT c, b, k, CASE WHEN k = 8 THEN 1 ELSE 2 END * (sum(w * d * cos(2 * pi() * j * k / 16)) ^ 2 + sum(w * d * sin(2 * pi() * j * k / 16)) ^ 2) / (16 * sum(w * w)) AS p FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * j / 16) AS w FROM d), (SELECT unnest([7, 8]) AS k) GROUP BY c, b, k),
+    loud AS (SELECT c, b, avg(p) AS p FROM f GROUP BY c, b), q AS (SELECT s.c, median(s.r) AS similarity, median(l.p) AS loudness FROM alike s JOIN loud l ON s.c = l.c AND s.b = l.b GROUP BY s.c),
+    v AS (SELECT *, median(similarity) OVER (ORDER BY c ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around, median(loudness) OVER () AS middle FROM q)
+    SELECT c AS channel, round(similarity, 5) AS similarity, round(loudness, 4) AS loudness, CASE WHEN around - similarity >= 0.25 THEN 'dead' WHEN loudness > 1.5 * middle THEN 'noisy' ELSE 'good' END AS verdict FROM v""",
+)
+def bad_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users modulo 8 as channels in depth, blocks of 16 samples at 16 Hz."""
+    rows = trace(spark, sf_dir).filter("i < 32").groupBy((F.col("channel") % 8).alias("channel"), "i").agg(F.sum("v").alias("v"))
+    channels = rows.select("channel").distinct().withColumn("depth", F.col("channel").cast("double"))
+    quality = recordings.channel_quality(rows, channels, "channel", "i", "v", 16.0, around=2, length=16)
+    found = recordings.judged_channels(quality, "channel", dead=0.25, times=1.5, around=2)
+    return rounded(rounded(found, "similarity", digits=5), "loudness", digits=4).drop("depth")
 
 
 @query("n4_detrended", f"WITH {TRACE}, l AS (SELECT channel, regr_slope(v, i) AS a, regr_intercept(v, i) AS b FROM trace GROUP BY channel) SELECT channel, i, round(v - a * i - b, 4) AS v FROM trace JOIN l USING (channel)")
