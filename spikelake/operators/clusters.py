@@ -6,18 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _sum(terms: list[str]) -> str:
+    return " + ".join(terms) or "0D"
+
+
 def moments(points: DataFrame, by: list[str], features: list[str], ridge: float = 1e-10) -> DataFrame:
     """nc, the means m_i and the sample covariances a_i_j (i >= j) of the features of each cluster, with a ridge on the
-    diagonal; d_i and l_i_j: the covariance matrix as L D L'."""
-    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1)]
+    diagonal; d_i and l_i_j: the covariance matrix as L D L'. One select, in which each factor stands on those before it."""
+    k = range(len(features))
     sums = [F.avg(c).alias(f"m_{i}") for i, c in enumerate(features)]
-    sums += [(F.covar_samp(features[i], features[j]) + (ridge if i == j else 0.0)).alias(f"a_{i}_{j}") for i, j in pairs]
-    rows = points.groupBy(*by).agg(F.count(F.lit(1)).alias("nc"), *sums)
-    for j in range(len(features)):
-        rest = lambda i: sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") * F.col(f"d_{k}") for k in range(j)), F.lit(0.0))
-        rows = rows.withColumn(f"d_{j}", F.col(f"a_{j}_{j}") - sum((F.col(f"l_{j}_{k}") ** 2 * F.col(f"d_{k}") for k in range(j)), F.lit(0.0)))
-        rows = rows.withColumns({f"l_{i}_{j}": F.try_divide(F.col(f"a_{i}_{j}") - rest(i), F.col(f"d_{j}")) for i in range(j + 1, len(features))})
-    return rows
+    sums += [(F.covar_samp(features[i], features[j]) + (ridge if i == j else 0.0)).alias(f"a_{i}_{j}") for i in k for j in range(i + 1)]
+    factors = []
+    for j in k:
+        factors.append(f"a_{j}_{j} - ({_sum([f'l_{j}_{x} * l_{j}_{x} * d_{x}' for x in range(j)])}) AS d_{j}")
+        factors += [f"try_divide(a_{i}_{j} - ({_sum([f'l_{i}_{x} * l_{j}_{x} * d_{x}' for x in range(j)])}), d_{j}) AS l_{i}_{j}" for i in range(j + 1, len(features))]
+    return points.groupBy(*by).agg(F.count(F.lit(1)).alias("nc"), *sums).selectExpr("*", *factors)
 
 
 def distances(points: DataFrame, file: str, by: str, key: str, features: list[str], ridge: float = 1e-10) -> DataFrame:
@@ -26,13 +29,13 @@ def distances(points: DataFrame, file: str, by: str, key: str, features: list[st
 
     A file's points meet each of its clusters, whose noise is all other points; the covariance is solved once a cluster.
     """
+    k = range(len(features))
     m = moments(points, [file, by], features, ridge).withColumnRenamed(by, "cluster")
     m = m.withColumn("n", F.sum("nc").over(Window.partitionBy(file)))
     rows = points.select(file, F.col(by).alias("__own"), key, *[F.col(c).alias(f"f_{i}") for i, c in enumerate(features)]).join(m, file)
-    for i in range(len(features)):
-        rows = rows.withColumn(f"z_{i}", F.col(f"f_{i}") - F.col(f"m_{i}") - sum((F.col(f"l_{i}_{j}") * F.col(f"z_{j}") for j in range(i)), F.lit(0.0)))
-    d2 = sum((F.try_divide(F.col(f"z_{i}") ** 2, F.col(f"d_{i}")) for i in range(len(features))), F.lit(0.0))
-    return rows.select(file, "cluster", key, (F.col("__own") == F.col("cluster")).alias("own"), "nc", "n", d2.alias("d2"))
+    steps = [f"f_{i} - m_{i} - ({_sum([f'l_{i}_{j} * z_{j}' for j in range(i)])}) AS z_{i}" for i in k]
+    d2 = _sum([f"try_divide(z_{i} * z_{i}, d_{i})" for i in k])
+    return rows.selectExpr(f"`{file}`", "cluster", f"`{key}`", "__own = cluster AS own", "nc", "n", *steps, f"{d2} AS d2").select(file, "cluster", key, "own", "nc", "n", "d2")
 
 
 def chi2_tail(d2: Column, df: int) -> Column:
@@ -51,10 +54,18 @@ def l_ratio(rows: DataFrame, df: int, file: str = "file") -> DataFrame:
 
 
 def isolation(rows: DataFrame, key: str, file: str = "file") -> DataFrame:
-    """iso: the distance of the nc-th nearest other point; null if the cluster holds more than half of its file's points."""
+    """iso: the distance of the nc-th nearest other point; null if the cluster holds more than half of its file's points.
+
+    Counts of points by ranges of d2, 64 to a doubling, tell in which range the nc-th lies; only that one is put in order.
+    """
+    band = F.when(F.col("d2") > 0, F.floor(F.log2("d2") * 64)).otherwise(F.lit(-(1 << 40)))
+    noise = rows.filter(~F.col("own") & (2 * F.col("nc") <= F.col("n"))).withColumn("__band", band)
+    counts = noise.groupBy(file, "cluster", "nc", "__band").agg(F.count(F.lit(1)).alias("__c"))
+    below = F.sum("__c").over(Window.partitionBy(file, "cluster").orderBy("__band").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")
+    where = counts.withColumn("__below", below).filter((F.col("__below") < F.col("nc")) & (F.col("nc") <= F.col("__below") + F.col("__c"))).select(file, "cluster", "__band", "__below")
     w = Window.partitionBy(file, "cluster").orderBy("d2", key)
-    noise = rows.filter(~F.col("own") & (2 * F.col("nc") <= F.col("n"))).withColumn("__r", F.row_number().over(w))
-    nth = noise.filter(F.col("__r") == F.col("nc")).select(file, "cluster", F.col("d2").alias("iso"))
+    nth = noise.join(where, [file, "cluster", "__band"]).withColumn("__r", F.row_number().over(w) + F.col("__below"))
+    nth = nth.filter(F.col("__r") == F.col("nc")).select(file, "cluster", F.col("d2").alias("iso"))
     return rows.select(file, "cluster").distinct().join(nth, [file, "cluster"], "left")
 
 

@@ -242,97 +242,180 @@ def place_fields(maps: DataFrame, keys: list[str], nx: int, ny: int, rule: Calla
 
 
 def cluster_null(files: DataFrame, key: str, df: int, draws: int = 500, times: int = 3, ridge: float = 1e-10) -> DataFrame:
-    """key, cluster, n, l_ratio, iso, null means and p-values of the clusters of each file.
+    """key, cluster, n, l_ratio and iso of the clusters of each file, and of their null: pool, n_valid, and for either measure
+    the mean, sd, p and z.
 
     files: key, labels and points (an array of df features for each). The null clusters are drawn without replacement
-    from the `times` * n other points nearest to the cluster; p = (hits + 1) / (draws + 1).
+    from the `times` * n other points nearest to the cluster; p = (hits + 1) / (draws + 1), and z is how many deviations
+    (n - 1) the cluster is better than their mean. A cluster of more than half of its file's points has no null.
     """
+    kind = dict(files.dtypes)[key]
+    doubles = ["l_ratio", "iso", "null_l", "null_iso", "sd_l", "sd_iso", "p_l", "p_iso", "z_l", "z_iso"]
+    types = {"cluster": pa.int64(), "n": pa.int64(), "pool": pa.int64(), "n_valid": pa.int64()} | dict.fromkeys(doubles, pa.float64())
 
-    def one(own: np.ndarray, points: np.ndarray) -> tuple[float, float | None]:
+    def distances(own: np.ndarray, points: np.ndarray) -> np.ndarray:
         mean, cov = points[own].mean(0), np.cov(points[own].T).reshape(df, df) + ridge * np.eye(df)
         d = points - mean
-        d2 = np.einsum("ij,jk,ik->i", d, np.linalg.pinv(cov), d)
-        noise, n = np.sort(d2[~own]), int(own.sum())
-        return float(stats.chi2_tail(noise, df).sum() / n), float(noise[n - 1]) if len(noise) >= n else None
+        return np.einsum("ij,jk,ik->i", d, np.linalg.pinv(cov), d)
 
-    kinds = dict(files.dtypes)
-    schema = f"{key} {kinds[key]}, cluster bigint, n bigint, l_ratio double, iso double, null_l double, null_iso double, p_l double, p_iso double"
+    def measures(d2: np.ndarray, own: np.ndarray) -> tuple[float, float]:
+        noise, n = np.sort(d2[~own]), int(own.sum())
+        return float(stats.chi2_tail(noise, df).sum() / n), float(noise[n - 1]) if 2 * n <= len(own) else float("nan")
+
+    def one(key_of: object, c: int, own: np.ndarray, points: np.ndarray) -> dict:
+        n, d2 = int(own.sum()), distances(own, points)
+        out = {"cluster": int(c), "n": n, "pool": 0, "n_valid": 0}
+        out["l_ratio"], out["iso"] = measures(d2, own)
+        near = np.argsort(np.where(own, np.inf, d2), kind="stable")[: min(times * n, int((~own).sum()))]
+        if 2 * n > len(own):
+            return out
+        out["pool"] = len(near)
+        if len(near) < n:
+            return out
+        rng, null = np.random.default_rng(zlib.crc32(repr((key_of, int(c))).encode())), []
+        for _ in range(draws):
+            fake = np.zeros(len(own), bool)
+            fake[rng.choice(near, n, replace=False)] = True
+            null.append(measures(distances(fake, points), fake))
+        valid = [[x[k] for x in null if np.isfinite(x[k])] for k in (0, 1)]
+        out["n_valid"] = min(map(len, valid))
+        for name, real, xs, sign in (("l", out["l_ratio"], np.array(valid[0]), -1), ("iso", out["iso"], np.array(valid[1]), 1)):
+            if len(xs) and np.isfinite(real):
+                mean, sd = float(xs.mean()), float(xs.std(ddof=1)) if len(xs) > 1 else 0.0
+                out |= {f"null_{name}": mean, f"sd_{name}": sd, f"p_{name}": float(((sign * xs >= sign * real).sum() + 1) / (len(xs) + 1))}
+                if sd > 0:
+                    out[f"z_{name}"] = sign * (real - mean) / sd
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [part.split()[0] for part in schema.split(", ")]
-        kept = None
         for batch in batches:
-            out = {n: [] for n in names}
-            kept = batch.schema.field(key).type
-            for k, labels, points in zip(*(batch.column(c).to_pylist() for c in (key, "labels", "points"))):
-                labels, points = np.array(labels), np.array(points, float)
+            rows, of = [], []
+            for k, labels, points in zip(range(batch.num_rows), batch.column("labels"), batch.column("points")):
+                labels = labels.values.to_numpy(zero_copy_only=False)
+                points = points.values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(labels), df)
+                name = batch.column(key)[k].as_py()
                 for c in np.unique(labels):
                     own = labels == c
-                    n = int(own.sum())
-                    if n <= df or n == len(own):
-                        continue
-                    real = one(own, points)
-                    mean, cov = points[own].mean(0), np.cov(points[own].T).reshape(df, df) + ridge * np.eye(df)
-                    d = points - mean
-                    d2 = np.where(own, np.inf, np.einsum("ij,jk,ik->i", d, np.linalg.pinv(cov), d))
-                    near = np.argsort(d2, kind="stable")[: min(times * n, int((~own).sum()))]
-                    rng, null = np.random.default_rng(zlib.crc32(repr((k, int(c))).encode())), []
-                    for _ in range(draws if len(near) >= n else 0):
-                        fake = np.zeros(len(own), bool)
-                        fake[rng.choice(near, n, replace=False)] = True
-                        null.append(one(fake, points))
-                    ls, isos = np.array([x[0] for x in null]), np.array([x[1] for x in null if x[1] is not None])
-                    row = (k, int(c), n, real[0], real[1], float(ls.mean()) if len(ls) else None, float(isos.mean()) if len(isos) else None, float(((ls <= real[0]).sum() + 1) / (len(ls) + 1)) if len(ls) else None, float(((isos >= real[1]).sum() + 1) / (len(isos) + 1)) if len(isos) and real[1] is not None else None)
-                    for name, value in zip(names, row):
-                        out[name].append(value)
-            types = [kept, pa.int64(), pa.int64(), *[pa.float64()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types)], names=names)
-
-    return files.select(key, "labels", "points").mapInArrow(run, schema)
-
-
-def speed_modulation(units: DataFrame, keys: list[str], fps: float, draws: int = 1000, margin: float = 20.0, width: float = 5.0, low: float = 1.0, high: float = 90.0, rare: float = 0.002, counts: bool = False) -> DataFrame:
-    """slope, intercept, r, p, rho, shapiro_p, shuffle_mean, shuffle_low, shuffle_high, shuffle_p and modulated.
-
-    units: keys, speed (cm/s) and n (spikes) of each frame. The rate is smoothed by 0.3 s; bins of `width` with less than
-    a rare share of the frames are dropped; the line is weighted by frames. The null rolls the smoothed rate, or the
-    counts, which are then smoothed anew.
+                    if df < own.sum() < len(own):
+                        rows.append(one(name, c, own, points))
+                        of.append(k)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key).take(pa.array(of, pa.int64())), *(pa.array([None if isinstance(v := r.get(c), float) and not np.isfinite(v) else v for r in rows], t) for c, t in types.items())], names=[key, *types]
+            )
+
+    return files.select(key, "labels", "points").mapInArrow(run, ", ".join([f"{key} {kind}", *(f"{c} {'double' if c in doubles else 'bigint'}" for c in types)]))
+
+
+def speed_modulation(units: DataFrame, keys: list[str], fps: float, draws: int = 1000, margin: float = 20.0, width: float = 5.0, low: float = 1.0, high: float = 90.0, rare: float = 0.002, counts: bool = False, sigma: float = 0.3, least: int = 100) -> DataFrame:
+    """slope, intercept, r, p, rho, shapiro_p, n_null, shuffle_mean, shuffle_low, shuffle_high, shuffle_p and modulated.
+
+    units: keys, speed (cm/s) and n (spikes) of each frame. Rates are smoothed by `sigma` seconds. Bins of `width` begin at
+    `low`; those with less than a rare share of the frames are dropped, and fewer than three fit no line.
+
+    In the first mode the speed is smoothed too, the line is weighted by frames, and the null rolls the smoothed rate: the
+    unit is modulated if shuffle_p is below 0.05; shuffle_high is the 95th percentile of the null's sizes. With `counts` the
+    speed is as it is, the line is of ordinary least squares, and the null rolls the counts, which are smoothed anew: the
+    unit is modulated if its r lies outside the 2.5th to 97.5th percentile. Of a session too short for the margin the first
+    mode takes a quarter, the second no null; with fewer than `least` valid draws the second tells nothing.
     """
 
     def f(seed: int, speed: np.ndarray, n: np.ndarray) -> dict:
         speed, n = speed.astype(float), n.astype(float)
-        rate = signal.gaussian_smoothed(n * fps, 0.3 * fps)
-        ok = (speed > low) & (speed < high) & np.isfinite(rate)
-        place = np.floor(speed / width).astype(int)
-        frames = np.bincount(place[ok], minlength=1)
-        bins = np.flatnonzero(frames >= max(1, rare * ok.sum()))
-        if len(bins) < 3:
-            return {}
-        x, w = (bins + 0.5) * width, frames[bins].astype(float)
-        mean = lambda r: np.bincount(place[ok], r[ok], len(frames))[bins] / w
-
-        def r_of(y: np.ndarray) -> tuple[float, float, float]:
+        smooth = lambda x: signal.gaussian_smoothed(x, max(sigma * fps, 1e-6))
+        rate = smooth(n * fps)
+        speed = speed if counts else smooth(speed)
+        places = int(np.ceil((high - low) / width - 1e-9))
+
+        def means(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The middles, mean rates and frames of the bins that are kept."""
+            ok = (speed > low) & (speed < high) & np.isfinite(r)
+            place = np.clip(np.floor((speed[ok] - low) / width), 0, places - 1).astype(int)
+            frames = np.bincount(place, minlength=places)
+            bins = np.flatnonzero((frames > 0) & (frames >= rare * frames.sum()))
+            return low + (bins + 0.5) * width, np.bincount(place, r[ok], places)[bins] / frames[bins], frames[bins].astype(float)
+
+        def line(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float, float]:
+            w = np.ones_like(w) if counts else w
             a, b = np.average(x, weights=w), np.average(y, weights=w)
             xx, xy, yy = np.average((x - a) ** 2, weights=w), np.average((x - a) * (y - b), weights=w), np.average((y - b) ** 2, weights=w)
-            return xy / xx, b - xy / xx * a, xy / np.sqrt(xx * yy) if yy > 0 else 0.0
+            return xy / xx, b - xy / xx * a, xy / np.sqrt(xx * yy) if yy > 0 else float("nan")
 
-        y = mean(rate)
-        slope, intercept, r = r_of(y)
+        x, y, w = means(rate)
+        if len(x) < 3:
+            return {}
+        slope, intercept, r = line(x, y, w)
         rank = lambda v: np.searchsorted(np.sort(v), v, "left") + np.searchsorted(np.sort(v), v, "right")
         rho = float(np.corrcoef(rank(x), rank(y))[0, 1]) if y.std() > 0 else float("nan")
-        out = {"slope": slope, "intercept": intercept, "r": r, "p": stats.correlation_p(r, len(x)), "rho": rho, "shapiro_p": stats.shapiro_wilk(y - intercept - slope * x)[1]}
-        first, last = int(margin * fps), len(n) - int(margin * fps)
-        if last >= first and draws:
-            shifts = np.random.default_rng(seed).integers(first, last + 1, draws)
-            null = np.array([r_of(mean(signal.gaussian_smoothed(np.roll(n, k) * fps, 0.3 * fps) if counts else np.roll(rate, k)))[2] for k in shifts])
-            bounds = np.percentile(null, [2.5, 97.5])
-            out |= {"shuffle_mean": float(np.abs(null).mean()), "shuffle_low": float(bounds[0]), "shuffle_high": float(bounds[1]), "shuffle_p": float(((np.abs(null) >= abs(r)).sum() + 1) / (draws + 1)), "modulated": bool(r < bounds[0] or r > bounds[1])}
-        return {k: float(v) if not isinstance(v, bool) else v for k, v in out.items()}
-
-    schema = "slope double, intercept double, r double, p double, rho double, shapiro_p double, shuffle_mean double, shuffle_low double, shuffle_high double, shuffle_p double, modulated boolean"
+        out = {"slope": slope, "intercept": intercept, "r": r, "p": stats.correlation_p(r, len(x)) if np.isfinite(r) else float("nan"), "rho": rho, "shapiro_p": stats.shapiro_wilk(y - intercept - slope * x)[1]}
+        first = int(margin * fps)
+        if not counts and len(n) <= 2 * first:
+            first = max(1, len(n) // 4)
+        if len(n) > 2 * first and draws and np.isfinite(r):
+            shifts = np.random.default_rng(seed).integers(first, len(n) - first + 1, draws)
+            fits = [means(smooth(np.roll(n, k) * fps) if counts else np.roll(rate, k)) for k in shifts]
+            null = np.array([line(*m)[2] if len(m[0]) >= 3 else np.nan for m in fits])
+            null = null[np.isfinite(null)]
+            out["n_null"] = len(null)
+            if len(null) >= (least if counts else 1):
+                p = float(((np.abs(null) >= abs(r)).sum() + 1) / (len(null) + 1))
+                low_, high_ = np.percentile(null, [2.5, 97.5]) if counts else (np.nan, np.percentile(np.abs(null), 95))
+                modulated = r < low_ or r > high_ if counts else p < 0.05
+                out |= {"shuffle_mean": float(null.mean()), "shuffle_low": float(low_), "shuffle_high": float(high_), "shuffle_p": p, "modulated": bool(modulated)}
+        return {k: v if isinstance(v, (bool, int)) else float(v) for k, v in out.items()}
+
+    schema = "slope double, intercept double, r double, p double, rho double, shapiro_p double, n_null bigint, shuffle_mean double, shuffle_low double, shuffle_high double, shuffle_p double, modulated boolean"
     return per_row(units, f, keys, ["speed", "n"], schema)
 
 
+def gridded_speed(units: DataFrame, keys: list[str], fps: float, window: float = 0.08, low: float = 4.0, high: float = 100.0, width: float = 2.0, rare: float = 0.01) -> DataFrame:
+    """raw_r, n_bins, slope, intercept, r and p of the older speed score, on a grid of equal steps.
+
+    units: keys, x, y (cm) and t (ms) of each position, and spikes (ms). Speeds are steps times fps, the last one repeated. Spikes
+    are counted in steps of 1000 / fps from the first position on (the last place holds those at its time alone), and
+    smoothed forth and back by equal weights of `window` seconds, as that script's Gaussian is when so wide; at the ends the
+    signal is reflected about its last value by three times the filter, and the filter begins as if the first value had
+    always been. As in that script the rates are cut to as many as there are spikes. Bins of `width` with less than a rare share
+    of the samples are left out of the line, whose x are their middles.
+    """
+
+    def forth_and_back(x: np.ndarray, taps: int) -> np.ndarray:
+        if taps < 2 or len(x) <= 3 * (taps - 1):
+            return x
+        pad = 3 * (taps - 1)
+        y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+        for _ in range(2):
+            y = np.convolve(np.concatenate([np.full(taps - 1, y[0]), y]), np.full(taps, 1 / taps), "valid")[::-1]
+        return y[pad : pad + len(x)]
+
+    def f(seed: int, x: np.ndarray, y: np.ndarray, t: np.ndarray, spikes: np.ndarray) -> dict:
+        if len(x) < 2:
+            return {}
+        x, y, t, spikes = (v.astype(float) for v in (x, y, t, spikes))
+        speed = np.hypot(np.diff(x), np.diff(y)) * fps
+        speed = np.append(speed, speed[-1])
+        edges = t[0] + np.arange(int((t[-1] - t[0]) * fps / 1000 + 1e-9) + 1) * 1000 / fps
+        at = np.searchsorted(edges, spikes, "right") - 1
+        at = at[(at >= 0) & ((at < len(edges) - 1) | (spikes == edges[-1]))]
+        rate = forth_and_back(np.bincount(at, minlength=len(edges)) * fps, int(round(window * fps)))[: len(spikes)]
+        n = min(len(speed), len(rate))
+        on = (speed[:n] > low) & (speed[:n] < high)
+        v, r = speed[:n][on], rate[:n][on]
+        if len(v) < 2 or v.std() == 0 or r.std() == 0:
+            return {}
+        place = np.floor((v - low) / width).astype(int)
+        counts = np.bincount(place, minlength=int((high - low) / width))
+        bins = np.flatnonzero((counts > 0) & (counts >= rare * counts.sum()))
+        out = {"raw_r": float(np.corrcoef(v, r)[0, 1]), "n_bins": len(bins)}
+        if len(bins) > 2:
+            a, b = low + (bins + 0.5) * width, np.bincount(place, r, len(counts))[bins] / counts[bins]
+            slope, intercept = np.polyfit(a, b, 1)
+            score = float(np.corrcoef(a, b)[0, 1]) if b.std() > 0 else float("nan")
+            out |= {"slope": float(slope), "intercept": float(intercept), "r": score, "p": float(stats.correlation_p(score, len(bins))) if np.isfinite(score) else float("nan")}
+        return out
+
+    return per_row(units, f, keys, ["x", "y", "t", "spikes"], "raw_r double, n_bins bigint, slope double, intercept double, r double, p double")
+
+
 def parameterised(rows: DataFrame, keys: list[str], low: float = 1.0, high: float = 100.0, widths: tuple[float, float] = (1.0, 8.0), most: int = 6, least: float = 0.1, times: float = 2.0, knee: bool = True) -> DataFrame:
     """offset, knee, exponent, r_squared, error and peaks (centre, height, width) of each spectrum (freqs, power).
 

@@ -75,6 +75,35 @@ def cross_histogram(spikes: DataFrame, by: str, ts: str, unit: float, reach: int
     return pairs.groupBy(by, lag.cast("long").alias("lag")).agg(F.sum(F.col("c_a") * F.col("c_b")).alias("n"))
 
 
+def theta_modulation(spikes: DataFrame, by: str, ts: str, window: float, width: float, seconds: float, low: float = 3.0, high: float = 7.0, times: float = 2.0, least: int = 10) -> DataFrame:
+    """n, modulated, peak_freq and best: whether the autocorrelogram's power from low to high Hz exceeds `times` the mean of its half
+    spectrum, 0 included, where it is largest, and how large.
+
+    Lags within `window` are counted in bins of `width`, which last `seconds`, from the earliest on; the counts are an array
+    and their spectrum a sum over it. Units with fewer than `least` spikes aren't modulated and have no frequency.
+    """
+    bins = int(round(2 * window / width))
+    half, step = bins // 2, 1 / (seconds * bins)
+    band = [k for k in range(half) if low <= k * step <= high]
+    place = F.least(F.floor((F.col("lag") + window) / width), F.lit(bins - 1)).cast("int")
+    counts = joins.band_pairs(spikes, by, ts, window, []).groupBy(by, place.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    packed = counts.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"))
+    rows = spikes.groupBy(by).agg(F.count(F.lit(1)).alias("n")).join(packed, by, "left")
+    series = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0)).cast("double"))
+    rows = rows.select(by, "n", series.alias("c"))
+
+    def power(k: Column) -> Column:
+        part = lambda f: F.aggregate(F.transform("c", lambda c, b: c * f(2 * F.pi() * (k * b % bins) / bins)), F.lit(0.0), lambda a, x: a + x)
+        return part(F.cos) ** 2 + part(F.sin) ** 2
+
+    rows = rows.select(by, "n", F.transform(F.sequence(F.lit(0), F.lit(half - 1)), power).alias("p"))
+    mean = F.aggregate("p", F.lit(0.0), lambda a, x: a + x) / half
+    best = F.array_max(F.transform(F.array(*map(F.lit, band)), lambda k: F.struct(F.get("p", k).alias("p"), (-k).alias("k")))) if band else F.lit(None).cast("struct<p:double,k:int>")
+    rows = rows.select(by, "n", mean.alias("mean"), best.alias("best"))
+    enough = F.col("n") >= least
+    return rows.select(by, "n", (enough & F.coalesce(F.col("best.p") > times * F.col("mean"), F.lit(False))).alias("modulated"), F.when(enough, F.round(-F.col("best.k") * step, 2)).alias("peak_freq"), F.when(enough, F.col("best.p")).alias("best"))
+
+
 def samples(waves: DataFrame, keys: list[str], wave: str) -> DataFrame:
     """A row for each sample: i and v."""
     return waves.select(*keys, F.posexplode(wave).alias("i", "v"))
@@ -98,6 +127,64 @@ def wave_shape(means: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumns({"ratio": F.col("peak") / F.abs("trough"), "width": F.col("trough_at") - F.col("peak_at")})
 
 
+def array_peaks(wave: Column, least: float) -> Column:
+    """An array of (height, before, prominence, width): the local maxima of an array (the first of equal values; ends are
+    none) of at least that prominence; before is less the place, so that the largest struct is the highest, first peak.
+
+    A width is the distance between the points at which the lines between values cross half of the prominence.
+    """
+    n = F.size(wave)
+    rises = lambda i: F.get(wave, i) > F.get(wave, i - 1)
+    falls = lambda i: F.coalesce(F.get(F.filter(F.slice(wave, i + 2, n), lambda x: x != F.get(wave, i)), F.lit(0)) < F.get(wave, i), F.lit(False))
+    tops = F.filter(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: (n > 2) & rises(i) & falls(i))
+
+    def base(values: Column, h: Column) -> Column:
+        start = F.struct(h.alias("low"), F.lit(True).alias("open"))
+        step = lambda s, x: F.when(s["open"] & (x <= h), F.struct(F.least(s["low"], x).alias("low"), F.lit(True).alias("open"))).otherwise(F.struct(s["low"].alias("low"), F.lit(False).alias("open")))
+        return F.aggregate(values, start, step)["low"]
+
+    def crossing(values: Column, h: Column, level: Column) -> Column:
+        """Steps from the peak to where the values, going away from it, reach the level."""
+        k = F.get(F.filter(F.transform(values, lambda x, j: F.when(x <= level, j)), lambda j: j.isNotNull()), F.lit(0))
+        prior = F.when(k == 0, h).otherwise(F.get(values, k - 1))
+        return k + (prior - level) / (prior - F.get(values, k))
+
+    def measured(i: Column) -> Column:
+        h, left, right = F.get(wave, i), F.reverse(F.slice(wave, F.lit(1), i)), F.slice(wave, i + 2, n)
+        prominence = h - F.greatest(base(left, h), base(right, h))
+        level = h - prominence / 2
+        return F.struct(h.alias("height"), (-i).alias("before"), prominence.alias("prominence"), (crossing(left, h, level) + crossing(right, h, level)).alias("width"))
+
+    return F.filter(F.transform(tops, measured), lambda p: p["prominence"] >= least)
+
+
+def wave_properties(waves: DataFrame, by: list[str], channel: str, wave: str, step: float, duration: float, least_peak: float = 15.0, least_trough: float = 5.0, ahead: int = 10) -> DataFrame:
+    """by, channel, peak, trough, ratio, peak_to_trough, width, ahp_width, end_slope, amplitude_rsd and rate of each unit.
+
+    waves: a row for each spike and channel, `step` apart. Everything is of the channel with the highest mean wave, the first of a
+    tie. trough is the lowest value from the peak on, peak_to_trough the places to it, the peak's own included, times step.
+    width and ahp_width are those of the highest peak, and of the deepest trough after the largest value, at half prominence;
+    end_slope the change from the first such trough over `ahead` places, for nine steps' time. What isn't there (a flat tail,
+    a tail that is too short) is null. amplitude_rsd: the deviation (n - 1) of the spikes' maxima over their mean; rate: spikes
+    for each unit of `duration`.
+    """
+    size = waves.groupBy(*by, channel).agg(F.count(F.lit(1)).alias("n"), (F.try_divide(F.stddev_samp(F.array_max(wave)), F.avg(F.array_max(wave)))).alias("amplitude_rsd"))
+    means = samples(waves, [*by, channel], wave).groupBy(*by, channel, "i").agg(F.avg("v").alias("m"))
+    means = means.groupBy(*by, channel).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x.m).alias("shape"))
+    order = Window.partitionBy(*by).orderBy(F.desc(F.array_max("shape")), channel)
+    rows = size.join(means, [*by, channel]).withColumn("__rank", F.row_number().over(order)).filter("__rank = 1")
+    at = F.array_position("shape", F.array_max("shape")).cast("int")
+    rows = rows.withColumn("after", F.slice("shape", at, F.size("shape")))
+    rows = rows.withColumns({"tops": array_peaks(F.col("shape"), least_peak), "dips": array_peaks(F.transform("after", lambda x: -x), least_trough)})
+    first = F.array_min(F.transform("dips", lambda p: -p["before"]))
+    low = F.array_min("after")
+    return rows.select(
+        *by, channel, F.array_max("shape").alias("peak"), low.alias("trough"), F.try_divide(F.array_max("shape"), low).alias("ratio"),
+        (F.array_position("after", low) * step).alias("peak_to_trough"), (F.array_max("tops")["width"] * step).alias("width"), (F.array_max("dips")["width"] * step).alias("ahp_width"),
+        ((F.get("after", first + ahead) - F.get("after", first)) / (step / 9)).alias("end_slope"), "amplitude_rsd", (F.col("n") / duration).alias("rate"),
+    )
+
+
 def peak_to_peak(waves: DataFrame, by: list[str], wave: str) -> DataFrame:
     """p2p: the mean of the largest less the smallest sample."""
     return waves.groupBy(*by).agg(F.avg(F.array_max(wave) - F.array_min(wave)).alias("p2p"))

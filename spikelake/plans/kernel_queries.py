@@ -67,7 +67,7 @@ def cluster_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first eight features of all vectors, 500 to a file."""
     rows = read(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 500).alias("file")).agg(F.array_sort(F.collect_list(F.struct("vec_id", F.col("label").cast("long").alias("label"), F.slice("embedding", 1, 8).cast("array<double>").alias("x")))).alias("r"))
     found = kernels.cluster_null(rows.select("file", F.col("r.label").alias("labels"), F.col("r.x").alias("points")), "file", 8)
-    return rounded(found, "l_ratio", "iso", "null_l", "null_iso", "p_l", "p_iso", digits=4)
+    return rounded(found, "l_ratio", "iso", *[f"{c}_{m}" for c in ("null", "sd", "p", "z") for m in ("l", "iso")], digits=4)
 
 
 def _maps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,17 @@ def speed_modulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = _units(spark, sf_dir)
     rates, counts = (kernels.speed_modulation(units, ["unit"], 4.0, margin=0.5, width=10.0, counts=c).withColumn("null", F.lit(n)) for n, c in (("rates", False), ("counts", True)))
     found = rates.unionByName(counts)
-    return rounded(found, *[c for c in found.columns if c not in ("unit", "modulated", "null")], digits=4)
+    return rounded(found, *[c for c in found.columns if c not in ("unit", "modulated", "null", "n_null")], digits=4)
+
+
+@query("n30_gridded_speed")
+def gridded_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours stand for milliseconds, with a step of 24 and speeds to match."""
+    frames = track(spark, sf_dir).groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("ts", "frame", "x", "y"))).alias("f"))
+    frames = frames.select("unit", F.col("f.x").alias("x"), F.col("f.y").alias("y"), F.transform("f.ts", lambda t: t / HOUR).alias("t"))
+    fired = spikes(spark, sf_dir).groupBy("unit").agg(F.array_sort(F.collect_list(F.col("ts") / HOUR)).alias("spikes"))
+    found = kernels.gridded_speed(frames.join(fired, "unit"), ["unit"], 1000 / 24, low=100.0, high=3000.0, width=200.0)
+    return rounded(found, "raw_r", "slope", "intercept", "r", "p", digits=4)
 
 
 @query("w6_w8_smoothed_traces")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clusters, joins, spikes as ops
-from .proxies import FEATURES, HOUR, POINTS, SPIKES, WAVES, points, query, rounded, spikes, waves
+from .proxies import FEATURES, HOUR, POINTS, SPIKES, WAVES, points, query, read, rounded, spikes, waves
 
 ISI = f"{SPIKES}, isi AS (SELECT *, ts - lag(ts) OVER w AS isi, lag(amp) OVER w AS prior FROM spikes WINDOW w AS (PARTITION BY unit ORDER BY ts))"
 
@@ -84,6 +84,48 @@ def wave_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ops.wave_shape(ops.mean_wave(waves(spark, sf_dir), ["label"], "wave"), ["label"]), "peak", "trough", "ratio")
 
 
+def _maxima_sql(name: str, source: str, least: float) -> str:
+    """Tables of the local maxima of a table (k, i, v), their prominences and widths, and `name` with those that are kept."""
+    return f"""{name}_t AS (SELECT *, lag(v) OVER w AS x, lead(v) OVER w AS y FROM {source} WINDOW w AS (PARTITION BY k ORDER BY i)), {name}_p AS (SELECT k, i, v FROM {name}_t WHERE v > x AND v > y),
+    {name}_h AS (SELECT p.k, p.i, p.v, coalesce(max(s.i) FILTER (s.i < p.i AND s.v > p.v), -1) AS a, coalesce(min(s.i) FILTER (s.i > p.i AND s.v > p.v), 1000) AS b FROM {name}_p p JOIN {source} s ON p.k = s.k GROUP BY ALL),
+    {name}_m AS (SELECT h.k, h.i, h.v, h.v - greatest(min(s.v) FILTER (s.i > a AND s.i <= h.i), min(s.v) FILTER (s.i < b AND s.i >= h.i)) AS prominence FROM {name}_h h JOIN {source} s ON h.k = s.k GROUP BY h.k, h.i, h.v),
+    {name}_l AS (SELECT m.k, m.i, m.v, m.prominence, m.v - m.prominence / 2 AS level, max(s.i) FILTER (s.i < m.i AND s.v <= m.v - m.prominence / 2) AS l, min(s.i) FILTER (s.i > m.i AND s.v <= m.v - m.prominence / 2) AS r FROM {name}_m m JOIN {source} s ON m.k = s.k WHERE m.prominence >= {least} GROUP BY ALL),
+    {name} AS (SELECT c.k, c.i, c.v, (c.r - (c.level - r0.v) / (r1.v - r0.v)) - (c.l + (c.level - l0.v) / (l1.v - l0.v)) AS width FROM {name}_l c JOIN {source} l0 ON c.k = l0.k AND c.l = l0.i JOIN {source} l1 ON c.k = l1.k AND c.l + 1 = l1.i JOIN {source} r0 ON c.k = r0.k AND c.r = r0.i JOIN {source} r1 ON c.k = r1.k AND c.r - 1 = r1.i)"""
+
+
+@query(
+    "a32_wave_properties",
+    f"""WITH w AS (SELECT CAST(label AS BIGINT) AS label, vec_id % 7 AS part, c, list_transform(embedding[32 * c + 1 : 32 * c + 32], lambda x: x::DOUBLE * 1000) AS wave FROM embeddings, (SELECT unnest([0, 1]) AS c)),
+    n AS (SELECT label, part, c, count(*) AS n, stddev_samp(list_max(wave)) / avg(list_max(wave)) AS rsd FROM w GROUP BY ALL), m AS (SELECT label, part, c, i, avg(wave[i + 1]) AS v FROM w, (SELECT unnest(range(32)) AS i) GROUP BY ALL),
+    top AS (SELECT label, part, c, max(v) AS peak, arg_max(i, struct_pack(v := v, i := -i)) AS spot FROM m GROUP BY ALL), best AS (SELECT * FROM top QUALIFY row_number() OVER (PARTITION BY label, part ORDER BY peak DESC, c) = 1),
+    shape AS (SELECT struct_pack(l := label, p := part) AS k, m.i AS i, m.v AS v FROM m JOIN best USING (label, part, c)), tail AS (SELECT struct_pack(l := label, p := part) AS k, m.i - spot AS i, -m.v AS v FROM m JOIN best USING (label, part, c) WHERE m.i >= spot),
+    {_maxima_sql("tops", "shape", 15)}, {_maxima_sql("dips", "tail", 5)}, tt AS (SELECT k, arg_max(width, struct_pack(v := v, i := -i)) AS width FROM tops GROUP BY k), dd AS (SELECT k, arg_max(width, struct_pack(v := v, i := -i)) AS ahp, min(i) AS first FROM dips GROUP BY k),
+    low AS (SELECT k, -max(v) AS trough, arg_max(i, struct_pack(v := v, i := -i)) + 1 AS steps FROM tail GROUP BY k)
+    SELECT b.label, b.part, b.c AS channel, round(b.peak, 5) AS peak, round(trough, 5) AS trough, round(b.peak / trough, 5) AS ratio, round(steps * 0.5::DOUBLE, 5) AS peak_to_trough, round(tt.width * 0.5::DOUBLE, 5) AS width, round(dd.ahp * 0.5::DOUBLE, 5) AS ahp_width,
+      round((t0.v - t1.v) / (0.5::DOUBLE / 9), 4) AS end_slope, round(rsd, 6) AS amplitude_rsd, round(n / 100.0::DOUBLE, 6) AS rate
+    FROM best b JOIN n USING (label, part, c) JOIN low ON low.k = struct_pack(l := b.label, p := b.part) LEFT JOIN tt ON tt.k = low.k LEFT JOIN dd ON dd.k = low.k LEFT JOIN tail t0 ON t0.k = low.k AND t0.i = dd.first LEFT JOIN tail t1 ON t1.k = low.k AND t1.i = dd.first + 10""",
+)
+def wave_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven units a label, the two halves of a vector as their channels, in thousandths."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("label"), (F.col("vec_id") % 7).alias("part"), F.explode(F.array(F.lit(0), F.lit(1))).alias("c"), "embedding")
+    rows = rows.select("label", "part", "c", F.transform(F.slice("embedding", 32 * F.col("c") + 1, F.lit(32)), lambda x: x.cast("double") * 1000).alias("wave"))
+    found = ops.wave_properties(rows, ["label", "part"], "c", "wave", 0.5, 100.0).withColumnRenamed("c", "channel")
+    return rounded(rounded(rounded(found, "peak", "trough", "ratio", "peak_to_trough", "width", "ahp_width", digits=5), "end_slope", digits=4), "amplitude_rsd", "rate")
+
+
+@query(
+    "n18_theta_modulation",
+    f"""WITH {SPIKES}, n AS (SELECT unit, count(*) AS n FROM spikes GROUP BY unit), h AS (SELECT a.unit, CAST(least(floor((b.ts - a.ts + {96 * HOUR}) / {4.0 * HOUR}), 47) AS INT) AS b, count(*) AS c FROM spikes a JOIN spikes b ON a.unit = b.unit AND abs(b.ts - a.ts) <= {96 * HOUR} AND a.ts <> b.ts GROUP BY ALL),
+    g AS (SELECT unit, b, coalesce(c, 0) AS c FROM n CROSS JOIN (SELECT unnest(range(48)) AS b) LEFT JOIN h USING (unit, b)), k AS (SELECT unnest(range(24)) AS k),
+    p AS (SELECT unit, k, sum(c * cos(2 * pi() * (k * b % 48) / 48)) ^ 2 + sum(c * sin(2 * pi() * (k * b % 48) / 48)) ^ 2 AS p FROM g, k GROUP BY unit, k),
+    m AS (SELECT unit, avg(p) AS mean, max(p) FILTER (k BETWEEN 3 AND 6) AS best FROM p GROUP BY unit)
+    SELECT unit, n, n >= 12 AND best > 0.5::DOUBLE * mean AS modulated, round(CASE WHEN n >= 12 THEN best END, 4) AS best FROM n JOIN m USING (unit)""",
+)
+def theta_modulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lags within 96 hours in bins of 4, which stand for 20 ms; the power, for equal ones may stand at any of their places."""
+    return rounded(ops.theta_modulation(spikes(spark, sf_dir), "unit", "ts", 96.0 * HOUR, 4.0 * HOUR, 0.02, times=0.5, least=12), "best", digits=4).select("unit", "n", "modulated", "best")
+
+
 @query("a14_peak_to_peak", f"WITH {WAVES} SELECT label, round(avg(list_max(wave) - list_min(wave)), 6) AS p2p FROM waves GROUP BY label")
 def peak_to_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ops.peak_to_peak(waves(spark, sf_dir), ["label"], "wave"), "p2p")
