@@ -83,11 +83,18 @@ def relative(rows: DataFrame, keys: list[str], freq: str, power: str, low: float
 
 
 def unity(rows: DataFrame, by: list[str], value: str, subset: Column | None = None, sd: float | None = None) -> DataFrame:
-    """nss: less the mean, over the population deviation, of the subset (or all); a deviation of 0 counts as 1."""
+    """nss: less the mean, over the population deviation, of the subset (or all); a deviation of 0 counts as 1.
+
+    The sums are made in parts, and a row for each key is joined back: no task takes all rows of a key.
+    """
     own = F.when(subset, F.col(value)) if subset is not None else F.col(value)
-    group = Window.partitionBy(*by)
-    deviation = F.lit(sd) if sd is not None else F.stddev_pop(own).over(group)
-    return rows.withColumn("nss", (F.col(value) - F.avg(own).over(group)) / F.when(deviation == 0, 1.0).otherwise(deviation))
+    stats = rows.groupBy(*[F.col(c).alias(f"__of_{c}") for c in by]).agg(F.avg(own).alias("__mean"), F.stddev_pop(own).alias("__sd"))
+    deviation = F.lit(float(sd)) if sd is not None else F.col("__sd")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    rows = rows.join(stats, same).withColumn("nss", (F.col(value) - F.col("__mean")) / F.when(deviation == 0, 1.0).otherwise(deviation))
+    return rows.drop("__mean", "__sd", *(f"__of_{c}" for c in by))
 
 
 def circular(rows: DataFrame, keys: list[str], angle: str) -> DataFrame:

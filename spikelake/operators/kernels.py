@@ -582,40 +582,46 @@ def first_field(rate: np.ndarray, free: np.ndarray, share: float, least: float)
     return None
 
 
-def iterative_fields(units: DataFrame, keys: list[str], nx: int, ny: int, fps: float, draws: int = 1000, margin: float = 20.0, least: float = 1.0, limit: float = 0.5, share: float = 0.2, smallest: float = 0.04, more: int = 50, peaks: tuple[float, float] = (1.0, 15.0), sparse: float = 0.9) -> DataFrame:
+def suppressed_fields(seed: int, bins: np.ndarray, occ: np.ndarray, spikes: np.ndarray, nx: int, ny: int, fps: float, draws: int = 1000, margin: float = 20.0, least: float = 1.0, limit: float = 0.5, share: float = 0.2, smallest: float = 0.04, more: int = 50, peaks: tuple[float, float] = (1.0, 15.0), sparse: float = 0.9) -> list[tuple[int, float, float]]:
+    """Bins, peak and the information left of each field of one unit, as in iterative_fields."""
+    low, high = int(margin * fps), len(bins) - int(margin * fps)
+    if not len(bins) or not len(spikes) or high < low:
+        return []
+    bins, spikes, occ = bins.astype(np.int64), spikes.astype(np.int64), occ.astype(float)
+    rate, seconds = rate_map(bins, occ, spikes, (nx, ny), least)
+    valid, every, rng = seconds > 0, np.bincount(bins, occ, nx * ny).reshape(nx, ny), np.random.default_rng(seed)
+    base, taken = rate[valid].min() if valid.any() else 0.0, np.zeros((nx, ny), bool)
+
+    def place_cell() -> bool:
+        mean, square = (seconds * rate).sum(), (seconds * rate**2).sum() * seconds.sum()
+        if not (len(spikes) > more and peaks[0] < rate.max() < peaks[1] and mean**2 < sparse * square and information(rate, seconds) > limit):
+            return False
+        null = shifted_information(bins, every, spikes, rng.integers(low, high + 1, draws), least, taken, base)
+        return information(rate, seconds) > np.percentile(null, 95)
+
+    out = []
+    while place_cell():
+        found = first_field(rate, valid & ~taken, share, smallest * valid.sum())
+        if found is None:
+            break
+        size, peak = int(found.sum()), float(rate[found].max())
+        taken |= found
+        rate = np.where(taken, base, rate)
+        out.append((size, peak, information(rate, seconds)))
+    return out
+
+
+def iterative_fields(units: DataFrame, keys: list[str], nx: int, ny: int, fps: float, **options) -> DataFrame:
     """n_fields, sizes, peaks and the information left after each field has been lowered to the map's smallest rate.
 
     The strongest field is taken and suppressed while the unit is a place cell: more than `more` spikes, a peak rate within
     peaks, information above the limit and above the 95th percentile of shuffles, sparsity below `sparse`. After each
-    field the shuffles are drawn again, with all fields suppressed in them too. units: as for shuffled_information.
+    field the shuffles are drawn again, with all fields suppressed in them too. units: as for shuffled_information; options:
+    of suppressed_fields.
     """
 
     def f(seed: int, bins: np.ndarray, occ: np.ndarray, spikes: np.ndarray) -> dict:
-        empty = {"n_fields": 0, "sizes": [], "peaks": [], "left": []}
-        low, high = int(margin * fps), len(bins) - int(margin * fps)
-        if not len(bins) or not len(spikes) or high < low:
-            return empty
-        bins, spikes, occ = bins.astype(np.int64), spikes.astype(np.int64), occ.astype(float)
-        rate, seconds = rate_map(bins, occ, spikes, (nx, ny), least)
-        valid, every, rng = seconds > 0, np.bincount(bins, occ, nx * ny).reshape(nx, ny), np.random.default_rng(seed)
-        base, taken = rate[valid].min() if valid.any() else 0.0, np.zeros((nx, ny), bool)
-
-        def place_cell() -> bool:
-            mean, square = (seconds * rate).sum(), (seconds * rate**2).sum() * seconds.sum()
-            if not (len(spikes) > more and peaks[0] < rate.max() < peaks[1] and mean**2 < sparse * square and information(rate, seconds) > limit):
-                return False
-            null = shifted_information(bins, every, spikes, rng.integers(low, high + 1, draws), least, taken, base)
-            return information(rate, seconds) > np.percentile(null, 95)
-
-        while place_cell():
-            found = first_field(rate, valid & ~taken, share, smallest * valid.sum())
-            if found is None:
-                break
-            empty["sizes"].append(int(found.sum()))
-            empty["peaks"].append(float(rate[found].max()))
-            taken |= found
-            rate = np.where(taken, base, rate)
-            empty["left"].append(information(rate, seconds))
-        return empty | {"n_fields": len(empty["sizes"])}
+        found = suppressed_fields(seed, bins, occ, spikes, nx, ny, fps, **options)
+        return {"n_fields": len(found), "sizes": [x[0] for x in found], "peaks": [x[1] for x in found], "left": [x[2] for x in found]}
 
     return per_row(units, f, keys, ["bins", "occ", "spikes"], "n_fields bigint, sizes array<bigint>, peaks array<double>, left array<double>")
