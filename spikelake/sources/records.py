@@ -6,8 +6,10 @@
 
 A file is a 16 KiB text header and records of one size. Reading splits each file into ranges of records, and
 a filter on `ts` narrows a range by bisection, as records are in time order. A truncated last record is left
-out. Writing makes one file for each task, records in the order of `record`. The columns that a query drops
-are dropped after the read; `scan` with `fields` doesn't decode them at all.
+out. Writing makes one file for each task, records in the order of `record`; `write_ordered` makes one file of all. The
+columns that a query drops are dropped after the read; `scan` with `fields` doesn't decode them at all.
+
+Paths are local ones, or URIs of the stores that Arrow knows (file, hdfs, s3, gs); driver and executors must reach them.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
@@ -54,9 +57,21 @@ def schema(kind: str) -> str:
     return ", ".join(out)
 
 
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path, and the path within it."""
+    return pafs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+.-]*:", path) else (pafs.LocalFileSystem(), path)
+
+
+def _uri(path: str, within: str) -> str:
+    """A path within the store of another, told as that one is."""
+    return f"{re.match(r'[a-z][a-z0-9+.-]*:(//(?=/))?', path)[0]}{within}" if re.match(r"[a-z][a-z0-9+.-]*:", path) else within
+
+
 def header(path: str) -> dict[str, str]:
     """The `-Name value` lines of a header."""
-    text = Path(path).open("rb").read(HEADER).decode("latin-1")
+    store, at = _store(path)
+    with store.open_input_file(at) as f:
+        text = f.read(HEADER).decode("latin-1")
     return {m[1]: m[2].strip() for m in re.finditer(r"^-(\w+)[ \t]+(.*)$", text.replace("\0", ""), re.M)}
 
 
@@ -87,12 +102,34 @@ def kind_of(path: str) -> str:
 
 
 def records(path: str, kind: str) -> int:
-    return max(0, os.path.getsize(path) - HEADER) // LAYOUTS[kind].itemsize
-
-
-def _files(path: str, kind: str) -> list[str]:
-    top = Path(path)
-    return [str(top)] if top.is_file() else sorted(str(p) for p in top.rglob(f"*.{kind}"))
+    store, at = _store(path)
+    return max(0, store.get_file_info(at).size - HEADER) // LAYOUTS[kind].itemsize
+
+
+def _files(path: str, kind: str) -> list[tuple[str, int]]:
+    """The file, or the files of a type below the folder, and the records of each."""
+    store, at = _store(path)
+    top = store.get_file_info(at)
+    if top.type == pafs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    found = [top] if top.type == pafs.FileType.File else [f for f in store.get_file_info(pafs.FileSelector(at, recursive=True)) if f.type == pafs.FileType.File and f.path.endswith(f".{kind}")]
+    return sorted((_uri(path, f.path), max(0, f.size - HEADER) // LAYOUTS[kind].itemsize) for f in found)
+
+
+def _first_at(path: str, kind: str, n: int, time: int, after: bool = False) -> int:
+    """The number of the first record at a time or later, or after it: a bisection that reads one time in each step."""
+    layout, low, high = LAYOUTS[kind], 0, n
+    store, at = _store(path)
+    with store.open_input_file(at) as f:
+        while low < high:
+            middle = (low + high) // 2
+            f.seek(HEADER + middle * layout.itemsize + layout.fields["ts"][1])
+            here = int.from_bytes(f.read(8), "little")
+            if here < time or after and here == time:
+                low = middle + 1
+            else:
+                high = middle
+    return low
 
 
 def _columns(rows: np.ndarray, path: str, first: int, names: Sequence[str]) -> pa.RecordBatch:
@@ -140,10 +177,9 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         parts = []
-        for path in _files(self.path, self.kind):
-            n = records(path, self.kind)
-            times = np.memmap(path, LAYOUTS[self.kind], "r", HEADER, n)["ts"] if n else np.empty(0, np.uint64)
-            a, b = int(np.searchsorted(times, max(self.low, 0))), int(np.searchsorted(times, self.high, "right"))
+        for path, n in _files(self.path, self.kind):
+            a = _first_at(path, self.kind, n, self.low) if self.low > 0 else 0
+            b = _first_at(path, self.kind, n, self.high, True) if self.high < 1 << 62 else n
             parts += [Part(path, i, min(RANGE, b - i)) for i in range(a, b, RANGE)]
         return parts or [Part("", 0, 0)]
 
@@ -151,13 +187,28 @@ class _Reader(DataSourceReader):
         layout = LAYOUTS[self.kind]
         if not part.count:
             return
-        with open(part.path, "rb") as f:
+        store, at = _store(part.path)
+        with store.open_input_file(at) as f:
             f.seek(HEADER + part.first * layout.itemsize)
             for a in range(part.first, part.first + part.count, 4096):
                 n = min(4096, part.first + part.count - a)
                 yield _columns(np.frombuffer(f.read(n * layout.itemsize), layout, n), part.path, a, self.names)
 
 
+def _packed(batch: pa.RecordBatch, layout: np.dtype) -> np.ndarray:
+    """The rows as records."""
+    rows = np.zeros(batch.num_rows, layout)
+    for name in layout.names:
+        column = batch.column(name)
+        if layout[name].base.kind == "S":
+            rows[name] = [(v or "").encode("latin-1") for v in column.to_pylist()]
+        elif layout[name].shape:
+            rows[name] = np.array(column.to_pylist(), np.int64).reshape(batch.num_rows, *layout[name].shape)
+        else:
+            rows[name] = column.to_numpy(zero_copy_only=False)
+    return rows
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     path: str
@@ -172,16 +223,7 @@ class _Writer(DataSourceArrowWriter):
         layout = LAYOUTS[self.kind]
         found, order = [], []
         for batch in batches:
-            rows = np.zeros(batch.num_rows, layout)
-            for name in layout.names:
-                column = batch.column(name)
-                if layout[name].base.kind == "S":
-                    rows[name] = [(v or "").encode("latin-1") for v in column.to_pylist()]
-                elif layout[name].shape:
-                    rows[name] = np.array(column.to_pylist(), np.int64).reshape(batch.num_rows, *layout[name].shape)
-                else:
-                    rows[name] = column.to_numpy(zero_copy_only=False)
-            found.append(rows)
+            found.append(_packed(batch, layout))
             order.append(batch.column("record").to_numpy())
         if not found:
             return _Written("")
@@ -245,6 +287,86 @@ def concatenated(files: DataFrame, order: str = "path") -> DataFrame:
     return placed(rows.withColumnRenamed("record", "__old"), ["ts", order, "__old"], "record").select(*files.columns)
 
 
+def write_ordered(rows: DataFrame, path: str, kind: str, header_from: str | None = None, again: bool = False) -> bool:
+    """One file of all rows in the order of `record`, which numbers them from 1 without gaps (as `concatenated` does); whether
+    it was written: a file that is there stays as it is, unless `again`.
+
+    The rows are dealt out by ranges of their number; each task writes its own to the bytes that they will have in the whole
+    file, so no task holds more than its range, and one that is repeated writes the same. The file has another name until all
+    is there, and is renamed then; whatever goes wrong leaves no file. Its folder is one that driver and executors share.
+    """
+    target = Path(path)
+    if target.exists() and not again:
+        return False
+    layout = LAYOUTS[kind]
+    target.parent.mkdir(parents=True, exist_ok=True)
+    part = target.with_name(f".{target.name}.{uuid.uuid4()}")
+    head = b"######## records\r\n".ljust(HEADER, b"\0")
+    if header_from:
+        store, at = _store(header_from)
+        with store.open_input_file(at) as f:
+            head = f.read(HEADER)
+    part.write_bytes(head)
+    name = str(part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high, n = None, 0, 0
+        with open(name, "r+b") as f:
+            for batch in batches:
+                places = batch.column("record").to_numpy()
+                if not len(places):
+                    continue
+                data = _packed(batch, layout)
+                for a, b in zip(*(x.tolist() for x in _stretches(places))):
+                    f.seek(HEADER + (int(places[a]) - 1) * layout.itemsize)
+                    f.write(data[a:b].tobytes())
+                low, high, n = min(places[0], low or places[0]), max(high, places[-1]), n + len(places)
+            f.flush()
+            os.fsync(f.fileno())
+        yield pa.RecordBatch.from_arrays([pa.array([int(low or 0)]), pa.array([int(high)]), pa.array([n])], names=["low", "high", "n"])
+
+    try:
+        dealt = rows.select("record", *layout.names).repartitionByRange("record").sortWithinPartitions("record")
+        done = [r for r in dealt.mapInArrow(run, "low long, high long, n long").collect() if r.n]  # a row for each task
+        if done and (min(r.low for r in done) != 1 or sum(r.n for r in done) != max(r.high for r in done) or any(r.high - r.low + 1 != r.n for r in done)):
+            raise ValueError("records must be numbered from 1 without gaps")
+        os.replace(part, target)
+    finally:
+        part.unlink(missing_ok=True)
+    return True
+
+
+def _stretches(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of consecutive numbers begin and end."""
+    edge = np.flatnonzero(np.diff(places) != 1) + 1
+    return np.concatenate([[0], edge]), np.concatenate([edge, [len(places)]])
+
+
+def write_concatenated(spark: SparkSession, folder: str, out: str, kind: str = "ntt") -> dict[str, bool]:
+    """For each folder below `folder` that holds files of the type one file of all their records in time, numbered by
+    file, at the same place below `out`; which of them were written, the others being there already.
+
+    The driver goes over folders, each with jobs of its own; what is there costs none.
+    """
+    top, done = Path(folder), {}
+    for place in sorted({p.parent for p in top.rglob(f"*.{kind}") if not p.is_relative_to(out)}):
+        target = Path(out) / place.relative_to(top) / f"{place.name}.{kind}"
+        if not target.exists():
+            files = sorted(place.glob(f"*.{kind}"))
+            rows = concatenated(scan(spark, str(place), kind).filter(_beside(place)))
+            done[str(target)] = write_ordered(rows, str(target), kind, str(files[0]))
+        else:
+            done[str(target)] = False
+    return done
+
+
+def _beside(place: Path):
+    """Files in this folder itself."""
+    from pyspark.sql import functions as F
+
+    return F.substring_index("path", "/", -1) == F.expr(f"substring(path, {len(str(place)) + 2})")
+
+
 def spike_counts(spark: SparkSession, folder: str, kind: str = "ntt") -> DataFrame:
     """path and n, from the sizes of the files alone."""
     from pyspark.sql import functions as F

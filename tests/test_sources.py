@@ -96,3 +96,73 @@ def test_coordinates_and_conversion(spark, tmp_path):
     assert len(done) == 2
     rows = spark.read.parquet(str(tmp_path / "out" / "deep" / "ä.parquet")).collect()
     assert [tuple(r) for r in rows] == [("m\u00fcller", "007"), ("", "")]
+
+
+def test_one_ordered_file_is_written_once(spark, folder, tmp_path):
+    rng = np.random.default_rng(1)
+    times = {}
+    for name, n in (("TT3.ntt", 700), ("TT4.ntt", 300)):
+        rows = spikes(np.ones(n, int))
+        rows["ts"] = np.sort(rng.integers(0, 5000, n))
+        times[name] = rows["ts"]
+        (folder / "b").mkdir(exist_ok=True)
+        (folder / "b" / name).write_bytes(TEXT + rows.tobytes())
+    out = tmp_path / "joined"
+    first = R.write_concatenated(spark, str(folder), str(out))
+    assert first == {str(out / "a" / "a.ntt"): True, str(out / "b" / "b.ntt"): True}
+    made = np.frombuffer((out / "b" / "b.ntt").read_bytes()[R.HEADER :], R.LAYOUTS["ntt"])
+    assert (out / "b" / "b.ntt").read_bytes()[: R.HEADER] == TEXT
+    assert made["ts"].tolist() == sorted(np.concatenate(list(times.values())).tolist()) and sorted(made["cell_number"].tolist()) == [1] * 700 + [2] * 300
+    before = {p: p.stat().st_mtime_ns for p in out.rglob("*")}
+    assert R.write_concatenated(spark, str(folder), str(out)) == dict.fromkeys(first, False)
+    assert {p: p.stat().st_mtime_ns for p in out.rglob("*")} == before
+    one = R.scan(spark, str(out / "b" / "b.ntt"))
+    with pytest.raises(ValueError, match="without gaps"):  # records read are numbered from 0
+        R.write_ordered(one, str(out / "c.ntt"), "ntt")
+    assert not any(p.name.startswith(".") or p.name == "c.ntt" for p in out.rglob("*"))
+    assert R.write_ordered(one.withColumn("record", one.record + 1), str(out / "b" / "b.ntt"), "ntt", str(folder / "b" / "TT3.ntt"), again=True)
+    assert np.frombuffer((out / "b" / "b.ntt").read_bytes()[R.HEADER :], R.LAYOUTS["ntt"]).tobytes() == made.tobytes()
+
+
+def test_uris_and_bisection(spark, folder):
+    rows = spikes(np.arange(1000))
+    rows["ts"] = np.repeat(np.arange(250) * 10, 4)
+    path = folder / "TT9.ntt"
+    path.write_bytes(TEXT + rows.tobytes())
+    for low, high in ((0, 2490), (15, 15), (20, 20), (-5, 3), (2491, 9999), (1000, 999)):
+        a, b = R._first_at(str(path), "ntt", 1000, low), R._first_at(str(path), "ntt", 1000, high, True)
+        assert (a, b) == (np.searchsorted(rows["ts"], max(low, 0)), np.searchsorted(rows["ts"], high, "right"))
+        got = R.scan(spark, path.as_uri()).filter(f"ts >= {low} AND ts <= {high}").count()
+        assert got == ((rows["ts"] >= low) & (rows["ts"] <= high)).sum()
+    assert R.scan(spark, folder.as_uri(), "ntt").select("path").distinct().count() == 3
+    assert R.header(path.as_uri()) == R.header(str(path)) and R.records(path.as_uri(), "ntt") == 1000
+
+
+def test_cached_tables_are_made_once(spark, tmp_path):
+    from spikelake.sources.cache import cached
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.csv").write_text("a\n1\n2\n")
+    calls = []
+
+    def make(k=1):
+        calls.append(k)
+        return spark.read.option("header", "true").csv(f"{tmp_path}/in").selectExpr(f"cast(a AS INT) * {k} AS a")
+
+    run = lambda k=1: sorted(r.a for r in cached(spark, lambda: make(k), f"{tmp_path}/kept", [f"{tmp_path}/in"], {"k": k}).collect())
+    files = lambda: sorted((str(p), p.stat().st_mtime_ns) for p in (tmp_path / "kept").rglob("*"))
+    assert run() == [1, 2] and calls == [1]
+    before = files()
+    assert run() == [1, 2] and calls == [1] and files() == before
+    assert run(3) == [3, 6] and calls == [1, 3]
+    (tmp_path / "in" / "y.csv").write_text("a\n7\n")
+    assert run() == [1, 2, 7] and calls == [1, 3, 1]
+
+    def broken():
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError):
+        cached(spark, broken, f"{tmp_path}/kept", [f"{tmp_path}/in"], {"k": 9})
+    assert len([p for p in (tmp_path / "kept").iterdir()]) == 3
+    with pytest.raises(Exception, match="nowhere"):
+        cached(spark, make, f"{tmp_path}/kept", [f"{tmp_path}/nowhere"])
