@@ -107,6 +107,18 @@ def gaussian_smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.where(gaps, np.nan, y)
 
 
+def gaussian_spread(rows: np.ndarray, sigma: float) -> np.ndarray:
+    """The transpose of gaussian_smoothed: rows @ gaussian_smoothed(x) is gaussian_spread(rows) @ x."""
+    r = int(4 * sigma + 0.5)
+    k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    n = rows.shape[1]
+    wide = np.stack([convolved(np.pad(x, r), k / k.sum()) for x in rows])
+    out = wide[:, r : r + n].copy()
+    out[:, 0] += wide[:, :r].sum(1)
+    out[:, -1] += wide[:, r + n :].sum(1)
+    return out
+
+
 def savitzky_golay(x: np.ndarray, window: int = 11, order: int = 3) -> np.ndarray:
     """Local polynomials; at the ends those of the first and last window."""
     window = min(window, len(x) - (1 - len(x) % 2))
@@ -122,15 +134,16 @@ def savitzky_golay(x: np.ndarray, window: int = 11, order: int = 3) -> np.ndarra
 
 def smoothed_in_place(x: np.ndarray, width: int = 15) -> np.ndarray:
     """Each value the mean of those around it, of which the earlier ones are smoothed already; the ends stay."""
-    y, half = np.asarray(x, float).copy(), width // 2
-    if len(y) < width:
-        return y
-    total = y[:width].sum()
-    for i in range(half, len(y) - half):
+    y, half = np.asarray(x, float).tolist(), width // 2
+    n = len(y)
+    if n < width:
+        return np.array(y)
+    total = sum(y[:width])
+    for i in range(half, n - half):
         new = total / width
-        total += new - y[i] - y[i - half] + (y[i + half + 1] if i + half + 1 < len(y) else 0)
+        total += new - y[i] - y[i - half] + (y[i + half + 1] if i + half + 1 < n else 0)
         y[i] = new
-    return y
+    return np.array(y)
 
 
 def analytic(x: np.ndarray) -> np.ndarray:

@@ -37,12 +37,6 @@ def per_row(rows: DataFrame, f: Callable[..., dict], keys: list[str], inputs: li
     return rows.select(*dict.fromkeys([*keys, *inputs])).mapInArrow(run, full)
 
 
-def traces(samples: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """key and samples: the values of each key in order."""
-    pairs = F.array_sort(F.collect_list(F.struct(order, value)))
-    return samples.groupBy(key).agg(F.transform(pairs, lambda p: p[value]).alias("samples"))
-
-
 def blocks(samples: DataFrame, key: str, order: str, value: str, length: int, halo: int, only: DataFrame | None = None) -> DataFrame:
     """key, block, start and samples: each trace cut into blocks of `length` samples, with up to `halo` of those around.
 
@@ -321,29 +315,30 @@ def speed_modulation(units: DataFrame, keys: list[str], fps: float, draws: int =
 
     def f(seed: int, speed: np.ndarray, n: np.ndarray) -> dict:
         speed, n = speed.astype(float), n.astype(float)
-        smooth = lambda x: signal.gaussian_smoothed(x, max(sigma * fps, 1e-6))
-        rate = smooth(n * fps)
-        speed = speed if counts else smooth(speed)
+        spread = max(sigma * fps, 1e-6)
+        rate = signal.gaussian_smoothed(n * fps, spread)
+        speed = speed if counts else signal.gaussian_smoothed(speed, spread)
         places = int(np.ceil((high - low) / width - 1e-9))
-
-        def means(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """The middles, mean rates and frames of the bins that are kept."""
-            ok = (speed > low) & (speed < high) & np.isfinite(r)
-            place = np.clip(np.floor((speed[ok] - low) / width), 0, places - 1).astype(int)
-            frames = np.bincount(place, minlength=places)
-            bins = np.flatnonzero((frames > 0) & (frames >= rare * frames.sum()))
-            return low + (bins + 0.5) * width, np.bincount(place, r[ok], places)[bins] / frames[bins], frames[bins].astype(float)
-
-        def line(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float, float]:
-            w = np.ones_like(w) if counts else w
-            a, b = np.average(x, weights=w), np.average(y, weights=w)
-            xx, xy, yy = np.average((x - a) ** 2, weights=w), np.average((x - a) * (y - b), weights=w), np.average((y - b) ** 2, weights=w)
-            return xy / xx, b - xy / xx * a, xy / np.sqrt(xx * yy) if yy > 0 else float("nan")
-
-        x, y, w = means(rate)
-        if len(x) < 3:
+        ok = np.flatnonzero((speed > low) & (speed < high))
+        place = np.clip(np.floor((speed[ok] - low) / width), 0, places - 1).astype(int)
+        frames = np.bincount(place, minlength=places)
+        bins = np.flatnonzero((frames > 0) & (frames >= rare * frames.sum()))
+        if len(bins) < 3:
             return {}
-        slope, intercept, r = line(x, y, w)
+        x, weight = low + (bins + 0.5) * width, np.ones(len(bins)) if counts else frames[bins].astype(float)
+        weight /= weight.sum()
+        share = np.zeros((places, len(n)))  # what each frame adds to its bin's mean
+        share[place, ok] = 1 / frames[place]
+        share = share[bins]
+
+        def lines(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Slope, intercept and r of each column of mean rates."""
+            a, b = weight @ x, weight @ y
+            xx, xy, yy = weight @ (x - a) ** 2, (weight * (x - a)) @ (y - b), weight @ (y - b) ** 2
+            return xy / xx, b - xy / xx * a, np.divide(xy, np.sqrt(xx * yy), out=np.full_like(xy, np.nan), where=yy > 0)
+
+        y = share @ rate
+        slope, intercept, r = (float(v[0]) for v in lines(y[:, None]))
         rank = lambda v: np.searchsorted(np.sort(v), v, "left") + np.searchsorted(np.sort(v), v, "right")
         rho = float(np.corrcoef(rank(x), rank(y))[0, 1]) if y.std() > 0 else float("nan")
         out = {"slope": slope, "intercept": intercept, "r": r, "p": stats.correlation_p(r, len(x)) if np.isfinite(r) else float("nan"), "rho": rho, "shapiro_p": stats.shapiro_wilk(y - intercept - slope * x)[1]}
@@ -352,8 +347,10 @@ def speed_modulation(units: DataFrame, keys: list[str], fps: float, draws: int =
             first = max(1, len(n) // 4)
         if len(n) > 2 * first and draws and np.isfinite(r):
             shifts = np.random.default_rng(seed).integers(first, len(n) - first + 1, draws)
-            fits = [means(smooth(np.roll(n, k) * fps) if counts else np.roll(rate, k)) for k in shifts]
-            null = np.array([line(*m)[2] if len(m[0]) >= 3 else np.nan for m in fits])
+            # The means after every shift are a circular correlation; smoothing, which is linear, moves over to the shares.
+            given = signal.gaussian_spread(share, spread) * fps if counts else share
+            means = np.fft.irfft(np.fft.rfft(given) * np.conj(np.fft.rfft(n if counts else rate)), len(n))[:, shifts % len(n)]
+            null = lines(means)[2]
             null = null[np.isfinite(null)]
             out["n_null"] = len(null)
             if len(null) >= (least if counts else 1):
@@ -482,14 +479,31 @@ def least_squares(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, roun
     return q
 
 
-def smoothed(rows: DataFrame, key: str, method: str, width: float) -> DataFrame:
-    """key and smooth: each trace's samples (array) smoothed in place, by a Gaussian, or by local polynomials."""
-    f = {
-        "in_place": lambda x: signal.smoothed_in_place(x, int(width)),
-        "gaussian": lambda x: signal.gaussian_smoothed(x, width),
-        "polynomial": lambda x: np.maximum(signal.savitzky_golay(x, int(width)), 0),
-    }[method]
-    return per_row(rows, lambda seed, x: {"smooth": f(x.astype(float)).tolist()}, [key], ["samples"], "smooth array<double>")
+def smoothed(samples: DataFrame, key: str, order: str, value: str, method: str, width: float, length: int = 1 << 16) -> DataFrame:
+    """key, i and v: each trace smoothed in place, by a Gaussian, or by local polynomials (not below 0), as whole traces are.
+
+    samples: as for `blocks`. A Gaussian reads four of its deviations, a polynomial its window. In place each value becomes the
+    mean of `width` (odd) around it, of which the earlier ones are smoothed already: what a block can't know of those fades
+    by a factor with each sample, the largest root of that recursion, and the halo is as long as it takes to vanish.
+    """
+    half = int(width) // 2
+    if method == "in_place":
+        root = np.abs(np.roots([width, *[-1.0] * half])).max() if half else 0.0
+        halo = half + (int(np.ceil(-40 / np.log(root))) if root > 0 else 0)
+        f = lambda x: signal.smoothed_in_place(x, int(width))
+    elif method == "gaussian":
+        halo, f = int(4 * width + 0.5), lambda x: signal.gaussian_smoothed(x, width)
+    elif method == "polynomial":
+        halo, f = int(width), lambda x: np.maximum(signal.savitzky_golay(x, int(width)), 0)
+    else:
+        raise ValueError(method)
+
+    def own(seed: int, block: int, start: int, x: np.ndarray) -> dict:
+        at = block * length - start
+        return {"smooth": f(x.astype(float))[at : at + length].tolist()}
+
+    rows = per_row(blocks(samples, key, order, value, length, halo), own, [key, "block"], ["block", "start", "samples"], "smooth array<double>")
+    return rows.select(key, "block", F.posexplode("smooth").alias("i", "v")).select(key, (F.col("block") * length + F.col("i")).alias("i"), "v")
 
 
 def wave_features(files: DataFrame, key: str) -> DataFrame:

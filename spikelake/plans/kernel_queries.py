@@ -1,4 +1,4 @@
-"""Queries of the kernels; SQL can't express them, tests/test_kernels.py holds them against other definitions."""
+"""Queries of the kernels; those that SQL can't express are held against other definitions in the tests."""
 
 from __future__ import annotations
 
@@ -7,14 +7,22 @@ from pyspark.sql import functions as F
 
 from ..operators import joins, kernels, maps
 from ..operators.ripples import ripples as find_ripples
-from .proxies import HOUR, grid, query, read, rounded, spikes, trace, track
+from .proxies import HOUR, TRACE, grid, query, read, rounded, spikes, trace, track
 
 
-def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.traces(trace(spark, sf_dir), "channel", "i", "v")
+#: The band of 4 to 12 Hz at 40 Hz: 101 taps, their unit gain at 8 Hz, and the mean square of 11 filtered samples.
+RIPPLES = f"""WITH {TRACE}, raw AS (SELECT t, (2 * 12 / 40.0::DOUBLE * CASE WHEN t = 0 THEN 1 ELSE sin(pi() * 0.6 * t) / (pi() * 0.6 * t) END - 2 * 4 / 40.0::DOUBLE * CASE WHEN t = 0 THEN 1 ELSE sin(pi() * 0.2 * t) / (pi() * 0.2 * t) END) * (0.54 - 0.46 * cos(2 * pi() * (t + 50) / 100)) AS h FROM (SELECT unnest(range(-50, 51)) AS t)),
+    taps AS (SELECT t, h / (SELECT sqrt(sum(h * cos(2 * pi() * 8 * t / 40)) ^ 2 + sum(h * sin(2 * pi() * 8 * t / 40)) ^ 2) FROM raw) AS h FROM raw),
+    f AS (SELECT a.channel, a.i, sum(h * b.v) AS v FROM trace a JOIN trace b ON a.channel = b.channel JOIN taps ON t = a.i - b.i GROUP BY a.channel, a.i), ends AS (SELECT channel, max(i) AS last FROM f GROUP BY channel),
+    p AS (SELECT f.channel, f.i, any_value(f.v) AS v, sum(o.v * o.v) / 11 AS power FROM f JOIN ends USING (channel) JOIN (SELECT unnest(range(-5, 6)) AS k) ON true JOIN f o ON o.channel = f.channel AND o.i = greatest(0, least(last, f.i + k)) GROUP BY f.channel, f.i),
+    s AS (SELECT *, (power - avg(power) OVER c) / CASE WHEN stddev_pop(power) OVER c = 0 THEN 1 ELSE stddev_pop(power) OVER c END AS nss FROM p WINDOW c AS (PARTITION BY channel)),
+    u AS (SELECT *, nss > 0.5 AS up, lag(nss > 0.5) OVER w AS was, lead(nss > 0.5) OVER w AS will FROM s WINDOW w AS (PARTITION BY channel ORDER BY i)), g AS (SELECT *, sum(CASE WHEN up AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY i) AS run FROM u),
+    runs AS (SELECT channel, min(i) - 1 AS start, max(i) AS stop, bool_or(was IS NULL OR will IS NULL) AS open FROM g WHERE up GROUP BY channel, run), m AS (SELECT *, CASE WHEN start - lag(stop) OVER (PARTITION BY channel ORDER BY start) < 4 THEN 0 ELSE 1 END AS new FROM runs WHERE NOT open),
+    spans AS (SELECT channel, min(start) AS start, max(stop) AS stop FROM (SELECT *, sum(new) OVER (PARTITION BY channel ORDER BY start) AS g FROM m) GROUP BY channel, g),
+    r AS (SELECT s.channel, start, stop, max(nss) AS power, arg_min(i, struct_pack(v := v, i := i)) AS spot FROM spans JOIN s ON s.channel = spans.channel AND s.i BETWEEN start AND stop GROUP BY ALL)"""
 
 
-@query("n1_ripples")
+@query("n1_ripples", f"{RIPPLES} SELECT channel, round(start / 40.0::DOUBLE, 6) AS start_time, round(stop / 40.0::DOUBLE, 6) AS end_time, round(spot / 40.0::DOUBLE, 6) AS peak_time, round(power, 6) AS peak_normed_power, round((stop - start) / 40.0::DOUBLE * 1000, 6) AS duration_ms FROM r WHERE power > 1 AND (stop - start) / 40.0::DOUBLE BETWEEN 0.05 AND 2")
 def ripples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of each user as a trace at 40 Hz, with bounds to match."""
     found = find_ripples(trace(spark, sf_dir), "channel", "i", "v", 40.0, 4.0, 12.0, 0.5, 1.0, 0.1, 0.05, 2.0)
@@ -27,7 +35,12 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("channel", "epoch", F.posexplode("power").alias("k", "power")), "power")
 
 
-@query("n7_hand_rolled_spectra")
+@query(
+    "n7_hand_rolled_spectra",
+    f"""WITH {TRACE}, n AS (SELECT *, count(*) OVER (PARTITION BY channel) AS n FROM trace), e AS (SELECT channel, CAST(i // 16 AS BIGINT) AS epoch, i % 16 AS j, v FROM n WHERE i // 16 < n // 16), l AS (SELECT channel, epoch, regr_slope(v, j) AS a, regr_intercept(v, j) AS b FROM e GROUP BY ALL),
+    d AS (SELECT channel, epoch, j, (v - a * j - b) * w AS v, w FROM e JOIN l USING (channel, epoch) JOIN (SELECT unnest(range(16)) AS j, 0.5 - 0.5 * cos(2 * pi() * unnest(range(16)) / 15) AS w) USING (j))
+    SELECT channel, epoch, CAST(k AS INT) AS k, round(CASE WHEN k BETWEEN 1 AND 7 THEN 2 ELSE 1 END * (sum(v * cos(2 * pi() * j * k / 16)) ^ 2 + sum(v * sin(2 * pi() * j * k / 16)) ^ 2) / (16 * sum(w * w)), 6) AS power FROM d, (SELECT unnest(range(9)) AS k) GROUP BY channel, epoch, k""",
+)
 def hand_rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = kernels.spectra(trace(spark, sf_dir), "channel", "i", "v", 16.0, 1.0, hand_rolled=True)
     return rounded(rows.select("channel", "epoch", F.posexplode("power").alias("k", "power")), "power")
@@ -107,10 +120,21 @@ def gridded_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, "raw_r", "slope", "intercept", "r", "p", digits=4)
 
 
-@query("w6_w8_smoothed_traces")
+@query(
+    "w6_w8_smoothed_traces",
+    f"""WITH RECURSIVE {TRACE}, n AS (SELECT *, count(*) OVER (PARTITION BY channel) AS n, sum(v) OVER (PARTITION BY channel ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ahead FROM trace),
+    walk(channel, i, y) AS (SELECT channel, i, [v] FROM n WHERE i = 0 UNION ALL SELECT w.channel, n.i, list_append(w.y, CASE WHEN n.i < 7 OR n.i >= n.n - 7 THEN n.v ELSE (list_sum(w.y[n.i - 6 : n.i]) + n.ahead) / 15 END) FROM walk w JOIN n ON w.channel = n.channel AND n.i = w.i + 1),
+    bell AS (SELECT k, exp(-k * k / 8.0::DOUBLE) / (SELECT sum(exp(-x * x / 8.0::DOUBLE)) FROM (SELECT unnest(range(-8, 9)) AS x)) AS w FROM (SELECT unnest(range(-8, 9)) AS k)),
+    t AS (SELECT unnest(range(-5, 6)) AS t), q AS (SELECT t, 1.0::DOUBLE AS p0, t::DOUBLE AS p1, t * t - 10.0::DOUBLE AS p2, t * t * t - 17.8::DOUBLE * t AS p3 FROM t), z AS (SELECT sum(p0 * p0) AS z0, sum(p1 * p1) AS z1, sum(p2 * p2) AS z2, sum(p3 * p3) AS z3 FROM q),
+    fit AS (SELECT a.t AS a, b.t AS b, a.p0 * b.p0 / z0 + a.p1 * b.p1 / z1 + a.p2 * b.p2 / z2 + a.p3 * b.p3 / z3 AS w FROM q a, q b, z),
+    place AS (SELECT channel, i, greatest(5, least(n - 6, i)) AS middle FROM n)
+    SELECT channel, 'in_place' AS method, CAST(i AS INT) AS i, round(y[i + 1], 6) AS v FROM walk
+    UNION ALL SELECT n.channel, 'gaussian', CAST(n.i AS INT), round(sum(w * o.v), 6) FROM n, bell JOIN trace o ON o.channel = n.channel AND o.i = greatest(0, least(n.n - 1, n.i + k)) GROUP BY n.channel, n.i
+    UNION ALL SELECT p.channel, 'polynomial', CAST(p.i AS INT), round(greatest(0, sum(w * o.v)), 6) FROM place p JOIN fit ON a = p.i - p.middle JOIN trace o ON o.channel = p.channel AND o.i = p.middle + b GROUP BY p.channel, p.i""",
+)
 def smoothed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _traces(spark, sf_dir)
-    out = [kernels.smoothed(rows, "channel", m, w).select("channel", F.lit(m).alias("method"), F.posexplode("smooth").alias("i", "v")) for m, w in (("in_place", 15), ("gaussian", 2.0), ("polynomial", 11))]
+    rows = trace(spark, sf_dir)
+    out = [kernels.smoothed(rows, "channel", "i", "v", m, w).select("channel", F.lit(m).alias("method"), F.col("i").cast("int").alias("i"), "v") for m, w in (("in_place", 15), ("gaussian", 2.0), ("polynomial", 11))]
     return rounded(out[0].unionByName(out[1]).unionByName(out[2]), "v")
 
 

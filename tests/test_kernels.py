@@ -197,10 +197,18 @@ def test_largest_field(spark):
     assert kernels.largest_field(rate, valid) == [] and kernels.largest_field(rate * 0, valid) == []
 
 
-def test_smoothed_traces(spark):
-    rows = spark.createDataFrame([(1, [1.0] * 40)], "c int, samples array<double>")
-    for method, width in (("in_place", 15), ("gaussian", 2.0), ("polynomial", 11)):
-        assert kernels.smoothed(rows, "c", method, width).first().smooth == pytest.approx([1.0] * 40)
+@pytest.mark.parametrize("method,width,whole", [("in_place", 15, lambda x: signal.smoothed_in_place(x, 15)), ("in_place", 5, lambda x: signal.smoothed_in_place(x, 5)), ("gaussian", 2.0, lambda x: signal.gaussian_smoothed(x, 2.0)), ("polynomial", 11, lambda x: np.maximum(signal.savitzky_golay(x, 11), 0))])
+def test_smoothing_in_blocks_is_that_of_whole_traces(spark, method, width, whole):
+    rng = np.random.default_rng(13)
+    xs = {k: rng.standard_normal(n).cumsum() + 3 for k, n in enumerate((1, 9, 14, 15, 16, 40, 203, 1207))}
+    if method == "gaussian":
+        xs[6][[0, 50, 51, 202]] = np.nan
+    long = spark.createDataFrame([(k, i, float(v)) for k, x in xs.items() for i, v in enumerate(x)], "c int, i long, v double").repartition(4)
+    for length in (16, 100, 1 << 16):
+        got = {(r.c, r.i): r.v for r in kernels.smoothed(long, "c", "i", "v", method, width, length).collect()}
+        assert len(got) == sum(map(len, xs.values()))
+        for k, x in xs.items():
+            assert np.allclose([got[k, i] for i in range(len(x))], whole(x), rtol=1e-12, atol=1e-12, equal_nan=True), (k, length)
 
 
 def test_blocks_give_the_values_of_the_whole_trace(spark):
