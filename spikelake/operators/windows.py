@@ -102,15 +102,36 @@ def sliding_mean(rows: DataFrame, by: str, order: str, column: str, k: int, good
 
 
 def adjusted_p(rows: DataFrame, p: str, by: list[str] | None = None) -> DataFrame:
-    """p_adj: Benjamini-Hochberg over the rows whose p isn't null (of each group)."""
+    """p_adj: Benjamini-Hochberg over the rows whose p isn't null (of each group).
+
+    Rows are dealt out by ranges of p, and numbered within each; what ranges below and above add, a count and a least value
+    for each range, is joined back. So neither all rows nor those of a large group meet in one task.
+    """
     by = by or []
-    known = F.col(p).isNotNull()
-    group = Window.partitionBy(*by, known)
-    rank = F.row_number().over(group.orderBy(p))
-    scaled = F.col(p) * F.count(F.lit(1)).over(group) / rank
-    rows = rows.withColumn("__q", F.when(known, scaled))
-    least = F.min("__q").over(group.orderBy(F.desc(p), F.desc("__q")).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("p_adj", F.when(known, F.least(least, F.lit(1.0)))).drop("__q")
+    known = rows.filter(F.col(p).isNotNull()).repartitionByRange(*by, p).withColumn("__part", F.spark_partition_id())
+    own = Window.partitionBy("__part", *by)
+    known = known.withColumn("__i", F.row_number().over(own.orderBy(p)))
+    parts = known.groupBy("__part", *by).agg(F.max("__i").alias("__n"))
+    order = Window.partitionBy(*by).orderBy("__part")  # a row for each range
+    before = F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("__part", *by, before.alias("__before"), F.sum("__n").over(Window.partitionBy(*by)).alias("__all"))
+    ranked = _beside(known, parts, ["__part", *by])
+    ranked = ranked.withColumn("__q", F.col(p) * F.col("__all") / (F.col("__i") + F.col("__before")))
+    ranked = ranked.withColumn("__least", F.min("__q").over(own.orderBy(F.desc("__i")).rowsBetween(Window.unboundedPreceding, 0)))
+    later = ranked.groupBy("__part", *by).agg(F.min("__q").alias("__q"))
+    later = later.select("__part", *by, F.min("__q").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__later"))
+    found = _beside(ranked, later, ["__part", *by])
+    found = found.withColumn("p_adj", F.least("__least", "__later", F.lit(1.0))).drop("__part", "__i", "__before", "__all", "__q", "__least", "__later")
+    return found.unionByName(rows.filter(F.col(p).isNull()).withColumn("p_adj", F.lit(None).cast("double")))
+
+
+def _beside(rows: DataFrame, values: DataFrame, on: list[str]) -> DataFrame:
+    """rows with the columns of values, whose keys may be null."""
+    values = values.select(*[F.col(c).alias(f"__of{c}") for c in on], *[c for c in values.columns if c not in on])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of{c}"))
+    return rows.join(values, same).drop(*(f"__of{c}" for c in on))
 
 
 def rolled(rows: DataFrame, by: str, i: str, column: str, shift: int, name: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators on hand-made rows with known answers, and metamorphic checks."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +130,25 @@ def test_phases_between_reference_peaks(spark):
     peaks = spark.createDataFrame([(0, float(t)) for t in (0, 10, 20, 100)] + [(1, float(t)) for t in (-1, 5, 12, 60, 100)], "c int, t double")
     got = {r.t: r.phase for r in fields.phases(peaks, "c", "t", 0, 15.0).collect()}
     assert got == pytest.approx({5.0: np.pi, 12.0: 0.4 * np.pi, 60.0: np.pi})
+
+
+def test_adjusted_p_is_the_plain_one(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), k, rng.choice([None, 0.01, 0.5, 0.03, 1.0, rng.random() ** 3])) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, k int, p double").repartition(5)
+
+    def plain(own):
+        known = sorted((r for r in own if r[2] is not None), key=lambda r: r[2])
+        out, least = {r[1]: None for r in own}, 1.0
+        for rank in range(len(known), 0, -1):
+            least = min(least, known[rank - 1][2] * len(known) / rank)
+            out[known[rank - 1][1]] = least
+        return out
+
+    assert {r.k: r.p_adj for r in windows.adjusted_p(df, "p").collect()} == pytest.approx(plain(rows))
+    grouped = {}
+    for g in ("a", "b", None):
+        grouped |= plain([r for r in rows if r[0] == g])
+    found = windows.adjusted_p(df, "p", ["g"])
+    assert found.columns == ["g", "k", "p", "p_adj"] and {r.k: r.p_adj for r in found.collect()} == pytest.approx(grouped)
+    assert windows.adjusted_p(df.limit(0), "p").count() == 0
