@@ -16,7 +16,8 @@ a batch go through one masked attention.
 
 A null text counts as empty: its only token is the end. A null id counts as the empty text for the held-out
 rule of the query. Repeated rows are counted and scored each. Without training rows all counts are 0 and the
-model is uniform over ids. An empty table gives an empty table. Only the named columns are read.
+model is uniform over ids. An empty table gives an empty table. Very long texts are many windows, in time that grows with
+their length; texts that tie get equal scores. Only the named columns are read, so others can't clash.
 """
 
 from __future__ import annotations

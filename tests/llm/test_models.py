@@ -173,3 +173,51 @@ def test_lm_learns_from_every_id_of_all_rows(spark, monkeypatch):
     ids = np.bincount(want, minlength=lm.IDS)
     a, b = (lm.learnt(lm.Model.new(ids), docs.repartition(n), ids, 8).weights for n in (1, 5))
     assert all((a[k] == b[k]).all() for k in a) and (a["E"] != lm.Model.new(ids).weights["E"]).any()
+
+
+def plain_toxic_features(text, learned):
+    """Each feature by a loop over words and characters."""
+    words = [w.strip(toxicity.PUNCTUATION) for w in text.lower().split()]
+    count, chars = max(1, len(words)), max(1, len(text))
+    weight = lambda w: max(learned.get(w, 0), learned.get(w[:4] + "*", 0), learned.get(w[:5] + "*", 0))
+    fixed = [w in toxicity.INSULTS for w in words]
+    found = [weight(w) != 0 for w in words]
+    close = 0
+    for i in range(len(words)):
+        if (fixed[i] or found[i]) and any(words[j] in toxicity.SECOND for j in range(max(0, i - 5), min(len(words), i + 6))):
+            close += 1
+    hits = sum(a or b for a, b in zip(fixed, found))
+    odd, i = 0, 0
+    while i < len(text):  # a letter, signs between, a letter
+        j = i + 1
+        while text[i].isalpha() and j < len(text) and text[j] in "0123456789@$!|*":
+            j += 1
+        if text[i].isalpha() and j > i + 1 and j < len(text) and text[j].isalpha():
+            odd, i = odd + 1, j + 1
+        else:
+            i += 1
+    triples, i = 0, 0
+    while i < len(text) - 2:
+        if text[i].isalpha() and text[i] == text[i + 1] == text[i + 2]:
+            triples, i = triples + 1, i + 3
+        else:
+            i += 1
+    leet = dict(zip("013457@$!|", "oieastasil"))
+    hidden = sum("".join(leet.get(c, c) for c in w) in toxicity.INSULTS for w in words if w and not w.isalpha()) if odd else 0
+    marks = sum(c in "#*$%&|<>" for c in text)
+    return [
+        sum(fixed), sum(fixed) / count, sum(found), sum(found) / count, len({w for w, f in zip(words, found) if f}),
+        max(map(weight, words), default=0), sum(weight(w) for w in set(words)), hits, hits / count, close, close / count,
+        sum("A" <= c <= "Z" for c in text) / chars, sum(c in "!?" for c in text) / count, marks / count,
+        odd / count, hidden, triples / count, math.log(1 + len(words)), chars / count,
+    ]
+
+
+def test_toxicity_features_against_plain_ones():
+    rng = random.Random(21)
+    pieces = ["idiot", "1d1ot", "ID10T!", "you", "DICH", "zorgling", "zorg", "st*pid", "d@mn", "soooo", "aaaa", "x", "...", "«dumm»", "né", "über", "!!", "#", "", "\n", "a1b", "1a", "$$", "you're"]
+    learned = {"zorg*": 1.5, "über": 0.7, "soooo": 0.4, "you'*": 0.2}
+    for k in range(400):
+        text = rng.choice([" ", "", "  ", "\t"]).join(rng.choice(pieces) for _ in range(rng.randrange(40)))
+        for terms in (learned, {}):
+            assert toxicity.features(text, terms) == pytest.approx(plain_toxic_features(text, terms)), (k, text)

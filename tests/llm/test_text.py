@@ -1,6 +1,7 @@
 """Byte-level BPE, quality rules, personal data, secrets."""
 
 import math
+import os
 import random
 import re
 import string
@@ -263,3 +264,24 @@ def test_secrets_take_key_blocks_whole(headers, kind):
     assert (scores >= secrets.LIMIT).all() and len(spans) == 2
     cut = text.replace("-----END", "-----", 1)  # the first has no END: it doesn't reach into the second
     assert (cut.rindex(block), cut.rindex(block) + len(block)) in secrets.candidates(cut)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/documents.parquet"), reason="the tables aren't here")
+def test_planted_tokens_are_found_and_nothing_else():
+    """The tables' tokens stand in quotes behind `token = `, in either case; 40 hexadecimal digits elsewhere are hashes."""
+    import pyarrow.parquet as pq
+
+    planted, found = 0, 0
+    for x in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").to_pylist():
+        want, at = [], (x or "").lower().find('token = "')
+        while at >= 0:
+            end = x.find('"', at + 9)
+            if end - at - 9 == 40:
+                want.append((at + 9, end))
+            at = x.lower().find('token = "', at + 1)
+        spans = secrets.candidates(x or "")
+        scores = secrets.model().raw(np.array([secrets.features(x, *s) for s in spans])) if spans else []
+        got = [s for s, p in zip(spans, scores) if p >= secrets.LIMIT]
+        assert got == want, x
+        planted, found = planted + len(want), found + len(got)
+    assert planted == found > 100
