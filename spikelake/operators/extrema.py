@@ -147,7 +147,7 @@ def phase_profile(traces: DataFrame, snippet: str, channel: str, i: str, value:
     first = found.join(lead, "s").filter("t >= start").groupBy("s", "c", "period").agg(F.min(F.col("t") - F.col("start")).alias("lag"))
     turn = 2 * F.pi() * (F.col("lag") % F.col("period")) / F.col("period")
     sums = first.groupBy("c").agg(F.sum(F.cos(turn)).alias("x"), F.sum(F.sin(turn)).alias("y"), F.count(F.lit(1)).alias("n"))
-    mean = lead.agg(F.avg("period").alias("period"))  # one row
+    mean = lead.agg(F.avg("period")).first()[0]  # one number
     phase = F.atan2("y", "x") if signed else F.pmod(F.atan2("y", "x"), F.lit(2 * np.pi))
-    out = sums.crossJoin(F.broadcast(mean)).select(F.col("c").alias(channel), phase.alias("phase"), (F.hypot("x", "y") / F.col("n")).alias("r"), "n", "period")
+    out = sums.select(F.col("c").alias(channel), phase.alias("phase"), (F.hypot("x", "y") / F.col("n")).alias("r"), "n", F.lit(mean).cast("double").alias("period"))
     return out.select(channel, "phase", "r", "n", (F.col("phase") / (2 * F.pi()) * F.col("period")).alias("lag"), "period")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins, kernels, maps
 from ..operators.ripples import ripples as find_ripples
-from .proxies import HOUR, TRACE, grid, query, read, rounded, spikes, trace, track
+from .proxies import HOUR, TRACE, grid, grid_sql, query, read, rounded, spikes, trace, track
 
 
 #: The band of 4 to 12 Hz at 40 Hz: 101 taps, their unit gain at 8 Hz, and the mean square of 11 filtered samples.
@@ -29,7 +29,28 @@ def ripples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, "start_time", "end_time", "peak_time", "peak_normed_power", "duration_ms")
 
 
-@query("n2_n3_n5_spectra")
+def _zero_phase_sql(name: str, source: str, gain: str) -> str:
+    """Tables that filter (channel, i, v) by a squared gain of f (Hz, of 16): odd padding by two seconds, then a circular
+    sum with the gain's inverse transform, for each padded length."""
+    return f"""{name}_l AS (SELECT channel, CAST(count(*) AS BIGINT) AS len, CAST(least(count(*) - 1, 32) AS BIGINT) AS pad FROM {source} GROUP BY channel),
+    {name}_y AS (SELECT p.channel, p.j, CASE WHEN p.j < pad THEN 2 * a.v - x.v WHEN p.j >= pad + len THEN 2 * b.v - x.v ELSE x.v END AS v FROM (SELECT *, unnest(range(len + 2 * pad)) AS j FROM {name}_l) p
+      JOIN {source} x ON x.channel = p.channel AND x.i = CASE WHEN p.j < pad THEN pad - p.j WHEN p.j >= pad + len THEN 2 * (len - 1) - (p.j - pad) ELSE p.j - pad END JOIN {source} a ON a.channel = p.channel AND a.i = 0 JOIN {source} b ON b.channel = p.channel AND b.i = len - 1),
+    {name}_f AS (SELECT n, k, least(k, n - k) * 16.0::DOUBLE / n AS f FROM (SELECT n, unnest(range(n)) AS k FROM (SELECT DISTINCT len + 2 * pad AS n FROM {name}_l))), {name}_g AS (SELECT n, k, {gain} AS g FROM {name}_f),
+    {name}_h AS (SELECT n, m, sum(g * cos(2 * pi() * (k * m % n) / n)) / n AS h FROM {name}_g JOIN (SELECT unnest(range(256)) AS m) ON m < n GROUP BY n, m),
+    {name} AS (SELECT o.channel, o.i, sum(y.v * h.h) AS v FROM (SELECT channel, pad, len + 2 * pad AS n, unnest(range(len)) AS i FROM {name}_l) o JOIN {name}_y y ON y.channel = o.channel JOIN {name}_h h ON h.n = o.n AND h.m = (o.i + o.pad - y.j + o.n) % o.n GROUP BY o.channel, o.i)"""
+
+
+#: The resampling filter is a sinc under a Kaiser window, whose Bessel function is a series; then the band, the notch, and
+#: densities of epochs of 16 samples.
+SPECTRUM = f"""WITH {TRACE}, bessel AS (SELECT t, sum(exp(2 * (k * ln(greatest(2.5 * sqrt(greatest(0, 1 - (t / 20.0::DOUBLE) ^ 2)), 1e-300)) - lgamma(k + 1.0::DOUBLE)))) AS w FROM (SELECT unnest(range(-20, 21)) AS t), (SELECT unnest(range(60)) AS k) GROUP BY t),
+    raw AS (SELECT t, w * CASE WHEN t = 0 THEN 1 ELSE sin(pi() * t / 2) / (pi() * t / 2) END AS h FROM bessel), taps AS (SELECT t, h / (SELECT sum(h) FROM raw) AS h FROM raw),
+    low AS (SELECT a.channel, CAST(a.i // 2 AS BIGINT) AS i, sum(h * b.v) AS v FROM trace a JOIN trace b ON a.channel = b.channel JOIN taps ON t = a.i - b.i WHERE a.i % 2 = 0 GROUP BY a.channel, a.i),
+    {_zero_phase_sql("band", "low", "CASE WHEN k = 0 THEN 0 ELSE 1 / (1 + pow((pow(tan(pi() * least(f, 8 * (1 - 1e-9)) / 16), 2) - tan(pi() / 16) * tan(7 * pi() / 16)) / (tan(pi() * least(f, 8 * (1 - 1e-9)) / 16) * (tan(7 * pi() / 16) - tan(pi() / 16))), 8)) END")},
+    {_zero_phase_sql("clear", "band", "(pow(1 - 2 * cos(pi() * 10 / 16) * cos(pi() * f / 8) + cos(pi() * f / 4), 2) + pow(2 * cos(pi() * 10 / 16) * sin(pi() * f / 8) - sin(pi() * f / 4), 2)) / (pow(1 + tan(pi() / 96) - 2 * cos(pi() * 10 / 16) * cos(pi() * f / 8) + (1 - tan(pi() / 96)) * cos(pi() * f / 4), 2) + pow(2 * cos(pi() * 10 / 16) * sin(pi() * f / 8) - (1 - tan(pi() / 96)) * sin(pi() * f / 4), 2))")},
+    e AS (SELECT c.channel, CAST(i // 16 AS BIGINT) AS epoch, i % 16 AS j, v FROM clear c JOIN clear_l USING (channel) WHERE i // 16 < len // 16), d AS (SELECT *, v - avg(v) OVER (PARTITION BY channel, epoch) AS d, 0.5 - 0.5 * cos(2 * pi() * j / 16) AS w FROM e)"""
+
+
+@query("n2_n3_n5_spectra", f"{SPECTRUM} SELECT channel, epoch, CAST(k AS INT) AS k, round(CASE WHEN k BETWEEN 1 AND 7 THEN 2 ELSE 1 END * (sum(w * d * cos(2 * pi() * j * k / 16)) ^ 2 + sum(w * d * sin(2 * pi() * j * k / 16)) ^ 2) / (16 * sum(w * w)), 6) AS power FROM d, (SELECT unnest(range(9)) AS k) GROUP BY channel, epoch, k")
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = kernels.spectra(trace(spark, sf_dir), "channel", "i", "v", 32.0, 1.0, notches=(5.0,), down=2, band=(1.0, 7.0))
     return rounded(rows.select("channel", "epoch", F.posexplode("power").alias("k", "power")), "power")
@@ -89,7 +110,26 @@ def _maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("half", F.col("b.bx").alias("bx"), F.col("b.by_").alias("by_"), F.col("b.smooth").alias("rate"), F.col("b.valid").alias("valid"))
 
 
-@query("n24_n26_place_fields")
+#: Place fields of the two halves' smoothed maps (bins as x * 11 + y). N24 is a walk: the highest free bin and threshold, its
+#: neighbours step by step until none is new, then the next. N26 is the components of what is high enough.
+FIELDS = f"""WITH RECURSIVE {grid_sql("half")}, sm AS (SELECT g.half, g.bx, g.by_, sum(o.rate * (2 - abs(g.bx - o.bx)) * (2 - abs(g.by_ - o.by_))) / sum((2 - abs(g.bx - o.bx)) * (2 - abs(g.by_ - o.by_))) AS r FROM grid g JOIN grid o ON g.half = o.half AND abs(g.bx - o.bx) <= 1 AND abs(g.by_ - o.by_) <= 1 AND o.valid WHERE g.valid GROUP BY g.half, g.bx, g.by_),
+    b AS (SELECT half, CAST(bx * 11 + by_ AS BIGINT) AS b, bx, by_, r FROM sm), full_map AS (SELECT h.half, list(coalesce(b.r, 0) ORDER BY i) AS rates FROM (SELECT half, unnest(range(286)) AS i FROM (SELECT DISTINCT half FROM b) t(half)) h LEFT JOIN b ON b.half = h.half AND b.b = h.i GROUP BY h.half),
+    free AS (SELECT half, list(b ORDER BY r DESC, b) FILTER (r > 0) AS free, count(*) AS n FROM b GROUP BY half),
+    walk(half, rule, share, least, rates, free, mask, fresh, floor_, step) AS (
+      SELECT half, rule, share, least * n, rates, free, []::BIGINT[], []::BIGINT[], 0.0::DOUBLE, 0 FROM full_map JOIN free USING (half), (VALUES ('n24_steep', 0.95::DOUBLE, 0.02::DOUBLE), ('n24', 0.2::DOUBLE, 0.04::DOUBLE)) t(rule, share, least)
+      UNION ALL SELECT half, rule, share, least, rates, CASE WHEN closed THEN rest ELSE free END, CASE WHEN closed THEN [rest[1]] ELSE list_concat(mask, new) END, CASE WHEN closed THEN [rest[1]] ELSE new END, CASE WHEN closed THEN share * rates[rest[1] + 1] ELSE floor_ END, step + 1
+      FROM (SELECT *, len(fresh) = 0 AS closed, list_filter(free, lambda x: NOT list_contains(mask, x)) AS rest,
+        list_filter(free, lambda x: rates[x + 1] >= floor_ AND NOT list_contains(mask, x) AND coalesce(list_bool_or(list_transform(fresh, lambda y: abs(x // 11 - y // 11) <= 1 AND abs(x % 11 - y % 11) <= 1)), false)) AS new FROM walk)
+      WHERE NOT closed OR len(rest) > 0),
+    kept AS (SELECT half, rule, CAST(row_number() OVER (PARTITION BY half, rule ORDER BY step) - 1 AS BIGINT) AS field, mask FROM walk WHERE len(fresh) = 0 AND len(mask) > 0 AND len(mask) >= least),
+    hi AS (SELECT b.* FROM b JOIN (SELECT half, max(r) AS top FROM b GROUP BY half) t USING (half) WHERE r > top / 2.5 AND EXISTS (SELECT 1 FROM b o WHERE o.half = b.half AND abs(o.bx - b.bx) + abs(o.by_ - b.by_) = 1 AND o.r > 0)),
+    reach(half, a, z) AS (SELECT half, b, b FROM hi UNION SELECT r.half, r.a, o.b FROM reach r JOIN hi m ON m.half = r.half AND m.b = r.z JOIN hi o ON o.half = m.half AND abs(o.bx - m.bx) + abs(o.by_ - m.by_) = 1),
+    comp AS (SELECT r.half, r.z AS b, min((r.a % 11) * 100 + r.a // 11) AS c FROM reach r GROUP BY r.half, r.z), solid AS (SELECT h.half, h.b FROM hi h JOIN hi o ON o.half = h.half AND o.bx - h.bx BETWEEN 0 AND 2 AND o.by_ - h.by_ BETWEEN 0 AND 2 WHERE h.bx <= 22 AND h.by_ <= 7 GROUP BY h.half, h.b HAVING count(*) = 9),
+    big AS (SELECT comp.half, c, count(*) AS n FROM comp LEFT JOIN solid ON solid.half = comp.half AND solid.b = comp.b GROUP BY comp.half, c HAVING count(*) >= 9 AND count(solid.b) > 0 QUALIFY row_number() OVER (PARTITION BY comp.half ORDER BY count(*) DESC, c) = 1),
+    own AS (SELECT half, rule, field, unnest(mask) AS b FROM kept UNION ALL SELECT half, 'n26', 0, b FROM comp JOIN big USING (half, c))"""
+
+
+@query("n24_n26_place_fields", f"{FIELDS} SELECT half, rule, field, count(*) AS n_bins, round(max(r), 4) AS peak, round(sum(bx * r) / sum(r), 4) AS cx, round(sum(by_ * r) / sum(r), 4) AS cy FROM own JOIN b USING (half, b) GROUP BY half, rule, field")
 def place_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields by N24 with a share to match these maps, by N24 as in the reference, and the one field of N26."""
     rows, two = _maps(spark, sf_dir), ["half"]
