@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import joins, kernels, maps
 from ..operators.ripples import ripples as find_ripples
-from .proxies import HOUR, TRACE, grid, grid_sql, query, read, rounded, spikes, trace, track
+from .field_queries import _p_sql
+from .proxies import HOUR, SPIKES, TRACE, TRACK, grid, grid_sql, query, read, rounded, spikes, trace, track
 
 
 #: The band of 4 to 12 Hz at 40 Hz: 101 taps, their unit gain at 8 Hz, and the mean square of 11 filtered samples.
@@ -29,23 +30,29 @@ def ripples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, "start_time", "end_time", "peak_time", "peak_normed_power", "duration_ms")
 
 
-def _zero_phase_sql(name: str, source: str, gain: str) -> str:
-    """Tables that filter (channel, i, v) by a squared gain of f (Hz, of 16): odd padding by two seconds, then a circular
+def _zero_phase_sql(name: str, source: str, gain: str, fs: int = 16) -> str:
+    """Tables that filter (channel, i, v) by a squared gain of f (Hz, of fs): odd padding by two seconds, then a circular
     sum with the gain's inverse transform, for each padded length."""
-    return f"""{name}_l AS (SELECT channel, CAST(count(*) AS BIGINT) AS len, CAST(least(count(*) - 1, 32) AS BIGINT) AS pad FROM {source} GROUP BY channel),
+    return f"""{name}_l AS (SELECT channel, CAST(count(*) AS BIGINT) AS len, CAST(least(count(*) - 1, {2 * fs}) AS BIGINT) AS pad FROM {source} GROUP BY channel),
     {name}_y AS (SELECT p.channel, p.j, CASE WHEN p.j < pad THEN 2 * a.v - x.v WHEN p.j >= pad + len THEN 2 * b.v - x.v ELSE x.v END AS v FROM (SELECT *, unnest(range(len + 2 * pad)) AS j FROM {name}_l) p
       JOIN {source} x ON x.channel = p.channel AND x.i = CASE WHEN p.j < pad THEN pad - p.j WHEN p.j >= pad + len THEN 2 * (len - 1) - (p.j - pad) ELSE p.j - pad END JOIN {source} a ON a.channel = p.channel AND a.i = 0 JOIN {source} b ON b.channel = p.channel AND b.i = len - 1),
-    {name}_f AS (SELECT n, k, least(k, n - k) * 16.0::DOUBLE / n AS f FROM (SELECT n, unnest(range(n)) AS k FROM (SELECT DISTINCT len + 2 * pad AS n FROM {name}_l))), {name}_g AS (SELECT n, k, {gain} AS g FROM {name}_f),
-    {name}_h AS (SELECT n, m, sum(g * cos(2 * pi() * (k * m % n) / n)) / n AS h FROM {name}_g JOIN (SELECT unnest(range(256)) AS m) ON m < n GROUP BY n, m),
+    {name}_f AS (SELECT n, k, least(k, n - k) * {fs}.0::DOUBLE / n AS f FROM (SELECT n, unnest(range(n)) AS k FROM (SELECT DISTINCT len + 2 * pad AS n FROM {name}_l))), {name}_g AS (SELECT n, k, {gain} AS g FROM {name}_f),
+    {name}_h AS (SELECT n, m, sum(g * cos(2 * pi() * (k * m % n) / n)) / n AS h FROM {name}_g JOIN (SELECT unnest(range((SELECT max(n) FROM {name}_g))) AS m) ON m < n GROUP BY n, m),
     {name} AS (SELECT o.channel, o.i, sum(y.v * h.h) AS v FROM (SELECT channel, pad, len + 2 * pad AS n, unnest(range(len)) AS i FROM {name}_l) o JOIN {name}_y y ON y.channel = o.channel JOIN {name}_h h ON h.n = o.n AND h.m = (o.i + o.pad - y.j + o.n) % o.n GROUP BY o.channel, o.i)"""
 
 
+def _butterworth_sql(low: float, high: float, fs: float) -> str:
+    """The squared gain of a band-pass of degree 4 at f, in bilinear frequencies; nothing passes at 0."""
+    w, a, b = f"tan(pi() * least(f, {fs / 2} * (1 - 1e-9)) / {fs})", f"tan(pi() * {low} / {fs})", f"tan(pi() * {high} / {fs})"
+    return f"CASE WHEN k = 0 THEN 0 ELSE 1 / (1 + pow(({w} * {w} - {a} * {b}) / ({w} * ({b} - {a})), 8)) END"
+
+
 #: The resampling filter is a sinc under a Kaiser window, whose Bessel function is a series; then the band, the notch, and
 #: densities of epochs of 16 samples.
 SPECTRUM = f"""WITH {TRACE}, bessel AS (SELECT t, sum(exp(2 * (k * ln(greatest(2.5 * sqrt(greatest(0, 1 - (t / 20.0::DOUBLE) ^ 2)), 1e-300)) - lgamma(k + 1.0::DOUBLE)))) AS w FROM (SELECT unnest(range(-20, 21)) AS t), (SELECT unnest(range(60)) AS k) GROUP BY t),
     raw AS (SELECT t, w * CASE WHEN t = 0 THEN 1 ELSE sin(pi() * t / 2) / (pi() * t / 2) END AS h FROM bessel), taps AS (SELECT t, h / (SELECT sum(h) FROM raw) AS h FROM raw),
     low AS (SELECT a.channel, CAST(a.i // 2 AS BIGINT) AS i, sum(h * b.v) AS v FROM trace a JOIN trace b ON a.channel = b.channel JOIN taps ON t = a.i - b.i WHERE a.i % 2 = 0 GROUP BY a.channel, a.i),
-    {_zero_phase_sql("band", "low", "CASE WHEN k = 0 THEN 0 ELSE 1 / (1 + pow((pow(tan(pi() * least(f, 8 * (1 - 1e-9)) / 16), 2) - tan(pi() / 16) * tan(7 * pi() / 16)) / (tan(pi() * least(f, 8 * (1 - 1e-9)) / 16) * (tan(7 * pi() / 16) - tan(pi() / 16))), 8)) END")},
+    {_zero_phase_sql("band", "low", _butterworth_sql(1, 7, 16))},
     {_zero_phase_sql("clear", "band", "(pow(1 - 2 * cos(pi() * 10 / 16) * cos(pi() * f / 8) + cos(pi() * f / 4), 2) + pow(2 * cos(pi() * 10 / 16) * sin(pi() * f / 8) - sin(pi() * f / 4), 2)) / (pow(1 + tan(pi() / 96) - 2 * cos(pi() * 10 / 16) * cos(pi() * f / 8) + (1 - tan(pi() / 96)) * cos(pi() * f / 4), 2) + pow(2 * cos(pi() * 10 / 16) * sin(pi() * f / 8) - (1 - tan(pi() / 96)) * sin(pi() * f / 4), 2))")},
     e AS (SELECT c.channel, CAST(i // 16 AS BIGINT) AS epoch, i % 16 AS j, v FROM clear c JOIN clear_l USING (channel) WHERE i // 16 < len // 16), d AS (SELECT *, v - avg(v) OVER (PARTITION BY channel, epoch) AS d, 0.5 - 0.5 * cos(2 * pi() * j / 16) AS w FROM e)"""
 
@@ -150,7 +157,22 @@ def speed_modulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, *[c for c in found.columns if c not in ("unit", "modulated", "null", "n_null")], digits=4)
 
 
-@query("n30_gridded_speed")
+#: Positions and spikes in hours; counts in steps of 24, reflected at both ends by 6 and averaged over 3, forth and back.
+GRIDDED = f"""WITH {TRACK}, {SPIKES}, f AS (SELECT unit, row_number() OVER w - 1 AS i, x, y, ts / {HOUR}.0::DOUBLE AS t FROM track WINDOW w AS (PARTITION BY unit ORDER BY ts, frame)), q AS (SELECT unit, ts / {HOUR}.0::DOUBLE AS t FROM spikes),
+    b AS (SELECT unit, min(t) AS t0, max(t) AS t1, count(*) AS m FROM f GROUP BY unit HAVING unit IN (SELECT unit FROM q)), n AS (SELECT b.*, CAST(floor((t1 - t0) / 24 + 1e-9) + 1 AS BIGINT) AS len, (SELECT count(*) FROM q WHERE q.unit = b.unit) AS fired FROM b),
+    c AS (SELECT n.unit, CAST(floor((q.t - t0) / 24) AS BIGINT) AS j, count(*) AS c FROM n JOIN q ON q.unit = n.unit WHERE q.t >= t0 AND (q.t < t0 + (len - 1) * 24 OR q.t = t0 + (len - 1) * 24) GROUP BY ALL),
+    r AS (SELECT g.unit, g.j, coalesce(c, 0) * (1000 / 24.0::DOUBLE) AS v FROM (SELECT unit, unnest(range(len)) AS j FROM n) g LEFT JOIN c ON c.unit = g.unit AND c.j = g.j), p AS (SELECT unit, len, CASE WHEN len > 6 THEN 6 ELSE 0 END AS pad FROM n),
+    z AS (SELECT o.unit, o.k, CASE WHEN k < pad THEN 2 * a.v - x.v WHEN k >= pad + len THEN 2 * e.v - x.v ELSE x.v END AS v FROM (SELECT *, unnest(range(len + 2 * pad)) AS k FROM p) o JOIN r x ON x.unit = o.unit AND x.j = CASE WHEN k < pad THEN pad - k WHEN k >= pad + len THEN 2 * (len - 1) - (k - pad) ELSE k - pad END JOIN r a ON a.unit = o.unit AND a.j = 0 JOIN r e ON e.unit = o.unit AND e.j = len - 1),
+    f1 AS (SELECT z.unit, z.k, sum(o.v) / 3 AS v FROM z, (SELECT unnest([0, 1, 2]) AS d) JOIN z o ON o.unit = z.unit AND o.k = greatest(0, z.k - d) GROUP BY z.unit, z.k),
+    f2 AS (SELECT a.unit, a.k, sum(o.v) / 3 AS v FROM (SELECT f1.*, len + 2 * pad - 1 AS last FROM f1 JOIN p USING (unit)) a, (SELECT unnest([0, 1, 2]) AS d) JOIN f1 o ON o.unit = a.unit AND o.k = least(last, a.k + d) GROUP BY a.unit, a.k),
+    rate AS (SELECT p.unit, r.j AS i, CASE WHEN pad > 0 THEN f2.v ELSE r.v END AS v FROM p JOIN r ON r.unit = p.unit LEFT JOIN f2 ON f2.unit = p.unit AND f2.k = r.j + pad),
+    step AS (SELECT unit, i, sqrt(pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w - y, 2)) * (1000 / 24.0::DOUBLE) AS s FROM f WINDOW w AS (PARTITION BY unit ORDER BY i)), speed AS (SELECT unit, i, coalesce(s, lag(s) OVER (PARTITION BY unit ORDER BY i)) AS s FROM step),
+    v AS (SELECT speed.unit, s, rate.v, CAST(floor((s - 100) / 200) AS BIGINT) AS bin FROM speed JOIN rate ON rate.unit = speed.unit AND rate.i = speed.i JOIN n ON n.unit = speed.unit WHERE speed.i < fired AND n.m >= 2 AND s > 100 AND s < 3000),
+    whole AS (SELECT unit, corr(s, v) AS raw_r, count(*) AS c FROM v GROUP BY unit HAVING count(*) >= 2 AND stddev_pop(s) > 0 AND stddev_pop(v) > 1e-12), bins AS (SELECT v.unit, 100 + (bin + 0.5) * 200.0::DOUBLE AS x, avg(v) AS y FROM v JOIN whole ON whole.unit = v.unit GROUP BY v.unit, bin, c HAVING count(*) >= 0.01 * c),
+    fit AS (SELECT unit, count(*) AS n, CASE WHEN count(*) > 2 THEN regr_slope(y, x) END AS slope, CASE WHEN count(*) > 2 THEN regr_intercept(y, x) END AS intercept, CASE WHEN count(*) > 2 AND stddev_pop(y) > 1e-12 THEN corr(x, y) END AS r FROM bins GROUP BY unit)"""
+
+
+@query("n30_gridded_speed", f"{GRIDDED} SELECT n.unit, round(raw_r, 4) AS raw_r, fit.n AS n_bins, round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(r, 4) AS r, round(({_p_sql('r', 'fit.n')})::DOUBLE, 4) AS p FROM n LEFT JOIN whole ON whole.unit = n.unit LEFT JOIN fit ON fit.unit = n.unit")
 def gridded_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours stand for milliseconds, with a step of 24 and speeds to match."""
     frames = track(spark, sf_dir).groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("ts", "frame", "x", "y"))).alias("f"))
@@ -178,7 +200,20 @@ def smoothed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out[0].unionByName(out[1]).unionByName(out[2]), "v")
 
 
-@query("n20_intrinsic_firing")
+#: Counts of lags by hour; their spectrum, standardised; and, of the counts in the band of 4 to 12 Hz (an hour is 10 ms), the
+#: turns of the analytic signal from one to the next, which is a sum over the half spectrum.
+FIRING = f"""WITH {SPIKES}, h AS (SELECT a.unit, CAST(floor((b.ts - a.ts) / {HOUR}.0) AS BIGINT) + 48 AS i, CAST(count(*) AS DOUBLE) AS n FROM spikes a JOIN spikes b ON a.unit = b.unit AND abs(b.ts - a.ts) <= {48 * HOUR} AND a.ts <> b.ts GROUP BY ALL),
+    g AS (SELECT u.unit AS channel, u.i, coalesce(n, 0) AS c FROM (SELECT unit, unnest(range(96)) AS i FROM (SELECT DISTINCT unit FROM h) t(unit)) u LEFT JOIN h ON h.unit = u.unit AND h.i = u.i), x AS (SELECT channel, i, c - avg(c) OVER (PARTITION BY channel) AS v FROM g),
+    ok AS (SELECT channel FROM x GROUP BY channel HAVING stddev_pop(v) > 0), p AS (SELECT channel, k, sum(v * cos(2 * pi() * (i * k % 96) / 96)) ^ 2 + sum(v * sin(2 * pi() * (i * k % 96) / 96)) ^ 2 AS p FROM x JOIN ok USING (channel), (SELECT unnest(range(1, 49)) AS k) GROUP BY channel, k),
+    z AS (SELECT channel, k, k / 0.96::DOUBLE AS f, (p - avg(p) OVER c) / CASE WHEN stddev_pop(p) OVER c = 0 THEN 1 ELSE stddev_pop(p) OVER c END AS z FROM p WINDOW c AS (PARTITION BY channel)),
+    best AS (SELECT channel, arg_max(f, struct_pack(z := z, k := -k)) FILTER (f BETWEEN 4 AND 12) AS tf, max(z) FILTER (f BETWEEN 4 AND 12) AS tz, arg_max(f, struct_pack(z := z, k := -k)) FILTER (f BETWEEN 2 AND 4) AS df, max(z) FILTER (f BETWEEN 2 AND 4) AS dz FROM z GROUP BY channel),
+    {_zero_phase_sql("y", "x", _butterworth_sql(4, 12, 100), 100)}, s AS (SELECT channel, k, sum(v * cos(2 * pi() * (i * k % 96) / 96)) AS re, -sum(v * sin(2 * pi() * (i * k % 96) / 96)) AS im FROM y, (SELECT unnest(range(49)) AS k) GROUP BY channel, k),
+    a AS (SELECT channel, t, atan2(sum(h * (re * sin(2 * pi() * (k * t % 96) / 96) + im * cos(2 * pi() * (k * t % 96) / 96))), sum(h * (re * cos(2 * pi() * (k * t % 96) / 96) - im * sin(2 * pi() * (k * t % 96) / 96)))) AS a FROM (SELECT *, CASE WHEN k IN (0, 48) THEN 1 ELSE 2 END AS h FROM s), (SELECT unnest(range(96)) AS t) GROUP BY channel, t),
+    d AS (SELECT channel, a - lag(a) OVER (PARTITION BY channel ORDER BY t) AS d FROM a), w AS (SELECT channel, (d - 2 * pi() * floor((d + pi()) / (2 * pi()))) * 100 / (2 * pi()) AS f FROM d WHERE d IS NOT NULL),
+    inside AS (SELECT channel, f, CAST(round_even(f, 0) AS BIGINT) AS hz FROM w JOIN ok USING (channel) WHERE f BETWEEN 4 AND 12), mean AS (SELECT channel, avg(f) AS mean FROM inside GROUP BY channel), mode AS (SELECT channel, arg_max(hz, struct_pack(n := n, h := -hz)) AS hz FROM (SELECT channel, hz, count(*) AS n FROM inside GROUP BY channel, hz) GROUP BY channel)"""
+
+
+@query("n20_intrinsic_firing", f"{FIRING} SELECT u.channel AS unit, round(tf, 4) AS theta_freq, round(tz, 4) AS theta_z, round(df, 4) AS delta_freq, round(dz, 4) AS delta_z, round(mean, 4) AS mean_freq, round(hz::DOUBLE, 4) AS mode_freq FROM (SELECT DISTINCT channel FROM g) u LEFT JOIN best USING (channel) LEFT JOIN mean USING (channel) LEFT JOIN mode USING (channel)")
 def intrinsic_firing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Autocorrelograms of clicks within 48 hours in bins of an hour, an hour standing for 10 ms."""
     pairs = joins.band_pairs(spikes(spark, sf_dir), "unit", "ts", 48 * HOUR, [])
@@ -189,7 +224,18 @@ def intrinsic_firing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, *found.columns[1:], digits=4)
 
 
-@query("n21_wave_features")
+#: The first component is what repeated squaring of the correlations leaves, scaled each time; then its largest column.
+COMPONENT = """WITH RECURSIVE w AS (SELECT vec_id // 500 AS file, row_number() OVER (PARTITION BY vec_id // 500 ORDER BY vec_id) - 1 AS k, unnest(range(32)) AS i, unnest(embedding[1:32])::DOUBLE AS v FROM embeddings),
+    size AS (SELECT file, k, sqrt(sum(v * v)) AS norm FROM w GROUP BY file, k), u AS (SELECT file, k, i, v / greatest(norm, 1e-300) AS v FROM w JOIN size USING (file, k)),
+    z AS (SELECT file, k, i, (v - avg(v) OVER c) / CASE WHEN stddev_pop(v) OVER c > 0 THEN stddev_pop(v) OVER c ELSE 1 END AS z FROM u WINDOW c AS (PARTITION BY file, i)),
+    c AS (SELECT a.file, a.i, b.i AS j, avg(a.z * b.z) AS c FROM z a JOIN z b ON a.file = b.file AND a.k = b.k GROUP BY a.file, a.i, b.i), m AS (SELECT file, list(c ORDER BY i, j) AS m FROM c GROUP BY file),
+    power(file, m, step) AS (SELECT file, m, 0 FROM m UNION ALL SELECT file, list_transform(q, lambda x: x / list_max(list_transform(q, lambda y: abs(y)))), step + 1 FROM (SELECT file, step,
+      list_transform(range(1024), lambda e: list_sum(list_transform(range(32), lambda l: m[(e // 32) * 32 + l + 1] * m[l * 32 + e % 32 + 1]))) AS q FROM power WHERE step < 16)),
+    cols AS (SELECT file, j, [m[i * 32 + j + 1] for i in range(32)] AS v FROM (SELECT file, m, unnest(range(32)) AS j FROM power WHERE step = 16)), col AS (SELECT file, arg_max(v, list_sum([x * x for x in v])) AS v FROM cols GROUP BY file),
+    first AS (SELECT file, [x / sqrt(list_sum([y * y for y in v])) * CASE WHEN list_max(v) >= -list_min(v) THEN 1 ELSE -1 END for x in v] AS v FROM col)"""
+
+
+@query("n21_wave_features", f"{COMPONENT} SELECT z.file, CAST(z.k AS INT) AS k, round(any_value(norm) / sqrt(32), 4) AS energy, round(sum(z.z * v[z.i + 1]), 4) AS pc1 FROM z JOIN size ON z.file = size.file AND z.k = size.k JOIN first ON z.file = first.file GROUP BY z.file, z.k")
 def wave_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as waves, 500 to a file."""
     rows = read(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 500).alias("file")).agg(F.array_sort(F.collect_list(F.struct("vec_id", F.slice("embedding", 1, 32).cast("array<double>").alias("w")))).alias("r"))
