@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import placed
+
 
 def trimmed(rows: DataFrame, events: DataFrame, by: str, ts: str, tolerance: float) -> DataFrame:
     """Rows from the one nearest to the key's start event to the one nearest to its stop event, both included; a key
@@ -63,13 +65,38 @@ def unique_names(rows: DataFrame, name: str, order: str, longest: int = 31) -> D
     return rows.withColumn("sheet", F.when(F.col("__n") == 1, F.col("__clean")).otherwise(F.concat(F.substring(F.col("__clean"), F.lit(1), longest - F.length(tail)), tail))).drop("__clean", "__n")
 
 
-def pairs(rows: DataFrame, key: str, keep: list[str]) -> DataFrame:
-    """Unordered pairs of a small table's rows, the smaller key first: its size squared."""
+def pairs(rows: DataFrame, key: str, keep: list[str], most: int = 2_000) -> DataFrame:
+    """Unordered pairs of a small table's rows (groups, animals), the smaller key first; more than `most` rows are refused, for
+    the pairs are their square."""
+    n = rows.count()
+    if n > most:
+        raise ValueError(f"{n} rows make {n * (n - 1) // 2} pairs; at most {most} rows are paired")
     a = rows.select(F.lit(0).alias("__all"), *[F.col(c).alias(f"{c}_1") for c in [key, *keep]])
     b = rows.select(F.lit(0).alias("__all"), *[F.col(c).alias(f"{c}_2") for c in [key, *keep]])
     return a.join(b, "__all").filter(F.col(f"{key}_1") < F.col(f"{key}_2")).drop("__all")
 
 
+def depth_sequence(channels: DataFrame, key: str, depth: str, ranges: list[tuple[float, float]], name: str = "place") -> DataFrame:
+    """channels with range_no (from 1) and place: those whose depth lies in each range (start, end), both included, one range
+    after the other, the channel nearest to the range's start first. Equal depths go by key, backwards in a range that goes
+    down; a channel in several ranges stands in each."""
+    rows = placed(channels, [depth, key], "__r")
+    spans = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(float(min(r))).alias("low"), F.lit(float(max(r))).alias("high"), F.lit(r[0] > r[1]).alias("down")) for n, r in enumerate(ranges, 1)])
+    rows = rows.withColumn("__s", F.explode(spans)).filter(F.col(depth).between(F.col("__s.low"), F.col("__s.high")))
+    rows = rows.withColumns({"range_no": F.col("__s.n"), "__o": F.when(F.col("__s.down"), -F.col("__r")).otherwise(F.col("__r"))})
+    return placed(rows.drop("__s", "__r"), ["range_no", "__o"], name).drop("__o")
+
+
+def trial_grid(files: DataFrame, subject: str, trial: str, trials: list[str], value: Column) -> DataFrame:
+    """A row for each subject and a column for each trial, with the value of its files; null where there is none."""
+    return files.groupBy(subject).pivot(trial, trials).agg(value)
+
+
+def missing(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """What is expected and isn't found."""
+    return expected.join(found.select(*keys).distinct(), keys, "left_anti")
+
+
 def emptiness(rows: DataFrame, folder: str, empty: Column, limit: float = 0.5) -> DataFrame:
     """Folders of which more than the limit is empty."""
     return rows.groupBy(folder).agg(F.avg(F.when(empty, 1.0).otherwise(0.0)).alias("share")).filter(F.col("share") > limit)

@@ -97,6 +97,12 @@ def unity(rows: DataFrame, by: list[str], value: str, subset: Column | None = No
     return rows.drop("__mean", "__sd", *(f"__of_{c}" for c in by))
 
 
+def amplitude_gain(rows: DataFrame, keys: list[str], value: str, share: float = 0.99, height: float = 0.42) -> DataFrame:
+    """scale, the share's quantile of sizes, and gain, which brings it to `height`; a scale of 0 has gain 1."""
+    found = rows.groupBy(*keys).agg(F.percentile(F.abs(value), F.lit(share)).alias("scale"))
+    return found.withColumn("gain", F.when(F.col("scale") > 0, height / F.col("scale")).otherwise(1.0))
+
+
 def circular(rows: DataFrame, keys: list[str], angle: str) -> DataFrame:
     """The mean direction, resultant length and count of angles in radians."""
     c, s = F.sum(F.cos(angle)), F.sum(F.sin(angle))

@@ -6,17 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import catalog
-from ..operators.ordering import placed
 from .proxies import HOUR, query, read, rounded
 
 
-@query("p20_depth_ranges", "WITH r AS (SELECT * FROM (VALUES (1, 40, 50), (2, 10, 20)) t(range_no, low, high)) SELECT p_partkey, range_no, row_number() OVER (ORDER BY range_no, CASE WHEN range_no = 1 THEN -p_size ELSE p_size END, p_partkey) AS place FROM part JOIN r ON p_size BETWEEN low AND high")
+@query("p20_depth_ranges", "WITH r AS (SELECT * FROM (VALUES (1, 40, 50, -1), (2, 10, 20, 1), (3, 15, 15, 1)) t(range_no, low, high, way)) SELECT p_partkey, range_no, row_number() OVER (ORDER BY range_no, way * p_size, way * p_partkey) AS place FROM part JOIN r ON p_size BETWEEN low AND high")
 def depth_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranges = spark.createDataFrame([(1, s) for s in range(40, 51)] + [(2, s) for s in range(10, 21)], "range_no int, p_size int")
-    rows = read(spark, sf_dir, "part").select("p_partkey", "p_size").join(ranges, "p_size")
-    depth = F.when(F.col("range_no") == 1, -F.col("p_size")).otherwise(F.col("p_size"))
-    rows = rows.select("p_partkey", "range_no", depth.alias("depth"))
-    return placed(rows, ["range_no", "depth", "p_partkey"], "place").drop("depth")
+    found = catalog.depth_sequence(read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", "p_size", [(50, 40), (10, 20), (15, 15)])
+    return found.select("p_partkey", "range_no", "place")
 
 
 @query("p22_path_metadata", "SELECT doc_id, 'CSC' || doc_id || 'ch' || (doc_id % 9) || '.ncs' AS file, CAST(regexp_extract('CSC' || doc_id || 'ch' || (doc_id % 9), 'CSC(\\d+)(?:ch(\\d+))?', 1) AS INT) AS tetrode, CAST(regexp_extract('CSC' || doc_id || 'ch' || (doc_id % 9), 'CSC(\\d+)(?:ch(\\d+))?', 2) AS INT) AS channel, split_part('a/' || source || '/x', '/', 2) AS parent FROM documents")
@@ -63,15 +59,15 @@ def group_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j16_trial_grid", "SELECT n_name, max(CASE WHEN o_orderpriority LIKE '1%' THEN n END) AS p1, max(CASE WHEN o_orderpriority LIKE '2%' THEN n END) AS p2, coalesce(max(CASE WHEN o_orderpriority LIKE '9%' THEN 'found' END), 'file not found') AS p9 FROM nation LEFT JOIN (SELECT c_nationkey, o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) ON n_nationkey = c_nationkey GROUP BY n_name")
 def trial_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("trial", F.substring("o_orderpriority", 1, 1))
-    counts = counts.groupBy("c_nationkey").pivot("trial", ["1", "2", "9"]).count()
+    counts = catalog.trial_grid(counts, "c_nationkey", "trial", ["1", "2", "9"], F.count(F.lit(1)))
     rows = read(spark, sf_dir, "nation").join(counts, F.col("n_nationkey") == F.col("c_nationkey"), "left")
     return rows.select("n_name", F.col("1").alias("p1"), F.col("2").alias("p2"), F.when(F.col("9").isNull(), "file not found").otherwise("found").alias("p9"))
 
 
 @query("j17_missing_files", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
 def missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read(spark, sf_dir, "orders").filter("o_totalprice > 100000")
-    return read(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    orders = read(spark, sf_dir, "orders").filter("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
+    return catalog.missing(read(spark, sf_dir, "customer").select("c_custkey"), orders, ["c_custkey"])
 
 
 @query("a30_joined_fields", "SELECT o_custkey, count(*) AS fields, string_agg(CAST(o_orderkey AS VARCHAR), '; ' ORDER BY o_orderkey) AS ids, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey")

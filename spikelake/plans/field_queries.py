@@ -155,9 +155,9 @@ def mains_interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fields.interpolated(spectra(spark, sf_dir), ["file"], "freq", "power", 7.0, 1.0, log_freq=True), "power")
 
 
-@query("a37_amplitude_gain", f"WITH {TRACE} SELECT channel, round(quantile_cont(abs(v), 0.99), 6) AS gain FROM trace GROUP BY channel")
+@query("a37_amplitude_gain", f"WITH {TRACE}, s AS (SELECT channel, quantile_cont(abs(v), 0.99) AS scale FROM trace GROUP BY channel) SELECT channel, round(scale, 6) AS scale, round(CASE WHEN scale > 0 THEN 0.42::DOUBLE / scale ELSE 1 END, 6) AS gain FROM s")
 def amplitude_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(trace(spark, sf_dir).groupBy("channel").agg(F.percentile(F.abs("v"), F.lit(0.99)).alias("gain")), "gain")
+    return rounded(fields.amplitude_gain(trace(spark, sf_dir), ["channel"], "v"), "scale", "gain")
 
 
 @query("a25_circular_mean", f"WITH {TRACK}, a AS (SELECT unit, x / 80 * 2 * pi() AS a FROM track) SELECT unit, round(atan2(sum(sin(a)), sum(cos(a))), 5) AS direction, round(sqrt(sum(cos(a)) ^ 2 + sum(sin(a)) ^ 2) / count(a), 6) AS r, count(a) AS n FROM a GROUP BY unit")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,17 +37,22 @@ def latin1_files(spark: SparkSession, folder: str) -> tuple[list[str], list[str]
     return [r.path for r in found if r.good], [r.path for r in found if not r.good]
 
 
-def converted(spark: SparkSession, folder: str, out: str, mode: str = "error") -> list[tuple[str, str]]:
+def converted(spark: SparkSession, folder: str, out: str, mode: str = "error", at_once: int = 8) -> list[tuple[str, str]]:
     """Each CSV file below a folder as a Parquet table of the same name below `out`: all cells are the text that stands
-    there, in UTF-8 or else Latin-1. Gives the pairs of source and target; there is a job for each file."""
+    there, in UTF-8 or else Latin-1. Gives the pairs of source and target. Files have columns of their own, so each is a job;
+    `at_once` of them run side by side."""
     good, other = latin1_files(spark, folder)
-    root, done = unquote(urlparse(folder).path).rstrip("/"), []
-    for path, encoding in sorted([(p, "UTF-8") for p in good] + [(p, "ISO-8859-1") for p in other]):
+    root = unquote(urlparse(folder).path).rstrip("/")
+
+    def one(file: tuple[str, str]) -> tuple[str, str]:
+        path, encoding = file
         below = unquote(urlparse(path).path).removeprefix(root).lstrip("/")
         target = f"{out}/{below.removesuffix('.csv')}.parquet"
         read_text_csv(spark, path, encoding).write.mode(mode).parquet(target)
-        done.append((path, target))
-    return done
+        return path, target
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(one, sorted([(p, "UTF-8") for p in good] + [(p, "ISO-8859-1") for p in other])))
 
 
 def manifest(units: DataFrame, chosen: str, path: str, root: str) -> DataFrame:

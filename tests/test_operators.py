@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spikelake.operators import clusters, fields, joins, maps, ordering, spikes, windows
+from spikelake.operators import catalog, clusters, fields, joins, maps, ordering, spikes, windows
 from spikelake.streaming import epochs
 
 
@@ -152,3 +152,12 @@ def test_adjusted_p_is_the_plain_one(spark):
     found = windows.adjusted_p(df, "p", ["g"])
     assert found.columns == ["g", "k", "p", "p_adj"] and {r.k: r.p_adj for r in found.collect()} == pytest.approx(grouped)
     assert windows.adjusted_p(df.limit(0), "p").count() == 0
+
+
+def test_depth_sequence_and_pairs(spark):
+    channels = spark.createDataFrame([(k, d) for k, d in enumerate([10.0, 30.0, 20.0, 20.0, 40.0, None])], "id int, depth double")
+    got = catalog.depth_sequence(channels, "id", "depth", [(30, 20), (20, 40), (99, 90)]).orderBy("place").collect()
+    assert [(r.range_no, r.id, r.place) for r in got] == [(1, 1, 1), (1, 3, 2), (1, 2, 3), (2, 2, 4), (2, 3, 5), (2, 1, 6), (2, 4, 7)]
+    assert catalog.pairs(channels, "id", ["depth"]).count() == 15
+    with pytest.raises(ValueError, match="at most"):
+        catalog.pairs(channels, "id", ["depth"], most=5)
