@@ -340,7 +340,7 @@ def speed_modulation(units: DataFrame, keys: list[str], fps: float, draws: int =
         y = share @ rate
         slope, intercept, r = (float(v[0]) for v in lines(y[:, None]))
         rank = lambda v: np.searchsorted(np.sort(v), v, "left") + np.searchsorted(np.sort(v), v, "right")
-        rho = float(np.corrcoef(rank(x), rank(y))[0, 1]) if y.std() > 0 else float("nan")
+        rho = float(np.corrcoef(rank(x), rank(np.round(y, 9)))[0, 1]) if y.std() > 0 else float("nan")  # means that differ by less tie
         out = {"slope": slope, "intercept": intercept, "r": r, "p": stats.correlation_p(r, len(x)) if np.isfinite(r) else float("nan"), "rho": rho, "shapiro_p": stats.shapiro_wilk(y - intercept - slope * x)[1]}
         first = int(margin * fps)
         if not counts and len(n) <= 2 * first:

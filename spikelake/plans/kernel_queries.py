@@ -172,6 +172,38 @@ GRIDDED = f"""WITH {TRACK}, {SPIKES}, f AS (SELECT unit, row_number() OVER w - 1
     fit AS (SELECT unit, count(*) AS n, CASE WHEN count(*) > 2 THEN regr_slope(y, x) END AS slope, CASE WHEN count(*) > 2 THEN regr_intercept(y, x) END AS intercept, CASE WHEN count(*) > 2 AND stddev_pop(y) > 1e-12 THEN corr(x, y) END AS r FROM bins GROUP BY unit)"""
 
 
+def _lines_sql(mode: str, x: str, weight: str) -> str:
+    """The line of the bins' mean rates on their middles, by weighted sums, and Spearman's rho; bins of 10 from 1 to 90."""
+    return f"""{mode}_v AS (SELECT unit, CAST(least(8, floor(({x} - 1) / 10)) AS BIGINT) AS b, rate FROM smooth WHERE {x} > 1 AND {x} < 90),
+    {mode}_b AS (SELECT unit, 1 + (b + 0.5) * 10.0::DOUBLE AS x, avg(rate) AS y, {weight}::DOUBLE AS w FROM {mode}_v v GROUP BY unit, b HAVING count(*) >= 0.002 * (SELECT count(*) FROM {mode}_v o WHERE o.unit = v.unit)),
+    {mode}_s AS (SELECT unit, count(*) AS n, sum(w) AS w, sum(w * x) AS x, sum(w * y) AS y, sum(w * x * x) AS xx, sum(w * x * y) AS xy, sum(w * y * y) AS yy, count(DISTINCT y) AS kinds FROM {mode}_b GROUP BY unit HAVING count(*) >= 3),
+    {mode}_r AS (SELECT unit, rank() OVER (PARTITION BY unit ORDER BY x) AS a, rank() OVER (PARTITION BY unit ORDER BY round(y, 9)) + (count(*) OVER (PARTITION BY unit, round(y, 9)) - 1) / 2.0 AS b FROM {mode}_b),
+    {mode}_q AS (SELECT unit, n, (w * xy - x * y) / (w * xx - x * x) AS slope, (y - (w * xy - x * y) / (w * xx - x * x) * x) / w AS intercept, CASE WHEN kinds > 1 THEN (w * xy - x * y) / sqrt((w * xx - x * x) * (w * yy - y * y)) END AS r FROM {mode}_s)"""
+
+
+#: Frames with the spikes nearest to them, within 48 hours; a Gaussian of 1.2 frames over five on either side, for rates and,
+#: in the first mode, for speeds.
+LINES = f"""WITH {SPIKES}, {TRACK}, d AS (SELECT s.unit, s.spike, t.frame, abs(s.ts - t.ts) AS d, t.ts AS tt FROM spikes s JOIN track t ON s.unit = t.unit), near AS (SELECT unit, spike, arg_min(frame, struct_pack(d := d, t := tt)) AS frame FROM d GROUP BY unit, spike HAVING min(d) <= {48 * HOUR}),
+    c AS (SELECT unit, frame, count(*) AS n FROM near GROUP BY unit, frame), f AS (SELECT t.unit, row_number() OVER (PARTITION BY t.unit ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY t.unit) AS len, x, coalesce(c.n, 0) * 4.0::DOUBLE AS rate FROM track t LEFT JOIN c ON c.unit = t.unit AND c.frame = t.frame WHERE t.unit IN (SELECT unit FROM near)),
+    bell AS (SELECT k, exp(-k * k / 2.88::DOUBLE) / (SELECT sum(exp(-z * z / 2.88::DOUBLE)) FROM (SELECT unnest(range(-5, 6)) AS z)) AS w FROM (SELECT unnest(range(-5, 6)) AS k)),
+    smooth AS (SELECT f.unit, f.i, any_value(f.x) AS x, sum(w * o.x) AS sx, sum(w * o.rate) AS rate FROM f, bell JOIN f o ON o.unit = f.unit AND o.i = greatest(0, least(f.len - 1, f.i + k)) GROUP BY f.unit, f.i),
+    {_lines_sql("rates", "sx", "count(*)")}, {_lines_sql("counts", "x", "1")}"""
+
+
+def _line_of(mode: str) -> str:
+    return f"""SELECT u.unit, '{mode}' AS mode, round(slope, 5) AS slope, round(intercept, 5) AS intercept, round(q.r, 5) AS r, round(({_p_sql('q.r', 'q.n')})::DOUBLE, 5) AS p, round(CASE WHEN q.r IS NOT NULL THEN (SELECT corr(a, b) FROM {mode}_r o WHERE o.unit = u.unit) END, 5) AS rho
+    FROM (SELECT DISTINCT unit FROM f) u LEFT JOIN {mode}_q q ON q.unit = u.unit"""
+
+
+@query("n28_n29_speed_lines", f"{LINES} {_line_of('rates')} UNION ALL {_line_of('counts')}")
+def speed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of both modes isn't drawn at random."""
+    units = _units(spark, sf_dir)
+    found = [kernels.speed_modulation(units, ["unit"], 4.0, draws=0, width=10.0, counts=c).withColumn("mode", F.lit(n)) for n, c in (("rates", False), ("counts", True))]
+    found = found[0].unionByName(found[1]).select("unit", "mode", "slope", "intercept", "r", "p", "rho")
+    return rounded(found, "slope", "intercept", "r", "p", "rho", digits=5)
+
+
 @query("n30_gridded_speed", f"{GRIDDED} SELECT n.unit, round(raw_r, 4) AS raw_r, fit.n AS n_bins, round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(r, 4) AS r, round(({_p_sql('r', 'fit.n')})::DOUBLE, 4) AS p FROM n LEFT JOIN whole ON whole.unit = n.unit LEFT JOIN fit ON fit.unit = n.unit")
 def gridded_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours stand for milliseconds, with a step of 24 and speeds to match."""
