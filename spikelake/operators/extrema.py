@@ -75,13 +75,13 @@ def _in_blocks(samples: DataFrame, key: str, order: str, value: str, distance: i
 
 
 def _carried(table: pd.DataFrame, side: str) -> list[np.ndarray]:
-    """The bases on one side with what the blocks before (or, from the right, after) add to those that are still open."""
+    """The bases on one side of the peaks that are open, with what the blocks before (or, from the right, after) add."""
     out, heights, lows = [], np.empty(0), np.empty(0)  # nearest first, heights rising; the lowest value nearer than each
     rest = np.inf  # the lowest of all that is nearer than the trace's end
     near, hide = ("left", "last") if side == "left" else ("right", "first")
     for r in table.itertuples():
-        low, closed = np.array(getattr(r, f"{near}_low"), float), np.array(getattr(r, f"{near}_closed"), bool)
-        found = np.searchsorted(heights, np.array(r.v, float), "right")
+        low, closed = np.array([p[f"{near}_low"] for p in r.open], float), np.array([p[f"{near}_closed"] for p in r.open], bool)
+        found = np.searchsorted(heights, np.array([p["v"] for p in r.open], float), "right")
         beyond = np.append(lows, rest)[found]
         out.append(np.where(closed, low, np.minimum(low, beyond)))
         own, before = np.array(getattr(r, f"{hide}_heights"), float), np.array(getattr(r, f"{hide}_lows"), float)
@@ -99,8 +99,9 @@ def peaks(samples: DataFrame, key: str, order: str, value: str, distance: int =
     something higher, or to the end. prominence may be an expression of key, or a column to join by it first.
 
     Spacing depends on a maximum's surroundings only: blocks whose halo (16 distances) was too small for what it says are
-    done again with four times the halo, until none is left. What is higher may be anywhere: so each block keeps the steps
-    by which its values rise from either edge, and one pass over the blocks of a trace, not its samples, carries them on.
+    done again with four times the halo, until none is left. What is higher may be anywhere: most peaks have it in their own
+    block; for the others, as few as a block's values rise in steps towards its edges, each block keeps these steps, and one
+    pass over the blocks of a trace carries them on.
     """
     halo = max(halo or 16 * distance, 2)
     found, done = kept(_in_blocks(samples, key, order, value, distance, length, halo)), None
@@ -111,19 +112,24 @@ def peaks(samples: DataFrame, key: str, order: str, value: str, distance: int =
         found = kept(_in_blocks(samples, key, order, value, distance, length, halo, found.filter("unsure").select(key, "block")))
     found = found if done is None else done.unionByName(found)
     kind = dict(found.dtypes)[key]
+    each = F.arrays_zip("at", "v", "left_low", "left_closed", "right_low", "right_closed")
+    sure = lambda p: p["left_closed"] & p["right_closed"]
+    known = found.select(key, F.explode(F.filter(each, sure)).alias("p"))
+    known = known.select(key, F.col("p.at").alias("i"), "p.v", (F.col("p.v") - F.greatest("p.left_low", "p.right_low")).alias("prominence"))
 
     def joined(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("block")
-        left, right = _carried(table, "left"), _carried(table[::-1], "right")[::-1]
-        k = [len(x) for x in left]
-        v = np.concatenate([np.asarray(x, float) for x in table["v"]])
-        prominence = v - np.maximum(np.concatenate(left), np.concatenate(right))
-        keys = np.empty(len(v), object)
-        keys[:] = [table[key].iloc[0]] * len(v)
-        return pd.DataFrame({key: keys, "block": np.repeat(table["block"].to_numpy(), k), "i": np.concatenate([np.asarray(x, np.int64) for x in table["at"]]), "v": v, "prominence": prominence})
-
-    rows = found.groupBy(key).applyInPandas(joined, f"{key} {kind}, block long, i long, v double, prominence double").drop("block")
-    return rows.filter(F.col("prominence") >= prominence)
+        left, right = np.concatenate(_carried(table, "left")), np.concatenate(_carried(table[::-1], "right")[::-1])
+        rows = [p for own in table["open"] for p in own]
+        v = np.array([p["v"] for p in rows], float)
+        keys = np.empty(len(rows), object)
+        keys[:] = [table[key].iloc[0]] * len(rows)
+        return pd.DataFrame({key: keys, "i": np.array([p["at"] for p in rows], np.int64), "v": v, "prominence": v - np.maximum(left, right)})
+
+    steps = ["low", "high", "last_heights", "last_lows", "first_heights", "first_lows"]
+    rest = found.select(key, "block", F.filter(each, lambda p: ~sure(p)).alias("open"), *steps)
+    rest = rest.groupBy(key).applyInPandas(joined, f"{key} {kind}, i long, v double, prominence double")
+    return known.unionByName(rest).filter(F.col("prominence") >= prominence)
 
 
 def phase_profile(traces: DataFrame, snippet: str, channel: str, i: str, value: str, fs: float, reference: object, distance: float = 0.1, guard: float = 0.2, share: float = 0.5, signed: bool = True, **options) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, kernels, maps
+from ..operators import joins, kernels, maps, table_functions
 from ..operators.ripples import ripples as find_ripples
 from .field_queries import _p_sql
 from .proxies import HOUR, SPIKES, TRACE, TRACK, grid, grid_sql, query, read, rounded, spikes, trace, track
@@ -23,13 +23,25 @@ RIPPLES = f"""WITH {TRACE}, raw AS (SELECT t, (2 * 12 / 40.0::DOUBLE * CASE WHEN
     r AS (SELECT s.channel, start, stop, max(nss) AS power, arg_min(i, struct_pack(v := v, i := i)) AS spot FROM spans JOIN s ON s.channel = spans.channel AND s.i BETWEEN start AND stop GROUP BY ALL)"""
 
 
-@query("n1_ripples", f"{RIPPLES} SELECT channel, round(start / 40.0::DOUBLE, 6) AS start_time, round(stop / 40.0::DOUBLE, 6) AS end_time, round(spot / 40.0::DOUBLE, 6) AS peak_time, round(power, 6) AS peak_normed_power, round((stop - start) / 40.0::DOUBLE * 1000, 6) AS duration_ms FROM r WHERE power > 1 AND (stop - start) / 40.0::DOUBLE BETWEEN 0.05 AND 2")
+RIPPLES += " SELECT channel, round(start / 40.0::DOUBLE, 6) AS start_time, round(stop / 40.0::DOUBLE, 6) AS end_time, round(spot / 40.0::DOUBLE, 6) AS peak_time, round(power, 6) AS peak_normed_power, round((stop - start) / 40.0::DOUBLE * 1000, 6) AS duration_ms FROM r WHERE power > 1 AND (stop - start) / 40.0::DOUBLE BETWEEN 0.05 AND 2"
+
+
+@query("n1_ripples", RIPPLES)
 def ripples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of each user as a trace at 40 Hz, with bounds to match."""
     found = find_ripples(trace(spark, sf_dir), "channel", "i", "v", 40.0, 4.0, 12.0, 0.5, 1.0, 0.1, 0.05, 2.0)
     return rounded(found, "start_time", "end_time", "peak_time", "peak_normed_power", "duration_ms")
 
 
+@query("n1_ripples_from_sql", RIPPLES)
+def ripples_from_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the table function."""
+    table_functions.register(spark)
+    trace(spark, sf_dir).createOrReplaceTempView("trace_of_users")
+    found = spark.sql("SELECT * FROM find_ripples(TABLE(trace_of_users), key => 'channel', at => 'i', value => 'v', fs => 40.0, low => 4.0, high => 12.0, onset => 0.5, peak => 1.0, gap => 0.1, shortest => 0.05, longest => 2.0)")
+    return rounded(found, "start_time", "end_time", "peak_time", "peak_normed_power", "duration_ms")
+
+
 def _zero_phase_sql(name: str, source: str, gain: str, fs: int = 16) -> str:
     """Tables that filter (channel, i, v) by a squared gain of f (Hz, of fs): odd padding by two seconds, then a circular
     sum with the gain's inverse transform, for each padded length."""
