@@ -59,14 +59,17 @@ def isolation(rows: DataFrame, key: str, file: str = "file") -> DataFrame:
     Counts of points by ranges of d2, 64 to a doubling, tell in which range the nc-th lies; only that one is put in order.
     """
     band = F.when(F.col("d2") > 0, F.floor(F.log2("d2") * 64)).otherwise(F.lit(-(1 << 40)))
-    noise = rows.filter(~F.col("own") & (2 * F.col("nc") <= F.col("n"))).withColumn("__band", band)
-    counts = noise.groupBy(file, "cluster", "nc", "__band").agg(F.count(F.lit(1)).alias("__c"))
+    other = ~F.col("own") & (2 * F.col("nc") <= F.col("n"))
+    rows = rows.withColumn("__band", band)
+    counts = rows.groupBy(file, "cluster", "nc", "__band").agg(F.count_if(other).alias("__c"))
     below = F.sum("__c").over(Window.partitionBy(file, "cluster").orderBy("__band").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")
-    where = counts.withColumn("__below", below).filter((F.col("__below") < F.col("nc")) & (F.col("nc") <= F.col("__below") + F.col("__c"))).select(file, "cluster", "__band", "__below")
+    here = (F.col("__below") < F.col("nc")) & (F.col("nc") <= F.col("__below") + F.col("__c"))
+    found = counts.withColumn("__below", below).groupBy(file, "cluster").agg(F.max(F.when(here, F.struct("__band", "__below"))).alias("__at"))
+    where = found.filter("__at IS NOT NULL").select(file, "cluster", "__at.__band", "__at.__below")
     w = Window.partitionBy(file, "cluster").orderBy("d2", key)
-    nth = noise.join(where, [file, "cluster", "__band"]).withColumn("__r", F.row_number().over(w) + F.col("__below"))
+    nth = rows.filter(other).join(where, [file, "cluster", "__band"]).withColumn("__r", F.row_number().over(w) + F.col("__below"))
     nth = nth.filter(F.col("__r") == F.col("nc")).select(file, "cluster", F.col("d2").alias("iso"))
-    return rows.select(file, "cluster").distinct().join(nth, [file, "cluster"], "left")
+    return found.select(file, "cluster").join(nth, [file, "cluster"], "left")
 
 
 def pool(rows: DataFrame, key: str, times: int = 3, file: str = "file") -> DataFrame:

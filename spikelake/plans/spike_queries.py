@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clusters, joins, spikes as ops
+from ..operators import clusters, joins, kernels, spikes as ops
 from .proxies import FEATURES, HOUR, POINTS, SPIKES, WAVES, points, query, read, rounded, spikes, waves
 
 ISI = f"{SPIKES}, isi AS (SELECT *, ts - lag(ts) OVER w AS isi, lag(amp) OVER w AS prior FROM spikes WINDOW w AS (PARTITION BY unit ORDER BY ts))"
@@ -251,6 +251,19 @@ def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("cluster", clusters.label(F.col("l_ratio"), F.col("iso")).alias("quality"), clusters.shuffle_label(F.col("l_ratio") / 100).alias("shuffled"))
 
 
+@query(
+    "n23_cluster_pools",
+    f"""WITH {RATIO}, c AS (SELECT DISTINCT file, cluster, nc, n FROM d) SELECT c.file, c.cluster, CAST(nc AS BIGINT) AS n, round(l_ratio, 5) AS l_ratio, round(iso, 5) AS iso, CAST(CASE WHEN 2 * nc <= n THEN least(3 * nc, n - nc) ELSE 0 END AS BIGINT) AS pool
+    FROM c JOIN q ON q.cluster = c.cluster LEFT JOIN i ON i.cluster = c.cluster WHERE nc > 8 AND nc < n""",
+)
+def cluster_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the null model of N23 starts from: the real clusters, and how many points it draws from."""
+    rows = points(spark, sf_dir).select("file", F.struct("vec_id", "label", F.array(*FEATURES).alias("x")).alias("p"))
+    rows = rows.groupBy("file").agg(F.array_sort(F.collect_list("p")).alias("p")).select("file", F.col("p.label").alias("labels"), F.col("p.x").alias("points"))
+    found = kernels.cluster_null(rows, "file", len(FEATURES), draws=0)
+    return rounded(found.select("file", "cluster", "n", "l_ratio", "iso", "pool"), "l_ratio", "iso", digits=5)
+
+
 @query("j18_u3_cluster_and_rest", f"WITH {POINTS} SELECT vec_id FROM points EXCEPT SELECT vec_id FROM points WHERE label = 3")
 def cluster_and_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = points(spark, sf_dir)

@@ -17,6 +17,8 @@ def plain_ripples(x, fs, low=100, high=250, onset=2, peak=5, gap=0.03, shortest=
     v, power = plain_power(x, fs, low, high)
     t = np.arange(len(x)) / fs
     own = power if restrict is None else power[np.any([(t >= a) & (t <= b) for a, b in restrict], 0)]
+    if not len(own):
+        return []
     sd = own.std() if sd is None else sd
     sd = sd if sd > 0 else 1.0
     nss = (power - own.mean()) / sd
@@ -81,5 +83,5 @@ def test_the_filter_runs_once(spark):
     """What is read after it is what it has written; no window takes samples."""
     rows = spark.createDataFrame([(1, i, float(i % 7)) for i in range(400)], "c int, i long, v double")
     plan = ripples(rows, "c", "i", "v", 1000.0)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow run") == 1 or plan.count("MapInArrow") == 1
+    assert plan.count("MapInArrow") == 1
     assert "ExistingRDD" in plan
