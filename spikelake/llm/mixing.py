@@ -24,6 +24,8 @@ from .common import WORD, cut, fresh
 MAX_BLOCK, LEAST_SLOTS, WEIGHTS, MOST = 1024, 1 << 16, (1, 2, 3), 3
 #: Parts of a source's order, of the unit interval and of the schedule, so that no window or join has a hot key.
 PARTS, CELLS, CHUNK = 4096, 4096, 8192
+#: Sources whose parts of the unit interval are broadcast: at most CELLS rows and two for each.
+FEW = 10_000
 #: The odd number next to 2 ** 32 divided by the golden ratio.
 GOLDEN, UNIT = 2_654_435_769, 1 << 32
 
@@ -82,10 +84,27 @@ def _point(slot: Column) -> Column:
     return (high * half + slot % half * GOLDEN) % UNIT
 
 
-def schedule(sources: DataFrame, block: int, most: int = MOST) -> DataFrame:
+def _found(points: DataFrame, cells: DataFrame, few: bool, each: int) -> DataFrame:
+    """The points with k and blocks of the source in whose part of the unit interval they lie.
+
+    Of few sources the parts, a row for each cell and some for each source, are broadcast. Else points and the places where
+    parts begin are put in order within each cell, and a point takes the last part that has begun: however many sources
+    share a cell, nothing is paired.
+    """
+    if few:
+        return points.join(F.broadcast(cells), "cell").filter("u >= lo AND u < hi")
+    begins = cells.select("cell", F.greatest(F.col("lo"), F.col("cell") * F.lit(float(each))).alias("u"), F.lit(None).cast("long").alias("id"), F.struct("k", "blocks", "hi").alias("part"))
+    rows = points.select("cell", F.col("u").cast("double").alias("u"), "id", F.lit(None).cast(begins.schema["part"].dataType).alias("part")).unionByName(begins)
+    so_far = Window.partitionBy("cell").orderBy("u", F.col("id").isNotNull(), "part").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("part", F.last("part", ignorenulls=True).over(so_far)).filter("id IS NOT NULL AND u < part.hi")
+    return rows.select("id", "u", "cell", "part.k", "part.blocks")
+
+
+def schedule(sources: DataFrame, block: int, most: int = MOST, few: int = FEW) -> DataFrame:
     """slot, k, r (the source's how manieth slot it is) and block: all slots of the mix that a source may take.
 
-    sources: k, source_size and target. need: the slots that take a source's target, in blocks; places: of all.
+    sources: k, source_size and target. need: the slots that take a source's target, in blocks; places: of all. Of more than
+    `few` sources nothing is broadcast.
     """
     sources = sources.filter("source_size > 0").withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
     sources = sources.withColumn("need", F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5)).filter("need > 0")
@@ -95,7 +114,7 @@ def schedule(sources: DataFrame, block: int, most: int = MOST) -> DataFrame:
     each = UNIT // CELLS
     cells = cells.select("k", "blocks", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / each), F.least(F.floor(F.col("hi") / each), F.lit(CELLS - 1)))).alias("cell"))
     points = sources.sparkSession.range(sources.agg(F.sum("need")).first()[0] or 0).withColumn("u", _point(F.col("id")))
-    points = points.withColumn("cell", F.floor(F.col("u") / each)).join(F.broadcast(cells), "cell").filter("u >= lo AND u < hi")  # a row for each cell, and a few for each source
+    points = _found(points.withColumn("cell", F.floor(F.col("u") / each)), cells, sources.count() <= few, each)
     points = points.select("id", "k", "blocks", F.expr(f"id div {CHUNK}").alias("chunk"))
     counts = points.groupBy("k", "chunk").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

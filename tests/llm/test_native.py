@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 
 import pytest
 from conftest_rows import as_rows, lower, words
@@ -162,3 +163,15 @@ def test_mixed_is_the_same_for_any_order_of_the_input(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, meta map<string,int>")
     tables = [sorted(map(str, mixing.mixed(docs.orderBy(*order).repartition(n)).collect())) for order, n in ((["n_chars"], 1), ([F.desc("n_chars")], 1), (["doc_id"], 4))]
     assert tables[0] == tables[1] == tables[2] and len(tables[0]) > 3
+
+
+def test_schedule_is_the_same_for_many_sources(spark):
+    """Without a broadcast, and with many sources in a cell."""
+    rng = random.Random(3)
+    rows = [(f"s{k:05d}", rng.randrange(1, 40), rng.uniform(0, 60)) for k in range(3000)]
+    sources = spark.createDataFrame(rows, "k string, source_size long, target double").repartition(3)
+    few, many = (sorted(map(tuple, mixing.schedule(sources, 1, few=n).collect())) for n in (10_000, 0))
+    assert few == many and len(few) > 50_000
+    big = spark.createDataFrame([("a", 900, 900.0), ("b", 500, 1500.0), ("n", 30, 3.0)], "k string, source_size long, target double")
+    few, many = (sorted(map(tuple, mixing.schedule(big, 7, few=n).collect())) for n in (10_000, 0))
+    assert few == many and few
