@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import in_small_batches, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters that are handed to the tokenizer at a time.
@@ -76,7 +76,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", ranks_path: st
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], names=[*keep, ids])
 
-    return docs.mapInArrow(run, schema)
+    return in_small_batches(docs).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, ids: str = "ids", data: str = "data", ranks_path: str | None = None) -> DataFrame:
@@ -92,4 +92,4 @@ def decode(docs: DataFrame, ids: str = "ids", data: str = "data", ranks_path: st
                 found = [tokenizer.decode_bytes(x.as_py() or []) for x in part.column(ids)]  # one row's ids as a list at a time
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found, pa.binary())], names=[*keep, data])
 
-    return docs.mapInArrow(run, schema)
+    return in_small_batches(docs).mapInArrow(run, schema)

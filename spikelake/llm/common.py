@@ -95,6 +95,19 @@ def joined(rows: DataFrame, values: DataFrame, on: list[str], count: str) -> Dat
     return found.select(*rows.columns, *[F.coalesce(f"_hot_{c}", c).alias(c) for c in names])
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on hands its rows to Python in batches of SLICE_BYTES or so, unless it has smaller ones.
+
+    By default a batch holds up to 64 MB of text, several times over in the JVM and in each worker, though no more than a
+    slice of it is worked on at a time.
+    """
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    size = re.fullmatch(r"(\d+)b?", conf.get(key, ""))
+    if size and not 0 < int(size[1]) <= SLICE_BYTES:
+        conf.set(key, str(SLICE_BYTES))
+    return df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before those that df has a column of, in whatever case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, hash_words, joined, mix, slices, tables, windows
+from .common import cut, fresh, hash_words, in_small_batches, joined, mix, slices, tables, windows
 
 WIDTH, PERCENT = 5, 75
 #: With 40 bands of 5 rows a link at exactly 0.75 is missed once in 50,000, one at 0.8 once in 8 million.
@@ -112,7 +112,7 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
                 names=["doc_id", "th", "n", "node", "bands"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return in_small_batches(docs).mapInArrow(run, schema)
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: in
                 found.append(100 * (len(set_a) + len(set_b) - either) >= percent * either)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(found, pa.bool_()))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return in_small_batches(rows).mapInArrow(run, "a long, b long")
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, rows: int = ROWS, n_bands: int = BANDS) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, hash_words, slices, windows
+from .common import cut, fresh, hash_words, in_small_batches, slices, windows
 
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT = 20, 8, 30
 SYMBOLS = "#*$%&|<>"
@@ -74,7 +74,7 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
             found = np.array([counts(x or "") for x in batch.column("text").to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *map(pa.array, found.T)], names=[*keep, *COUNTS])
 
-    return rows.mapInArrow(run, schema)
+    return in_small_batches(rows).mapInArrow(run, schema)
 
 
 def _ratios(rows: DataFrame) -> DataFrame:
