@@ -96,15 +96,14 @@ def joined(rows: DataFrame, values: DataFrame, on: list[str], count: str) -> Dat
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """df, whose session from now on hands its rows to Python in batches of SLICE_BYTES or so, unless it has smaller ones.
+    """df, whose session from now on hands its rows to Python in batches of SLICE_BYTES or so, unless it has a limit of its own.
 
     By default a batch holds up to 64 MB of text, several times over in the JVM and in each worker, though no more than a
     slice of it is worked on at a time.
     """
-    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
-    size = re.fullmatch(r"(\d+)b?", conf.get(key, ""))
-    if size and not 0 < int(size[1]) <= SLICE_BYTES:
-        conf.set(key, str(SLICE_BYTES))
+    key, unset = "spark.sql.execution.arrow.maxBytesPerBatch", "64m"
+    if df.sparkSession.conf.get(key, unset) == unset:
+        df.sparkSession.conf.set(key, str(SLICE_BYTES))
     return df
 
 
