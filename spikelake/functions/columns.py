@@ -14,6 +14,12 @@ def correlation(x: Column | str, y: Column | str) -> Column:
     return F.covar_pop(x, y) / F.when(spread > 0, spread)
 
 
+def divided(x: Column, y: Column) -> Column:
+    """x / y of doubles, by zero too: infinite with the sign of x, or not a number for zero by zero."""
+    beyond = F.when(x > 0, float("inf")).when(x < 0, float("-inf")).when(x.isNotNull(), float("nan"))
+    return F.when(y == 0, beyond).otherwise(x / F.nullif(y, F.lit(0.0)))
+
+
 def student_p(t: Column, df: Column) -> Column:
     """The two-sided p-value of Student's t with a whole number of degrees of freedom, by its finite series; its absolute
     error is that of doubles near 1. Null below one degree of freedom."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns
 from ..operators import clusters, joins, kernels, spikes as ops
 from .proxies import FEATURES, HOUR, POINTS, SPIKES, WAVES, points, query, read, rounded, spikes, waves
 
@@ -178,7 +179,7 @@ QUALITY = f"{ISI}, n AS (SELECT unit, count(*) AS n, 100.0 * sum(CASE WHEN isi <
 def unit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _isi(spark, sf_dir)
     mean, sd = F.avg("amp"), F.stddev_pop("amp")
-    size = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), (mean / sd * 3).alias("snr"), (sd / mean / 2).alias("cv"))
+    size = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), (columns.divided(mean, sd) * 3).alias("snr"), (columns.divided(sd, mean) / 2).alias("cv"))
     size = size.join(ops.violations(rows, "unit", 2 * HOUR), "unit").join(ops.complex_index(rows, "unit", "amp", 3 * HOUR, 20 * HOUR), "unit", "left")
     single = ops.single_unit(F.col("rpv"), F.col("snr"), F.col("cv"))
     return size.select("unit", ops.snr_label(F.col("snr")).alias("snr_label"), ops.isi_label(F.col("rpv")).alias("isi_label"), single.alias("single_unit"), ops.complex_cell(F.col("n"), single, F.col("csi")).alias("complex_cell"))

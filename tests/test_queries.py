@@ -46,6 +46,18 @@ def test_gives_rows(spark, name):
     assert len(first) and sorted(map(str, first.itertuples(index=False))) == sorted(map(str, again.itertuples(index=False)))
 
 
+def test_unit_labels_of_units_without_spread(spark, tmp_path):
+    """One spike, equal amplitudes and none at all divide by zero, as the SQL does."""
+    rows = [(1, 5.0), (2, 0.0), (3, 7.0), (3, 7.0), (4, 0.0), (4, 0.0), (5, 1.0), (5, 9.0), (6, -3.0), (7, None)]
+    rows = [(i, u, v, "click", '{"k": 1}') for i, (u, v) in enumerate(rows)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, value double, event_type string, props string")
+    events.selectExpr("*", "timestamp_micros(1700000000000000 + event_id) AS ts").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got, want = QUERIES["p15_p17_p18_unit_labels"](spark, str(tmp_path)).toPandas(), own.sql(ORACLES["p15_p17_p18_unit_labels"]).df()
+    assert _sorted(got).to_dict("list") == _sorted(want).to_dict("list") and len(got) == 7
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
