@@ -90,6 +90,29 @@ def test_global_places(spark):
     assert [r.place for r in ordering.placed(rows, ["k"], "place").orderBy("k").collect()] == list(range(1, 1001))
 
 
+@pytest.fixture()
+def many_small_ranges(spark):
+    """Ranges are sampled and joined by size as on large tables."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.execution.rangeExchange.sampleSizePerPartition": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_global_places_of_many_ranges(spark, many_small_ranges):
+    rows = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("k"), F.repeat(F.lit("wide"), (F.col("id") % 50).cast("int")).alias("more")).repartition(7)
+    got = ordering.placed(rows, ["k"], "place").orderBy("k").collect()
+    assert [r.place for r in got] == list(range(1, 20_001))
+    sizes = rows.withColumn("size", (F.col("k") % 50).cast("double"))
+    got = catalog.depth_sequence(sizes, "k", "size", [(50, 40), (10, 20)]).select("range_no", "k", "size", "place").collect()
+    want = sorted((no, way * r.size, way * r.k) for r in sizes.collect() for no, low, high, way in ((1, 40, 50, -1), (2, 10, 20, 1)) if low <= r.size <= high)
+    assert [(r.range_no, (-1 if r.range_no == 1 else 1) * r["size"], (-1 if r.range_no == 1 else 1) * r.k) for r in sorted(got, key=lambda r: r.place)] == want
+    assert sorted(r.place for r in got) == list(range(1, len(want) + 1))
+
+
 def test_streaming_epochs_match_batch(spark, tmp_path):
     rows = spark.range(200).select((F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col("id") * 37 % 900)).alias("ts"), (F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
