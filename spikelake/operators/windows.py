@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import dealt
+
 MAD_SCALE = 1.4826
 
 
@@ -108,9 +110,9 @@ def adjusted_p(rows: DataFrame, p: str, by: list[str] | None = None) -> DataFram
     for each range, is joined back. So neither all rows nor those of a large group meet in one task.
     """
     by = by or []
-    known = rows.filter(F.col(p).isNotNull()).repartitionByRange(*by, p).withColumn("__part", F.spark_partition_id())
+    known = dealt(rows.filter(F.col(p).isNotNull()), [*by, p]).withColumnRenamed("__p", "__part")
     own = Window.partitionBy("__part", *by)
-    known = known.withColumn("__i", F.row_number().over(own.orderBy(p)))
+    known = known.withColumn("__i", F.row_number().over(own.orderBy("__i")))
     parts = known.groupBy("__part", *by).agg(F.max("__i").alias("__n"))
     order = Window.partitionBy(*by).orderBy("__part")  # a row for each range
     before = F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

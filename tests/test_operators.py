@@ -113,6 +113,15 @@ def test_global_places_of_many_ranges(spark, many_small_ranges):
     assert sorted(r.place for r in got) == list(range(1, len(want) + 1))
 
 
+def test_adjusted_p_of_many_ranges(spark, many_small_ranges):
+    rows = spark.range(20_000).select("id", F.repeat(F.lit("wide"), (F.col("id") % 50).cast("int")).alias("more"), F.pow((F.col("id") * 7919 % 20_011) / 20_011, F.lit(2.0)).alias("p")).repartition(7)
+    got = windows.adjusted_p(rows, "p").orderBy("p").collect()
+    least, want = 1.0, []
+    for rank in range(len(got), 0, -1):
+        want.append(least := min(least, got[rank - 1].p * len(got) / rank))
+    assert len(got) == 20_000 and [r.p_adj for r in got] == pytest.approx(want[::-1])
+
+
 def test_streaming_epochs_match_batch(spark, tmp_path):
     rows = spark.range(200).select((F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col("id") * 37 % 900)).alias("ts"), (F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
