@@ -71,6 +71,8 @@ def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
         a = m / math.sqrt((mm - 2 * m[-1] ** 2) / (1 - 2 * last**2))
     a[[0, -1]] = -last, last
     w = float((a @ y) ** 2 / np.sum((y - y.mean()) ** 2))
+    if w >= 1:  # by rounding
+        return 1.0, 1.0
     if n <= 11:
         gamma = -2.273 + 0.459 * n
         if gamma - math.log1p(-w) <= 0:

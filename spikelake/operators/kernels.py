@@ -332,16 +332,16 @@ def speed_modulation(units: DataFrame, keys: list[str], fps: float, draws: int =
         share = share[bins]
 
         def lines(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Slope, intercept and r of each column of mean rates."""
+            """Slope, intercept and r of each column of mean rates; no r of those that differ by rounding alone."""
             a, b = weight @ x, weight @ y
             xx, xy, yy = weight @ (x - a) ** 2, (weight * (x - a)) @ (y - b), weight @ (y - b) ** 2
-            return xy / xx, b - xy / xx * a, np.divide(xy, np.sqrt(xx * yy), out=np.full_like(xy, np.nan), where=yy > 0)
+            return xy / xx, b - xy / xx * a, np.divide(xy, np.sqrt(xx * yy), out=np.full_like(xy, np.nan), where=yy > 1e-24 * (weight @ y**2))
 
         y = share @ rate
         slope, intercept, r = (float(v[0]) for v in lines(y[:, None]))
         rank = lambda v: np.searchsorted(np.sort(v), v, "left") + np.searchsorted(np.sort(v), v, "right")
-        rho = float(np.corrcoef(rank(x), rank(np.round(y, 9)))[0, 1]) if y.std() > 0 else float("nan")  # means that differ by less tie
-        out = {"slope": slope, "intercept": intercept, "r": r, "p": stats.correlation_p(r, len(x)) if np.isfinite(r) else float("nan"), "rho": rho, "shapiro_p": stats.shapiro_wilk(y - intercept - slope * x)[1]}
+        rho = float(np.corrcoef(rank(x), rank(np.round(y, 9)))[0, 1]) if np.isfinite(r) else float("nan")  # means that differ by less tie
+        out = {"slope": slope, "intercept": intercept, "r": r, "p": stats.correlation_p(r, len(x)) if np.isfinite(r) else float("nan"), "rho": rho, "shapiro_p": stats.shapiro_wilk(y - intercept - slope * x)[1] if np.isfinite(r) else float("nan")}
         first = int(margin * fps)
         if not counts and len(n) <= 2 * first:
             first = max(1, len(n) // 4)

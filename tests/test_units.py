@@ -221,3 +221,13 @@ def test_theta_modulation(spark):
     power = np.abs(np.fft.fft(counts)[:100]) ** 2
     assert got[1].best == pytest.approx(power[3:8].max()) and got[1].peak_freq == 5.0 and got[1].modulated == bool(power[3:8].max() > 2 * power.mean())
     assert got[1].n == 80 and not got[3].modulated and got[3].peak_freq is None and not got[4].modulated and got[4].best == 0 and not got[2].modulated
+
+
+def test_rates_that_differ_by_rounding_have_no_correlation(spark):
+    """A spike in every frame: smoothed rates differ in their last bits alone."""
+    rows = spark.createDataFrame([(1, [float(10 + 7 * i % 60) for i in range(57)], [1.0] * 57), (2, [float(10 + 7 * i % 60) for i in range(57)], [0.0] * 57)], "u int, speed array<double>, n array<double>")
+    for counts in (False, True):
+        for fps in (4.0, 3.7, 1.3):
+            for r in kernels.speed_modulation(rows, ["u"], fps, draws=10, margin=0.5, width=10.0, counts=counts).collect():
+                assert r.r is None and r.p is None and r.rho is None and r.n_null is None, (counts, fps, r)
+                assert r.slope == pytest.approx(0, abs=1e-9) and r.intercept == pytest.approx(fps * (r.u == 1))
