@@ -223,7 +223,8 @@ def gridded_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = frames.select("unit", F.col("f.x").alias("x"), F.col("f.y").alias("y"), F.transform("f.ts", lambda t: t / HOUR).alias("t"))
     fired = spikes(spark, sf_dir).groupBy("unit").agg(F.array_sort(F.collect_list(F.col("ts") / HOUR)).alias("spikes"))
     found = kernels.gridded_speed(frames.join(fired, "unit"), ["unit"], 1000 / 24, low=100.0, high=3000.0, width=200.0)
-    return rounded(found, "raw_r", "slope", "intercept", "r", "p", digits=4)
+    values = ["raw_r", "slope", "intercept", "r", "p"]
+    return rounded(rounded(found, *values, digits=10), *values, digits=4)  # first back to the halves that the fit's last bits have moved
 
 
 @query(

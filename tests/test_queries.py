@@ -58,6 +58,14 @@ def test_unit_labels_of_units_without_spread(spark, tmp_path):
     assert _sorted(got).to_dict("list") == _sorted(want).to_dict("list") and len(got) == 7
 
 
+def test_halves_of_gridded_speed_round_up(spark, monkeypatch):
+    from spikelake.operators import kernels
+
+    found = spark.createDataFrame([(1, -0.21874999999999994, 5, 0.031249999999999996, 3.90624999999999, 0.09374999999999999, 0.5)], "unit long, raw_r double, n_bins long, slope double, intercept double, r double, p double")
+    monkeypatch.setattr(kernels, "gridded_speed", lambda *a, **k: found)
+    assert tuple(QUERIES["n30_gridded_speed"](spark, FOLDER).first()) == (1, -0.2188, 5, 0.0313, 3.9063, 0.0938, 0.5)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
