@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 from ..functions import signal, stats
 
 
+ARROW = {"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<array<double>>": pa.list_(pa.list_(pa.float64()))}
+
+
 def per_row(rows: DataFrame, f: Callable[..., dict], keys: list[str], inputs: list[str], schema: str) -> DataFrame:
     """keys and the values of f(seed, *arrays) for each row; schema names them, arrays reach f as numpy arrays."""
     kinds = dict(rows.dtypes)
     full = ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema])
-    names = [part.strip().split()[0] for part in schema.split(",")]
+    types = {name: ARROW[kind] for name, kind in (part.split() for part in schema.split(","))}
+    names = list(types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -32,11 +36,16 @@ def per_row(rows: DataFrame, f: Callable[..., dict], keys: list[str], inputs: li
                 for n in names:
                     value = found.get(n)
                     out[n].append(None if isinstance(value, float) and not np.isfinite(value) else value)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(out[n]) for n in names)], names=[*keys, *names]) if batch.num_rows else batch.select([])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(out[n], types[n]) for n in names)], names=[*keys, *names]) if batch.num_rows else batch.select([])
 
     return rows.select(*dict.fromkeys([*keys, *inputs])).mapInArrow(run, full)
 
 
+def spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that are small but long at work, over four tasks for each core: by their size they would meet in a few."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def blocks(samples: DataFrame, key: str, order: str, value: str, length: int, halo: int, only: DataFrame | None = None) -> DataFrame:
     """key, block, start and samples: each trace cut into blocks of `length` samples, with up to `halo` of those around.
 
@@ -428,6 +437,22 @@ def parameterised(rows: DataFrame, keys: list[str], low: float = 1.0, high: floa
         x, y = freqs[on].astype(float), np.log10(power[on].astype(float))
         aperiodic = lambda q: q[0] - np.log10(np.maximum(np.abs(q[1]) * knee + x ** q[2], 1e-12))
         bumps = lambda q: sum((h * np.exp(-((x - c) ** 2) / (2 * s * s)) for c, h, s in q.reshape(-1, 3)), np.zeros_like(x))
+
+        def bump_slopes(q: np.ndarray, step: np.ndarray) -> np.ndarray:
+            """Differences by each number of each peak, which moves that peak alone."""
+            (c, h, s), (dc, dh, ds) = (v.reshape(-1, 3).T[:, :, None] for v in (q, step))
+            one = lambda c, h, s: h * np.exp(-((x - c) ** 2) / (2 * s * s))
+            own = one(c, h, s)
+            moved = np.stack([one(c + dc, h, s), one(c, h + dh, s), one(c, h, s + ds)], 1)
+            total, before = np.zeros((len(q), len(x))), np.zeros_like(x)
+            for k in range(len(own)):  # summed in the order of bumps
+                moved_of = total.reshape(-1, 3, len(x))
+                moved_of[:k] += own[k]
+                moved_of[k] = before + moved[k]
+                moved_of[k + 1 :] += own[k]
+                before = before + own[k]
+            return np.ascontiguousarray((((total - flat) - (before - flat)) / step[:, None]).T)
+
         start = np.array([y[0], 0.0, (y[0] - y[-1]) / np.log10(x[-1] / x[0])])
         first = least_squares(lambda q: aperiodic(q) - y, start)
         rest = y - aperiodic(first)
@@ -447,25 +472,31 @@ def parameterised(rows: DataFrame, keys: list[str], low: float = 1.0, high: floa
             left = left - left[k] * np.exp(-((x - x[k]) ** 2) / (2 * s * s))
         peaks = np.array([g for g in guess if low + g[2] < g[0] < high - g[2]]).ravel()
         if len(peaks):
-            peaks = least_squares(lambda q: bumps(q) - flat, peaks)
+            peaks = least_squares(lambda q: bumps(q) - flat, peaks, slopes=bump_slopes)
             peaks.reshape(-1, 3)[:, 2] = np.clip(np.abs(peaks.reshape(-1, 3)[:, 2]), widths[0] / 2, widths[1] / 2)
         final = least_squares(lambda q: aperiodic(q) - (y - bumps(peaks)), robust)
         model = aperiodic(final) + bumps(peaks)
         r2 = np.corrcoef(model, y)[0, 1] ** 2 if y.std() > 0 and model.std() > 0 else float("nan")
         return {"offset": float(final[0]), "knee": float(abs(final[1]) * knee), "exponent": float(final[2]), "r_squared": float(r2), "error": float(np.abs(model - y).mean()), "peaks": [[float(c), float(h), float(2 * abs(s))] for c, h, s in sorted(peaks.reshape(-1, 3).tolist())]}
 
-    return per_row(rows, f, keys, ["freqs", "power"], "offset double, knee double, exponent double, r_squared double, error double, peaks array<array<double>>")
+    return per_row(spread(rows, keys), f, keys, ["freqs", "power"], "offset double, knee double, exponent double, r_squared double, error double, peaks array<array<double>>")
 
 
-def least_squares(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Levenberg-Marquardt with differences for the derivatives."""
+def least_squares(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, rounds: int = 100, slopes: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """Levenberg-Marquardt with differences for the derivatives, those of slopes(q, step) if given; it stays where they
+    aren't finite."""
     q, damp = np.array(start, float), 1e-2
     r = f(q)
     for _ in range(rounds):
         step = 1e-6 * np.maximum(1, np.abs(q))
-        j = np.stack([(f(q + np.eye(len(q))[i] * step[i]) - r) / step[i] for i in range(len(q))], 1)
+        j = slopes(q, step) if slopes else np.stack([(f(q + np.eye(len(q))[i] * step[i]) - r) / step[i] for i in range(len(q))], 1)
         a, g = j.T @ j, j.T @ r
-        move = -np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), g, rcond=None)[0]
+        if not (np.isfinite(a).all() and np.isfinite(g).all()):
+            break
+        try:
+            move = -np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), g, rcond=None)[0]
+        except np.linalg.LinAlgError:
+            break
         new = f(q + move)
         if np.isfinite(new).all() and new @ new < r @ r:
             done = r @ r - new @ new < 1e-12 * (r @ r)

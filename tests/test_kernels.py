@@ -229,3 +229,19 @@ def test_blocks_give_the_values_of_the_whole_trace(spark):
         assert np.allclose(got[10:90], power[10:90], rtol=1e-6, atol=1e-12) and np.allclose(got, power, rtol=0, atol=1e-4)
     cut = {(r.c, r.block): (r.start, len(r.samples)) for r in kernels.blocks(long, "c", "i", "v", 10_000, 20).collect()}
     assert cut == {(1, 0): (0, 10_020), (1, 1): (9980, 10_031), (1, 2): (19_980, 31), (2, 0): (0, 7)}
+
+
+def test_spectra_without_peaks(spark):
+    """All peaks of a task may be empty lists, and all its fits null."""
+    freqs = [float(k) for k in range(1, 101)]
+    rows = spark.createDataFrame([(1, freqs, [1000.0 / k for k in freqs]), (2, freqs[:3], [1.0, 2.0, 3.0])], "file long, freqs array<double>, power array<double>")
+    a, b = kernels.parameterised(rows, ["file"], knee=False).orderBy("file").collect()
+    assert a.peaks == [] and a.exponent == pytest.approx(1, abs=1e-3) and a.offset == pytest.approx(3, abs=1e-3)
+    assert b.offset is None and b.peaks is None
+    assert kernels.parameterised(rows.filter("file = 2"), ["file"], knee=False).first().error is None
+
+
+def test_fits_stay_where_slopes_are_not_finite():
+    with np.errstate(all="ignore"):
+        assert kernels.least_squares(lambda q: np.sqrt(1 - q) + 1, np.array([1.0])) == [1.0]  # an error of the solver before
+        assert kernels.least_squares(lambda q: q - 5, np.array([1.0]), slopes=lambda q, step: np.full((1, 1), np.inf)) == [1.0]
