@@ -265,6 +265,19 @@ def cluster_null(files: DataFrame, key: str, df: int, draws: int = 500, times: i
         noise, n = np.sort(d2[~own]), int(own.sum())
         return float(stats.chi2_tail(noise, df).sum() / n), float(noise[n - 1]) if 2 * n <= len(own) else float("nan")
 
+    def drawn(fakes: np.ndarray, points: np.ndarray) -> list[tuple[float, float]]:
+        """The measures of several clusters of as many points, given by the places of these."""
+        n, own = fakes.shape[1], points[fakes]
+        mean = own.mean(1, keepdims=True)
+        cov = (own - mean).transpose(0, 2, 1) @ (own - mean) / (n - 1) + ridge * np.eye(df)
+        d = points - mean
+        d2 = np.einsum("kij,kij->ki", d @ np.linalg.pinv(cov), d)
+        tails = stats.chi2_tail(d2, df)
+        np.put_along_axis(tails, fakes, 0.0, 1)
+        np.put_along_axis(d2, fakes, np.inf, 1)
+        nth = np.partition(d2, n - 1, axis=1)[:, n - 1]
+        return list(zip((tails.sum(1) / n).tolist(), nth.tolist()))
+
     def one(key_of: object, c: int, own: np.ndarray, points: np.ndarray) -> dict:
         n, d2 = int(own.sum()), distances(own, points)
         out = {"cluster": int(c), "n": n, "pool": 0, "n_valid": 0}
@@ -276,10 +289,9 @@ def cluster_null(files: DataFrame, key: str, df: int, draws: int = 500, times: i
         if len(near) < n:
             return out
         rng, null = np.random.default_rng(zlib.crc32(repr((key_of, int(c))).encode())), []
-        for _ in range(draws):
-            fake = np.zeros(len(own), bool)
-            fake[rng.choice(near, n, replace=False)] = True
-            null.append(measures(distances(fake, points), fake))
+        at_once = max(1, min(64, (1 << 19) // (len(own) * df)))  # so many draws, of 4 MB
+        for first in range(0, draws, at_once):
+            null += drawn(np.stack([rng.choice(near, n, replace=False) for _ in range(min(at_once, draws - first))]), points)
         valid = [[x[k] for x in null if np.isfinite(x[k])] for k in (0, 1)]
         out["n_valid"] = min(map(len, valid))
         for name, real, xs, sign in (("l", out["l_ratio"], np.array(valid[0]), -1), ("iso", out["iso"], np.array(valid[1]), 1)):
@@ -306,7 +318,7 @@ def cluster_null(files: DataFrame, key: str, df: int, draws: int = 500, times: i
                 [batch.column(key).take(pa.array(of, pa.int64())), *(pa.array([None if isinstance(v := r.get(c), float) and not np.isfinite(v) else v for r in rows], t) for c, t in types.items())], names=[key, *types]
             )
 
-    return files.select(key, "labels", "points").mapInArrow(run, ", ".join([f"{key} {kind}", *(f"{c} {'double' if c in doubles else 'bigint'}" for c in types)]))
+    return spread(files.select(key, "labels", "points"), [key]).mapInArrow(run, ", ".join([f"{key} {kind}", *(f"{c} {'double' if c in doubles else 'bigint'}" for c in types)]))
 
 
 def speed_modulation(units: DataFrame, keys: list[str], fps: float, draws: int = 1000, margin: float = 20.0, width: float = 5.0, low: float = 1.0, high: float = 90.0, rare: float = 0.002, counts: bool = False, sigma: float = 0.3, least: int = 100) -> DataFrame:

@@ -231,3 +231,8 @@ def test_rates_that_differ_by_rounding_have_no_correlation(spark):
             for r in kernels.speed_modulation(rows, ["u"], fps, draws=10, margin=0.5, width=10.0, counts=counts).collect():
                 assert r.r is None and r.p is None and r.rho is None and r.n_null is None, (counts, fps, r)
                 assert r.slope == pytest.approx(0, abs=1e-9) and r.intercept == pytest.approx(fps * (r.u == 1))
+
+
+def test_long_work_on_small_rows_is_spread(spark):
+    rows = spark.createDataFrame([(k, [0, 1], [[0.0], [1.0]]) for k in range(50)], "file int, labels array<long>, points array<array<double>>").coalesce(1)
+    assert kernels.cluster_null(rows, "file", 1, draws=0).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
