@@ -4,9 +4,10 @@ Tokens are words of the text with A-Z lower-cased, then one end. The base score
 1)) over them, c, N and V from all training rows. Counting is a grouped sum; frequent words (FREQUENT at
 most) are looked up where the text is, the rest by a join on 64-bit hashes.
 
-The model reads each word, after a space, as ids of a public byte-level BPE, and the end as one more. Ids are
-ranked by their counts in all training rows and written as three digits, each predicted from the context and the
-digits before it; the biases are the digits' corpus frequencies. One attention layer and one feed-forward layer
+The model reads each word, after a space, as ids of a public byte-level BPE, and the end as one more. Up to OWN words
+that save most ids have an id of their own. Ids are ranked by their counts in all training rows and written as three
+digits in two parts each; every part is predicted from the context and the parts before it; the biases are the parts'
+corpus frequencies. One attention layer and one feed-forward layer
 change these predictions. They learn from every id of all training rows: these are cut into windows, dealt by hash
 into ROUNDS rounds of shards of SHARD windows or so. In a round each shard starts from the same weights and takes
 steps of Adam over all its windows; the changes are averaged, those of an embedding by how often its ids occur.
@@ -29,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +38,17 @@ from .bpe import encoding
 from .common import cut, hash_words, mix, slices, tables
 
 LENGTH, STRIDE = 32, 24
-#: Digits and their base: BASE ** 3 covers the ids and the end.
-BASE, END = 37, 50_256
-IDS, NONE = 50_257, 65_535
+#: Digits and their base, and the sizes of a digit's two parts. BASE ** 3 covers the ids, the end and the OWN words.
+BASE, END = 48, 50_256
+IDS, NONE = 50_257, (1 << 24) - 1
+PARTS = (6, 8) * 3
+OWN = BASE**3 - IDS
+HEAD = PARTS[0] + PARTS[1]
+#: For each part: its first column, how many ranks one value of it covers; and which columns are whose.
+FIRST = np.cumsum((0, *PARTS[:-1]))
+TAIL = [BASE**3 // n for n in np.cumprod(PARTS).tolist()]
+PLACES = FIRST + np.arange(BASE**3)[:, None] // TAIL % PARTS
+GROUPS = np.repeat(np.eye(len(PARTS), dtype=np.float32), PARTS, axis=0)
 #: Ranks with an embedding of their own; rarer ones share the last.
 EMBEDDED, WIDE, INNER = 2048, 16, 32
 BATCH, STEPS, RATE = 64, 256, 4e-3
@@ -48,13 +58,15 @@ FREQUENT = 1 << 20
 #: Distinct words that a task counts before it hands them on; windows that go through the model at a time. LIMIT bounds the weights and BOUND the values before the last softmax, so that it can't overflow.
 HELD, CHUNK = 500_000, 256
 LIMIT, BOUND = 0.5, 8.0
-MASK = np.where(np.tri(LENGTH) > 0, 0, -1e9).astype(np.float32)
+MOST = np.where(np.tri(LENGTH) > 0, 60, -1e9).astype(np.float32)  # of a place looking at another
 
 
-def tokens(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts, and how many each text has."""
-    words = [x.encode("utf-8", "surrogatepass").lower().split() for x in texts]
-    return [w for x in words for w in x], np.array([len(x) for x in words], np.int64)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words, owner = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    real = pc.not_equal(pc.binary_length(words), 0)  # none before or after white space
+    return words.filter(real), np.bincount(owner[real.to_numpy(zero_copy_only=False)], minlength=len(texts))
 
 
 @lru_cache(maxsize=1)
@@ -79,14 +91,19 @@ def ids_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Distinct:
-    """The distinct words of some texts, where each word stands, and their ids."""
-
-    def __init__(self, texts: list[str]):
-        words, self.sizes = tokens(texts)
-        self.words = list(dict.fromkeys(words))
-        place = {w: i for i, w in enumerate(self.words)}
-        self.inverse = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-        self.ids, self.lengths = ids_of(self.words)
+    """The distinct words of some texts, where each word stands, and their ids; those of `own` have one id each."""
+
+    def __init__(self, texts: list[str] | pa.Array, own: pa.Array | None = None):
+        words, self.sizes = tokens(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        coded = words.dictionary_encode()
+        self.words, self.inverse = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy().astype(np.int64)
+        found = pc.index_in(self.words, own if own is not None else pa.array([], pa.binary()))
+        spelled = found.is_null().to_numpy(zero_copy_only=False)
+        ids, lengths = ids_of(self.words.filter(found.is_null()).to_pylist())
+        self.lengths = np.ones(len(spelled), np.int64)
+        self.lengths[spelled] = lengths
+        self.ids = np.repeat(pc.fill_null(found, 0).to_numpy().astype(np.int64) + IDS, self.lengths)
+        self.ids[np.repeat(spelled, self.lengths)] = ids
 
     def sequences(self) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, an end after each; and how many each text has."""
@@ -101,15 +118,21 @@ class Distinct:
         return out, sizes + 1
 
 
-def counted(docs: DataFrame, text: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """Counts of the words of all rows (hash, c), and of the subword ids: each distinct word is read once."""
+def counted(docs: DataFrame, text: str = "text", most: int = OWN) -> tuple[DataFrame, np.ndarray, pa.Array]:
+    """Counts of the words of all rows (hash, c), of the ids, and the words that have an id of their own, in order, behind the others.
+
+    Each distinct word is read once. Words of their own are those that save most ids, by classes of a 64th of a power of
+    two: the uppermost classes that hold `most` words at most.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
         rows = 0
         for batch in slices(batches):
-            words, sizes = tokens([x or "" for x in batch.column("text").to_pylist()])
-            held.update(words)
+            words, sizes = tokens(batch.column("text"))
+            values, c = words.value_counts().flatten()
+            for w, n in zip(values.cast(pa.binary()).to_pylist(), c.to_pylist()):
+                held[w] += n
             rows += len(sizes)
             if len(held) > HELD:
                 yield _word_rows(list(held), list(held.values()))
@@ -125,30 +148,45 @@ def counted(docs: DataFrame, text: str = "text") -> tuple[DataFrame, np.ndarray]
             words, c = [w for w in words if w is not None], c[known]
             own, lengths = ids_of(words)
             np.add.at(ids, own, np.repeat(c, lengths))
+            saved = (lengths - 1) * c
+            some = np.flatnonzero((saved > 0) & (c > 1))
+            yield _count_rows(2, np.floor(np.log2(saved[some]) * 64).astype(np.int64), c[some], [words[i] for i in some.tolist()])
             yield _count_rows(0, hash_words(words), c)
         some = np.flatnonzero(ids)
         yield _count_rows(1, some.astype(np.uint64), ids[some])
 
     words = docs.select(F.col(text).alias("text")).mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    counts = cut(words.mapInArrow(read, "kind int, hash long, c long"))
+    counts = cut(words.mapInArrow(read, "kind int, hash long, c long, word binary"))
     table = counts.filter("kind = 1").groupBy("hash").agg(F.sum("c").alias("c")).toPandas()  # IDS rows at most
-    ids = np.zeros(IDS, np.int64)
+    ids = np.zeros(IDS + most, np.int64)
     ids[table["hash"].to_numpy(np.int64)] = table["c"].to_numpy(np.int64)
-    return counts.filter("kind = 0").select("hash", "c"), ids
+    classes = counts.filter("kind = 2").groupBy("hash").count().toPandas().sort_values("hash", ascending=False)  # 64 for each power of two
+    kept = classes["hash"][classes["count"].cumsum() <= most]
+    least = int(kept.min()) if len(kept) else 1 << 30
+    top = counts.filter((F.col("kind") == 2) & (F.col("hash") >= least)).select("word", "c").toPandas().sort_values("word")  # `most` rows at most
+    own = [bytes(w) for w in top["word"]]
+    c = top["c"].to_numpy(np.int64)
+    spelled, lengths = ids_of(own)
+    np.subtract.at(ids, spelled, np.repeat(c, lengths))
+    ids[IDS : IDS + len(own)] = c
+    return counts.filter("kind = 0").select("hash", "c"), ids[: IDS + len(own)], pa.array(own, pa.binary())
 
 
 def _word_rows(words: list[bytes | None], c: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c, pa.int64())], names=["word", "c"])
 
 
-def _count_rows(kind: int, hashes: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), kind, np.int32)), pa.array(hashes.view(np.int64)), pa.array(c, pa.int64())], names=["kind", "hash", "c"])
+def _count_rows(kind: int, hashes: np.ndarray, c: np.ndarray, words: list[bytes] | None = None) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(hashes), kind, np.int32)), pa.array(hashes.view(np.int64)), pa.array(c, pa.int64()), pa.array(words or [None] * len(hashes), pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "hash", "c", "word"])
 
 
 def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """The sum of the rows for each of n places."""
     wide = rows.shape[1]
-    return np.bincount((at[:, None] * wide + np.arange(wide)).ravel(), rows.ravel(), n * wide).reshape(n, wide).astype(rows.dtype)
+    out = np.zeros(n * wide, rows.dtype)
+    np.add.at(out, (at[:, None] * wide + np.arange(wide)).ravel(), rows.ravel())
+    return out.reshape(n, wide)
 
 
 @dataclass
@@ -156,21 +194,22 @@ class Model:
     rank: np.ndarray
     bias: list[np.ndarray]
     weights: dict[str, np.ndarray]
+    words: pa.Array | None = None
+    _table: np.ndarray | None = None
 
     @classmethod
-    def new(cls, ids: np.ndarray, seed: int = 3) -> Model:
-        """The unigram model of the id counts, with weights that hardly change it."""
-        rank = np.empty(IDS, np.int64)
-        rank[np.argsort(-ids, kind="stable")] = np.arange(IDS)
+    def new(cls, ids: np.ndarray, seed: int = 3, words: pa.Array | None = None) -> Model:
+        """The unigram model of the counts of ids, those of words behind the others, with weights that hardly change it."""
+        rank = np.empty(len(ids), np.int32)
+        rank[np.argsort(-ids, kind="stable")] = np.arange(len(ids))
         n = np.zeros(BASE**3)
         n[rank] = ids + 0.5
-        n = n.reshape(BASE, BASE, BASE)
         logs = lambda x: np.log((x + 1e-9) / (x + 1e-9).sum(-1, keepdims=True)).astype(np.float32)
-        bias = [logs(n.sum((1, 2))), logs(n.sum(2)), logs(n).reshape(-1, BASE)]
+        bias = [logs(n.reshape(-1, k, tail).sum(2)) for k, tail in zip(PARTS, TAIL)]
         rng = np.random.default_rng(seed)
-        shapes = {"E": (EMBEDDED, WIDE), "P": (LENGTH, WIDE), "Q": (WIDE, WIDE), "K": (WIDE, WIDE), "V": (WIDE, WIDE), "O": (WIDE, WIDE), "W1": (WIDE, INNER), "c1": (INNER,), "W2": (INNER, WIDE), "A": (BASE, WIDE), "C": (BASE, WIDE), "U1": (WIDE, BASE), "U2": (WIDE, BASE), "U3": (WIDE, BASE)}
+        shapes = {"E": (EMBEDDED, WIDE), "P": (LENGTH, WIDE), "Q": (WIDE, WIDE), "K": (WIDE, WIDE), "V": (WIDE, WIDE), "O": (WIDE, WIDE), "W1": (WIDE, INNER), "c1": (INNER,), "W2": (INNER, WIDE), "A": (BASE, WIDE), "C": (BASE, WIDE), "U1": (WIDE, HEAD), "U2": (WIDE, HEAD), "U3": (WIDE, HEAD)}
         scale = {"E": 0.5, "P": 0.1, "U1": 0.01, "U2": 0.01, "U3": 0.01, "c1": 0.0}
-        return cls(rank, bias, {k: (rng.standard_normal(s) * scale.get(k, 0.25)).astype(np.float32) for k, s in shapes.items()})
+        return cls(rank, bias, {k: (rng.standard_normal(s) * scale.get(k, 0.25)).astype(np.float32) for k, s in shapes.items()}, words)
 
     def hidden(self, r: np.ndarray) -> tuple[np.ndarray, ...]:
         """What each place of the windows (b, LENGTH) knows of itself and the places before it.
@@ -178,49 +217,61 @@ class Model:
         A column of ones beside the values sums the weights, so that only the result is divided.
         """
         w = self.weights
-        x = w["E"][np.minimum(r, EMBEDDED - 1)]
+        x = w["E"].take(np.minimum(r, EMBEDDED - 1), axis=0)
         x += w["P"]
-        q, k = x @ (w["Q"] * np.float32(WIDE**-0.5)), x @ w["K"]
-        v = np.ones((*x.shape[:2], WIDE + 1), x.dtype)
-        np.matmul(x, w["V"], out=v[..., :WIDE])
+        three = np.empty((*r.shape, 3 * WIDE + 1), x.dtype)
+        np.matmul(x.reshape(-1, WIDE), np.concatenate([w["Q"] * np.float32(WIDE**-0.5), w["K"], w["V"]], 1), out=three.reshape(-1, 3 * WIDE + 1)[:, :-1])
+        three[..., -1] = 1
+        q, k, v = three[..., :WIDE], three[..., WIDE : 2 * WIDE], three[..., 2 * WIDE :]
         a = q @ k.transpose(0, 2, 1)
-        np.minimum(a, 60, out=a)
-        a += MASK
+        np.minimum(a, MOST, out=a)
         np.exp(a, out=a)
         o = a @ v
-        o = o[..., :WIDE] / o[..., WIDE:]
-        h = o @ w["O"]
+        total = o[..., WIDE:]
+        o = o[..., :WIDE] / total
+        h = (o.reshape(-1, WIDE) @ w["O"]).reshape(x.shape)
         h += x
-        f = h @ w["W1"]
+        f = h.reshape(-1, WIDE) @ w["W1"]
         f += w["c1"]
         np.maximum(f, 0, out=f)
-        g = f @ w["W2"]
+        g = (f @ w["W2"]).reshape(x.shape)
         g += h
-        return x, q, k, v, a, o, h, f, np.clip(g, -BOUND, BOUND, out=g)
+        return x, q, k, v, a, total, o, h, f, np.clip(g, -BOUND, BOUND, out=g)
+
+    def _logits(self, g: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The logits of all parts, side by side; the place of each target's own in them; its first and second digit.
+
+        What the digits before add to a later one's is the same wherever they are the same, so it comes from a table.
+        """
+        w = self.weights
+        d12 = target // BASE
+        y = g @ np.concatenate([w["U1"], w["U2"], w["U3"]], 1)
+        y += self.table.take(target // PARTS[-1], axis=0)
+        more = np.repeat(w["A"] @ np.concatenate([w["U2"], w["U3"]], 1), BASE, axis=0)
+        more[:, HEAD:] += np.tile(w["C"] @ w["U3"], (BASE, 1))
+        y[:, HEAD:] += more.take(d12, axis=0)
+        at = PLACES.take(target, axis=0)
+        at += np.arange(0, y.size, y.shape[1])[:, None]
+        return y, at, d12 // BASE, d12 % BASE
+
+    @property
+    def table(self) -> np.ndarray:
+        """The biases of all parts, side by side, for each beginning of a rank up to its last part."""
+        if self._table is None:
+            self._table = np.concatenate([np.repeat(b, BASE**3 // PARTS[-1] // len(b), axis=0) for b in self.bias], 1)
+        return self._table
 
     def logits(self, g: np.ndarray, target: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """The logits of the second, the third and the first digit; the first digit, and then the values in their order."""
-        w, b = self.weights, self.bias
-        d12, d3 = np.divmod(target, BASE)
-        d1, d2 = np.divmod(d12, BASE)
-        y1 = g @ w["U1"]
-        g2 = g + w["A"][d1]
-        y2 = g2 @ w["U2"]
-        g2 += w["C"][d2]
-        y3 = g2 @ w["U3"]
-        y1 += b[0]
-        y2 += b[1][d1]
-        y3 += b[2][d12]
-        return [y2, y3, y1], [d1, d2, d3, d1]
+        """The logits of each part of each digit, in order; the first digit, and then the target's parts."""
+        y, at, d1, _ = self._logits(g, target)
+        own = (at - FIRST) % y.shape[1]
+        return [y[:, i : i + n] for i, n in zip(FIRST, PARTS)], [d1, *own.T]
 
     def log_probs(self, g: np.ndarray, target: np.ndarray) -> np.ndarray:
-        logits, digits = self.logits(g, target)
-        out = np.zeros(len(target), g.dtype)
-        rows = np.arange(len(target))
-        for x, d in zip(logits, digits[1:]):
-            out += x[rows, d]
-            np.exp(x, out=x)
-            out -= np.log(x @ np.ones(BASE, x.dtype))
+        y, at, _, _ = self._logits(g, target)
+        out = y.take(at) @ np.ones(len(PARTS), y.dtype)
+        np.exp(y, out=y)  # bounded by LIMIT and BOUND
+        out -= np.log(y @ GROUPS.astype(y.dtype, copy=False)) @ np.ones(len(PARTS), y.dtype)
         return out
 
     def score(self, sequence: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -228,7 +279,7 @@ class Model:
         target = self.rank[sequence]
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        source = np.concatenate([[self.rank[END]], target[:-1]])
+        source = np.concatenate([self.rank[[END]], target[:-1]])
         source[starts] = self.rank[END]
         number = np.maximum(1, -(-(sizes - (LENGTH - STRIDE)) // STRIDE))
         owner = np.repeat(np.arange(len(sizes)), number)
@@ -247,40 +298,34 @@ class Model:
     def gradients(self, r: np.ndarray, target: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean loss over the places that are real."""
         w, flat = self.weights, lambda x: x.reshape(-1, x.shape[-1])
-        x, q, k, v, a, o, h, f, g = self.hidden(r)
-        t = target.ravel()
-        logits, digits = self.logits(flat(g), t)
+        x, q, k, v, a, total, o, h, f, g = self.hidden(r)
+        g = flat(g)
+        y, at, d1, d2 = self._logits(g, target.ravel())
         weight = (real.ravel() / real.sum()).astype(np.float32)
-        rows = np.arange(len(t))
-        d = []
-        for y, digit in zip(logits, digits[1:]):
-            np.exp(y, out=y)  # bounded by LIMIT and BOUND
-            y *= (weight / (y @ np.ones(BASE, y.dtype)))[:, None]
-            y[rows, digit] -= weight
-            d.append(y)
-        g2 = w["A"][digits[0]]
-        g2 += flat(g)
-        g3 = w["C"][digits[1]]
-        g3 += g2
-        out = {"U1": flat(g).T @ d[2], "U2": g2.T @ d[0], "U3": g3.T @ d[1]}
-        dg = d[1] @ w["U3"].T
-        out["C"] = _summed(digits[1], dg, BASE)
-        dg += d[0] @ w["U2"].T
-        out["A"] = _summed(digits[0], dg, BASE)
-        dg += d[2] @ w["U1"].T
-        dg *= np.abs(flat(g)) < BOUND
-        out["W2"] = flat(f).T @ dg
+        groups = GROUPS.astype(y.dtype, copy=False)
+        np.exp(y, out=y)  # bounded by LIMIT and BOUND
+        y *= (weight[:, None] / (y @ groups)) @ groups.T
+        y.ravel()[at] -= weight[:, None]
+        heads = np.concatenate([w["U1"], w["U2"], w["U3"]], 1)
+        d_a, d_c = _summed(d1, y[:, HEAD:], BASE), _summed(d2, y[:, 2 * HEAD :], BASE)
+        dw = g.T @ y
+        dw[:, HEAD:] += w["A"].T @ d_a
+        dw[:, 2 * HEAD :] += w["C"].T @ d_c
+        out = {"U1": dw[:, :HEAD], "U2": dw[:, HEAD : 2 * HEAD], "U3": dw[:, 2 * HEAD :], "A": d_a @ heads[:, HEAD:].T, "C": d_c @ w["U3"].T}
+        dg = y @ heads.T
+        dg *= np.abs(g) < BOUND
+        out["W2"] = f.T @ dg
         df = dg @ w["W2"].T
-        df *= flat(f) > 0
+        df *= f > 0
         out["W1"], out["c1"] = flat(h).T @ df, np.ones(len(df), df.dtype) @ df
         dg += df @ w["W1"].T
         out["O"] = flat(o).T @ dg
         do = (dg @ w["O"].T).reshape(o.shape)
-        a /= (a @ np.ones(LENGTH, a.dtype))[..., None]
+        a /= total
         ds = do @ v[..., :WIDE].transpose(0, 2, 1)
         ds -= np.einsum("bid,bid->bi", do, o)[..., None]
         ds *= a
-        three = np.empty((len(t), 3 * WIDE), dg.dtype)
+        three = np.empty((len(y), 3 * WIDE), dg.dtype)
         each = three.reshape(*o.shape[:2], 3 * WIDE)
         np.matmul(ds, k, out=each[..., :WIDE])
         each[..., :WIDE] *= np.float32(WIDE**-0.5)
@@ -304,15 +349,31 @@ class Model:
         steps = max(steps, -(-len(windows) // BATCH))
         order = np.concatenate([rng.permutation(len(windows)) for _ in range(-(-steps * BATCH // len(windows)))])
         warm = 20 if done == 0 else 4
-        m, s = ({k: np.zeros_like(v) for k, v in self.weights.items()} for _ in range(2))
+        names, shapes = list(self.weights), [v.shape for v in self.weights.values()]
+        every = np.concatenate([v.ravel() for v in self.weights.values()])  # one array for all, seen as each
+        edges = np.cumsum([v.size for v in self.weights.values()])
+        self.weights = {k: x.reshape(s) for k, s, x in zip(names, shapes, np.split(every, edges[:-1]))}
+        m, s, change = np.zeros_like(every), np.zeros_like(every), np.empty_like(every)
         for step in range(1, steps + 1):
             rows = windows[order[(step - 1) * BATCH : step * BATCH]]
-            ranks = np.where(rows >= 0, self.rank[rows], 0)
+            ranks = self.rank.take(np.maximum(rows, 0))
+            ranks[rows < 0] = 0
             rate = RATE * min(1, step / warm, 2 * (1 - done - (upto - done) * step / (steps + 1)))
-            for k, grad in self.gradients(ranks[:, :-1], ranks[:, 1:], rows[:, 1:] >= 0).items():
-                m[k] += 0.1 * (grad - m[k])
-                s[k] += 0.01 * (grad * grad - s[k])
-                self.weights[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            found = self.gradients(ranks[:, :-1], ranks[:, 1:], rows[:, 1:] >= 0)
+            grad = np.concatenate([found[k].ravel() for k in names])
+            np.subtract(grad, m, out=change)
+            change *= 0.1
+            m += change
+            grad *= grad
+            grad -= s
+            grad *= 0.01
+            s += grad
+            np.divide(s, 1 - 0.99**step, out=change)
+            np.sqrt(change, out=change)
+            change += 1e-8
+            np.divide(m, change, out=change)
+            change *= rate / (1 - 0.9**step)
+            every -= change
             for k in ("U1", "U2", "U3", "A", "C"):
                 np.clip(self.weights[k], -LIMIT, LIMIT, out=self.weights[k])
         return self
@@ -322,7 +383,7 @@ class Model:
 
         An embedding counts by how often it is read, everything else by the windows.
         """
-        own = Model(self.rank, self.bias, {k: v.copy() for k, v in self.weights.items()}).train(windows, steps, done=done, upto=upto)
+        own = Model(self.rank, self.bias, {k: v.copy() for k, v in self.weights.items()}, _table=self.table).train(windows, steps, done=done, upto=upto)
         read = windows[:, :-1][windows[:, 1:] >= 0]
         times = np.bincount(np.minimum(self.rank[read], EMBEDDED - 1), minlength=EMBEDDED)
         parts = [np.rint((own.weights[k] - v).astype(float) * (times[:, None] if k == "E" else len(windows)) / UNIT).ravel() for k, v in self.weights.items()]
@@ -337,12 +398,14 @@ class Model:
             at += v.size
 
 
-def windowed(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def windowed(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text", own: pa.Array | None = None) -> DataFrame:
     """round, shard and windows (id bytes, in a fixed order): each id of each text is predicted in one window."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(own)  # bounded: OWN words
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sequence, sizes = Distinct([x or "" for x in batch.column("text").to_pylist()]).sequences()
+            sequence, sizes = Distinct(batch.column("text"), shared.value).sequences()
             number = -(-sizes // LENGTH)
             owner = np.repeat(np.arange(len(sizes)), number)
             nth = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
@@ -355,7 +418,8 @@ def windowed(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "
                 out = sequence[np.clip(at, 0, len(sequence) - 1)]
                 out[at >= ends[owner[i : i + 8_192], None]] = -1
                 out[nth[i : i + 8_192] == 0, 0] = END
-                data = out.astype(np.uint16).view(f"V{2 * (LENGTH + 1)}").ravel().tolist()  # -1 becomes NONE
+                three = np.ascontiguousarray(out.astype("<i4").view(np.uint8).reshape(len(out), LENGTH + 1, 4)[..., :3])  # -1 becomes NONE
+                data = three.reshape(len(out), -1).view(f"V{3 * (LENGTH + 1)}").ravel().tolist()
                 part = slice(i, i + 8_192)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((dealt[part] // shards).astype(np.int32)), pa.array(dealt[part] % shards), pa.array(places[part]), pa.array(nth[part]), pa.array(data, pa.binary())],
@@ -369,7 +433,10 @@ def windowed(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "
 
 def unpacked(windows: list[bytes]) -> np.ndarray:
     """The windows of a shard as rows of LENGTH + 1 ids, -1 after the last."""
-    rows = np.frombuffer(b"".join(windows), np.uint16).reshape(-1, LENGTH + 1).astype(np.int32)
+    three = np.frombuffer(b"".join(windows), np.uint8).reshape(-1, LENGTH + 1, 3)
+    rows = np.zeros((*three.shape[:2], 4), np.uint8)
+    rows[..., :3] = three
+    rows = rows.view("<i4")[..., 0]
     return np.where(rows == NONE, -1, rows)
 
 
@@ -388,7 +455,7 @@ def learnt(model: Model, docs: DataFrame, ids: np.ndarray, steps: int = STEPS, d
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
     with tables(docs.sparkSession) as keep:
-        data = keep(windowed(docs, shards, doc_id, text))
+        data = keep(windowed(docs, shards, doc_id, text, model.words))
         for k in range(ROUNDS):
             shared = context.broadcast(model)  # bounded: the weights and IDS ranks
 
@@ -407,23 +474,23 @@ def learnt(model: Model, docs: DataFrame, ids: np.ndarray, steps: int = STEPS, d
 def scored(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, steps: int = STEPS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row; training tells the rows to learn from."""
     learn = docs.filter(training).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    counts, ids = counted(learn)
+    counts, ids, own = counted(learn)
     totals = counts.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
     ends = int(ids[END])
     n, v = (totals.n or 0) + ends, totals.v + (ends > 0)
     often = F.col("c") >= F.lit(n / frequent)
     top = counts.filter(often).toPandas().sort_values("hash")  # the counts sum to n: `frequent` rows of 16 bytes at most
     hashes, logs = top["hash"].to_numpy(np.int64), np.log10(top["c"].to_numpy(float) + 1)
-    model = learnt(Model.new(ids), learn, ids, steps)
+    model = learnt(Model.new(ids, words=own), learn, ids, steps)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
     shared = docs.sparkSession.sparkContext.broadcast((hashes, logs, model))  # bounded: `frequent` words and the model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, logs, model = shared.value
         for batch in slices(batches):
-            found = Distinct([x or "" for x in batch.column("text").to_pylist()])
+            found = Distinct(batch.column("text"), model.words)
             score = model.score(*found.sequences())
-            own = hash_words(found.words).view(np.int64)
+            own = hash_words(found.words.to_pylist()).view(np.int64)
             at = np.minimum(np.searchsorted(hashes, own), max(0, len(hashes) - 1))
             common = hashes[at] == own if len(hashes) else np.zeros(len(own), bool)
             gain = np.where(common, logs[at], 0.0) if len(hashes) else np.zeros(len(own))

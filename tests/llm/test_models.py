@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_rows import as_rows, lower, words
 from hypothesis import given, settings
@@ -175,6 +176,47 @@ def test_lm_learns_from_every_id_of_all_rows(spark, monkeypatch):
     assert all((a[k] == b[k]).all() for k in a) and (a["E"] != lm.Model.new(ids).weights["E"]).any()
 
 
+def test_lm_frequent_words_are_one_id(spark):
+    """Words that save most ids stand for themselves, all counts follow, and no more than the table holds are sent."""
+    often, some, rare = "xylophonists", "quizzicalities", "zyzzyvaesque"
+    docs = spark.createDataFrame([(i, f"{often} {some if i % 3 else often} the{' ' + rare if i == 5 else ''}") for i in range(60)], "doc_id long, text string").repartition(5)
+    texts = [r.text for r in docs.collect()]
+    for most, want in ((1, [often]), (2, [often, some]), (lm.OWN, [often, some])):
+        _, ids, own = lm.counted(docs, most=most)
+        assert [w.decode() for w in own.to_pylist()] == sorted(want)
+        sequence, sizes = lm.Distinct(texts, own).sequences()
+        assert ids.tolist() == np.bincount(sequence, minlength=len(ids)).tolist() and sizes.sum() == len(sequence)
+    assert (sequence == lm.IDS + own.to_pylist().index(often.encode())).sum() == 80 and len(sequence) < len(lm.Distinct(texts).sequences()[0])
+    found = [x for r in lm.windowed(docs, 1, own=own).collect() for x in lm.unpacked(r.windows)]
+    got = np.stack(found)[:, 1:]
+    assert collections.Counter(got[got >= 0].tolist()) == collections.Counter(sequence.tolist())  # ids above 65,535, too
+    top = lm.Distinct([often], pa.array([b"a"] * 60_000 + [often.encode()], pa.binary())).sequences()[0]
+    assert top[0] == lm.IDS + 60_000
+
+
+def test_lm_digits_in_parts():
+    """Parts of digits multiply to the probability of the whole rank; six short softmaxes in place of three long ones."""
+    rng = np.random.default_rng(7)
+    ids = rng.integers(0, 50, lm.IDS + 500)
+    model = lm.Model.new(ids)
+    n = np.zeros(lm.BASE**3)
+    n[model.rank] = ids + 0.5
+    got = model.log_probs(np.zeros((len(n), lm.WIDE), np.float32), np.arange(len(n)))
+    for name in ("A", "C"):  # without context and corrections only the counts are left
+        model.weights[name][:] = 0
+    got = model.log_probs(np.zeros((len(n), lm.WIDE), np.float32), np.arange(len(n)))
+    assert np.allclose(np.exp(got[n > 0]), (n / n.sum())[n > 0], rtol=1e-3)
+    assert sum(lm.PARTS) < 3 * 37 and [x.shape[1] for x in model.logits(np.zeros((3, lm.WIDE), np.float32), np.arange(3))[0]] == list(lm.PARTS)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet=st.sampled_from("aB É\xa0\x85\x1c\u3000\n\t\x0b\x0c\r"), max_size=12), max_size=8))
+def test_lm_words_split_at_ascii_white_space_alone(texts):
+    found, sizes = lm.tokens(pa.array(texts, pa.string()))
+    each = [(t or "").encode().lower().split() for t in texts]
+    assert [w.encode() for w in found.to_pylist()] == [w for x in each for w in x] and sizes.tolist() == [len(x) for x in each]
+
+
 def plain_toxic_features(text, learned):
     """Each feature by a loop over words and characters."""
     words = [w.strip(toxicity.PUNCTUATION) for w in text.lower().split()]
